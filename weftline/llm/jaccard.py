@@ -4,10 +4,11 @@ Method. A text becomes the set of its distinct word n-grams (64-bit hashes of th
 order of those hashes, which stands for a random global order. Two sets with Jaccard at least ``num``/``den``
 share t = ceil(num * n / den) members at least, so for every l the first l common members lie within the first
 n - t + l members of both (the l-prefix), and the coldest common member of an l-prefix survives in both when each
-side drops the l - 1 most frequent members of its own. Each document therefore picks its own level l by the
-estimated cost, the number of documents met over the members that it keeps: documents whose prefix holds frequent
-n-grams lengthen it and must share more of it. A pair is met at the level of the member that asks for less, and
-before the exact test its l-prefixes must share l members.
+side drops the l - 1 most frequent members of its own. All documents start with a short prefix. The cost of one that
+keeps nothing which another document keeps is 0: it is done. The others lengthen their prefixes to the next level,
+where correspondingly more of it must be shared (so that more of the frequent members are dropped), up to the whole
+set; only then candidates are formed, from lists in which their places leave room for enough common members. Before the
+exact test a pair must also share the l members of its first prefixes.
 
 Equal sets are joined first, by digest. Links are then verified in rounds: in every posting list one hub is
 compared with all others; lists that are not settled by that (their members have several labels) get further
@@ -33,8 +34,8 @@ from .common import Scratch, keep, slices
 
 #: Ids of candidates are broadcast up to this number (16 bytes each in Spark's hashed form: some 100 MB); beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Levels of a document with prefix length p: 1, 1 + p / 4, 1 + p / 2 matches.
-LEVELS = (0.0, 0.25, 0.5)
+#: Matches l that a level asks for with prefix length p: 1 + x * p + y; None: as many as the whole set must share.
+LEVELS = ((0.25, 4), None)
 #: Words whose hashes a Python worker remembers.
 WORD_CACHE = 500_000
 
@@ -79,14 +80,14 @@ def threshold(n, num: int, den: int):
     return -(-num * n // den)
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
+def _list_array(values: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, whole: bool) -> DataFrame:
-    """doc, n, digest of the set, and its first members: all (``whole``) or the longest prefix that a level can ask for."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, level: int | None = None) -> DataFrame:
+    """doc, n, digest of the set, and its first members: all, or the prefix that ``level`` asks for."""
 
     def run(batches):
         words = WordHashes()
@@ -94,10 +95,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int,
             sets = [shingle_set(t, n, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             counts = [len(s) for s in sets]
-            if not whole:
-                sets = [s[: longest_prefix(len(s), num, den)] for s in sets]
+            if level is not None:
+                sets = [s[: prefix(len(s), num, den, level)] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int32()), pa.array(digests, pa.binary()), _lists(sets)], names=["doc", "n", "digest", "grams"]
+                [batch.column(0), pa.array(counts, pa.int32()), pa.array(digests, pa.binary()), _list_array(sets)], names=["doc", "n", "digest", "grams"]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -105,113 +106,125 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int,
     return src.mapInArrow(run, f"doc {kind}, n int, digest binary, grams array<bigint>")
 
 
-def longest_prefix(n: int, num: int, den: int) -> int:
+def prefix(n: int, num: int, den: int, level: int) -> int:
+    """Members of the l-prefix of a set of n at a level."""
     t = threshold(n, num, den)
-    p = n - t + 1
-    return min(n, p + min(int(LEVELS[-1] * p), t - 1 if t else 0))
+    if LEVELS[level] is None:
+        return n
+    x, y = LEVELS[level]
+    return min(n, n - t + 1 + min(int(x * (n - t + 1)) + y, max(t - 1, 0)))
 
 
-def _level_columns(num: int, den: int, n: str = "n") -> dict[str, str]:
-    """SQL of the prefix length and of the matches l that each level asks for, of a set of ``n`` members."""
+def _sql(num: int, den: int, level: int, n: str = "n") -> tuple[str, str]:
+    """SQL of the matches l at a level and of the length of the l-prefix for l = 0, of a set of ``n`` members."""
     t = f"cast(({num} * cast({n} as bigint) + {den - 1}) div {den} as int)"
-    p = f"({n} - {t} + 1)"
-    return {"p": p} | {f"l{i}": f"1 + least(cast(floor({x} * {p}) as int), {t} - 1)" for i, x in enumerate(LEVELS)}
+    if LEVELS[level] is None:
+        return t, f"({n} - {t})"
+    x, y = LEVELS[level]
+    return f"(1 + least(cast(floor({x}d * ({n} - {t} + 1)) as int) + {y}, {t} - 1))", f"({n} - {t})"
 
 
-def _postings(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(lvl, gram, doc, n, own): what each document keeps at each level up to its own."""
-    raw = reps.select("doc", "n", F.posexplode("grams").alias("pos", "gram"))
+def _kept(reps: DataFrame, num: int, den: int, level: int) -> DataFrame:
+    """(doc, n, cost, pos, gram): the l-prefix's members that others have too, less the l - 1 most frequent ones.
+
+    At the last level ``pos`` is the member's place in the order of frequency, from 1.
+    """
+    raw = reps.select(F.explode("grams").alias("gram"), "doc")
     shared = raw.groupBy("gram").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    met = raw.join(shared, "gram").groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "cnt", "gram")).alias("met"))
-    cols = _level_columns(num, den)
-    met = met.selectExpr("doc", "n", "met", *(f"{v} as {k}" for k, v in cols.items()))
-    kept = [
-        f"slice(sort_array(transform(filter(met, x -> x.pos < p + l{i} - 1), x -> struct(x.cnt as cnt, x.gram as gram)), false), l{i}, 2147483647)"
-        for i in range(len(LEVELS))
-    ]
-    met = met.selectExpr("doc", "n", *(f"{k} as kept{i}" for i, k in enumerate(kept)))
-    cost = [f"aggregate(kept{i}, 0L, (s, x) -> s + x.cnt)" for i in range(len(LEVELS))]
-    best = f"least({', '.join(cost)})"
-    own = "case " + " ".join(f"when {c} <= {best} then {i}" for i, c in enumerate(cost)) + " end"
-    met = met.selectExpr("*", f"{own} as own")
-    levels = ", ".join(f"struct({i} as lvl, case when own >= {i} then transform(kept{i}, x -> x.gram) end as grams)" for i in range(len(LEVELS)))
-    flat = met.selectExpr("doc", "n", "own", f"inline(array({levels}))")
-    return flat.selectExpr("lvl", "explode(grams) as gram", "doc", "n", "own")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, lvl) that have the similarity: first the shared prefix members, then the exact test."""
-    cols = {s: _level_columns(num, den, f"n{s}") for s in "ab"}
-    need = {s: "case lvl " + " ".join(f"when {i} then {c[f'l{i}']}" for i in range(len(LEVELS))) + " end" for s, c in cols.items()}
+    met = raw.join(shared, "gram").groupBy("doc").agg(F.collect_list(F.struct("cnt", "gram")).alias("met"))
+    need, _ = _sql(num, den, level)
+    # Members that nobody shares are the least frequent ones: only what exceeds l - 1 shared members stays.
+    kept = met.join(reps.select("doc", "n"), "doc").selectExpr("doc", "n", "aggregate(met, 0L, (s, x) -> s + x.cnt) as cost", f"slice(sort_array(met, false), {need}, 2147483647) as kept")
+    return kept.selectExpr("doc", "n", "cost", "posexplode(kept.gram) as (k, gram)").selectExpr("doc", "n", "cost", f"n - {need} + 1 - k as pos", "gram")
+
+
+def _lists(post: DataFrame) -> DataFrame:
+    """The postings in lists of two or more."""
+    return post.join(post.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "gram")
+
+
+def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that have the similarity: first enough shared members of the base prefixes, then the exact test."""
+    sides = {}
+    for s in "ab":
+        need, before = _sql(num, den, 0)
+        sides[s] = prefixes.selectExpr(f"doc as {s}", f"grams as p{s}", f"{need} as l{s}", f"{before} as b{s}")
+    near = pairs.join(sides["b"], "b").join(sides["a"], "a").withColumn("l", F.least("la", "lb"))
+    near = near.where("size(array_intersect(slice(pa, 1, ba + l), slice(pb, 1, bb + l))) >= l").select("a", "b")
     ga, gb = (sets.selectExpr(f"doc as {s}", f"grams as g{s}", f"n as n{s}") for s in "ab")
-    both = pairs.join(gb, "b").join(ga, "a").selectExpr("a", "b", "ga", "gb", "na", "nb", *(f"{need[s]} as l{s}" for s in "ab"), *(f"{cols[s]['p']} as p{s}" for s in "ab"))
-    met = both.where("size(array_intersect(slice(ga, 1, pa + least(la, lb) - 1), slice(gb, 1, pb + least(la, lb) - 1))) >= least(la, lb)")
-    same = "cast(size(array_intersect(ga, gb)) as bigint)"
-    return met.where(f"{same} * {den} >= {num} * (na + nb - {same})").select("a", "b")
+    both = near.join(gb, "b").join(ga, "a").selectExpr("a", "b", "na", "nb", "cast(size(array_intersect(ga, gb)) as bigint) as same")
+    return both.where(f"same * {den} >= {num} * (na + nb - same)").select("a", "b")
 
 
 def _close(a: str, b: str, num: int, den: int) -> str:
-    return f"{den} * cast(least({a}, {b}) as bigint) >= {num} * cast(greatest({a}, {b}) as bigint)"
+    """SQL: sets with sizes n and places pos of a common member, their first, may have the similarity."""
+    na, nb = (f"cast({x}n as bigint)" for x in (a, b))
+    most = f"1 + least({na} - {a}pos, {nb} - {b}pos)"
+    return f"{den} * least({na}, {nb}) >= {num} * greatest({na}, {nb}) and {most} >= ({num} * ({na} + {nb}) + {num + den - 1}) div {num + den}"
+
 
+def components(links: DataFrame, steps: int = 0) -> DataFrame:
+    """(doc, component): the least doc reachable over links (a, b); by least labels of neighbours and pointer jumping.
 
-def components(links: DataFrame) -> DataFrame:
-    """(doc, component): the least doc reachable over links (a, b); by least labels of neighbours and pointer jumping."""
+    With ``steps``, the labels after so many steps: connected still, but perhaps not yet the least.
+    """
     both = keep(links.select("a", "b").unionByName(links.selectExpr("b as a", "a as b")))
     label = keep(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a as doc", "least(a, m) as component"))
+    done = 0
     while True:
         near = both.join(label.selectExpr("doc as b", "component as c"), "b").groupBy("a").agg(F.min("c").alias("c"))
         step = label.join(near, label.doc == near.a).selectExpr("doc", "component as was", "least(component, c) as c")
         jump = step.selectExpr("doc as c", "c as up")
         new = keep(step.join(jump, "c", "left").selectExpr("doc", "was", "least(c, coalesce(up, c)) as component"))
-        done = new.where("was <> component").isEmpty()
         label = new.select("doc", "component")
-        if done:
+        done += 1
+        if done == steps or new.where("was <> component").isEmpty():
             return label
 
 
 def similarity_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, hub_rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, hub_rounds: int = 3
 ) -> DataFrame:
     """(doc, n_shingles, component) of every row of ``docs``: classes of texts connected by Jaccard >= num / den."""
     spark = docs.sparkSession
     tmp = Scratch(spark, "jaccard")
-    all_sets = tmp.write(shingle_sets(docs, id_col, text_col, n, num, den, whole=False), "prefixes")
-    member = all_sets.groupBy("digest").agg(F.min("doc").alias("rep"))
-    reps = all_sets.join(member.where("digest is not null").select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
-    post = tmp.write(_postings(reps, num, den), "postings")
-    lists = post.groupBy("lvl", "gram").agg(F.count("*").alias("m"), F.min("own").alias("least_own")).where("m > 1 and least_own = lvl")
-    post = tmp.write(post.join(lists.select("lvl", "gram"), ["lvl", "gram"]), "lists")
-    tmp.drop("postings")
-    wanted = post.select("doc").distinct()
-    wanted = tmp.write(wanted, "wanted")
+    all_sets = tmp.write(shingle_sets(docs, id_col, text_col, n, num, den, 0), "prefixes")
+    member = tmp.write(all_sets.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep")), "members")
+    reps = all_sets.join(member.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
+    kept = tmp.write(_kept(reps, num, den, 0).select("doc", "gram"), "kept0")
+    wanted = tmp.write(_lists(kept).select("doc").distinct(), "wanted")
+    tmp.drop("kept0")
     few = wanted.count() <= BROADCAST_IDS
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
-    sets = tmp.write(shingle_sets(texts, "doc", "text", n, num, den, whole=True).dropDuplicates(["doc"]).select("doc", "n", "grams"), "sets")
-
-    links = None
-    label = None
+    sets = tmp.write(shingle_sets(texts, "doc", "text", n, num, den).dropDuplicates(["doc"]).select("doc", "n", "grams"), "sets")
+    need, before = _sql(num, den, 0)
+    prefixes = sets.selectExpr("doc", "n", f"slice(grams, 1, {before} + {need}) as grams")
+    kept = tmp.write(_kept(sets, num, den, 1), "kept1")
+    post = tmp.write(_lists(kept), "lists")
+    tmp.drop("kept1")
+
+    links = label = None
     for r in range(hub_rounds + 1):
-        open_lists = post.withColumn("label", F.col("doc"))
-        if label is not None:
-            open_lists = post.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        mixed = open_lists.groupBy("lvl", "gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("doc", F.lit(r)), "doc", "n", "own", "label")).alias("hub")).where("lo <> hi")
+        named = post.withColumn("label", F.col("doc")) if label is None else post.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        # The first hub of a list is its most typical member, who has most in common with others; later ones are any.
+        hub = F.struct(F.col("cost") if r == 0 else F.xxhash64("doc", F.lit(r)), "doc", "n", "pos", "label")
+        mixed = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(hub).alias("hub")).where("lo <> hi")
         if r < hub_rounds:
-            met = open_lists.join(mixed.select("lvl", "gram", "hub"), ["lvl", "gram"]).where(f"label <> hub.label and (own = lvl or hub.own = lvl) and {_close('n', 'hub.n', num, den)}")
-            met = met.selectExpr("least(doc, hub.doc) as a", "greatest(doc, hub.doc) as b", "lvl")
+            met = named.join(mixed.select("gram", "hub"), "gram").where(f"label <> hub.label and {_close('', 'hub.', num, den)}")
+            met = met.selectExpr("least(doc, hub.doc) as a", "greatest(doc, hub.doc) as b")
         else:
-            live = tmp.write(open_lists.join(mixed.select("lvl", "gram"), ["lvl", "gram"]), "live")
-            per = live.groupBy("lvl", "gram", "label").agg(F.count("*").alias("k"))
-            major = per.groupBy("lvl", "gram").agg(F.max(F.struct("k", "label")).alias("m")).selectExpr("lvl", "gram", "m.label as major")
-            minor = live.join(major, ["lvl", "gram"]).where("label <> major").selectExpr("lvl", "gram", "major", "doc as x", "n as nx", "own as ox", "label as lx")
-            met = minor.join(live, ["lvl", "gram"]).where(f"label <> lx and (label = major or doc < x) and (own = lvl or ox = lvl) and {_close('n', 'nx', num, den)}")
-            met = met.selectExpr("least(doc, x) as a", "greatest(doc, x) as b", "lvl")
-        met = met.groupBy("a", "b").agg(F.min("lvl").alias("lvl"))
-        found = tmp.write(_verified(met, sets, num, den), f"links{r}")
+            live = tmp.write(named.join(mixed.select("gram"), "gram"), "live")
+            per = live.groupBy("gram", "label").agg(F.count("*").alias("k"))
+            major = per.groupBy("gram").agg(F.max(F.struct("k", "label")).alias("m")).selectExpr("gram", "m.label as major")
+            minor = live.join(major, "gram").where("label <> major").selectExpr("gram", "major", "doc as x", "n as xn", "pos as xpos", "label as lx")
+            met = minor.join(live, "gram").where(f"label <> lx and (label = major or doc < x) and {_close('', 'x', num, den)}")
+            met = met.selectExpr("least(doc, x) as a", "greatest(doc, x) as b")
+        found = tmp.write(_verified(met.distinct(), prefixes, sets, num, den), f"links{r}")
         links = found if links is None else links.unionByName(found)
         if r < hub_rounds:
-            label = tmp.write(components(links).select("doc", F.col("component").alias("label")), f"labels{r}")
+            label = tmp.write(components(links, 2).select("doc", F.col("component").alias("label")), f"labels{r}")
     comp = components(links)
-    by_digest = member.where("digest is not null").join(comp.withColumnRenamed("doc", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    by_digest = member.join(comp.withColumnRenamed("doc", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = all_sets.select("doc", "n", "digest").join(by_digest, "digest", "left")
     out = keep(out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component")))
     tmp.drop()

@@ -212,11 +212,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 payload, (int(size[1]) if size else None) if revisit else len(payload), fields.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest(payload),
             )
 
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    arrow = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
 
-        arrow = to_arrow_schema(_parse_datatype_string(schema))
+    def run(batches):
         for batch in slices(batches, "content"):
             for file, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out, size = [], 0
