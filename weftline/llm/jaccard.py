@@ -5,10 +5,11 @@ order of those hashes, which stands for a random global order. Two sets with Jac
 share t = ceil(num * n / den) members at least, so for every l the first l common members lie within the first
 n - t + l members of both (the l-prefix), and the coldest common member of an l-prefix survives in both when each
 side drops the l - 1 most frequent members of its own. All documents start with a short prefix. The cost of one that
-keeps nothing which another document keeps is 0: it is done. The others lengthen their prefixes to the next level,
-where correspondingly more of it must be shared (so that more of the frequent members are dropped), up to the whole
-set; only then candidates are formed, from lists in which their places leave room for enough common members. Before the
-exact test a pair must also share the l members of its first prefixes.
+keeps nothing which another document keeps is 0: it is done. One whose lists are all short (``CHEAP`` documents) meets
+the documents in them. The others lengthen their prefixes to the next level, where correspondingly more of it must be
+shared (so that more of the frequent members are dropped): the whole set, in whose order of frequency the places of a
+common member must leave room for enough others. Before the exact test every pair must also share the l members of its
+first prefixes.
 
 Equal sets are joined first, by digest. Links are then verified in rounds: in every posting list one hub is
 compared with all others; lists that are not settled by that (their members have several labels) get further
@@ -36,6 +37,8 @@ from .common import Scratch, keep, slices
 BROADCAST_IDS = 1_000_000
 #: Matches l that a level asks for with prefix length p: 1 + x * p + y; None: as many as the whole set must share.
 LEVELS = ((0.25, 4), None)
+#: Documents in a list that are met without a longer prefix.
+CHEAP = 16
 #: Words whose hashes a Python worker remembers.
 WORD_CACHE = 500_000
 
@@ -139,21 +142,26 @@ def _kept(reps: DataFrame, num: int, den: int, level: int) -> DataFrame:
 
 
 def _lists(post: DataFrame) -> DataFrame:
-    """The postings in lists of two or more."""
-    return post.join(post.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "gram")
+    """The postings in lists of two or more, with the length m of the list."""
+    return post.join(post.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram")
 
 
-def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _of(ids: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose doc is in ``ids`` (doc), sent to all executors if they are few."""
+    few = ids.count() <= BROADCAST_IDS
+    return table.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, tmp: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that have the similarity: first enough shared members of the base prefixes, then the exact test."""
-    sides = {}
-    for s in "ab":
-        need, before = _sql(num, den, 0)
-        sides[s] = prefixes.selectExpr(f"doc as {s}", f"grams as p{s}", f"{need} as l{s}", f"{before} as b{s}")
+    need, before = _sql(num, den, 0)
+    sides = {s: sets.selectExpr(f"doc as {s}", f"slice(grams, 1, {before} + {need}) as p{s}", f"{need} as l{s}", f"{before} as b{s}") for s in "ab"}
     near = pairs.join(sides["b"], "b").join(sides["a"], "a").withColumn("l", F.least("la", "lb"))
-    near = near.where("size(array_intersect(slice(pa, 1, ba + l), slice(pb, 1, bb + l))) >= l").select("a", "b")
-    ga, gb = (sets.selectExpr(f"doc as {s}", f"grams as g{s}", f"n as n{s}") for s in "ab")
+    near = tmp.write(near.where("size(array_intersect(slice(pa, 1, ba + l), slice(pb, 1, bb + l))) >= l").select("a", "b"), f"near{name}")
+    used = _of(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), sets)
+    ga, gb = (used.selectExpr(f"doc as {s}", f"grams as g{s}", f"n as n{s}") for s in "ab")
     both = near.join(gb, "b").join(ga, "a").selectExpr("a", "b", "na", "nb", "cast(size(array_intersect(ga, gb)) as bigint) as same")
-    return both.where(f"same * {den} >= {num} * (na + nb - same)").select("a", "b")
+    return tmp.write(both.where(f"same * {den} >= {num} * (na + nb - same)").select("a", "b"), f"links{name}")
 
 
 def _close(a: str, b: str, num: int, den: int) -> str:
@@ -191,35 +199,39 @@ def similarity_components(
     all_sets = tmp.write(shingle_sets(docs, id_col, text_col, n, num, den, 0), "prefixes")
     member = tmp.write(all_sets.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep")), "members")
     reps = all_sets.join(member.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
-    kept = tmp.write(_kept(reps, num, den, 0).select("doc", "gram"), "kept0")
-    wanted = tmp.write(_lists(kept).select("doc").distinct(), "wanted")
+    kept = tmp.write(_kept(reps, num, den, 0).select("doc", "n", "cost", "gram"), "kept0")
+    base = tmp.write(_lists(kept), "base")
     tmp.drop("kept0")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
-    sets = tmp.write(shingle_sets(texts, "doc", "text", n, num, den).dropDuplicates(["doc"]).select("doc", "n", "grams"), "sets")
-    need, before = _sql(num, den, 0)
-    prefixes = sets.selectExpr("doc", "n", f"slice(grams, 1, {before} + {need}) as grams")
-    kept = tmp.write(_kept(sets, num, den, 1), "kept1")
-    post = tmp.write(_lists(kept), "lists")
-    tmp.drop("kept1")
+    wanted = tmp.write(base.groupBy("doc").agg((F.max("m") > CHEAP).alias("long")), "wanted")
+    texts = _of(wanted.select("doc"), docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
+    sets = shingle_sets(texts, "doc", "text", n, num, den)
+    if not all_sets.groupBy("doc").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["doc"])
+    sets = tmp.write(sets.select("doc", "n", "grams"), "sets")
+    short = base.where(f"m <= {CHEAP}").join(wanted, "doc")
+    whole = _lists(_kept(_of(wanted.where("long").select("doc"), sets), num, den, 1)).withColumn("long", F.lit(True))
+    cols = ["gram", "doc", "n", "cost", "pos", "long"]
+    post = short.withColumn("pos", F.lit(1)).selectExpr("0 as lvl", *cols).unionByName(whole.selectExpr("1 as lvl", *cols))
+    post = tmp.write(post, "lists")
+    tmp.drop("base")
 
     links = label = None
     for r in range(hub_rounds + 1):
         named = post.withColumn("label", F.col("doc")) if label is None else post.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         # The first hub of a list is its most typical member, who has most in common with others; later ones are any.
-        hub = F.struct(F.col("cost") if r == 0 else F.xxhash64("doc", F.lit(r)), "doc", "n", "pos", "label")
-        mixed = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(hub).alias("hub")).where("lo <> hi")
+        hub = F.struct(F.col("cost") if r == 0 else F.xxhash64("doc", F.lit(r)), "doc", "n", "pos", "label", "long")
+        mixed = named.groupBy("lvl", "gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(hub).alias("hub")).where("lo <> hi")
         if r < hub_rounds:
-            met = named.join(mixed.select("gram", "hub"), "gram").where(f"label <> hub.label and {_close('', 'hub.', num, den)}")
+            met = named.join(mixed.select("lvl", "gram", "hub"), ["lvl", "gram"]).where(f"label <> hub.label and (lvl = 1 or not (long and hub.long)) and {_close('', 'hub.', num, den)}")
             met = met.selectExpr("least(doc, hub.doc) as a", "greatest(doc, hub.doc) as b")
         else:
-            live = tmp.write(named.join(mixed.select("gram"), "gram"), "live")
-            per = live.groupBy("gram", "label").agg(F.count("*").alias("k"))
-            major = per.groupBy("gram").agg(F.max(F.struct("k", "label")).alias("m")).selectExpr("gram", "m.label as major")
-            minor = live.join(major, "gram").where("label <> major").selectExpr("gram", "major", "doc as x", "n as xn", "pos as xpos", "label as lx")
-            met = minor.join(live, "gram").where(f"label <> lx and (label = major or doc < x) and {_close('', 'x', num, den)}")
+            live = tmp.write(named.join(mixed.select("lvl", "gram"), ["lvl", "gram"]), "live")
+            per = live.groupBy("lvl", "gram", "label").agg(F.count("*").alias("k"))
+            major = per.groupBy("lvl", "gram").agg(F.max(F.struct("k", "label")).alias("m")).selectExpr("lvl", "gram", "m.label as major")
+            minor = live.join(major, ["lvl", "gram"]).where("label <> major").selectExpr("lvl", "gram", "major", "doc as x", "n as xn", "pos as xpos", "label as lx", "long as longx")
+            met = minor.join(live, ["lvl", "gram"]).where(f"label <> lx and (label = major or doc < x) and (lvl = 1 or not (long and longx)) and {_close('', 'x', num, den)}")
             met = met.selectExpr("least(doc, x) as a", "greatest(doc, x) as b")
-        found = tmp.write(_verified(met.distinct(), prefixes, sets, num, den), f"links{r}")
+        found = _verified(met.distinct(), sets, num, den, tmp, str(r))
         links = found if links is None else links.unionByName(found)
         if r < hub_rounds:
             label = tmp.write(components(links, 2).select("doc", F.col("component").alias("label")), f"labels{r}")
