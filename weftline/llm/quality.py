@@ -8,7 +8,7 @@ probability 1 - delta every chosen cutoff keeps its promise at once. Of the cuto
 rule without one rejects nothing. Since the rules of a stratum add up, each gets alpha / metrics.
 
 Defined results: a null, empty or blank text has no words and fails the base rules; a document without a stratum, or of
-one without labels, is judged by the base rules only; a document labelled twice counts twice; rows repeat as they are;
+one without labels, is judged by the base rules only; a document labelled twice counts once; rows repeat as they are;
 extra columns are ignored.
 """
 
@@ -28,42 +28,55 @@ METRICS = {
     "long_words": (5500, 6000, 6500, 7000, 8000, 10000, 12000),  # characters a word
     "short_words": (-4700, -4500, -4300, -4000, -3500, -3000, -2500),  # characters a word, negated
 }
+#: Ids of good documents are broadcast up to this number; beyond it the metrics are joined with them by id.
+BROADCAST_LABELS = 1_000_000
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _windows() -> str:
+    """SQL of the hashes of all windows of 8 of the words w, from those of 1, 2 and 4."""
+    out = "transform(w, x -> xxhash64(x))"
+    for k in (1, 2, 4):
+        pair = f"zip_with(slice(h{k}, 1, greatest(size(h{k}) - {k}, 0)), slice(h{k}, {k + 1}, size(h{k})), (a, b) -> xxhash64(a, b))"
+        out = _let(out, f"h{k}", pair)
+    return out
+
+
+def _repeated() -> str:
+    """SQL of the words in windows h that occur twice or more: each start covers 8 words or those up to the next start."""
+    sorted_ = "sort_array(zip_with(h, sequence(0, size(h) - 1), (x, i) -> struct(x as h, i as i)))"
+    again = "coalesce(get(s, k - 1).h = x.h, false) or coalesce(get(s, k + 1).h = x.h, false)"
+    starts = f"sort_array(transform(filter(zip_with(s, sequence(0, size(s) - 1), (x, k) -> struct(x.i as i, {again} as d)), x -> x.d), x -> x.i))"
+    covered = f"aggregate({_let(sorted_, 's', starts)}, struct(0L as n, -{WINDOW} as last), (a, i) -> struct(a.n + least({WINDOW}, i - a.last) as n, i as last), a -> a.n)"
+    return f"case when size(array_distinct(h)) = size(h) then 0L else {covered} end"
+
+
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the text and with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
     made = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    src = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).drop(*made, text_col)
-    others = src.columns[:-1]
-    src = src.select(
-        *others,
-        F.expr(f"filter(split(_t, r'{SPACES}'), w -> w <> '')").alias("_w"),
-        F.expr("cast(length(_t) - length(translate(_t, '#*$%&|<>', '')) as bigint)").alias("n_symbols"),
-        F.expr(r"filter(split(_t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("_lines"),
+    others = [c for c in docs.columns if c not in (*made, text_col)]
+    lines = r"filter(split(t, '\n'), x -> x rlike r'[^\x20\x09-\x0D]')"
+    counts = ", ".join(
+        f"cast({v} as bigint) as {k}"
+        for k, v in {
+            "n_words": "size(w)",
+            "word_chars": "length(array_join(w, ''))",
+            "n_symbols": "length(t) - length(translate(t, '#*$%&|<>', ''))",
+            "n_lines": "size(l)",
+            "n_dup_lines": "size(l) - size(array_distinct(l))",
+            "n_repeat_words": _let(_windows(), "h", _repeated()),
+        }.items()
     )
-    # Hashes of windows of 8 words from those of 1, 2 and 4.
-    src = src.select(
-        *others, "n_symbols",
-        F.expr("cast(size(_w) as bigint)").alias("n_words"),
-        F.expr("cast(length(array_join(_w, '')) as bigint)").alias("word_chars"),
-        F.expr("cast(size(_lines) as bigint)").alias("n_lines"),
-        F.expr("cast(size(_lines) - size(array_distinct(_lines)) as bigint)").alias("n_dup_lines"),
-        F.expr("transform(_w, w -> xxhash64(w))").alias("_h1"),
-    )
-    for k in (1, 2, 4):
-        keep_cols = [c for c in src.columns if c != f"_h{k}"]
-        pair = f"zip_with(slice(_h{k}, 1, greatest(size(_h{k}) - {k}, 0)), slice(_h{k}, {k + 1}, size(_h{k})), (a, b) -> xxhash64(a, b))"
-        src = src.select(*keep_cols, F.expr(pair).alias(f"_h{2 * k}"))
-    src = src.withColumn("_same", F.expr("size(array_distinct(_h8)) = size(_h8)"))
-    # Starts of windows found twice or more, in order; each covers 8 words or those up to the next start.
-    hit = "sort_array(zip_with(_h8, sequence(0, size(_h8) - 1), (h, i) -> struct(h as h, i as i)))"
-    src = src.withColumn("_s", F.expr(f"case when not _same then {hit} end"))
-    twice = "sort_array(transform(filter(zip_with(_s, sequence(0, size(_s) - 1), (x, k) -> struct(x.i as i, coalesce(get(_s, k - 1).h = x.h, false) or coalesce(get(_s, k + 1).h = x.h, false) as d)), x -> x.d), x -> x.i))"
-    src = src.withColumn("_d", F.expr(f"case when not _same then {twice} end"))
-    covered = f"aggregate(_d, struct(0L as n, -{WINDOW} as last), (a, i) -> struct(a.n + least({WINDOW}, i - a.last) as n, i as last), a -> a.n)"
-    return src.select(*others, *made[:-1], F.expr(f"case when _same then 0L else {covered} end").alias("n_repeat_words"))
+    words = f"filter(split(t, r'{SPACES}'), x -> x <> '')"
+    m = _let(f"coalesce(`{text_col}`, '')", "t", _let(words, "w", _let(lines, "l", f"struct({counts})")))
+    out = docs.select(*(F.col(c) for c in others), F.expr(m).alias("_m"))
+    return out.select(*others, *(F.col("_m")[c].alias(c) for c in made))
 
 
 def _scores() -> dict[str, str]:
@@ -81,12 +94,18 @@ def _scores() -> dict[str, str]:
 BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 
+def _scored(docs: DataFrame) -> DataFrame:
+    rows = measured(docs)
+    return rows.selectExpr("*", f"{BASE_FAILED} as base_failed", *(f"{v} as {k}" for k, v in _scores().items()))
+
+
 def choose(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, metric, cutoff) from measured good documents with the scores as columns."""
     tests = f"inline(array({', '.join(f"struct('{m}' as metric, {c} as cutoff, {m} > {c} as hit)" for m, cs in METRICS.items() for c in cs)}))"
     grid = sum(map(len, METRICS.values()))
-    counts = labelled.selectExpr(f"{stratum} as stratum", tests).groupBy("stratum", "metric", "cutoff").agg(F.count("*").alias("n"), F.count_if("hit").alias("k"))
-    strata = labelled.select(F.count_distinct(stratum).alias("strata"))
+    counts = labelled.selectExpr(f"{stratum} as stratum", "base_failed", tests).where("stratum is not null").groupBy("stratum", "metric", "cutoff")
+    counts = counts.agg(F.count_if(~F.col("base_failed")).alias("n"), F.count_if(F.col("hit") & ~F.col("base_failed")).alias("k")).where("n > 0")
+    strata = counts.select(F.count_distinct("stratum").alias("strata"))
     rate = alpha / len(METRICS)
     # P(X <= k) by the ratio of successive terms, in logarithms; nothing is computed where k is above the mean.
     tail = (
@@ -100,10 +119,14 @@ def choose(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: float
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(id, stratum, the metrics' counts, base_failed, kept, failed rules) of every row of ``docs``."""
-    rows = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum")))
-    rows = rows.withColumn("base_failed", F.expr(BASE_FAILED)).selectExpr("*", *(f"{v} as {k}" for k, v in _scores().items()))
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id")
-    cuts = keep(choose(rows.where("stratum is not null and not base_failed").join(good, "doc_id"), "stratum", alpha, delta))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))
+    good = keep(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct())
+    if good.count() <= BROADCAST_LABELS:
+        labelled = _scored(src.join(F.broadcast(good), "doc_id", "left_semi"))
+    else:  # metrics are shuffled, not texts
+        labelled = _scored(src).join(good, "doc_id", "left_semi")
+    cuts = keep(choose(labelled, "stratum", alpha, delta))
+    rows = _scored(src)
     table = cuts.groupBy("stratum").pivot("metric", list(METRICS)).agg(F.min("cutoff")).select("stratum", *(F.col(m).alias(f"cut_{m}") for m in METRICS))
     out = rows.join(F.broadcast(table), "stratum", "left")  # a row for each language
     failed = F.array_compact(F.array(*(F.when(F.col(m) > F.col(f"cut_{m}"), F.lit(m)) for m in METRICS)))
@@ -113,7 +136,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those that a rule rejects; rows that share an id go or stay together."""
-    gone = judged(docs, labels, id_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    verdicts = keep(judged(docs, labels, id_col, **options).select(F.col("doc_id").alias(id_col), "kept"))
+    gone = verdicts.where("not kept").select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")
 
 
