@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows are handed on to Python kernels in slices of so many bytes of text at most (one row at least).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +33,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        # Small row groups: a writing task holds one, beside its Python worker.
+        df.write.option("compression", "snappy").option("parquet.block.size", 32 << 20).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
