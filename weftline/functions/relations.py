@@ -35,12 +35,15 @@ def normalize_tags(raw: Column) -> Column:
     word = lambda t: F.lower(F.regexp_replace(F.trim(t), r"[\s-]+", "_"))
     key = lambda k: F.concat(F.lit("layer_"), F.upper(F.right(F.trim(k), F.lit(1))))
     entries = F.map_entries(raw)
-    parts = []
-    for layer, vocabulary in S.LAYERS.items():
-        own = F.flatten(F.transform(F.filter(entries, lambda e, n=layer: key(e["key"]) == n), lambda e: F.transform(e["value"], word)))
-        parts.append(F.filter(F.array(*map(F.lit, vocabulary)), lambda t, o=own: F.array_contains(o, t)).alias(layer))
+
+    def known(layer: str, vocabulary: tuple[str, ...]) -> Column:
+        own = F.flatten(F.transform(F.filter(entries, lambda e: key(e["key"]) == layer), lambda e: F.transform(e["value"], word)))
+        return F.filter(F.array(*map(F.lit, vocabulary)), lambda t: F.array_contains(own, t))
+
+    columns = {layer: known(layer, vocabulary) for layer, vocabulary in S.LAYERS.items()}
+    parts = [c.alias(layer) for layer, c in columns.items()]
     made = F.struct(*parts)
-    return F.when(sum((F.coalesce(F.size(p), F.lit(0)) for p in parts), F.lit(0)) > 0, made)
+    return F.when(sum((F.coalesce(F.size(p), F.lit(0)) for p in columns.values()), F.lit(0)) > 0, made)
 
 
 def corroborated(override: Column, combined: Column, has_check: Column, demoted_from: Column) -> Column:

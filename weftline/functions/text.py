@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 from .. import schema as S
 
 
-@F.pandas_udf("string")
 def _nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip().casefold())
 
 
-@F.pandas_udf("string")
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -30,12 +28,12 @@ def ascii_norm(label: Column) -> Column:
 
 def normalize_label(label: Column) -> Column:
     """NFKC, trim, casefold: the key of a concept in every session. '' for null."""
-    return F.coalesce(_nfkc_casefold(label), F.lit(""))
+    return F.coalesce(F.pandas_udf(_nfkc_casefold, "string")(label), F.lit(""))
 
 
 def normalize_message(message: Column) -> Column:
     """NFKC, white space collapsed, trimmed."""
-    return F.trim(F.regexp_replace(_nfkc(F.coalesce(message, F.lit(""))), r"[\s\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(F.pandas_udf(_nfkc, "string")(F.coalesce(message, F.lit(""))), r"[\s\p{Z}]+", " "))
 
 
 def sha_prefix(value: Column, n: int) -> Column:
@@ -141,7 +139,7 @@ def contained(a: Column, b: Column, least: int = 8) -> Column:
 
 def extract_text(name: Column, data: Column) -> Column:
     """Text of a file by its extension: markup of document XML is dropped, other bytes are UTF-8; '' for a PDF or a failure."""
-    raw = F.coalesce(F.try_validate_utf8(data.cast("string")), F.regexp_replace(F.decode(data, F.lit("UTF-8")), "�", ""))
+    raw = F.coalesce(F.try_validate_utf8(data.cast("string")), F.regexp_replace(F.decode(data, "UTF-8"), "�", ""))
     xml = F.regexp_replace(F.regexp_replace(raw, "</w:p>", "\n"), "<[^>]+>", "")
     return F.when(name.rlike(r"(?i)\.pdf$"), "").when(name.rlike(r"(?i)\.(docx|xml)$"), xml).otherwise(F.coalesce(raw, F.lit("")))
 
@@ -207,12 +205,15 @@ def _width(c: str) -> float:
     return 1.0 if unicodedata.east_asian_width(c) in "WFA" else 0.55
 
 
-@F.pandas_udf("double")
-def display_width(s: pd.Series) -> pd.Series:
-    """Width in ems: 1 for a full-width character, 0.55 for any other."""
+def _widths(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else round(sum(map(_width, t)), 4))
 
 
+def display_width(text: Column) -> Column:
+    """Width in ems: 1 for a full-width character, 0.55 for any other."""
+    return F.pandas_udf(_widths, "double")(text)
+
+
 def truncate(text: Column, most: float) -> Column:
     """The text cut to a display width, with an ellipsis if something was cut."""
 
@@ -254,9 +255,12 @@ def wrap_lines(text: Column, most: float, lines: int) -> Column:
     return wrap(text)
 
 
-@F.pandas_udf("string")
-def extract_json(s: pd.Series) -> pd.Series:
+def extract_json(text: Column) -> Column:
     """The first balanced JSON object or array in prose, as text; null if there is none."""
+    return F.pandas_udf(_first_json, "string")(text)
+
+
+def _first_json(s: pd.Series) -> pd.Series:
     import json
 
     decoder = json.JSONDecoder()

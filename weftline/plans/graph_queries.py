@@ -1,33 +1,257 @@
-"""Corpus graph queries."""
+"""Corpus graph, search, neighbourhood, gaps and levels over the derived graph."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..functions.relations import combine_scores, judge, normalize_tags, policy_stats, project_glyph
+from ..functions.text import ascii_norm
+from ..operators import corpus, evaluate, gaps, graph, levels, repair
+from . import demo
 from .registry import query
 
-#: Relation derived from the driver's tables: one row per lineitem, session = order month.
-EDGES_SQL = """
-    SELECT {month} AS session, c.c_mktsegment AS from_label, n.n_name AS to_label,
-           CASE WHEN l.l_returnflag = 'R' THEN 'arrow' WHEN l.l_returnflag = 'A' THEN 'wave'
-                WHEN l.l_linestatus = 'O' THEN 'double' ELSE 'isa' END AS glyph
-    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
-    JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
-"""
-
-
-@query(
-    f"""WITH e AS ({EDGES_SQL.format(month="strftime(o.o_orderdate, '%Y%m')")})
-    SELECT lower(trim(from_label)) AS from_norm, lower(trim(to_label)) AS to_norm, glyph,
-           count(*) AS weight, max(session) AS newest_session
-    FROM e GROUP BY 1, 2, 3"""
-)
+
+def _spanless(df):
+    return df.withColumn("evidence_span", F.array().cast("array<struct<document_id:string,char_start:int,char_end:int,surface:string>>"))
+
+
+@query(demo.duckdb("""SELECT lower(trim(from_label)) AS from_norm, lower(trim(to_label)) AS to_norm, glyph, count(*) AS weight, arg_max(label, session || '|' || (1000000 - CAST(substr(id, 2) AS INTEGER))) AS label
+    FROM e GROUP BY 1, 2, 3"""))
 def corpus_edge_merge(spark, sf_dir):
-    """Edges of all sessions merged on (from, to, glyph)."""
-    for name in ("lineitem", "orders", "customer", "supplier", "nation"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    e = spark.sql(EDGES_SQL.format(month="date_format(o.o_orderdate, 'yyyyMM')"))
-    return e.groupBy(
-        F.lower(F.trim("from_label")).alias("from_norm"), F.lower(F.trim("to_label")).alias("to_norm"), "glyph"
-    ).agg(F.count("*").alias("weight"), F.max("session").alias("newest_session"))
+    """A3: edges of all sessions merged on (from, to, glyph), with the newest session's first label."""
+    e = demo.relation(spark, sf_dir, "e").withColumns({"from_norm": ascii_norm(F.col("from_label")), "to_norm": ascii_norm(F.col("to_label"))})
+    newest = F.struct(F.col("session"), -F.substring("id", 2, 10).cast("int"))
+    return e.groupBy("from_norm", "to_norm", "glyph").agg(F.count("*").alias("weight"), F.max_by("label", newest).alias("label"))
+
+
+@query(demo.duckdb("""SELECT lower(label) AS label_norm, arg_max(label, session) AS label, count(*) AS sources, max(session) AS newest FROM n GROUP BY 1"""))
+def corpus_node_merge(spark, sf_dir):
+    """A2: nodes of all sessions merged on the normalised label."""
+    n = demo.nodes(spark, sf_dir).withColumn("onto_class", F.lit(""))
+    m = corpus.merge_nodes(n, ascii_norm)
+    return m.select("label_norm", "label", F.size("sources").cast("long").alias("sources"), F.get("sources", F.lit(0))["session"].alias("newest"))
+
+
+@query(demo.duckdb("""SELECT session, least("from", "to") AS a, greatest("from", "to") AS b, round(sum(CASE WHEN coalesce(confidence, 0) = 0 THEN 1 ELSE confidence END), 4) AS weight, count(*) AS n
+    FROM g WHERE "from" <> "to" GROUP BY 1, 2, 3"""))
+def undirected_projection(spark, sf_dir):
+    """A1: the simple weighted graph of every session."""
+    return graph.undirected(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir)).withColumn("weight", F.round("weight", 4))
+
+
+_SPARSE = demo.BASE + """, sp AS (SELECT * FROM g WHERE quantity = 1),
+ends AS (SELECT session, "from" AS id, "to" AS other FROM sp UNION ALL SELECT session, "to", "from" FROM sp),
+deg AS (SELECT n.session, n.id, n.community_id, count(DISTINCT other) AS degree, count(other) AS incident FROM n LEFT JOIN ends USING (session, id) GROUP BY 1, 2, 3)"""
+
+
+@query(demo.duckdb("SELECT session, id, degree, incident FROM deg", _SPARSE))
+def node_degrees(spark, sf_dir):
+    """A5: distinct neighbours and incident rows."""
+    return graph.degree(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True))
+
+
+@query(demo.duckdb("""SELECT least(from_label, to_label) AS a, greatest(from_label, to_label) AS b, CAST(count(*) AS DOUBLE) AS weight FROM e GROUP BY 1, 2"""))
+def corpus_undirected_weights(spark, sf_dir):
+    """A4: corpus weights over both directions and all glyphs."""
+    e = demo.relation(spark, sf_dir, "e").select(F.col("from_label").alias("from_norm"), F.col("to_label").alias("to_norm"), "glyph")
+    return corpus.undirected_weights(e.groupBy("from_norm", "to_norm", "glyph").agg(F.count("*").alias("weight")))
+
+
+@query(demo.duckdb("""SELECT CAST(rank AS BIGINT) AS rank, 'node' AS kind, session, id, label, exact FROM (
+    SELECT *, row_number() OVER (ORDER BY exact DESC, session DESC, label, id) AS rank FROM (SELECT session, id, label, lower(label) = 'nation_1' AS exact FROM n WHERE contains(lower(label), 'nation_1')) x) y WHERE rank <= 50"""))
+def label_search(spark, sf_dir):
+    """Substring search, exact labels first, then the newest session."""
+    n = demo.nodes(spark, sf_dir).select("session", F.col("id").alias("node_id"), "label", ascii_norm(F.col("label")).alias("label_norm"), F.lit(0.0).alias("importance"))
+    e = demo.edges(spark, sf_dir, True).select("session", F.col("id").alias("edge_id"), F.col("from").alias("from_norm"), F.col("to").alias("to_norm"), "label", F.lit("").alias("evidence"))
+    return corpus.search(n, e, "nation_1", 50).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(demo.duckdb("""SELECT session, id, min(hop) AS hop FROM (
+      SELECT session, id, 0 AS hop FROM n WHERE id = 'nation_1' UNION ALL SELECT session, other, 1 FROM ends WHERE id = 'nation_1'
+      UNION ALL SELECT a.session, b.other, 2 FROM ends a JOIN ends b ON a.session = b.session AND a.other = b.id WHERE a.id = 'nation_1') x GROUP BY 1, 2""", _SPARSE))
+def two_hop_neighborhood(spark, sf_dir):
+    """GR3: nodes within two hops of a seed in every session."""
+    n = demo.nodes(spark, sf_dir)
+    got, _ = graph.neighborhood(n, demo.edges(spark, sf_dir, True), n.where("id = 'nation_1'"), 2, 1000)
+    return got.select("session", "id", "hop")
+
+
+@query(demo.duckdb("""SELECT session, CASE WHEN degree = 0 THEN 'gap-isolated-' ELSE 'gap-weak-' END || id AS gap_id, CAST(CASE WHEN degree = 0 THEN 0.75 ELSE 0.45 END AS DOUBLE) AS confidence,
+    CASE WHEN degree = 0 THEN 'data' ELSE 'unknown' END AS presumed_type, 'degree=' || degree AS signal FROM deg WHERE degree <= 1""", _SPARSE))
+def gaps_structural(spark, sf_dir):
+    """GR7: isolated and weakly linked nodes."""
+    return gaps.structural(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True)).select("session", "gap_id", "confidence", "presumed_type", "signal")
+
+
+@query(demo.duckdb("""SELECT x.session, 'gap-bridge-' || x.c || '-' || y.c AS gap_id FROM
+    (SELECT DISTINCT session, community_id AS c FROM n) x JOIN (SELECT DISTINCT session, community_id AS c FROM n) y ON x.session = y.session AND x.c < y.c
+    WHERE NOT EXISTS (SELECT 1 FROM sp JOIN n a ON a.session = sp.session AND a.id = sp."from" JOIN n b ON b.session = sp.session AND b.id = sp."to"
+        WHERE sp.session = x.session AND least(a.community_id, b.community_id) = x.c AND greatest(a.community_id, b.community_id) = y.c)""", _SPARSE))
+def gaps_bridges(spark, sf_dir):
+    """GR7: pairs of communities without an edge between them."""
+    return gaps.bridges(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True)).select("session", "gap_id")
+
+
+@query(demo.duckdb("""SELECT session, community_id, arg_min(id, printf('%08d', 10000000 - incident) || id) AS id FROM deg GROUP BY 1, 2""", _SPARSE))
+def community_representatives(spark, sf_dir):
+    """GR11: the node with most incident rows."""
+    return graph.representative(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True))
+
+
+_RANKED = _SPARSE + """, r0 AS (SELECT session, id, community_id AS community, incident,
+    CASE WHEN max(incident) OVER (PARTITION BY session) = min(incident) OVER (PARTITION BY session) THEN 0.5
+         ELSE (incident - min(incident) OVER (PARTITION BY session)) * 1.0 / (max(incident) OVER (PARTITION BY session) - min(incident) OVER (PARTITION BY session)) END AS total FROM deg)"""
+
+
+def _ranked(spark, sf_dir):
+    n = demo.nodes(spark, sf_dir)
+    d = graph.degree(n, demo.edges(spark, sf_dir, True)).join(n, ["session", "id"])
+    return d.select("session", "id", F.col("community_id").alias("community"), levels.min_max(F.col("incident").cast("double"), ["session"]).alias("total"), F.lit(False).alias("pinned"))
+
+
+@query(demo.duckdb("SELECT session, id, round(total, 6) AS total FROM r0", _RANKED))
+def min_max_scaling(spark, sf_dir):
+    """Min-max scaling per session."""
+    return _ranked(spark, sf_dir).select("session", "id", F.round("total", 6).alias("total"))
+
+
+@query(demo.duckdb("""SELECT session, id FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY cls, CASE WHEN cls = 1 THEN -size ELSE 0 END, CASE WHEN cls = 1 THEN community ELSE '' END, total DESC, id) AS rank FROM (
+      SELECT *, CASE WHEN row_number() OVER (PARTITION BY session, community ORDER BY total DESC, id) = 1 THEN 1 ELSE 2 END AS cls, count(*) OVER (PARTITION BY session, community) AS size FROM r0) x) y WHERE rank <= 12""", _RANKED))
+def quota_top_k(spark, sf_dir):
+    """One node per community first, then by rank."""
+    return levels.select_k(_ranked(spark, sf_dir), 12).select("session", "id")
+
+
+@query("""SELECT level, total, CASE WHEN total <= lo THEN total ELSE least(hi, total, greatest(lo, CAST(round_even(ratio * total, 0) AS INTEGER))) END AS k
+    FROM (VALUES ('overview', 10, 20, 0.35), ('standard', 20, 50, 0.7), ('detailed', 50, 100, 1.0)) AS l(level, lo, hi, ratio), (SELECT CAST(p_size * 4 AS INTEGER) AS total FROM part GROUP BY p_size) t""")
+def level_targets(spark, sf_dir):
+    """How many nodes a level shows."""
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") * 4).cast("int").alias("total")).distinct()
+    out = None
+    for lv in ("overview", "standard", "detailed"):
+        one = t.select(F.lit(lv).alias("level"), "total", levels.target_count(lv, F.col("total")).alias("k"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_VISIBLE = _RANKED + """, vis AS (SELECT session, id, community FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY total DESC, id) AS rk FROM r0) v WHERE rk <= 12),
+hid AS (SELECT r0.* FROM r0 LEFT JOIN vis USING (session, id) WHERE vis.id IS NULL),
+agg AS (SELECT session, community, 'agg-' || community AS agg_id, count(*) AS members, arg_min(id, printf('%012.8f', 1 - total) || id) AS representative FROM hid GROUP BY 1, 2 HAVING count(*) >= 2)"""
+
+
+def _visible(spark, sf_dir):
+    r = _ranked(spark, sf_dir)
+    from pyspark.sql import Window
+
+    top = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("total"), "id"))
+    return r, r.withColumn("rk", top).where("rk <= 12").select("session", F.lit("overview").alias("level"), "id")
+
+
+@query(demo.duckdb("SELECT session, agg_id AS id, members, representative FROM agg", _VISIBLE))
+def hidden_aggregates(spark, sf_dir):
+    """A10: hidden members folded per community."""
+    r, v = _visible(spark, sf_dir)
+    a = levels.build_aggregates(_spanless(demo.nodes(spark, sf_dir)), r, v)
+    return a.select("session", "id", F.size("members").cast("long").alias("members"), "representative")
+
+
+@query(demo.duckdb("""SELECT session, f AS "from", t AS "to", min(id) AS id, count(*) AS members, arg_min(glyph, printf('%06.3f', 2 - c) || id) AS glyph FROM (
+    SELECT sp.session, sp.id, sp.glyph, CASE WHEN coalesce(sp.confidence, 0) = 0 THEN 0.5 ELSE sp.confidence END AS c, s1.shown AS f, s2.shown AS t FROM sp
+    JOIN (SELECT session, id, id AS shown FROM vis UNION ALL SELECT hid.session, hid.id, agg_id FROM hid JOIN agg USING (session, community)) s1 ON s1.session = sp.session AND s1.id = sp."from"
+    JOIN (SELECT session, id, id AS shown FROM vis UNION ALL SELECT hid.session, hid.id, agg_id FROM hid JOIN agg USING (session, community)) s2 ON s2.session = sp.session AND s2.id = sp."to") x
+    WHERE f <> t GROUP BY 1, 2, 3""", _VISIBLE))
+def level_edges(spark, sf_dir):
+    """Edges moved to aggregates and merged, with the surest glyph."""
+    r, v = _visible(spark, sf_dir)
+    a = levels.build_aggregates(_spanless(demo.nodes(spark, sf_dir)), r, v)
+    e = levels.level_edges(demo.edges(spark, sf_dir, True), v, a)
+    return e.select("session", "from", "to", "id", F.size("member_edge_ids").cast("long").alias("members"), "glyph")
+
+
+@query(demo.duckdb("""SELECT session, "from", "to", glyph, min(id) AS id, count(*) AS merged, max(confidence) AS confidence FROM g GROUP BY session, "from", "to", glyph, lower(trim(brand))"""))
+def duplicate_edges_merged(spark, sf_dir):
+    """Semantic duplicates of edges merged."""
+    e = _spanless(demo.edges(spark, sf_dir).withColumn("label", F.col("brand")))
+    return repair.merge_duplicate_edges(e, ascii_norm).select("session", "from", "to", "glyph", "id", "merged", "confidence")
+
+
+@query(demo.duckdb("""SELECT session, id, CASE WHEN quantity % 7 = 0 AND NOT has_tags THEN glyph WHEN d = 'refutes' THEN 'zigzag' WHEN c = 'causes' AND confidence >= 0.95 THEN 'arrow' WHEN d = 'questions' THEN 'question'
+    WHEN c = 'precedes' THEN 'precedes' WHEN a = 'is_a' THEN 'isa' WHEN a = 'part_of' THEN 'partof' WHEN d IN ('corroborates', 'agrees_with') THEN 'double' WHEN has_tags THEN 'wave' ELSE glyph END AS shown FROM (
+    SELECT *, a IS NOT NULL OR c IS NOT NULL OR d IS NOT NULL AS has_tags FROM (SELECT *, CASE WHEN quantity = 3 THEN 'refutes' WHEN quantity = 4 THEN 'questions' WHEN quantity = 5 THEN 'agrees_with' END AS d,
+      CASE WHEN glyph = 'arrow' THEN 'causes' WHEN glyph = 'wave' AND quantity > 25 THEN 'precedes' END AS c, CASE WHEN glyph = 'isa' THEN 'is_a' WHEN quantity = 9 THEN 'part_of' END AS a FROM g) x) y"""))
+def glyph_projection(spark, sf_dir):
+    """The shown glyph by the ordered rules over the layer tags."""
+    q, g = F.col("quantity"), F.col("glyph")
+    one = lambda c: F.array_compact(F.array(c))
+    tags = F.map_from_arrays(F.array(F.lit("A"), F.lit("layer-c"), F.lit("layerD")), F.array(
+        one(F.when(g == "isa", "is_a").when(q == 9, "part-of")), one(F.when(g == "arrow", "Causes").when((g == "wave") & (q > 25), "precedes")),
+        one(F.when(q == 3, "refutes").when(q == 4, "questions").when(q == 5, "agrees with")),
+    ))
+    e = demo.edges(spark, sf_dir).withColumn("layer_tags", normalize_tags(tags))
+    return e.select("session", "id", project_glyph(g, F.lit(None).cast("string"), F.col("layer_tags"), F.col("confidence") >= 0.95).alias("shown"))
+
+
+@query(demo.duckdb("""SELECT session, id, combined, CASE WHEN combined >= 0.75 AND nli IS NOT NULL THEN 'validated' WHEN combined >= 0.5 THEN 'uncertain' ELSE 'rejected' END AS status FROM (
+    SELECT session, id, nli, round((coalesce(0.4 * nli, 0) + 0.25 * onto) / (CASE WHEN nli IS NULL THEN 0 ELSE 0.4 END + 0.25), 4) AS combined FROM (
+      SELECT session, id, CASE WHEN quantity > 10 THEN confidence END AS nli, CASE WHEN tax > 0.04 THEN 1.0 WHEN tax > 0.02 THEN 0.5 ELSE 0.0 END AS onto FROM g) x) y"""))
+def verifier_scores(spark, sf_dir):
+    """Scores combined over the verifiers that ran, and the judgement."""
+    e = demo.edges(spark, sf_dir)
+    s = {"nli": F.when(F.col("quantity") > 10, F.col("confidence")), "ontology": F.when(F.col("tax") > 0.04, 1.0).when(F.col("tax") > 0.02, 0.5).otherwise(0.0)}
+    return e.select("session", "id", combine_scores(s).alias("combined"), judge(s)["status"].alias("status"))
+
+
+@query(demo.duckdb("""SELECT glyph, session, id AS edge_id FROM (SELECT *, row_number() OVER (PARTITION BY glyph ORDER BY session DESC, id DESC) AS rk FROM g) p JOIN (
+    SELECT glyph AS gg, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, n DESC, glyph) <= 50 - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM (
+      SELECT glyph, n, floor(n * 50 / total) AS base, n * 50 / total - floor(n * 50 / total) AS rest FROM (SELECT glyph, count(*) AS n, CAST(sum(count(*)) OVER () AS DOUBLE) AS total FROM g GROUP BY glyph) a) b) q ON glyph = gg WHERE rk <= quota"""))
+def stratified_queue(spark, sf_dir):
+    """50 relations by largest remainder over the glyphs."""
+    return evaluate.stratified(demo.edges(spark, sf_dir).select("glyph", "session", F.col("id").alias("edge_id")), 50)
+
+
+@query(demo.duckdb("""SELECT count_if(glyph = 'arrow' AND quantity <= 40) AS causal_kept, count_if(glyph = 'arrow' AND quantity > 40) AS causal_demoted, count_if(glyph <> 'arrow') AS unchanged FROM g"""))
+def relation_policy(spark, sf_dir):
+    """Causal edges need a cue; here every label has one and the verifier refuses large quantities."""
+    from ..functions.relations import apply_relation_policy
+
+    e = _spanless(demo.edges(spark, sf_dir)).withColumn("causal_override", F.lit(None).cast("string")).withColumn("label", F.concat(F.lit("leads to "), "label"))
+    return policy_stats(apply_relation_policy(e, verdict=F.col("quantity") <= 40)).select("causal_kept", "causal_demoted", "unchanged")
+
+
+@query(demo.duckdb("""SELECT session, community, "from", "to", glyph, CAST(rank AS INTEGER) AS rank FROM (SELECT sp.session, a.community_id AS community, sp."from", sp."to", sp.glyph, sp.id,
+    row_number() OVER (PARTITION BY sp.session, a.community_id ORDER BY sp."from", sp."to", sp.glyph, sp.id) AS rank FROM (SELECT session, id, "to" AS "from", 'nation_' || ((CAST(substr("to", 8) AS INTEGER) + 5) % 25) AS "to", glyph FROM sp) sp
+    JOIN n a ON a.session = sp.session AND a.id = sp."from" JOIN n b ON b.session = sp.session AND b.id = sp."to" AND b.community_id = a.community_id) x WHERE rank <= 3""", _SPARSE))
+def community_relations(spark, sf_dir):
+    """GR12: the first relations inside each community of every session."""
+    n = demo.nodes(spark, sf_dir).select(F.concat_ws("/", "session", "community_id").alias("community"), F.concat_ws("/", "session", "id").alias("id"))
+    e = demo.edges(spark, sf_dir, True).select("session", "id", F.col("to").alias("from"), F.concat(F.lit("nation_"), ((F.substring("to", 8, 3).cast("int") + 5) % 25).cast("string")).alias("to"), "glyph")
+    e = e.withColumns({"from": F.concat_ws("/", "session", "from"), "to": F.concat_ws("/", "session", "to")})
+    out = graph.community_relations(e, n, 3)
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    return out.select("session", last("community").alias("community"), last("from").alias("from"), last("to").alias("to"), "glyph", "rank")
+
+
+@query(demo.duckdb("""SELECT a AS id, min(b) AS component FROM (WITH RECURSIVE p AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity = 1 AND l_discount = 0.05),
+    u AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT a, a AS b FROM u UNION SELECT w.a, u.b FROM w JOIN u ON w.b = u.a) SELECT a, b FROM w) x GROUP BY 1"""))
+def graph_components(spark, sf_dir):
+    """Connected components of suppliers and parts in sparse line items."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity = 1 and l_discount = 0.05")
+    return graph.connected_components(li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")).distinct())
+
+
+@query()
+def session_betweenness(spark, sf_dir):
+    """GR2: exact betweenness per session (unit-tested)."""
+    return graph.betweenness(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True))
+
+
+@query()
+def session_communities(spark, sf_dir):
+    """GR1: communities per session (unit-tested)."""
+    return graph.communities(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True))
+
+
+@query()
+def level_selection(spark, sf_dir):
+    """T4: the nodes of every level after shrinking to its band (unit-tested)."""
+    return levels.select_nodes(_ranked(spark, sf_dir))
