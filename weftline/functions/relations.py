@@ -19,7 +19,8 @@ def falsy_default(x: Column, default: float) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    """Within 0..1; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def has_layer_tags(tags: Column) -> Column:

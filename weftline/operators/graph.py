@@ -163,8 +163,8 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
 def label_propagation(pairs: DataFrame, rounds: int = 5, resolution: float = 1.0) -> DataFrame:
     """(id, community) of the corpus graph (a, b, weight): synchronous weighted moves, ties to the smaller label.
 
-    A label's pull is its weight towards the node less ``resolution`` times its expected weight; even rounds let only
-    half of the nodes move (by hash), which stops oscillation.
+    A label's pull is its weight towards the node less ``resolution`` times its expected weight; every round lets
+    only half of the nodes move (by hash), which stops oscillation.
     """
     both = cut(pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     strength = cut(both.groupBy("a").agg(F.sum("weight").alias("k")))
@@ -175,7 +175,7 @@ def label_propagation(pairs: DataFrame, rounds: int = 5, resolution: float = 1.0
         pull = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
         score = pull.join(mass, "community").join(strength, "a").withColumn("score", F.round(F.col("w") - resolution * F.col("k") * F.col("mass") / F.lit(two_m), 9))
         best = score.groupBy("a").agg(F.min_by("community", F.struct((-F.col("score")).alias("s"), "community")).alias("new"))
-        may_move = (F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2) | F.lit(r % 3 == 2)
+        may_move = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
         label = cut(label.join(best.withColumnRenamed("a", "id"), "id", "left").select("id", F.when(may_move, F.coalesce("new", "community")).otherwise(F.col("community")).alias("community")))
     return label
 

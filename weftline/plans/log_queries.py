@@ -48,7 +48,7 @@ def learned_stoplist(spark, sf_dir):
     return editlog.learned_stoplist(f, F.lower).select("label_norm", "n", "auto")
 
 
-@query(demo.duckdb("""SELECT from_label AS from_norm, to_label AS to_norm, arg_max(CASE WHEN old_glyph = 'arrow' THEN 'deny' ELSE 'allow' END, session || '|' || ts) AS decision, count(*) AS n
+@query(demo.duckdb("""SELECT from_label AS from_norm, to_label AS to_norm, arg_max(CASE WHEN old_glyph = 'arrow' THEN 'deny' ELSE 'allow' END, session || ' ' || ts) AS decision, count(*) AS n
     FROM f WHERE (op = 'retype_edge' AND old_glyph <> new_glyph) OR (op = 'delete_edge' AND old_glyph = 'arrow') GROUP BY 1, 2""", _EFFECTIVE))
 def learned_overrides(spark, sf_dir):
     """The last causal decision per pair, and how many there were."""
