@@ -1 +1,35 @@
-ORACLES = {}
+"""DuckDB SQL of the operators that SQL can express on whole tables; the others are tested against brute force."""
+
+from __future__ import annotations
+
+from .quality import ALPHA, DELTA, METRICS
+
+
+def _quality() -> str:
+    """The metrics by joins over words, the thresholds by the binomial tail with lgamma."""
+    rate, grid = ALPHA / len(METRICS), sum(map(len, METRICS.values()))
+    cuts = ", ".join(f"('{m}', {c})" for m, cs in METRICS.items() for c in cs)
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate}))))"
+    value = "CASE metric " + " ".join(f"WHEN '{m}' THEN {m}" for m in METRICS) + " END"
+    window = " || ' ' || ".join(f"lead(word, {i}) OVER o" for i in range(8))
+    return rf"""
+    WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t) x),
+    wc AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars FROM w GROUP BY 1),
+    win AS (SELECT doc_id, pos, {window} AS s FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    twice AS (SELECT doc_id, s FROM win WHERE s IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
+    rep AS (SELECT doc_id, count(DISTINCT pos + k) AS n_repeat_words FROM win JOIN twice USING (doc_id, s), range(0, 8) r(k) GROUP BY 1),
+    ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+    m AS (SELECT t.doc_id, lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(t.text) - length(translate(t.text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM t LEFT JOIN wc USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
+    s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols * 1000 // greatest(n_words, 1) AS symbols, n_repeat_words * 1000 // greatest(n_words, 1) AS repeats,
+        n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines, word_chars * 1000 // greatest(n_words, 1) AS long_words, CASE WHEN n_words > 0 THEN -(word_chars * 1000 // n_words) ELSE -1000000 END AS short_words FROM m),
+    c AS (SELECT lang, metric, cutoff, count(*) AS n, CAST(count_if({value} > cutoff) AS BIGINT) AS k FROM s, (VALUES {cuts}) v(metric, cutoff)
+        WHERE lang IS NOT NULL AND NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1, 2, 3),
+    p AS (SELECT lang, metric, min(cutoff) AS cutoff FROM (SELECT *, CASE WHEN k >= n * {rate} THEN 1 ELSE {tail} END AS p FROM c) x WHERE p <= {DELTA} / ((SELECT count(DISTINCT lang) FROM c) * {grid}) GROUP BY 1, 2),
+    bad AS (SELECT DISTINCT doc_id FROM s JOIN p ON s.lang = p.lang WHERE {value} > cutoff)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM s
+    """
+
+
+ORACLES = {"op6_quality_rules": _quality()}
