@@ -32,4 +32,16 @@ def _quality() -> str:
     """
 
 
-ORACLES = {"op6_quality_rules": _quality()}
+#: All pairs that share a shingle, the exact test, and reachability over the links.
+_JACCARD = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+    sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) >= 3 THEN list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END) AS g FROM w),
+    c AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS s FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * s >= 90 * (ca.n + cb.n - s)),
+    u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.m)
+    SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN c USING (doc_id) GROUP BY 1
+"""
+
+ORACLES = {"op7_jaccard_join": _JACCARD, "op6_quality_rules": _quality()}
