@@ -102,12 +102,16 @@ def seeds(hits: DataFrame, most: int = 8) -> DataFrame:
 
 
 def rank_communities(members: DataFrame, terms: DataFrame, top: int = 3) -> DataFrame:
-    """Communities (community, member) by members that overlap a term in either direction, then size, then id."""
+    """Communities (community, member) by members that overlap a term in either direction, then size, then id.
+
+    ``terms`` are those of one question, six at most.
+    """
     m = members.select("community", "member").distinct()
-    hit = m.join(F.broadcast(terms.select("term").distinct().limit(64)), F.col("member").contains(F.col("term")) | F.col("term").contains(F.col("member")), "left_semi")
+    hit = m.join(F.broadcast(terms.select("term").distinct()), F.col("member").contains(F.col("term")) | F.col("term").contains(F.col("member")), "left_semi")
     size = m.groupBy("community").agg(F.count("*").alias("size"))
     s = hit.groupBy("community").agg(F.count("*").alias("score")).join(size, "community")
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("size"), "community"))).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("size"), F.col("community")]
+    return s.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def node_documents(edges: DataFrame) -> DataFrame:

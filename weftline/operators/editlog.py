@@ -247,8 +247,8 @@ def apply_learned(nodes: DataFrame, edges: DataFrame, renames: DataFrame, stopli
 
 def prompt_hints(items: DataFrame, most: int = 10, chars: int = 600) -> DataFrame:
     """Half newest and half most frequent items (text, ts, n), once each, while their lengths fit."""
-    new = items.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("ts"), "text"))).where(F.col("_r") <= most // 2).withColumn("_p", F.lit(0))
-    often = items.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "text"))).where(F.col("_r") <= most // 2).withColumn("_p", F.lit(1))
+    top = lambda c: items.orderBy(F.desc(c), "text").limit(most // 2).withColumn("_r", F.row_number().over(Window.orderBy(F.desc(c), "text")))
+    new, often = top("ts").withColumn("_p", F.lit(0)), top("n").withColumn("_p", F.lit(1))
     one = new.unionByName(often).groupBy("text").agg(F.min(F.struct("_p", "_r")).alias("o"))
     w = Window.orderBy("o", "text")
     return one.withColumns({"pos": F.row_number().over(w), "used": F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))}).where((F.col("used") <= chars) & (F.col("pos") <= most)).drop("o")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_norm, member_fingerprint, sentence_id, sha_prefix
@@ -251,8 +250,10 @@ def node_importance(spark, sf_dir):
     return levels.importance(n, demo.edges(spark, sf_dir, True))
 
 
-@query("""SELECT DISTINCT l_suppkey AS id, l_partkey AS best FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_partkey, l_orderkey) AS r FROM lineitem) x WHERE r = 1""")
-def level_priority(spark, sf_dir):
-    """S9-like pick: the first by a stated order."""
-    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_orderkey")
-    return table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("best")).distinct()
+@query(demo.duckdb("""SELECT session, id, max(CASE WHEN glyph = 'isa' THEN 3000 WHEN glyph = 'double' THEN 2000 ELSE 1000 END) AS importance FROM (SELECT session, "to" AS id, glyph FROM g) x GROUP BY 1, 2"""))
+def importance_of_levels(spark, sf_dir):
+    """Importance from the most detailed level that has the node."""
+    g = demo.edges(spark, sf_dir)
+    lv = F.when(F.col("glyph") == "isa", "detailed").when(F.col("glyph") == "double", "standard").otherwise("overview")
+    imp = F.when(lv == "detailed", 3000).when(lv == "standard", 2000).otherwise(1000)
+    return files.importance_of(g.select("session", F.col("to").alias("id"), lv.alias("level"), imp.alias("importance"), F.lit(False).alias("is_aggregate")).distinct())
