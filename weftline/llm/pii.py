@@ -104,10 +104,11 @@ def _ssn(key: str) -> str:
 
 
 def _phone(key: str) -> str:
+    """Area and exchange do not begin with 0."""
     area, line = "cast(left(p, 3) as int)", "cast(substring(p, 4) as int)"
-    back = "concat(substring(d, 1, length(d) - 10), cast(z.a + 200 as string), cast(z.b + 2000000 as string))"
-    new = _feistel(f"{area} - 200", f"{line} - 2000000", "800", "8000000", "'phone'", key, back)
-    return _let(_digits("m"), "d", _let("right(d, 10)", "p", f"case when {area} >= 200 and {line} >= 2000000 then {_let(new, 'n', _refill('m', 'n'))} end"))
+    back = "concat(substring(d, 1, length(d) - 10), cast(z.a + 100 as string), cast(z.b + 1000000 as string))"
+    new = _feistel(f"{area} - 100", f"{line} - 1000000", "900", "9000000", "'phone'", key, back)
+    return _let(_digits("m"), "d", _let("right(d, 10)", "p", f"case when {area} >= 100 and {line} >= 1000000 then {_let(new, 'n', _refill('m', 'n'))} end"))
 
 
 def _ip(key: str) -> str:
