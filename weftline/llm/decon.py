@@ -11,7 +11,8 @@ Only windows that the benchmark has leave the document pass; a fixed bitmap and
 decide that in the workers. The array is sent to them up to ``BROADCAST_WINDOWS``; beyond it only the bitmap is.
 
 Defined results: null and empty texts and items match nothing; an item shorter than the window is one window of its
-whole length, if it has at least ``SHORTEST`` tokens; repeated rows give one pair of ids; extra columns are ignored.
+whole length, if it has at least ``SHORTEST`` tokens; repeated rows give one pair of ids; rows and items without an
+id match nothing; extra columns are ignored.
 """
 
 from __future__ import annotations

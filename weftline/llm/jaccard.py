@@ -18,8 +18,8 @@ similarity is missed, unless its ends are connected already, and a posting list
 instead of its square.
 
 Defined results: a null, empty or blank text has the empty set and links with nothing; with fewer words than n the
-whole sequence is one member; repeated rows with one id count as copies of it (the id keeps one row); extra columns
-are ignored.
+whole sequence is one member; rows that repeat an id give a row each and count as one document; a row without an id has
+no class and is left out; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
