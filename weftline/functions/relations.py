@@ -39,7 +39,7 @@ def normalize_tags(raw: Column) -> Column:
 
     def known(layer: str, vocabulary: tuple[str, ...]) -> Column:
         own = F.flatten(F.transform(F.filter(entries, lambda e: key(e["key"]) == layer), lambda e: F.transform(e["value"], word)))
-        return F.filter(F.array(*map(F.lit, vocabulary)), lambda t: F.array_contains(own, t))
+        return F.array_intersect(F.array(*map(F.lit, vocabulary)), own)  # in vocabulary order, once each
 
     columns = {layer: known(layer, vocabulary) for layer, vocabulary in S.LAYERS.items()}
     parts = [c.alias(layer) for layer, c in columns.items()]

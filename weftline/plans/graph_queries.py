@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.relations import combine_scores, judge, normalize_tags, policy_stats, project_glyph
 from ..functions.text import ascii_norm
 from ..operators import corpus, evaluate, gaps, graph, levels, repair
+from ..sources.files import cut
 from . import demo
 from .registry import query
 
@@ -140,9 +142,7 @@ agg AS (SELECT session, community, 'agg-' || community AS agg_id, count(*) AS me
 
 
 def _visible(spark, sf_dir):
-    r = _ranked(spark, sf_dir)
-    from pyspark.sql import Window
-
+    r = cut(_ranked(spark, sf_dir))
     top = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("total"), "id"))
     return r, r.withColumn("rk", top).where("rk <= 12").select("session", F.lit("overview").alias("level"), "id")
 
