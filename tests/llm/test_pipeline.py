@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import random
 
 import corpus_pipeline
-from test_operators import DOC, brute_components, brute_quality, words
+from test_llm_operators import DOC, brute_components, brute_quality, words
 
 from weftline.llm import packing, secretscan
 
