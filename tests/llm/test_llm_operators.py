@@ -315,6 +315,18 @@ def test_decontamination(spark):
     assert decon.op9(spark, frame(spark, []), bench).count() == 0 and decon.op9(spark, frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_every_occurrence(spark):
+    q = "a farmer puts 12 eggs into each of 7 boxes and then sells 5 of these boxes at the market in town"
+    frames = "the red box holds 3 small balls and one lid . the red box holds 4 small balls and one lid . the red box holds 9 small balls and one lid ."
+    bench = spark.createDataFrame([(0, q), (1, "2, 4, 6, 8, 10, 12, 14, 16, 18, 20"), (2, frames)], "item_id long, text string")
+    other = q.replace("12", "30").replace("7", "8").replace("5", "6")
+    third = q.replace("12", "44").replace("7", "7").replace("5", "9")
+    put_in = [x.replace("and then", "and quite soon then") for x in (other, third)]
+    texts = [f"{q} . {other}", f"{other} . {third}", "so 2, 4, 6, 8, 10, 12, 14, 16, 18, 20 end", f"x {frames} y", " . ".join(put_in), q.replace("12", "12").replace("boxes at", "bags at"), words(60)]
+    got = {(r.doc_id, r.item_id): r.exact for r in decon.op9(spark, frame(spark, texts), bench).collect()}
+    assert got == {(0, 0): True, (1, 0): False, (2, 1): True, (3, 2): True, (4, 0): False, (5, 0): True}
+
+
 # 10. Packing
 
 

@@ -3,9 +3,11 @@
 Method. Texts become sequences of lower-cased words without punctuation in which numbers, names (capitalised words
 inside a sentence) and units after a number are typed placeholders. Windows of ``WINDOW`` template tokens of the
 benchmark are hash-joined with those of the documents, so a question asked anew with other numbers or names still
-matches. The values in the placeholders are checked for consistency: over all matched windows of a document and an item
-one value of the item must stand for one value of the document and the other way round, as a changed parameter changes
-everywhere. A document holds an item if ``SHARE`` of the item's windows match and the values are consistent.
+matches. The matched windows of a document and an item are grouped by alignment (position in the document less position
+in the item): each alignment alone, the alignments within ``DRIFT`` tokens of each other (words put in or left out), and
+all together. In a group one value of the item must stand for one value of the document and the other way round, as a
+changed parameter changes everywhere. A document holds an item if some group has ``SHARE`` of the item's windows and
+consistent values; ``matched`` is the largest such group, and ``exact`` says that one has the item's own values.
 
 Only windows that the benchmark has leave the document pass; a fixed bitmap and a sorted array of the benchmark's hashes
 decide that in the workers. The array is sent to them up to ``BROADCAST_WINDOWS``; beyond it only the bitmap is.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 WINDOW, SHORTEST, SHARE = 8, 5, 0.5
+#: Tokens put in or left out within one occurrence of an item.
+DRIFT = 8
 #: 8 bytes each.
 BROADCAST_WINDOWS = 4_000_000
 BITMAP_BITS = 24
@@ -173,7 +177,7 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[in
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: float = SHARE
 ) -> DataFrame:
-    """(doc, item, matched, item_windows, exact) of documents that hold an item; exact: with the item's own values."""
+    """(doc, item, matched, item_windows, exact) of documents that hold an item; exact: an occurrence has the item's own values."""
     from .common import keep
 
     bench = keep(benchmark_windows(benchmark, item_col, item_text_col, window))
@@ -191,16 +195,29 @@ def contaminated(
         sizes = [window]
         wanted = None
     met = document_windows(docs, id_col, text_col, sizes, bitmap, wanted)
-    both = met.join(bench.drop("size"), "h")
-    pairs = both.select("doc", "item", "ipos", F.explode_outer(F.arrays_zip("islots", "dslots")).alias("s")).select("doc", "item", "ipos", F.col("s.islots").alias("i"), F.col("s.dslots").alias("d")).distinct()
-    found = pairs.groupBy("doc", "item").agg(
-        F.count_distinct("ipos").alias("matched"), F.count_distinct("i").alias("values"), F.count_distinct("d").alias("as_values"), F.count_distinct("i", "d").alias("as_pairs"),
-        F.bool_and(F.coalesce(F.col("i") == F.col("d"), F.lit(True))).alias("exact"),
-    )
+    # One row an alignment, no longer than the item; words have no spaces, so a pair of values is one string.
+    groups = keep(
+        met.join(bench.drop("size"), "h")
+        .groupBy("doc", "item", (F.col("dpos") - F.col("ipos")).alias("at"))
+        .agg(F.collect_set("ipos").alias("ipos"), F.array_distinct(F.flatten(F.collect_list(F.zip_with("islots", "dslots", lambda i, d: F.concat(i, F.lit(" "), d))))).alias("pairs"))
+    )
     size = bench.groupBy("item").agg((F.max("ipos") + 1).alias("item_windows"))
-    out = found.join(size, "item").where(f"matched >= {share} * item_windows")
-    # An item asked with its own values once and with others elsewhere in the same document is held as well.
-    return out.where("exact or (values = as_pairs and as_values = as_pairs)").select("doc", "item", F.col("matched").cast("long"), F.col("item_windows").cast("long"), "exact")
+    enough = groups.groupBy("doc", "item").agg(F.sum(F.size("ipos")).alias("met")).join(size, "item").where(f"met >= {share} * item_windows").drop("met")
+    groups = groups.join(enough, ["doc", "item"])
+    near = groups.withColumn("at", F.explode(F.sequence(F.col("at") - DRIFT, F.col("at")))).groupBy("doc", "item", "item_windows", "at").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("ipos", "pairs")))
+    value, as_value = F.transform("pairs", lambda p: F.substring_index(p, " ", 1)), F.transform("pairs", lambda p: F.substring_index(p, " ", -1))
+    judged = groups.unionByName(near).select(
+        "doc", "item", "item_windows", F.size("ipos").alias("matched"), F.forall("pairs", lambda p: F.substring_index(p, " ", 1) == F.substring_index(p, " ", -1)).alias("exact"),
+        ((F.size("pairs") == F.size(F.array_distinct(value))) & (F.size("pairs") == F.size(F.array_distinct(as_value)))).alias("consistent"),
+    )
+    judged = judged.where(f"matched >= {share} * item_windows and consistent").drop("consistent")
+    # All alignments together: parts of an item far from each other.
+    parts = groups.select("doc", "item", F.explode("ipos").alias("ipos")).groupBy("doc", "item").agg(F.count_distinct("ipos").cast("int").alias("matched"))
+    pairs = groups.select("doc", "item", F.explode("pairs").alias("p")).distinct().select("doc", "item", F.substring_index("p", " ", 1).alias("i"), F.substring_index("p", " ", -1).alias("d"))
+    clash = pairs.groupBy("doc", "item").agg(F.bool_and(F.col("i") == F.col("d")).alias("exact"), F.count("*").alias("n"), F.count_distinct("i").alias("values"), F.count_distinct("d").alias("as_values"))
+    whole = parts.join(clash, ["doc", "item"], "left").join(enough, ["doc", "item"]).where(f"matched >= {share} * item_windows and (n is null or n = values and n = as_values)")
+    judged = judged.unionByName(whole.select("doc", "item", "item_windows", "matched", F.coalesce("exact", F.lit(True)).alias("exact")))
+    return judged.groupBy("doc", "item").agg(F.max("matched").cast("long").alias("matched"), F.first("item_windows").cast("long").alias("item_windows"), F.bool_or("exact").alias("exact"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
