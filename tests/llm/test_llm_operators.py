@@ -247,6 +247,33 @@ def test_warc_salvage():
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"nothing here")] == ["gap"]
 
 
+def test_warc_salvage_searches_inside_members():
+    import gzip
+
+    def ids(raw):
+        return [int(x[3]["warc-record-id"][10:-1]) for x in warc.salvage(raw) if x[0] == "record"]
+
+    recs = [warc.page_record(i, "http://x", f"body {i} {words(200)}".encode(), None) for i in range(6)]
+    broken = lambda *at: b"".join(r.replace(b"body", b"bOdy") if i in at else r for i, r in enumerate(recs))
+    for level in (0, 6):
+        assert ids(gzip.compress(broken(2), level)) == [0, 1, 3, 4, 5]
+        assert ids(gzip.compress(broken(0, 1, 4), level)) == [2, 3, 5]
+        whole = gzip.compress(b"".join(recs), level)
+        bad_crc = bytearray(whole)
+        bad_crc[-6] ^= 0xFF
+        assert ids(bytes(bad_crc)) == [0, 1, 2, 3, 4, 5]
+        assert ids(bytes(bad_crc) + gzip.compress(recs[2])) == [0, 1, 2, 3, 4, 5, 2]
+        assert ids(whole[: len(whole) * 3 // 4])[:3] == [0, 1, 2] and ids(whole[: len(whole) * 3 // 4] + gzip.compress(recs[5]))[-1] == 5
+    got = list(warc.salvage(gzip.compress(broken(2))))
+    at = sum(map(len, recs[:2]))
+    assert [x[3] for x in got if x[0] == "gap"] == [f"block-digest differs (inflated bytes {at} to {at + len(recs[2])})"]
+    assert ids(warc.page_record(7, "http://x/" + "u" * (2 << 20), b"long", None)) == [7]
+    plain = warc.record({"WARC-Record-ID": "<urn:page:1>", "WARC-Type": "resource"}, b"nothing tells these bytes")
+    bad_crc = bytearray(gzip.compress(plain + recs[0]))
+    bad_crc[-6] ^= 0xFF
+    assert ids(bytes(bad_crc)) == [0] and ids(gzip.compress(plain + recs[0])) == [1, 0]
+
+
 # 1. HTML
 
 

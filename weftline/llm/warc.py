@@ -4,7 +4,9 @@ Records are written one gzip member each, through Spark's own text sink, whose c
 harmless and reaches any store that Spark can write; the line separator is an empty gzip member, so a file is a plain
 concatenation of members that any gzip reader accepts. The salvage reader checks every member and record (gzip CRC,
 version line, length, record end, block and payload digest). After a failed check it searches for the next valid
-member or version line, goes on there, and logs the bytes between as a quarantined gap.
+member or version line, goes on there, and logs the bytes between as a quarantined gap; inside a member it searches the
+inflated bytes. Of a member that is cut short or broken, what can be inflated is searched too; where gzip finds wrong
+bytes, only records with a digest of their own are taken.
 
 Defined results: a null html is an empty payload; of records with equal payloads of at least ``least`` bytes the one
 with the smallest page_id is the response and the others revisit it (rows that repeat the smallest page_id are all
@@ -38,7 +40,6 @@ EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _ID = re.compile(r"<urn:page:(-?\d+|null)>")
-HEADER_BYTES = 1 << 20
 
 
 def digest(data: bytes) -> str:
@@ -105,19 +106,19 @@ def _plain(data: memoryview, at: int, raw: bytes) -> tuple[dict, bytes, int] | s
     m = _VERSION.match(raw, at)
     if not m:
         return "no version line"
-    end = raw.find(b"\r\n\r\n", m.end() - 2, at + HEADER_BYTES)
-    if end < 0:
-        return "no end of header"
-    fields = {}
-    for line in raw[m.end() : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    fields, pos = {}, m.end()
+    while (end := raw.find(b"\r\n", pos)) != pos:
+        if end < 0:
+            return "no end of header"
+        name, colon, value = raw[pos:end].partition(b":")
         if not colon:
             return "broken header line"
         fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        pos = end + 2
     size = fields.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         return "no length"
-    start = end + 4
+    start = end + 2
     stop = start + int(size)
     if raw[stop : stop + 4] != b"\r\n\r\n":
         return "no end of record"
@@ -133,57 +134,92 @@ def _payload(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int] | str:
-    """The gzip member at ``at`` as (content, end), or why it fails."""
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """The gzip member at ``at`` as (content, end, fault); with a fault, what could be inflated and where that stopped."""
     z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            if pos >= len(data):
-                return "member cut short"
+    while not z.eof:
+        if pos >= len(data):
+            return b"".join(out), len(data), "member cut short"
+        before = z.copy()
+        try:
             out.append(z.decompress(data[pos : pos + 65536]))
-            pos += 65536
-    except zlib.error as e:
-        return f"gzip: {e}"[:80]
-    return b"".join(out), min(pos, len(data)) - len(z.unused_data)
+        except zlib.error as e:
+            # A failed call gives no output at all: once more, byte by byte.
+            try:
+                while True:
+                    out.append(before.decompress(data[pos : pos + 1]))
+                    pos += 1
+            except zlib.error:
+                return b"".join(out), pos, f"gzip: {e}"[:80]
+        pos += 65536
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data), ""
+
+
+def _inside(content: bytes, sure: bool) -> list[tuple]:
+    """("record", start, end, fields, block) and ("gap", start, end, reason) of inflated bytes, in order.
+
+    If the member is not ``sure``, a record is one only with a digest that tells its bytes.
+    """
+    inner, out, pos, bad, why = memoryview(content), [], 0, -1, ""
+    while pos < len(content):
+        rec = _plain(inner, pos, content)
+        if not isinstance(rec, str) and not sure and not any(rec[0].get(k, "").lower().startswith("sha1:") for k in ("warc-block-digest", "warc-payload-digest")[: 1 + (rec[0].get("warc-type") != "revisit")]):
+            rec = "no digest in a broken member"
+        if isinstance(rec, str):
+            if bad < 0:
+                bad, why = pos, rec
+            pos = k if (k := content.find(b"WARC/1.", pos + 1)) >= 0 else len(content)
+            continue
+        if bad >= 0:
+            out.append(("gap", bad, pos, why))
+            bad = -1
+        out.append(("record", pos, rec[2], rec[0], rec[1]))
+        pos = rec[2]
+    if bad >= 0:
+        out.append(("gap", bad, len(content), why))
+    return out
 
 
 def salvage(raw: bytes):
-    """Yields ("record", start, end, fields, block) and ("gap", start, end, reason) of an archive's bytes, in order."""
+    """Yields ("record", start, end, fields, block) and ("gap", start, end, reason) of an archive's bytes, in order.
+
+    A gap inside a member that has records has the member's start and end, and its inflated bytes in the reason.
+    """
     data, at, bad, why = memoryview(raw), 0, -1, ""
+    stop, seen = 0, []  # a broken member's bytes, and its records, which stored blocks show once more
     while at < len(raw):
-        found, reason, end = [], "", at
+        found, reason, end = [], "", -1
         if raw.startswith(_MEMBER, at):
-            got = _member(data, at)
-            if isinstance(got, str):
-                reason = got
-            else:
-                content, end = got
-                inner, pos = memoryview(content), 0
-                while pos < len(content):
-                    rec = _plain(inner, pos, content)
-                    if isinstance(rec, str):
-                        reason = rec
-                        break
-                    found.append((rec[0], rec[1]))
-                    pos = rec[2]
+            content, upto, reason = _member(data, at)
+            found = _inside(content, not reason.startswith("gzip"))
+            if not reason:
+                end = upto
+                reason = next((x[3] for x in found if x[0] == "gap"), "")
+            elif any(x[0] == "record" for x in found):
+                stop, seen = max(upto, stop), seen + [x[3:] for x in found if x[0] == "record"]
+                found.append(("gap", len(content), len(content), reason))
         else:
             rec = _plain(data, at, raw)
             if isinstance(rec, str):
                 reason = rec
+            elif at < stop and rec[:2] in seen:
+                reason = "record of a broken member"
             else:
-                found, end = [(rec[0], rec[1])], rec[2]
-        if reason and not found:
+                found, end = [("record", 0, 0, *rec[:2])], rec[2]
+        if at >= stop:
+            seen = []
+        if end < 0:
+            end = min((k for k in (raw.find(_MEMBER, at + 1), raw.find(b"WARC/1.", at + 1)) if k >= 0), default=len(raw))
+        if reason and not any(x[0] == "record" for x in found):
             if bad < 0:
                 bad, why = at, reason
-            at = min((k for k in (raw.find(_MEMBER, at + 1), raw.find(b"WARC/1.", at + 1)) if k >= 0), default=len(raw))
+            at = end
             continue
         if bad >= 0:
             yield ("gap", bad, at, why)
             bad = -1
-        for fields, block in found:
-            yield ("record", at, end, fields, block)
-        if reason:  # records before a fault inside one member
-            yield ("gap", at, end, reason)
+        for kind, start, to, *more in found:
+            yield ("record", at, end, *more) if kind == "record" else ("gap", at, end, f"{more[0]} (inflated bytes {start} to {to})")
         at = end
     if bad >= 0:
         yield ("gap", bad, len(raw), why)
