@@ -105,9 +105,9 @@ _RANKED = _SPARSE + """, r0 AS (SELECT session, id, community_id AS community, i
          ELSE (incident - min(incident) OVER (PARTITION BY session)) * 1.0 / (max(incident) OVER (PARTITION BY session) - min(incident) OVER (PARTITION BY session)) END AS total FROM deg)"""
 
 
-def _ranked(spark, sf_dir):
+def _ranked(spark, sf_dir, sparse=True):
     n = demo.nodes(spark, sf_dir)
-    d = graph.degree(n, demo.edges(spark, sf_dir, True)).join(n, ["session", "id"])
+    d = graph.degree(n, demo.edges(spark, sf_dir, sparse)).join(n, ["session", "id"])
     return d.select("session", "id", F.col("community_id").alias("community"), levels.min_max(F.col("incident").cast("double"), ["session"]).alias("total"), F.lit(False).alias("pinned"))
 
 
@@ -242,16 +242,16 @@ def graph_components(spark, sf_dir):
 @query()
 def session_betweenness(spark, sf_dir):
     """GR2: exact betweenness per session (unit-tested)."""
-    return graph.betweenness(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True))
+    return graph.betweenness(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir))
 
 
 @query()
 def session_communities(spark, sf_dir):
     """GR1: communities per session (unit-tested)."""
-    return graph.communities(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True))
+    return graph.communities(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir))
 
 
 @query()
 def level_selection(spark, sf_dir):
     """T4: the nodes of every level after shrinking to its band (unit-tested)."""
-    return levels.select_nodes(_ranked(spark, sf_dir))
+    return levels.select_nodes(_ranked(spark, sf_dir, False))

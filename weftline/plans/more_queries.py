@@ -237,7 +237,7 @@ def resolved_ends(spark, sf_dir):
 @query()
 def corpus_communities(spark, sf_dir):
     """GR4: two levels of communities of suppliers and parts (unit-tested)."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity <= 3")
+    li = table(spark, sf_dir, "lineitem")
     p = li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")).agg(F.count("*").cast("double").alias("weight"))
     ids = p.select(F.explode(F.array("a", "b")).alias("label_norm")).distinct()
     return corpus.two_level_communities(p, ids, 4)
@@ -247,7 +247,7 @@ def corpus_communities(spark, sf_dir):
 def node_importance(spark, sf_dir):
     """Importance of every node of every session (unit-tested)."""
     n = demo.nodes(spark, sf_dir).withColumns({"mentions": F.lit(None).cast("double"), "novelty": F.lit(None).cast("double")})
-    return levels.importance(n, demo.edges(spark, sf_dir, True))
+    return levels.importance(n, demo.edges(spark, sf_dir))
 
 
 @query(demo.duckdb("""SELECT session, id, max(CASE WHEN glyph = 'isa' THEN 3000 WHEN glyph = 'double' THEN 2000 ELSE 1000 END) AS importance FROM (SELECT session, "to" AS id, glyph FROM g) x GROUP BY 1, 2"""))
