@@ -155,6 +155,21 @@ def test_secret_lexing_and_propagation(spark):
     assert secretscan.redacted(df).columns == df.columns
 
 
+def test_secrets_of_any_length_and_number():
+    def found(t):
+        return [t[s:e] for k, s, e in secretscan.scan(t) if k == "literal"]
+
+    key = "".join(random.choices("abcdefXYZQRS0123456789+/", k=1700))
+    assert key in found(f"<private_key>{key}</private_key>")
+    parts = [f"Zx8!kQ{i:02d}p" for i in range(20)]
+    t = "PART_A = " + " + ".join(f'"{p}"' for p in parts) + "\nPART_B = PART_A + PART_A\ndb_password = PART_B"
+    assert found(t) == parts
+    name = "very_" * 20 + "password"
+    assert found(f"{name} = 'Lm9#vT4r'") == found(f'"{name}": "Lm9#vT4r"') == ["Lm9#vT4r"] and found(f"LONG_{name[:90]} = 'Lm9#vT4r'\npassword = LONG_{name[:90]}") == ["Lm9#vT4r"]
+    chain = "".join(f"C{i + 1} = C{i} + C{i}\n" for i in range(60))
+    assert found(f'C0 = "Zx8!kQ2p"\n{chain}secret = C60') == ["Zx8!kQ2p"]
+
+
 # 5. PII
 
 

@@ -39,12 +39,13 @@ NAMES = {
 }
 LEAST = 8
 _SIGN = re.compile(r":=|=>|[:=]")
-_LEFT = re.compile(r"""(?:["']([^"'\n]{1,64})["']|\b([A-Za-z_][A-Za-z0-9_.-]{0,63}))[ \t]*\Z""")
+_NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
+_NAME_START = re.compile(r"\b[A-Za-z_]")
 _QUOTED = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
 _JOIN = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`A-Za-z_])")
 _BARE = re.compile(r"[ \t]*([^\s\"'`,;<>(){}\[\]|]+)")
-_NAME = re.compile(r"[ \t]*([A-Za-z_][A-Za-z0-9_]{0,63})(?![A-Za-z0-9_(])")
-_TAG = re.compile(r"<([A-Za-z_][\w.-]{0,63})>([^<>\n]{8,512})</\1>")
+_NAME = re.compile(r"[ \t]*([A-Za-z_][A-Za-z0-9_]*+)(?!\()")
+_TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\n]{8,}+)</\1>")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x{4,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|change_?me|example|placeholder|none|null|true|false|undefined|your[_-].*)$")
 
@@ -65,33 +66,69 @@ def literal_score(value: str) -> float:
     return min(0.6, 0.1 * (classes - 1) + 0.1 * max(0.0, entropy - 2.0) + (0.1 if n >= 16 else 0.0))
 
 
+def _left(text: str, at: int) -> str | None:
+    """The quoted or bare name that ends before the sign at ``at``; no character is read for two signs."""
+    end = at
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if not end:
+        return None
+    k = end - 1
+    if text[k] in "\"'":
+        k -= 1
+        while k >= 0 and text[k] not in "\"'\n":
+            k -= 1
+        return text[k + 1 : end - 1] or None if k >= 0 and text[k] != "\n" else None
+    while k >= 0 and text[k] in _NAME_CHARS:
+        k -= 1
+    start = _NAME_START.search(text, k + 1, end)
+    return text[start.start() : end] if start else None
+
+
+class _Value:
+    """The literals of a right-hand side and the constants in it; ``best`` is the highest score of a name that has them."""
+
+    __slots__ = ("best", "parts", "spans")
+
+    def __init__(self):
+        self.best, self.spans, self.parts = 0.0, [], []
+
+    def rise(self, score: float):
+        """The literals for which ``score`` is the highest so far."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if score > v.best:
+                v.best = score
+                yield from v.spans
+                todo += v.parts
+
+
 def pairs(text: str):
-    """Name-literal pairs (name, start, end) with constants propagated; offsets of the literal."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+    """(name, start, end) of literals with constants propagated; only for names of a score above 0 and above earlier ones of the literal."""
+    constants: dict[str, _Value] = {}
     for sign in _SIGN.finditer(text):
-        at = sign.start()
-        left = _LEFT.search(text, max(0, at - 70), at)
-        if not left or text.startswith("//", sign.end()):
+        name, pos, value = _left(text, sign.start()), sign.end(), _Value()
+        if not name or text.startswith("//", pos):
             continue
-        name, pos, spans = left[1] or left[2], sign.end(), []
         if text.startswith("=", pos):  # a comparison
             continue
         while True:
             q = _QUOTED.match(text, pos)
             if q:
                 g = q.lastindex
-                spans.append((q.start(g), q.end(g)))
+                value.spans.append((q.start(g), q.end(g)))
                 pos = q.end()
             else:
                 ref = _NAME.match(text, pos)
                 if ref and ref[1] in constants:
-                    spans += constants[ref[1]]
+                    value.parts.append(constants[ref[1]])
                     pos = ref.end()
-                elif not spans and (bare := _BARE.match(text, pos)):
+                elif not value.spans and not value.parts and (bare := _BARE.match(text, pos)):
                     stop = bare.end(1)
                     while stop > bare.start(1) and text[stop - 1] in ".,;:!?":
                         stop -= 1
-                    spans.append((bare.start(1), stop))
+                    value.spans.append((bare.start(1), stop))
                     break
                 else:
                     break
@@ -99,10 +136,10 @@ def pairs(text: str):
             if not more:
                 break
             pos = more.end()
-        if spans:
+        if value.spans or value.parts:
             if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
-                constants[name] = spans[:16]
-            for s, e in spans:
+                constants[name] = value
+            for s, e in value.rise(name_score(name)):
                 yield name, s, e
     for m in _TAG.finditer(text) if "</" in text else ():
         yield m[1], m.start(2), m.end(2)
