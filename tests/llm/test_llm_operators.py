@@ -228,6 +228,14 @@ def test_url_template_verdicts(spark):
     assert all(got[i] == "block" for i in range(200)) and all(got[1000 + i] == "allow" for i in range(200))
 
 
+def test_url_templates_of_deep_paths(spark):
+    top = "/a/b/c/d/e/f/g"
+    rows = [(i, f"http://h.com{top}/spam/{i}/x") for i in range(200)] + [(1000 + i, f"http://h.com{top}/ok/{i}/x") for i in range(200)]
+    rules = tuple(("block", "h.com", f"{top}/spam/{d}") for d in range(1, 9)) + (("allow", "h.com", f"{top}/ok/1"),)
+    got = {r.page_id: r.verdict for r in urltree.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert all(got[i] == "block" for i in range(200)) and all(got[1000 + i] == "allow" for i in range(200))
+
+
 # 2. WARC
 
 
