@@ -297,3 +297,10 @@ def test_streams_equal_batches(spark, tmp_path):
     assert best == {(r.map_id, r.edge_id): r.verdict for r in evaluate.latest_wins(df, ["map_id", "edge_id"]).collect()}
 
 
+def test_long_cycles_and_deep_layers(spark):
+    ring = [("s", f"n{i}", f"n{(i + 1) % 90}") for i in range(90)] + [("s", "n3", "up"), ("s", "down", "n4"), ("s", "x", "y"), ("t", "z", "z"), ("t", "a", "b")]
+    r = spark.createDataFrame(ring, "session string, child string, parent string")
+    assert {(x.session, x.id) for x in graph.cycle_members(r).collect()} == {("s", f"n{i}") for i in range(90)} | {("t", "z")}
+    line = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}") for i in range(300)] + [("s", "n0", "n300")], "session string, from string, to string")
+    assert {x.id: x.layer for x in graph.longest_path_layers(line).collect()} == {f"n{i}": i for i in range(301)}
+    assert graph.cycle_members(line.withColumnsRenamed({"from": "child", "to": "parent"})).count() == 0

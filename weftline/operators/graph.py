@@ -223,17 +223,52 @@ def _window(part: str, *order: str):
     return w.orderBy(*order) if order else w
 
 
-def cycle_members(relations: DataFrame, most: int = 64) -> DataFrame:
-    """(session, id) of concepts on a cycle of ``is_a`` (child, parent): those that reach themselves."""
-    step = relations.select("session", "child", "parent").distinct()
-    reach = cut(step)
-    for _ in range(most):
-        longer = reach.join(step.select("session", F.col("child").alias("parent"), F.col("parent").alias("up")), ["session", "parent"]).select("session", "child", F.col("up").alias("parent"))
-        new = cut(longer.distinct().join(reach, ["session", "child", "parent"], "left_anti"))
-        if new.isEmpty():
-            break
-        reach = cut(reach.unionByName(new))
-    return reach.where("child = parent").select("session", F.col("child").alias("id"))
+def on_cycles(pairs: list[tuple]) -> list:
+    """Nodes on a directed cycle of any length: those in a strong component of several nodes, or with a loop."""
+    down: dict = {}
+    for a, b in pairs:
+        down.setdefault(a, []).append(b)
+        down.setdefault(b, [])
+    order, low, done, path, out = {}, {}, set(), [], []
+    for root in down:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        path.append(root)
+        todo = [(root, iter(down[root]))]
+        while todo:
+            v, rest = todo[-1]
+            w = next((x for x in rest if x not in done), None)
+            if w is None:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
+                if low[v] == order[v]:
+                    part = [path.pop()]
+                    while part[-1] != v:
+                        part.append(path.pop())
+                    done.update(part)
+                    if len(part) > 1 or v in down[v]:
+                        out += part
+            elif w in order:
+                low[v] = min(low[v], order[w])
+            else:
+                order[w] = low[w] = len(order)
+                path.append(w)
+                todo.append((w, iter(down[w])))
+    return out
+
+
+def cycle_members(relations: DataFrame) -> DataFrame:
+    """(session, id) of concepts on a cycle of ``is_a`` (child, parent), however long; one session at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = on_cycles(list(zip(pdf.child.tolist(), pdf.parent.tolist(), strict=True)))
+        return pd.DataFrame({"session": [pdf.session.iloc[0]] * len(ids), "id": ids}, dtype=object)
+
+    step = relations.select("session", "child", "parent").where("child is not null and parent is not null").distinct()
+    kind = {f.name: f.dataType.simpleString() for f in step.schema}
+    return step.groupBy("session").applyInPandas(run, f"session {kind['session']}, id {kind['child']}")
 
 
 def siblings(relations: DataFrame) -> DataFrame:
@@ -294,18 +329,31 @@ def acyclic_skeleton(edges: DataFrame) -> DataFrame:
     return src.groupBy("session").applyInPandas(run, src.schema).withColumnsRenamed({"src": "from", "dst": "to"})
 
 
-def longest_path_layers(dag: DataFrame, most: int = 256) -> DataFrame:
-    """(session, id, layer) of a DAG: 0 for roots, else 1 + the largest layer of a predecessor."""
-    steps = cut(dag.select("session", "from", "to").distinct())
-    ids = steps.select("session", F.explode(F.array("from", "to")).alias("id")).distinct()
-    layer = cut(ids.withColumn("layer", F.lit(0)))
-    for _ in range(most):
-        pushed = steps.join(layer.withColumnRenamed("id", "from"), ["session", "from"]).groupBy("session", F.col("to").alias("id")).agg((F.max("layer") + 1).alias("up"))
-        new = cut(layer.join(pushed, ["session", "id"], "left").select("session", "id", F.col("layer").alias("was"), F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")))
-        layer = new.drop("was")
-        if new.where("was <> layer").isEmpty():
-            break
-    return layer
+def longest_path_layers(dag: DataFrame) -> DataFrame:
+    """(session, id, layer) of a DAG: 0 for roots, else 1 + the largest layer of a predecessor; a cycle is an error."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        down: dict[str, list[str]] = {}
+        above: dict[str, int] = {}
+        for a, b in zip(pdf.src.tolist(), pdf.dst.tolist(), strict=True):
+            down.setdefault(a, []).append(b)
+            above[b] = above.get(b, 0) + 1
+            above.setdefault(a, 0)
+        layer = {x: 0 for x in above if not above[x]}
+        todo = list(layer)
+        for v in todo:
+            for w in down.get(v, ()):
+                layer[w] = max(layer.get(w, 0), layer[v] + 1)
+                above[w] -= 1
+                if not above[w]:
+                    todo.append(w)
+        if len(todo) < len(above):
+            raise ValueError(f"session {pdf.session.iloc[0]} has a cycle")
+        return pd.DataFrame({"session": [pdf.session.iloc[0]] * len(todo), "id": todo, "layer": [layer[x] for x in todo]}, dtype=object)
+
+    steps = dag.select("session", F.col("from").alias("src"), F.col("to").alias("dst")).where("src is not null and dst is not null").distinct()
+    kind = {f.name: f.dataType.simpleString() for f in steps.schema}
+    return steps.groupBy("session").applyInPandas(run, f"session {kind['session']}, id {kind['src']}, layer int")
 
 
 def tree_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
