@@ -203,6 +203,83 @@ def test_pii_is_injective_and_keyed(spark):
     assert len({r.text for r in pii.pseudonymised(frame(spark, days)).collect()}) == 2000
 
 
+def feistel(a, b, ma, mb, tweak, key=pii.DEMO_KEY):
+    """The network once more, in plain Python."""
+    f = lambda i, x: int(hashlib.sha256(f"{key}|{tweak}|{i}|{x}".encode()).hexdigest()[:15], 16)
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            a = (a + f(i, b)) % ma
+        else:
+            b = (b + f(i, a)) % mb
+    return a, b
+
+
+def test_pii_against_plain_python(spark):
+    def ip(t):
+        o = [int(x) for x in t.split(".")]
+        a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+    def phone(t):
+        d = re.sub(r"\D", "", t)[-10:]
+        area, line = int(d[:3]), int(d[3:])
+        tweak, a0, na, b0, nb = ("phone0", 0, 100, 0, 10**7) if area < 100 else ("phone1", 100, 900, 0, 10**6) if line < 10**6 else ("phone", 100, 900, 10**6, 9 * 10**6)
+        a, b = feistel(area - a0, line - b0, na, nb, tweak)
+        new = iter(f"{a + a0:03d}{b + b0:07d}")
+        head = len(t) - 12 if "(" not in t else t.index("(")
+        return t[:head] + re.sub(r"\d", lambda m: next(new), t[head:])
+
+    def day(t):
+        n = (dt.date.fromisoformat(t) - dt.date(1900, 1, 1)).days
+        a, b = feistel(n // 256, n % 256, 256, 256, "date")
+        return str(dt.date(1900, 1, 1) + dt.timedelta(days=a * 256 + b))
+
+    r = random.Random(3)
+    values = [(ip, ".".join(str(r.randrange(256)) for _ in range(4))) for _ in range(40)]
+    values += [(phone, f"+1 ({r.randrange(1000):03d}) {r.randrange(1000):03d}-{r.randrange(10000):04d}") for _ in range(40)] + [(phone, f"{r.randrange(1000):03d}-{r.randrange(1000):03d}-{r.randrange(10000):04d}") for _ in range(40)]
+    values += [(day, str(dt.date(1900, 1, 1) + dt.timedelta(days=r.randrange(65_000)))) for _ in range(40)]
+    # Every pair of neighbours, so no value hides the next.
+    texts = [f"{a[1]}{sep}{b[1]}" for a, b in zip(values, r.sample(values, len(values)), strict=True) for sep in (" ", ", ", "\n", " 77 ")]
+    made = dict((v, f(v)) for f, v in values)
+    got = {x.doc_id: x for x in pii.pseudonymised(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        sep = next(s for s in (", ", " 77 ", "\n", " ") if any(t == f"{a}{s}{b}" for a in made for b in made if t.startswith(a) and t.endswith(b)))
+        a, b = next((a, b) for a in made for b in made if t == f"{a}{sep}{b}")
+        assert got[i].text == f"{made[a]}{sep}{made[b]}", t
+        assert sum(got[i][f"n_{k}"] for k in pii.KINDS) == 2
+
+
+def test_pii_neighbours_names_and_inverse(spark):
+    texts = [
+        "743-555-3824 219-09-9999", "2024-02-29 2024-03-01", "2024-02-29 743-555-3824", "12 march 2024, March 3, 2024, 1 de enero de 2020, 5. März 1999, 14 MAY 2000", "+33 6 12 34 56 78",
+        "GB82 WEST 1234 5698 7654 32, GB82WEST12345698765432", "1234 4539 1488 0343 6467 2024", "+1 (017) 555-7713", "31.12.2105 1066-10-14 9999-12-31 0001-01-01", "12/31/2024 13/01/2024 02/30/2024",
+        "a@" + "b." * 30 + "com", "ID-219-09-9999 555-1234", None, "", " ".join(["4539 1488 0343 6467 743-555-3824"] * 900), "AT61 1904 3002 3457 3201 THE 4539 1488 0343 6467 123",
+    ]
+    df = frame(spark, texts).selectExpr("*", "'x' as pii_key", "'y' as pii_found", "7 as _m", "8 as n_card")
+    df = df.unionByName(df.where("doc_id = 0"))
+    out = pii.pseudonymised(df)
+    assert out.columns == [*(c for c in df.columns if c != "n_card"), *(f"n_{k}" for k in pii.KINDS)]
+    rows = {r.doc_id: r for r in out.collect()}
+    counts = [sum(rows[i][f"n_{k}"] for k in pii.KINDS) for i in range(len(texts))]
+    assert counts == [2, 2, 2, 5, 1, 2, 1, 1, 4, 2, 1, 1, 0, 0, 1800, 2]
+    assert all(r.pii_key == "x" and r.pii_found == "y" and r._m == 7 for r in rows.values())
+    for i, t in enumerate(texts[:12]):
+        assert not set(re.findall(r"\d[\d-]{5,}\d", t)) & set(re.findall(r"\d[\d-]{5,}\d", rows[i].text)) or i in (9, 11)
+    assert rows[0].text[:12] in rows[14].text and rows[7].text.startswith("+1 (0") and rows[4].text.startswith("+33 6 ")
+    back = {r.doc_id: r.text for r in pii.restored(out).collect()}
+    assert back == dict(enumerate(texts))
+    assert pii.pseudonymised(df.limit(0)).count() == 0
+
+
+def test_pii_key_from_a_frame_stays_out_of_the_plan(spark, capsys, tmp_path):
+    (tmp_path / "key.txt").write_text("a secret of ours")
+    df = frame(spark, ["call 743-555-3824"])
+    out = pii.pseudonymised(df, key=spark.read.text(str(tmp_path)))
+    assert out.first().text == pii.pseudonymised(df, key="a secret of ours").first().text != pii.pseudonymised(df).first().text
+    out.explain(True)
+    assert "a secret of ours" not in capsys.readouterr().out
+
+
 # 8. URLs
 
 
