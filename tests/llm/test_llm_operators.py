@@ -313,6 +313,71 @@ def test_url_templates_of_deep_paths(spark):
     assert all(got[i] == "block" for i in range(200)) and all(got[1000 + i] == "allow" for i in range(200))
 
 
+def brute_tree(rows):
+    """{(host, segments): purity} of rows (host, segments, label or None), one host and one node at a time."""
+    import math
+
+    labels = [x for _, _, x in rows if x]
+    prior = min(0.5, labels.count("block") / len(labels)) if labels else 0.0
+    out = {}
+
+    def down(part, depth, above):
+        n = sum(bool(x) for *_, x in part)
+        here = (sum(x == "block" for *_, x in part) + 4 * above) / (n + 4)
+        out.update({(h, p): here for h, p, _ in part if len(p) == depth})
+        part = [r for r in part if len(r[1]) > depth]
+        kids = {r[1][depth] for r in part}
+        shapes = {}
+        for k in kids:
+            shapes.setdefault(re.sub("[0-9]+", "*", k), set()).add(k)
+        name = {k: (s if len(v) >= 3 else k) for s, v in shapes.items() for k in v}
+        if len(set(name.values())) >= 20 and len(set(name.values())) * 20 >= len(part):
+            name = dict.fromkeys(kids, "*")
+        groups = {}
+        for r in part:
+            groups.setdefault(name[r[1][depth]], []).append(r)
+        steps = {}
+        for g, v in groups.items():
+            n, b = sum(bool(x) for *_, x in v), sum(x == "block" for *_, x in v)
+            if n:
+                steps.setdefault(math.floor(b * 64 / n + 0.5), []).append((g, n, b))
+        last, merged = None, []
+        for k in sorted(steps):
+            n, b = (sum(x[i] for x in steps[k]) for i in (1, 2))
+            if last and not abs(b / n - last[1] / last[0]) > 1.96 * math.sqrt((b + last[1]) / (n + last[0]) * (1 - (b + last[1]) / (n + last[0])) * (1 / n + 1 / last[0])):
+                merged[-1] += [x[0] for x in steps[k]]
+            else:
+                merged.append([x[0] for x in steps[k]])
+            last = (n, b)
+        for names in [*merged, *([g] for g in groups if not any(g in m for m in merged))]:
+            down([r for g in names for r in groups[g]], depth + 1, here)
+
+    for host in {r[0] for r in rows}:
+        down([r for r in rows if r[0] == host], 0, prior)
+    return out
+
+
+def test_url_tree_against_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    urls = []
+    for h in ("a.com", "b.net", "c.org"):  # three levels
+        for k in range(260):
+            top = r.choice(["news", "spam", "p1", "p2", "p3", "x"])
+            urls.append(f"http://{h}/{top}/{r.choice([str(k), f'i-{k}.html', 'w' + 'abcdefghij'[k % 10] * (1 + k % 4), ''])}" + r.choice(["", "/", f"/{k % 5}"]))
+    rules = (("block", "a.com", "/spam/"), ("block", "net", "/p1/1"), ("allow", "net", "/p1/2"), ("block", "net", "/news/"), ("allow", "c.org", "/x/i-"), ("block", "c.org", "/x/1"), ("block", "c.org", "/p"))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'z' as purity", "'q' as seg", "'q' as up")
+    df = df.unionByName(df.where("page_id < 50"))
+    monkeypatch.setattr(urltree, "HOT", 3)
+    rows = urltree.judge(df, rules=rules).collect()
+    split = lambda x: (x.host, tuple(filter(None, x.path.split("/"))))
+    want = brute_tree([(*split(x), x.verdict if x.rule else None) for x in rows])
+    assert len(rows) == len(urls) + 50 and {split(x) for x in rows} == set(want)
+    for x in rows:
+        assert abs(x.purity - want[split(x)]) < 1e-9, x
+        assert x.rule or x.verdict == ("block" if want[split(x)] >= 0.9 else "allow")
+    assert sum(x.rule is None and x.verdict == "block" for x in rows) > 20
+
+
 # 2. WARC
 
 
