@@ -488,6 +488,13 @@ def test_language_edges(spark):
     df = spark.createDataFrame([(0, None, "en"), (1, "123 ...", "fr"), (2, "the thing", None), (3, "", "de"), (4, "𐐀𐐁 日本", "x")], "doc_id long, text string, lang string")
     rows = {r.doc_id: r for r in langid.op3(spark, df).collect()}
     assert [rows[i].lang_pred for i in (0, 1, 3)] == ["und"] * 3
+    more = df.unionByName(df).withColumns({"lang_pred": F.lit("q"), "score": F.lit(9)})
+    again = langid.classify(more.withColumn("text", F.when(F.col("doc_id") == 2, "😀🎉 🚀").otherwise(F.col("text"))), langid.learn(df)).collect()
+    assert len(again) == 10 and {r.lang_pred for r in again if r.doc_id == 2} == {"und"} and {r.lang_pred for r in again if r.doc_id == 4} == {"x"}
+    # Ties go to the first language by name; a long text is the same as a short one said often.
+    tied = langid.learn(spark.createDataFrame([("abc", "b"), ("abc", "a")], "text string, lang string"))
+    got = langid.classify(spark.createDataFrame([("abc abc",), ("abc " * 300_000,)], "text string"), tied).collect()
+    assert [r.lang_pred for r in got] == ["a", "a"]
     assert langid.op3(spark, df.limit(0)).count() == 0
 
 

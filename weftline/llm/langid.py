@@ -6,12 +6,12 @@ text's vector bundles (adds) the vectors of its trigrams; a language's prototype
 training texts, less the mean of all prototypes, which is what languages share. A text gets the language whose
 prototype has the largest cosine with the text's vector, less the same mean direction.
 
-The vectors are functions of a hash of the character, so any script works and all executors agree. Bundling is linear,
+Every character's vector is a function of its code point, so any script works and all executors agree. Bundling is linear,
 so a worker keeps only the vectors of the trigrams of its slice.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text if nothing was
 learned; ties go to the first language by name; texts with a null language, null texts and texts without letters teach
-nothing; repeated rows count as often as they occur; extra columns are ignored.
+nothing; texts may have any length (their distinct trigrams are bundled in pieces); repeated rows count as often as they occur; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,34 +27,36 @@ DIM = 512
 #: Trigram vectors that a Python worker remembers (DIM bytes each).
 REMEMBERED = 60_000
 
-_SYMBOLS = 1 << 10  # characters share so many vectors by hash
+_SYMBOLS = 1 << 20  # symbol 0 is the word boundary, every other symbol a lower-case letter's code point
 _tables: dict[int, np.ndarray] = {}
 
 
 def _alphabet() -> np.ndarray:
-    """Symbol of every code point of the basic plane: 0 for what is no letter, else the hash of its lower case."""
+    """Symbol of every code point: 0 for what is no letter, else the code point of its lower case (above 2^20: less 2^20, which no letter has)."""
     if 0 not in _tables:
-        t = np.zeros(65536, np.int64)
-        for c in range(65536):
+        t = np.zeros(0x110000, np.int32)
+        for c in range(0x110000):
             ch = chr(c)
             if ch.isalpha():
-                low = ch.lower()[0]
-                t[c] = 1 + (ord(low) * 2654435761 >> 7) % (_SYMBOLS - 1)
+                t[c] = ord(ch.lower()[0]) % _SYMBOLS
         _tables[0] = t
     return _tables[0]
 
 
-def _letter_vectors() -> np.ndarray:
-    if 1 not in _tables:
-        _tables[1] = np.random.Generator(np.random.PCG64(20240101)).integers(0, 2, (_SYMBOLS, DIM), np.int8) * 2 - 1
-    return _tables[1]
+def _letter_vectors(symbols_: np.ndarray) -> np.ndarray:
+    """The random vectors of symbols, from a hash of each symbol."""
+    word = np.arange(DIM // 64, dtype=np.uint64)
+    x = symbols_.astype(np.uint64)[:, None] * np.uint64(DIM // 64) + word + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return (np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).astype(np.int8) * 2 - 1)[:, :DIM]
 
 
 def symbols(text: str) -> np.ndarray:
     """Symbols of a text, runs of other characters as one 0, with a 0 at both ends; empty without a letter."""
     code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    s = _alphabet()[np.minimum(code, 65535)]
-    s = np.where(code > 65535, 1 + (code.astype(np.int64) * 2654435761 >> 7) % (_SYMBOLS - 1), s) if len(code) and code.max() > 65535 else s
+    s = _alphabet()[code].astype(np.int64)
     letter = s > 0
     if not letter.any():
         return s[:0]
@@ -83,8 +85,10 @@ class Trigrams:
             if len(self.code) + len(new) > max(REMEMBERED, len(codes)):
                 self.__init__()
                 return self.rows(codes)
-            v = _letter_vectors()
             a, b, c = new // (_SYMBOLS * _SYMBOLS), new // _SYMBOLS % _SYMBOLS, new % _SYMBOLS
+            used, at3 = np.unique(np.concatenate((a, b, c)), return_inverse=True)
+            v = _letter_vectors(used)
+            a, b, c = np.split(at3, 3)
             vec = np.roll(v[a], 2, axis=1) * np.roll(v[b], 1, axis=1) * v[c]
             row = np.arange(len(self.vec), len(self.vec) + len(new))
             self.vec = np.concatenate((self.vec, vec))
