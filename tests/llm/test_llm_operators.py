@@ -474,6 +474,118 @@ def test_html_pages_of_the_tables(spark):
         assert r.text == "\n\n".join(filter(None, blocks)) and r.n_chars == len(r.text)
 
 
+def test_html_markup_that_misleads():
+    site = html_sst.Site()
+    text = lambda page: html_sst.main_text(page, frozenset(), site)
+    long = words(60)
+    assert text(f'<div class="no-sidebar has-form"><article><p>{long}</p></article></div>') == long
+    assert text(f"<body><form id=f><div><p>{long}</p></div><input></form></body>") == long
+    assert text(f"<article><p>{long}</p><article class='comment'><p>me too</p></article></article>") == long
+    assert text(f"<article><p>{long}</p></article><div><article class='comment'><p>me too</p></article></div>") == long
+    assert text("<article><p>one <svg/> two</p><p>three <svg><text>no</text></svg></p></article>") == "one two\n\nthree"
+    assert text("<p>x<y and z</p><p>a < b</p><p>1 <2") == "x<y and z\n\na < b\n\n1 <2"
+    assert text(f"<main><p>{long}</p></main><article><p>teaser</p></article>") == long
+    assert text(f"<article><h1>T</h1><div itemprop=articleBody><p>{long}</p></div></article>") == f"T\n\n{long}"
+    assert text(f"<article><p>{long}</p></article><nav>{'menu ' * 500}</nav>") == long
+    deep = "<div>" * 3000 + long
+    assert text(deep) == long
+    assert text("<p>" + "w " * 400_000) == ("w " * 400_000).strip()
+
+
+def test_html_deep_nodes_have_one_parent(spark):
+    rows = [(i, f"http://h/{i}", "<div>" * (14 + i) + f"<p>{words(5)}</p>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("x"), "low": F.lit(1), "row": F.lit(2), "_html": F.lit(3)})
+    parents = {}
+    for _, _, page in rows:
+        for n, up in html_sst.features(page, html_sst.Site())[0].items():
+            assert parents.setdefault(n, up) == up != n
+    out = html_sst.extract(df.unionByName(df)).collect()
+    assert len(out) == 16 and out[0].host == "x" and out[0].row == 2 and all(r.text in rows[r.page_id][2] and r.text for r in out)
+
+
+def brute_importance(pages):
+    """{path of (tag, class): (pages, importance)} of well-formed pages, by plain recursion over nested lists."""
+    import math
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open = [["", None, []]]
+
+        def handle_starttag(self, tag, attrs):
+            self.open[-1][2].append([tag, dict(attrs).get("class", ""), []])
+            self.open.append(self.open[-1][2][-1])
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                self.open[-1][2].append(" ".join(data.split()))
+
+    seen, shapes, contents = {}, {}, {}
+    for k, page in enumerate(pages):
+        t = Tree()
+        t.feed(page)
+
+        def visit(node, path, k=k):
+            kids = [c for c in node[2] if isinstance(c, list)]
+            names = [(c[0], c[1]) for c in kids]
+            names = [x for i, x in enumerate(names) if not i or names[i - 1] != x]
+            if path:
+                seen.setdefault(path, set()).add(k)
+                if names:
+                    shapes.setdefault(path, Counter())
+                    shapes[path][tuple(names)] += (k, tuple(names)) not in done.setdefault(path, set())
+                    done[path].add((k, tuple(names)))
+                for c in node[2]:
+                    if isinstance(c, str):
+                        contents.setdefault(path, {}).setdefault(c, set()).add(k)
+            for c in kids:
+                visit(c, (*path, (c[0], c[1])))
+
+        done = {} if not k else done
+        visit(t.open[0], ())
+
+    def importance(path):
+        m = len(seen[path])
+        if m < html_sst.LEAST_PAGES:
+            return 1.0
+        kids = [p for p in seen if len(p) == len(path) + 1 and p[:-1] == path]
+        parts = [(len(seen[p]), importance(p)) for p in kids]
+        if path in contents:
+            parts.append((m, 1 - min(1.0, sum(math.log(len(v), m) for v in contents[path].values()) / len(contents[path]))))
+        inner = sum(w * x for w, x in parts) / sum(w for w, _ in parts) if parts else 0.0
+        if not kids:
+            return inner
+        s = shapes.get(path, Counter())
+        n = sum(s.values())
+        shape = min(1.0, -sum(c / n * math.log(c / n, m) for c in s.values())) if n else 1.0
+        keep = 0.9 ** max(1, len(s))
+        return (1 - keep) * shape + keep * inner
+
+    return {p: (len(v), importance(p)) for p, v in seen.items()}
+
+
+def test_html_style_tree_against_brute_force(spark):
+    r = random.Random(11)
+    pages = []
+    for _ in range(40):
+        blocks = [f'<div class="{r.choice(["a", "b", "c"])}"><p>{r.choice(["always the same", words(6)])}</p>{"<ul><li>menu</li></ul>" * r.randrange(3)}</div>' for _ in range(r.randrange(1, 5))]
+        pages.append(f"<html><body><section>terms of the site</section>{''.join(blocks)}<main><h2>Read on</h2><section><h3>{words(2)}</h3></section></main></body></html>")
+    df = spark.createDataFrame([(f"http://h/{i}", p) for i, p in enumerate(pages)], "url string, html string")
+    got = sorted((x.m, round(x.importance, 9)) for x in html_sst.style_tree(df).collect())
+    want = sorted((m, round(x, 9)) for m, x in brute_importance(pages).values() if m >= html_sst.LEAST_PAGES)
+    assert got == want and len(got) > 10 and any(x < 0.2 for _, x in got) and any(x > 0.8 for _, x in got)
+    # 40 pages tell against the declaration: the heading that all repeat goes, inside the main part too.
+    text = html_sst.extract(df).first().text
+    assert "Read on" not in text and text
+    few = html_sst.extract(df.limit(5)).collect()
+    assert all("Read on" in x.text for x in few)
+
+
 # 3. Language
 
 

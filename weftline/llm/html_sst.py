@@ -6,14 +6,19 @@ under its parent's node. Of each node the tree keeps in how many pages it occurs
 base-m logarithms, presentation importance is the entropy of the presentations; content importance is 1 minus the
 mean entropy of the contents, which is 0 for a text that all pages repeat and 1 for texts of one page each. The
 composite importance of a node weighs its presentations by 1 - 0.9^s (s of them) and the composite importance of
-its children by the rest. Branches below ``THRESHOLD`` are removed from each page, as are branches whose own markup
-declares them menus, headers, footers, sidebars, notices, adverts, forms or comments (these count as importance 0:
-on a host with one or two pages the tree cannot tell). Where a page declares an article or main element, that
-branch has importance 1 and only it is kept, so a passage that many pages quote stays.
+its children by the rest; nodes in fewer than ``LEAST_PAGES`` pages count as important. Branches below ``THRESHOLD`` are
+removed from each page. What markup declares is prior knowledge, because on a host with few pages the tree cannot
+tell: menus, headers, footers, sidebars, notices, adverts, forms and comments go; inside an article or main element
+a branch has the prior importance 1, worth ``PRIOR_PAGES`` pages, and what is outside such an element goes. If the tree
+would take most of a declared article (a host of copies of one page), it is not heard on that page.
+
+Markup that declares a form, or names a branch by a word of ``NOISE_WORDS``, is not believed of a branch with more than
+half of the page's text. Words after ``no``, ``has``, ``with`` and the like say nothing.
 
 Defined results: a null or empty page has the empty text; a page without a usable url belongs to the host ''; broken
-markup is read as far as it goes (unclosed elements end with their parent); copies of a page count as pages; extra
-columns are ignored.
+markup is read as far as it goes (unclosed elements end with their parent; a ``<`` that begins no tag is text); pages may
+have any length and depth; copies of a page count as pages; an empty table gives no row; extra columns are kept, but for
+``text``, which is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,20 +38,21 @@ from .urls import host_of
 THRESHOLD = 0.2
 #: Nodes in fewer pages than this are kept: too little to tell.
 LEAST_PAGES = 3
-#: Elements below this depth belong to the branch of their ancestor at it.
-DEPTH = 16
-#: The low branches of all hosts are broadcast up to this number of branches, and joined by host beyond it.
-BROADCAST_BRANCHES = 500_000
+#: Pages for which the declaration of an article or main element counts against the tree.
+PRIOR_PAGES = 8
+#: The low branches of all hosts are broadcast up to this number of branches (8 bytes each), and joined by host beyond it.
+BROADCAST_BRANCHES = 4_000_000
 GAMMA = 0.9
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)>""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/<>]*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/<>]*)(?P<attrs2>[^<>]*)>""",
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -63,6 +70,11 @@ NOISE_WORDS = frozenset(
     "search searchbox comment comments commentlist disqus respond reply replies social share sharing sharebar related recommended recommendations "
     "breadcrumb breadcrumbs pagination pager toolbar widget widgets alert topbar".split()
 )
+#: Elements that may hold a whole page, whatever they declare.
+_WRAPPERS = frozenset("form div section body td table main article center dialog object span".split())
+# Words that turn the next one round, and names of a single comment.
+_NOT = frozenset("no not has have with without hide is show enable enabled disable".split())
+_COMMENT = re.compile(r"(?:comment|reply)(?:[-_]?(?:item|body|\d+))?|comments|replies")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _MASK = (1 << 63) - 1
 
@@ -73,7 +85,7 @@ class Site:
     def __init__(self):
         self.seen: dict = {}
 
-    def node(self, parent: int, in_main: bool, tag: str, attrs: str) -> tuple[int, bool, bool]:
+    def node(self, parent: int, in_main: bool, tag: str, attrs: str) -> tuple[int, int, int]:
         key = (parent, in_main, tag, attrs)
         got = self.seen.get(key)
         if got is None:
@@ -82,7 +94,8 @@ class Site:
             got = self.seen[key] = self._node(parent, in_main, tag, attrs)
         return got
 
-    def _node(self, parent: int, in_main: bool, tag: str, attrs: str) -> tuple[int, bool, bool]:
+    def _node(self, parent: int, in_main: bool, tag: str, attrs: str) -> tuple[int, int, int]:
+        """Node, noise (1: unless it holds most of the page, 2: always) and main (1: an article, 2: the main part)."""
         import xxhash
 
         a = {}
@@ -91,18 +104,29 @@ class Site:
         named = " ".join((a.get("id", ""), a.get("class", "")))
         role = a.get("role", "").strip().lower()
         style = re.sub(r"\s", "", a.get("style", "").lower())
-        main = tag in ("article", "main") or role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody"
-        words = {w.lower() for w in _WORDS.findall(named)}
-        noise = (
-            tag in NOISE_TAGS
+        said = [w.lower() for w in _WORDS.findall(named)]
+        words = {w for i, w in enumerate(said) if not i or said[i - 1] not in _NOT}
+        comment = any(_COMMENT.fullmatch(t) for t in named.lower().split())
+        main = 2 if tag == "main" or role == "main" or a.get("itemprop", "").lower() == "articlebody" else int(tag == "article" or role == "article")
+        if main and comment:
+            main = 0
+        if in_main:
+            main = min(main, 1)
+        noise = 0
+        if tag not in ("html", "body") and (comment or ((not main or in_main) and words & NOISE_WORDS)) or tag == "form":
+            noise = 1 if tag in _WRAPPERS else 2
+        if (
+            tag in NOISE_TAGS - {"form", "dialog", "object"}
             or role in NOISE_ROLES
             or "hidden" in a
             or a.get("aria-hidden", "").lower() == "true"
             or "display:none" in style
             or "visibility:hidden" in style
-            or (not main and tag not in ("html", "body") and bool(words & NOISE_WORDS))
             or (not in_main and not main and (tag == "header" or "header" in words))
-        )
+        ):
+            noise = 2
+        elif tag in ("dialog", "object"):
+            noise = max(noise, 1)
         shape = " ".join(sorted(re.sub(r"\d+", "0", named).split()))
         return xxhash.xxh3_64_intdigest(f"{tag}|{shape}|{role}".encode(), seed=parent) & _MASK, noise, main
 
@@ -139,8 +163,9 @@ def walk(page: str, site: Site):
             del stack[k:]
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(page, at)
-            at = end.end() if end else len(page) if not m["attrs"] or not m["attrs"].endswith("/") else at
+            if not (tag in FOREIGN and (m["attrs"] or m["attrs2"] or "").rstrip().endswith("/")):
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(page, at)
+                at = end.end() if end else len(page)
             if tag in BLOCK:
                 yield ("block",)
             continue
@@ -163,12 +188,10 @@ def walk(page: str, site: Site):
                     break
         parent, in_main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         node, noise, main = site.node(parent, in_main, tag, m["attrs"] or m["attrs2"] or "")
-        if len(stack) >= DEPTH:
-            node = parent
         if tag in BLOCK:
             yield ("block",)
         yield ("in", node, parent, noise, main)
-        stack.append((tag, node, in_main or main))
+        stack.append((tag, node, in_main or bool(main)))
     for name, *_ in reversed(stack):
         if name in BLOCK:
             yield ("block",)
@@ -217,15 +240,12 @@ def features(page: str, site: Site):
     return parents, shapes, contents
 
 
-def main_text(page: str | None, low: frozenset, site: Site) -> str:
-    """The text of ``page`` without noise and without the branches in ``low``; of its article if it declares one."""
-    if not page:
-        return ""
-    blocks: list[tuple[bool, str]] = []
+def _kept(events: list, wide: set[int], low: Callable[[int, bool], bool]) -> str:
+    """The text of a page's events without noise (but for the branches in ``wide``) and low branches; of its main part if it declares one."""
+    blocks: list[tuple[int, str]] = []
     parts: list[str] = []
-    stack: list[tuple[bool, bool]] = []  # dropped, inside main
-    dropped = in_main = False
-    declared = False
+    stack: list[tuple[bool, int]] = []  # dropped, inside main
+    dropped, in_main = False, 0
 
     def flush():
         if parts:
@@ -234,7 +254,7 @@ def main_text(page: str | None, low: frozenset, site: Site) -> str:
             if text:
                 blocks.append((in_main, text))
 
-    for e in walk(page, site):
+    for i, e in enumerate(events):
         if e[0] == "text":
             if not dropped:
                 parts.append(e[1])
@@ -242,8 +262,8 @@ def main_text(page: str | None, low: frozenset, site: Site) -> str:
             flush()
         elif e[0] == "in":
             _, node, _, noise, main = e
-            now_main = in_main or (main and not dropped)
-            now_dropped = dropped or noise or (node in low and not now_main)
+            now_main = in_main if dropped else max(in_main, main)
+            now_dropped = dropped or noise == 2 or (noise == 1 and i not in wide) or low(node, now_main > 0)
             if now_dropped != dropped or now_main != in_main:
                 flush()
             stack.append((dropped, in_main))
@@ -254,8 +274,50 @@ def main_text(page: str | None, low: frozenset, site: Site) -> str:
                 flush()
             dropped, in_main = was
     flush()
-    declared = any(m for m, _ in blocks)
-    return "\n\n".join(t for m, t in blocks if m or not declared)
+    # An article beside the main part is a teaser; without either all is main.
+    most = max((m for m, _ in blocks), default=0)
+    return "\n\n".join(t for m, t in blocks if m == most)
+
+
+def _wide(events: list) -> set[int]:
+    """The branches that have more than half of the page's text, as indexes of their events."""
+    opened, sizes, total = [], [], 0
+    for i, e in enumerate(events):
+        if e[0] == "text":
+            total += len(e[1]) if not e[1].isspace() else 0
+        elif e[0] == "in":
+            opened.append((i, total))
+        elif e[0] == "out":
+            at, before = opened.pop()
+            if events[at][3] == 1:
+                sizes.append((at, total - before))
+    return {at for at, size in sizes if 2 * size > total}
+
+
+def main_text(page: str | None, low: Callable[[int, bool], bool] | frozenset, site: Site) -> str:
+    """The text of ``page`` without noise and without low branches; of its main part if it declares one.
+
+    ``low`` tells of a node, and of whether it is inside a main part, if its branch is low; a set has those that are.
+    """
+    if not page:
+        return ""
+    if isinstance(low, frozenset):
+        nodes = low
+        low = lambda node, in_main: node in nodes
+    events = list(walk(page, site))
+    hit = any(e[0] == "in" and low(e[1], False) for e in events)
+    wide = _wide(events) if any(e[0] == "in" and e[3] == 1 for e in events) else set()
+    if not hit:
+        return _kept(events, wide, lambda node, in_main: False)
+    text = _kept(events, wide, low)
+    # The tree may not take most of a declared main part, nor a whole page.
+    if any(e[0] == "in" and e[4] for e in events) or not text:
+        whole = _kept(events, wide, lambda node, in_main: not in_main and low(node, False))
+        if 2 * len(text) < len(whole):
+            text = whole
+        if not text:
+            text = _kept(events, wide, lambda node, in_main: False)
+    return text
 
 
 def _importance(pdf):
@@ -277,17 +339,22 @@ def _importance(pdf):
         r = rows[n]
         log_m = math.log(r.m) if r.m > 1 else 0.0
         parts = [(rows[c].m, imp[c]) for c in below.get(n, [])]
+        if r.rare:
+            parts.append((r.rare, 1.0))
         if r.contents:
             parts.append((r.m, 1 - min(1.0, r.content_logs / r.contents / log_m) if log_m else 1.0))
         inner = sum(w * x for w, x in parts) / sum(w for w, _ in parts) if parts else 0.0
         shape = min(1.0, (math.log(r.shape_n) - r.shape_logs / r.shape_n) / log_m) if log_m and r.shape_n else 1.0
         keep = GAMMA ** max(1, r.shapes)
-        imp[n] = ((1 - keep) * shape + keep * inner) if below.get(n) else inner
+        imp[n] = ((1 - keep) * shape + keep * inner) if below.get(n) or r.rare else inner
     return pd.DataFrame({"host": pdf["host"].iloc[0], "node": list(imp), "m": [rows[n].m for n in imp], "importance": list(imp.values())})
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, node, m, importance) of the site style tree of every host."""
+    """(host, node, m, importance) of the site style tree of every host, for nodes in ``LEAST_PAGES`` pages or more.
+
+    One task has these nodes of a host (some 100 bytes each), never its pages; rarer nodes are added up under their parents before.
+    """
     src = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html is not null")
 
     def run(batches):
@@ -318,40 +385,62 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.expr("count_if(kind = 2)").alias("contents"),
         F.expr("coalesce(sum(ln(k)) filter (where kind = 2), 0d)").alias("content_logs"),
     )
+    rare = nodes.where(f"m < {LEAST_PAGES}").groupBy("host", F.col("parent").alias("node")).agg(F.sum("m").alias("rare"))
+    nodes = nodes.where(f"m >= {LEAST_PAGES}").join(rare, ["host", "node"], "left").fillna(0, ["rare"])
     return nodes.groupBy("host").applyInPandas(_importance, "host string, node long, m long, importance double")
 
 
+def low_branches(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
+    """(host, node, main) of the branches to remove; ``main``: inside a declared article or main element, too."""
+    tree = style_tree(pages, url_col, html_col).where(f"importance < {threshold}")
+    return tree.select("host", "node", (F.col("m") * F.col("importance") + PRIOR_PAGES < threshold * (F.col("m") + PRIOR_PAGES)).alias("main"))
+
+
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` with a column ``text``: the main text of every page."""
-    low = style_tree(pages, url_col, html_col).where(f"importance < {threshold} and m >= {LEAST_PAGES}")
-    low = low.groupBy("host").agg(F.collect_set("node").alias("low"))
+    from pyspark.sql.types import StringType, StructField, StructType
+
     from .common import keep
 
-    low = keep(low)
-    size = low.agg(F.sum(F.size("low"))).first()[0] or 0
-    src = pages.withColumn("_host", host_of(F.col(url_col)))
-    low = low.withColumnRenamed("host", "_host").withColumnRenamed("low", "_low")
-    both = src.join(F.broadcast(low) if size <= BROADCAST_BRANCHES else low, "_host", "left")
-    names = [c for c in pages.columns if c not in ("text", html_col)]
+    low = keep(low_branches(pages, url_col, html_col, threshold))
+    names = [c for c in pages.columns if c != "text"]
+    kept = [c for c in names if c != html_col]
+    src = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    few = low.count() <= BROADCAST_BRANCHES
+    shared = None
+    if few:  # as sorted hashes of host and node
+        key = [_branch(r.host, r.node) for r in low.toLocalIterator()]
+        main = [_branch(r.host, r.node) for r in low.where("main").toLocalIterator()]
+        shared = pages.sparkSession.sparkContext.broadcast((frozenset(key), frozenset(main)))
+        src = src.withColumns({"low": F.lit(None).cast("array<bigint>"), "sure": F.lit(None).cast("array<bigint>")})
+    else:
+        src = src.join(low.groupBy("host").agg(F.collect_set("node").alias("low"), F.collect_set(F.when(F.col("main"), F.col("node"))).alias("sure")), "host", "left")
 
     def run(batches):
         site = Site()
-        sets: dict = {}
-        for batch in slices(batches, "_html"):
+        for batch in slices(batches, "html"):
             at = {n: i for i, n in enumerate(batch.schema.names)}
             texts = []
-            for host, nodes, page in zip(*(batch.column(at[c]).to_pylist() for c in ("_host", "_low", "_html")), strict=True):
-                if host not in sets:
-                    if len(sets) > 10_000:
-                        sets.clear()
-                    sets[host] = frozenset(nodes or ())
-                texts.append(main_text(page, sets[host], site))
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
-
-    from pyspark.sql.types import StringType, StructField, StructType
+            for host, low, sure, page in zip(*(batch.column(at[c]).to_pylist() for c in ("host", "low", "sure", "html")), strict=True):
+                if few:
+                    every, certain = shared.value
+                    is_low = (lambda node, in_main, h=host: _branch(h, node) in (certain if in_main else every)) if every else (lambda node, in_main: False)
+                else:
+                    sets = (frozenset(low or ()), frozenset(sure or ()))
+                    is_low = lambda node, in_main, s=sets: node in s[in_main]
+                texts.append(main_text(page, is_low, site))
+            row = batch.column(at["row"])
+            yield pa.RecordBatch.from_arrays([*(row.field(i) for i in range(len(kept))), pa.array(texts, pa.string())], names=[*kept, "text"])
+
+    schema = StructType([*(pages.schema[c] for c in kept), StructField("text", StringType())])
+    return src.mapInArrow(run, schema)
+
+
+def _branch(host: str, node: int) -> int:
+    """Hash of a host's node."""
+    import xxhash
 
-    schema = StructType([*(pages.schema[c] for c in names), StructField("text", StringType())])
-    return both.select(*names, "_host", "_low", F.col(html_col).alias("_html")).mapInArrow(run, schema)
+    return xxhash.xxh3_64_intdigest(host.encode(), seed=node)
 
 
 def op1(spark, pages: DataFrame) -> DataFrame:
