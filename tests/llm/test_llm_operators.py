@@ -395,6 +395,39 @@ def test_warc_round_trip(spark):
     assert warc.op2(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_warc_rows_with_one_id_or_none(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_REPEATED", few)
+    rows = [(1, "a"), (1, "b"), (5, "a"), (5, "c"), (None, "b"), (None, "z"), (None, "z"), (2, "b"), (3, "x" * 9000), (4, "x" * 9000), (6, None), (7, "")]
+    df = spark.createDataFrame([(i, "http://x", h) for i, h in rows], "page_id long, url string, html string").withColumns({"sha": F.lit(1), "size": F.lit(2), "value": F.lit(3)})
+    want = []
+    for i, h in rows:
+        same = [j for j, g in rows if (g or "") == (h or "") and j is not None]
+        first = min(same, default=None)
+        want.append((i, warc.digest((h or "").encode()), None if first is None or i == first else first))
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = [(r.page_id, r.payload_digest, r.refers_to) for r in warc.op2(spark, df).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_warc_files_are_rolled_by_bytes(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "".join(random.choices("abcdefgh", k=n))) for i, n in enumerate([10] * 30 + [5000] * 9 + [90_000] * 3)], "page_id long, url string, html string")
+    warc.write(df.coalesce(1), str(tmp_path / "a"), records_per_file=10, file_bytes=4000)
+    files = [f for f in (tmp_path / "a").rglob("part-*")]
+    found = [[x[3]["warc-record-id"] for x in warc.salvage(f.read_bytes()) if x[0] == "record"] for f in files]
+    assert sorted(map(len, found)) == [1] * 12 + [10] * 3 and len({x for f in found for x in f}) == 42
+    assert {r.payload_bytes for r in warc.read(spark, str(tmp_path / "a")).collect()} == {10, 5000, 90_000}
+
+
+def test_warc_reports_what_was_lost(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"body {i}") for i in range(5)], "page_id long, url string, html string")
+    whole = warc.record
+    monkeypatch.setattr(warc, "EMPTY_MEMBER", b"\x1f\x8b junk")
+    with pytest.raises(RuntimeError, match="records came back"):
+        warc.op2(spark, df)
+    assert warc.record is whole
+
+
 def test_warc_salvage():
     import gzip
 

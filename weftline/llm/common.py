@@ -15,9 +15,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one where that is unset and the session is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_weftline_dir", None) or tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext._weftline_dir = base
         spark.sparkContext.setCheckpointDir(base)
@@ -25,12 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes them all."""
+    """Tables written to the shared folder to cut lineage; ``drop`` removes them all, as does the end of a ``with`` block."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.drop()
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         # Small row groups: a writing task holds one, beside its Python worker.
@@ -43,7 +51,10 @@ class Scratch:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A small result cut from its lineage; Spark removes the files with the frame."""
+    """A small result cut from its lineage by a checkpoint in the shared folder.
+
+    Spark removes the files with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set, else they stay.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -24,15 +24,15 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, keep, slices
 
-#: Records of one archive file at most; a file is read as a whole by one task.
-RECORDS_PER_FILE = 4_000
-#: Revisits are broadcast up to this number (16 bytes each), and joined by page_id beyond it.
-BROADCAST_REVISITS = 1_000_000
+#: Payload bytes and records of one archive file at most (a larger payload has a file of its own); a task reads a file as a whole.
+FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 4_000
+#: Payloads that several pages have are broadcast up to this number (some 100 bytes each); beyond it revisits are joined by page and digest.
+BROADCAST_REPEATED = 500_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -73,19 +73,32 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return record(fields, block)
 
 
-def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload an earlier page_id has; digests only are shuffled."""
+def _digested(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    seen = pages.select("page_id", F.sha1(payload).alias("sha"), F.length(payload).alias("size")).where(f"size >= {least}")
-    first = seen.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    return seen.join(first, ["sha", "size"]).where("page_id <> first").select("page_id", F.col("first").alias("refers_to")).dropDuplicates(["page_id"])
+    return pages.withColumns({"sha": F.sha1(payload), "size": F.length(payload)})
 
 
-def write(pages: DataFrame, path: str, least: int = 0, level: int = 4, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes a record for every row (page_id, url, html) to gzip archives below ``path``."""
-    again = keep(revisits(pages, least))
-    few = again.count() <= BROADCAST_REVISITS
-    src = pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).join(F.broadcast(again) if few else again, "page_id", "left")
+def _refers(page_id: Column, first: Column) -> Column:
+    return F.when(page_id.isNull() | (page_id != first), first)
+
+
+def repeated(pages: DataFrame, least: int = 0) -> DataFrame:
+    """(sha, size, first) of the payloads that several rows have; digests only are shuffled."""
+    seen = _digested(pages).where(f"size >= {least}").select("page_id", "sha", "size")
+    return seen.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1 and first is not null").drop("k")
+
+
+def write(pages: DataFrame, path: str, least: int = 0, level: int = 4, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Writes a record for every row (page_id, url, html) to gzip archives below ``path``, a folder for each class of sizes."""
+    first = keep(repeated(pages, least))
+    src = _digested(pages.select("page_id", "url", "html"))
+    if first.count() <= BROADCAST_REPEATED:
+        src = src.join(F.broadcast(first), ["sha", "size"], "left").withColumn("refers_to", _refers(F.col("page_id"), F.col("first")))
+    else:  # what is shuffled by digest, a hot key, are ids; pages are shuffled by id and digest
+        again = src.select("page_id", "sha", "size").distinct().join(first, ["sha", "size"])
+        again = again.select(F.col("page_id").alias("id"), F.col("sha").alias("of"), _refers(F.col("page_id"), F.col("first")).alias("refers_to")).where("refers_to is not null")
+        src = src.join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of")), "left")
+    src = src.select("page_id", "url", F.col("html").cast("binary").alias("html"), "refers_to", "size")
 
     def run(batches):
         for batch in slices(batches, "html"):
@@ -96,9 +109,17 @@ def write(pages: DataFrame, path: str, least: int = 0, level: int = 4, records_p
                 out.append(z.compress(page_record(i, u, b or b"", r)) + z.flush())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    members = src.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     sep = EMPTY_MEMBER.decode("latin-1")
-    members.write.option("encoding", "ISO-8859-1").option("lineSep", sep).option("maxRecordsPerFile", records_per_file).text(path)
+    # Classes of sizes, 16 times as large each, with so many records a file that its bytes stay bounded.
+    least_class = max(1, file_bytes // records_per_file)
+    sizes = [least_class * 16**k for k in range(8)]
+    known = pages.agg(*(F.count_if(F.length(F.coalesce(F.col("html").cast("binary"), F.lit(b""))).between(sizes[k - 1] + 1 if k else 0, most)).alias(str(k)) for k, most in enumerate(sizes))).first()
+    for k, most in enumerate(sizes):
+        if known[str(k)] or (k == 0 and not any(known)):
+            part = src.where(F.col("size").between(sizes[k - 1] + 1 if k else 0, most)).drop("size")
+            members = part.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+            per = max(1, min(records_per_file, file_bytes // most))
+            members.write.option("encoding", "ISO-8859-1").option("lineSep", sep).option("maxRecordsPerFile", per).text(f"{path}/sizes-{k}")
 
 
 def _plain(data: memoryview, at: int, raw: bytes) -> tuple[dict, bytes, int] | str:
@@ -226,7 +247,7 @@ def salvage(raw: bytes):
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """What is in the archives below ``path``: records, and gaps with the reason; one task reads a file.
+    """What is in the archives below ``path``: records, and gaps with the reason; one task reads a file, of 2 GB at most.
 
     kind (record or gap), file, start, end, reason, record_type, page_id, refers_to, url, payload, payload_bytes and
     payload_digest; a revisit has the full payload's size and digest and no payload.
@@ -263,14 +284,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         out, size = [], 0
                 yield pa.RecordBatch.from_pydict({f.name: [x[i] for x in out] for i, f in enumerate(arrow)}, schema=arrow)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, schema)
 
 
 def op2(spark, pages: DataFrame) -> DataFrame:
-    """The contract's columns: every page written, read back and described."""
-    tmp = Scratch(spark, "warc")
-    write(pages, f"{tmp.root}/archives")
-    out = read(spark, f"{tmp.root}/archives").where("kind = 'record'")
-    out = keep(out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
-    tmp.drop()
-    return out
+    """The contract's columns: every page written, read back and described; an error if a record was lost."""
+    with Scratch(spark, "warc") as tmp:
+        write(pages, f"{tmp.root}/archives")
+        out = keep(read(spark, f"{tmp.root}/archives").select("kind", "reason", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    got = out.agg(F.count_if(F.col("kind") == "record").alias("records"), F.first(F.when(F.col("kind") == "gap", F.col("reason")), ignorenulls=True).alias("gap")).first()
+    n = pages.count()
+    if got.records != n or got.gap:
+        raise RuntimeError(f"{got.records} of {n} records came back; first gap: {got.gap}")
+    return out.drop("kind", "reason")
