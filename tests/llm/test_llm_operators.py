@@ -695,3 +695,50 @@ def test_packing(spark):
     waste = 1 - sum(p[1] - p[0] for ps in held.values() for p in ps) / sum(k[2] for k in held)
     assert waste < 0.05
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_packing_builds_sequences(spark):
+    texts = [None, "", "a", "é" * 9000, "日本" * 9000, "😀" * 5000] + ["".join(random.choices("aé日😀 ", k=random.randint(1, 4000))) for _ in range(60)]
+    df = frame(spark, texts).withColumns({"copy": F.lit(1), "tokens": F.lit(2), "text_hash": F.lit(3)})
+    # An id without a value, and one id for texts of one length, and rows that are equal.
+    more = spark.createDataFrame([(None, "xyz", "en", "s", 3), (3, "abc", "en", "s", 3), (3, "abd", "en", "s", 3), (3, "abd", "en", "s", 3)], DOC).withColumns({"copy": F.lit(1), "tokens": F.lit(2), "text_hash": F.lit(3)})
+    rows = packing.pack(df.unionByName(more), shard_pieces=40)
+    got = {}
+    for r in packing.sequences(rows).collect():
+        assert sum(p.end - p.start for p in r.pieces) == len(r.tokens) <= r.capacity
+        assert r.capacity == min(c for c in packing.CAPACITIES if c >= len(r.tokens))
+        r.tokens.decode()  # no character is cut at either end
+        for p in r.pieces:
+            part = bytes(r.tokens[p.offset : p.offset + p.end - p.start])
+            part.decode()
+            got.setdefault((p.doc_id, p.copy, len(part) if p.doc_id == 3 else 0, part if p.doc_id == 3 and len(part) == 3 else 0), []).append((p.start, part))
+    whole = sorted((k[0] is None, k[0], b"".join(x for _, x in sorted(v)).decode()) for k, v in got.items() if not (k[0] == 3 and k[2] > 3))
+    long3 = b"".join(x for _, x in sorted(y for k, v in got.items() if k[0] == 3 and k[2] > 3 for y in v)).decode()
+    assert long3 == texts[3]
+    assert whole == sorted([(False, i, t) for i, t in enumerate(texts) if t and i != 3] + [(True, None, "xyz"), (False, 3, "abc"), (False, 3, "abd"), (False, 3, "abd")], key=lambda x: (x[0], x[1] or 0, x[2]))
+
+
+def test_packing_with_a_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [words(random.randint(1, 900)) + " é日😀" for _ in range(40)]
+    rows = packing.pack(frame(spark, texts), vocabulary=path, caps=(64, 256, 512), shard_pieces=30)
+    got = {}
+    for r in packing.sequences(rows).collect():
+        assert len(r.tokens) <= r.capacity
+        for p in r.pieces:
+            got.setdefault(p.doc_id, []).append((p.start, r.tokens[p.offset : p.offset + p.end - p.start]))
+    for i, text in enumerate(texts):
+        ids = [x for _, part in sorted(got[i]) for x in part]
+        assert ids == t.encode(text, add_special_tokens=False).ids and t.decode(ids) == text
+
+
+def test_packing_cuts():
+    for _ in range(200):
+        data = "".join(random.choices("aé日😀", k=random.randint(0, 60))).encode()
+        at = packing.cuts(data, 7)
+        assert at[0] == 0 and at[-1] == len(data) and all(4 <= b - a <= 7 or b == len(data) for a, b in itertools.pairwise(at))
+        assert b"".join(data[a:b].decode().encode() for a, b in itertools.pairwise(at)) == data
