@@ -118,6 +118,17 @@ def test_quality_thresholds_keep_their_promise(spark):
     assert quality.judged(frame(spark, []), labels).count() == 0
 
 
+def test_quality_rows_without_id_and_clashing_columns(spark):
+    texts = [words(60), "a b", None, words(60), "x y", words(300_000)]
+    df = frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id").isin(0, 1, 2, 5), F.col("doc_id"))).withColumns({"n_words": F.lit(-1), "kept": F.lit("k"), "row": F.lit(2), "stratum": F.lit("s")})
+    df = df.unionByName(df)
+    labels = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.kept_documents(df, labels)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(0, texts[0])] * 2 + [(None, texts[3])] * 2 + [(5, texts[5])] * 2, key=str)
+    assert quality.op6(spark, df, labels).count() == 12 and quality.kept_documents(df.limit(0), labels).count() == 0
+
+
 # 4. Secrets
 
 

@@ -7,9 +7,13 @@ tail P(X <= k | n, alpha) is at most delta / tests (Bonferroni over strata, metr
 probability 1 - delta every chosen cutoff keeps its promise at once. Of the cutoffs that pass, the lowest is used; a
 rule without one rejects nothing. Since the rules of a stratum add up, each gets alpha / metrics.
 
-Defined results: a null, empty or blank text has no words and fails the base rules; a document without a stratum, or of
-one without labels, is judged by the base rules only; a document labelled twice counts once; rows repeat as they are;
-extra columns are ignored.
+The bound supposes that the labelled documents of a stratum are drawn independently; copies among them count as often as
+they occur, so where a holdout has many copies, label one of each class.
+
+Defined results: a null, empty or blank text has no words and fails the base rules; a text may have any length; a
+document without a stratum, or of one without labels, is judged by the base rules only; a document labelled twice counts
+once; rows repeat as they are; a row without an id is judged by its own text and teaches nothing; an empty table gives no
+row; extra columns are ignored (kept by :func:`kept_documents`).
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ METRICS = {
 }
 #: Ids of good documents are broadcast up to this number; beyond it the metrics are joined with them by id.
 BROADCAST_LABELS = 1_000_000
+#: Rows of the table of cutoffs (a row for a language) are broadcast up to this number.
+BROADCAST_STRATA = 100_000
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 
@@ -104,8 +110,8 @@ def choose(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: float
     tests = f"inline(array({', '.join(f"struct('{m}' as metric, {c} as cutoff, {m} > {c} as hit)" for m, cs in METRICS.items() for c in cs)}))"
     grid = sum(map(len, METRICS.values()))
     counts = labelled.selectExpr(f"{stratum} as stratum", "base_failed", tests).where("stratum is not null").groupBy("stratum", "metric", "cutoff")
-    counts = counts.agg(F.count_if(~F.col("base_failed")).alias("n"), F.count_if(F.col("hit") & ~F.col("base_failed")).alias("k")).where("n > 0")
-    strata = counts.select(F.count_distinct("stratum").alias("strata"))
+    counts = keep(counts.agg(F.count_if(~F.col("base_failed")).alias("n"), F.count_if(F.col("hit") & ~F.col("base_failed")).alias("k")).where("n > 0"))
+    strata = counts.select(F.count_distinct("stratum")).first()[0]
     rate = alpha / len(METRICS)
     # P(X <= k) by the ratio of successive terms, in logarithms; nothing is computed where k is above the mean.
     tail = (
@@ -113,32 +119,43 @@ def choose(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: float
         f"a.t + ln((n - i + 1d) / i) + ln({rate}d / (1 - {rate}d)) as t, a.p + exp(a.t + ln((n - i + 1d) / i) + ln({rate}d / (1 - {rate}d))) as p), a -> a.p)"
     )
     p = f"case when k >= n * {rate}d then 1d when k = 0 then exp(n * ln(1 - {rate}d)) else {tail} end"
-    passed = counts.join(F.broadcast(strata)).where(f"{p} <= {delta}d / (strata * {grid})")
+    passed = counts.where(f"{p} <= {delta}d / {max(strata, 1) * grid}")
     return passed.groupBy("stratum", "metric").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(id, stratum, the metrics' counts, base_failed, kept, failed rules) of every row of ``docs``."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))
-    good = keep(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct())
-    if good.count() <= BROADCAST_LABELS:
-        labelled = _scored(src.join(F.broadcast(good), "doc_id", "left_semi"))
-    else:  # metrics are shuffled, not texts
-        labelled = _scored(src).join(good, "doc_id", "left_semi")
-    cuts = keep(choose(labelled, "stratum", alpha, delta))
-    rows = _scored(src)
+def _verdicts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Scored ``rows`` with the failed rules and ``kept``, without the scores."""
     table = cuts.groupBy("stratum").pivot("metric", list(METRICS)).agg(F.min("cutoff")).select("stratum", *(F.col(m).alias(f"cut_{m}") for m in METRICS))
-    out = rows.join(F.broadcast(table), "stratum", "left")  # a row for each language
+    few = cuts.select("stratum").distinct().count() <= BROADCAST_STRATA
+    out = rows.join(F.broadcast(table) if few else table, "stratum", "left")
     failed = F.array_compact(F.array(*(F.when(F.col(m) > F.col(f"cut_{m}"), F.lit(m)) for m in METRICS)))
     out = out.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
     return out.drop(*METRICS, *(f"cut_{m}" for m in METRICS))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that a rule rejects; rows that share an id go or stay together."""
-    verdicts = keep(judged(docs, labels, id_col, **options).select(F.col("doc_id").alias(id_col), "kept"))
-    gone = verdicts.where("not kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum: str, alpha: float, delta: float) -> tuple[DataFrame, DataFrame]:
+    """The scored rows of ``docs``, each text read once, and the cutoffs."""
+    rows = keep(_scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))))
+    good = keep(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct())
+    labelled = rows.join(F.broadcast(good) if good.count() <= BROADCAST_LABELS else good, "doc_id", "left_semi")
+    return rows, keep(choose(labelled, "stratum", alpha, delta))
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(id, stratum, the metrics' counts, base_failed, kept, failed rules) of every row of ``docs``."""
+    return _verdicts(*_fitted(docs, labels, id_col, text_col, stratum, alpha, delta))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``docs`` without those that a rule rejects; rows that share an id go or stay together, a row without an id alone."""
+    rows, cuts = _fitted(docs, labels, id_col, text_col, stratum, alpha, delta)
+    gone = keep(_verdicts(rows, cuts).where("not kept").select(F.col("doc_id").alias(id_col)).distinct())
+    named = docs.join(gone.where(F.col(id_col).isNotNull()), id_col, "left_anti")
+    if gone.where(F.col(id_col).isNull()).isEmpty():
+        return named.select(*docs.columns)
+    bare = docs.where(F.col(id_col).isNull()).select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))
+    bare = _verdicts(_scored(bare), cuts).where("kept").select("row.*")
+    return named.where(F.col(id_col).isNotNull()).select(*docs.columns).unionByName(bare)
 
 
 def op6(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
