@@ -81,6 +81,22 @@ def test_jaccard_empty_table_and_repeated_rows(spark):
     assert jaccard.near_duplicates_removed(df).columns == df.columns
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_jaccard_rows_without_an_id(spark, kind):
+    base = words(60).split()
+    near = lambda *at: " ".join("changed" if i in at else w for i, w in enumerate(base))
+    # 5 and 3 are linked over the row without an id only.
+    rows = [(5, near(0)), (None, near()), (3, near(59)), (None, "a b c d"), (None, "a b c d"), (None, None), (7, words(50)), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = sorted(((r.doc, r.n_shingles, r.component) for r in jaccard.similarity_components(df, n=3, num=90, den=100).collect()), key=str)
+    same = brute_components([near(0), near(), near(59)], 3, 90, 100)
+    assert {c for *_, c in same} == {0}
+    t = (lambda x: None if x is None else str(x)) if kind == "string" else (lambda x: x)
+    want = [(t(5), 58, t(3)), (None, 58, t(3)), (t(3), 58, t(3)), (None, 2, None), (None, 2, None), (None, 0, None), (t(7), 48, t(7)), (t(7), 0, t(7))]
+    assert got == sorted(want, key=str)
+    assert jaccard.similarity_components(df).schema["component"].dataType.simpleString() == ("bigint" if kind == "long" else kind)
+
+
 # 6. Quality
 
 

@@ -18,8 +18,9 @@ similarity is missed, unless its ends are connected already, and a posting list
 instead of its square.
 
 Defined results: a null, empty or blank text has the empty set and links with nothing; with fewer words than n the
-whole sequence is one member; rows that repeat an id give a row each and count as one document; a row without an id has
-no class and is left out; an empty table gives no row; extra columns are ignored.
+whole sequence is one member; a text may have any length; rows that repeat an id give a row each and count as one document
+(of the text of one of them, if they differ); a row without an id is linked as any other and has a null class if nothing that it reaches has an id; an
+empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import Scratch, keep, slices
 
@@ -42,6 +44,9 @@ CHEAP = 16
 #: Words whose hashes a Python worker remembers.
 WORD_CACHE = 500_000
 
+#: Names of rows without an id begin with, or are at least; ids must not.
+NAMELESS, NAMELESS_LONG = "\U0010ffff", 3 << 61
+
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -105,10 +110,22 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int,
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
+    src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, f"doc {kind}, n int, digest binary, grams array<bigint>")
 
 
+def _named(sets: DataFrame) -> DataFrame:
+    """``sets`` with a name for rows without an id, by their set: greater than all ids in use, so it never names a class that has an id."""
+    kind = sets.schema["doc"].dataType
+    own = F.concat(F.lit(NAMELESS), F.hex("digest")) if isinstance(kind, StringType) else (F.lit(NAMELESS_LONG) + F.shiftrightunsigned(F.xxhash64("digest"), 3)).cast("long")
+    doc = F.col("doc") if isinstance(kind, StringType) else F.col("doc").cast("long")
+    return sets.withColumn("doc", F.coalesce(doc, F.when(F.col("digest").isNotNull(), own)))
+
+
+def _nameless(c: Column, sets: DataFrame) -> Column:
+    return c.startswith(NAMELESS) if isinstance(sets.schema["doc"].dataType, StringType) else c >= NAMELESS_LONG
+
+
 def prefix(n: int, num: int, den: int, level: int) -> int:
     """Members of the l-prefix of a set of n at a level."""
     t = threshold(n, num, den)
@@ -195,16 +212,22 @@ def similarity_components(
 ) -> DataFrame:
     """(doc, n_shingles, component) of every row of ``docs``: classes of texts connected by Jaccard >= num / den."""
     spark = docs.sparkSession
-    tmp = Scratch(spark, "jaccard")
-    all_sets = tmp.write(shingle_sets(docs, id_col, text_col, n, num, den, 0), "prefixes")
+    with Scratch(spark, "jaccard") as tmp:
+        return _components(docs, id_col, text_col, n, num, den, hub_rounds, tmp)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, hub_rounds: int, tmp: Scratch) -> DataFrame:
+    all_sets = tmp.write(_named(shingle_sets(docs, id_col, text_col, n, num, den, 0)), "prefixes")
     member = tmp.write(all_sets.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep")), "members")
     reps = all_sets.join(member.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
     kept = tmp.write(_kept(reps, num, den, 0).select("doc", "n", "cost", "gram"), "kept0")
     base = tmp.write(_lists(kept), "base")
     tmp.drop("kept0")
     wanted = tmp.write(base.groupBy("doc").agg((F.max("m") > CHEAP).alias("long")), "wanted")
-    texts = _of(wanted.select("doc"), docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
-    sets = shingle_sets(texts, "doc", "text", n, num, den)
+    texts = docs.select(F.col(id_col).cast(all_sets.schema["doc"].dataType).alias("doc"), F.col(text_col).alias("text"))
+    sets = shingle_sets(_of(wanted.select("doc"), texts), "doc", "text", n, num, den)
+    if not wanted.where(_nameless(F.col("doc"), all_sets)).isEmpty():
+        sets = sets.unionByName(_of(wanted.select("doc"), _named(shingle_sets(texts.where("doc is null"), "doc", "text", n, num, den))))
     if not all_sets.groupBy("doc").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["doc"])
     sets = tmp.write(sets.select("doc", "n", "grams"), "sets")
@@ -238,16 +261,16 @@ def similarity_components(
     comp = components(links)
     by_digest = member.join(comp.withColumnRenamed("doc", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = all_sets.select("doc", "n", "digest").join(by_digest, "digest", "left")
-    out = keep(out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component")))
-    tmp.drop()
-    return out
+    out = out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    named = lambda c: F.when(~_nameless(F.col(c), all_sets), F.col(c)).cast(docs.schema[id_col].dataType).alias(c)
+    return keep(out.select(named("doc"), "n_shingles", named("component")))
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each class of :func:`similarity_components`: that of the least id."""
+    """``docs`` with one document of each class of :func:`similarity_components`: that of the least id; rows without an id stay."""
     comp = similarity_components(docs, id_col, **options)
-    gone = comp.where("doc <> component").select(F.col("doc").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    gone = comp.where("doc <> component").select(F.col("doc").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op7(spark, docs: DataFrame) -> DataFrame:
