@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import keep, slices
 from .urls import host_of
 
 THRESHOLD = 0.2
@@ -385,6 +385,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.expr("count_if(kind = 2)").alias("contents"),
         F.expr("coalesce(sum(ln(k)) filter (where kind = 2), 0d)").alias("content_logs"),
     )
+    nodes = keep(nodes)  # pages are read once
     rare = nodes.where(f"m < {LEAST_PAGES}").groupBy("host", F.col("parent").alias("node")).agg(F.sum("m").alias("rare"))
     nodes = nodes.where(f"m >= {LEAST_PAGES}").join(rare, ["host", "node"], "left").fillna(0, ["rare"])
     return nodes.groupBy("host").applyInPandas(_importance, "host string, node long, m long, importance double")
@@ -400,8 +401,6 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", thre
     """``pages`` with a column ``text``: the main text of every page."""
     from pyspark.sql.types import StringType, StructField, StructType
 
-    from .common import keep
-
     low = keep(low_branches(pages, url_col, html_col, threshold))
     names = [c for c in pages.columns if c != "text"]
     kept = [c for c in names if c != html_col]
