@@ -142,16 +142,58 @@ def test_skeleton_layers_roots(spark):
     assert {r.id for r in graph.tree_roots(nodes(spark, [(x, "c") for x in "abc"]), dag).collect()} == {"a"}
 
 
+def brute_order(rows):
+    """Ids in quota order: pins, one of each community without a pin (larger ones first), the rest by total."""
+    by = sorted(rows, key=lambda r: (-r[2], r[0]))
+    out = [r for r in by if r[3]]
+    size = {c: sum(r[1] == c for r in rows) for c in {r[1] for r in rows}}
+    for c in sorted(size, key=lambda c: (-size[c], c)):
+        if not any(r[3] and r[1] == c for r in rows):
+            out.append(next(r for r in by if r[1] == c))
+    return out + [r for r in by if r not in out]
+
+
+def brute_selection(rows, lo, hi, ratio, least=2):
+    """What the contract says, by trying every size."""
+    order = brute_order(rows)
+    groups = {r[1] for r in rows}
+    pins = sum(r[3] for r in rows)
+
+    def folded(shown):
+        return sum(sum(r[1] == c and r not in shown for r in rows) >= least for c in groups)
+
+    k = len(rows) if len(rows) <= lo else min(hi, len(rows), max(lo, round(ratio * len(rows))))
+    floor = max(len(groups), pins)
+    if k > floor:
+        k = next((x for x in range(k, floor - 1, -1) if x + folded(order[:x]) <= hi), floor)
+    shown = order[: max(k, pins)]
+    for c in sorted(groups, key=lambda c: (max(r[2] for r in rows if r[1] == c), c)):
+        own = [r for r in rows if r[1] == c]
+        if len(shown) + folded(shown) > hi and len(own) >= least and sum(r in shown for r in own) == 1 and not any(r[3] for r in own if r in shown):
+            shown = [r for r in shown if r not in own]
+    return {r[0] for r in shown}
+
+
 def test_selection_stays_in_band(spark):
     random.seed(3)
-    rows = [(f"n{i:03d}", f"c{i % 6}", random.random(), i in (5, 7)) for i in range(200)]
-    for lv, (lo, hi) in S.LEVEL_BANDS.items():
-        got = levels.shrink_to_band(rows, lv)
-        assert lo <= len(got) + levels._aggregates(rows, got, 2) <= hi and {"n005", "n007"} <= got
-    df = spark.createDataFrame([("s", *r) for r in rows], "session string, id string, community string, total double, pinned boolean")
+    cases = [(n, g, p) for n in (1, 8, 30, 55, 120, 200) for g in (1, 6, 25, 90) for p in (0, 3, 30) if g <= n and p <= n]
+    data = {f"s{k}": [(f"n{i:03d}", f"c{random.randrange(g)}", random.choice([random.random(), 0.5]), i < p) for i in range(n)] for k, (n, g, p) in enumerate(cases)}
+    df = spark.createDataFrame([(s, *r) for s, rows in data.items() for r in rows], "session string, id string, community string, total double, pinned boolean")
+    got = {}
+    for r in levels.select_nodes(df).collect():
+        got.setdefault((r.session, r.level), set()).add(r.id)
+    shrunk = 0
+    for s, rows in data.items():
+        for lv, (lo, hi) in S.LEVEL_BANDS.items():
+            want = brute_selection(rows, lo, hi, S.LEVEL_RATIO[lv])
+            assert got.get((s, lv), set()) == want, (s, lv)
+            shrunk += len(want) < min(hi, len(rows), max(lo, round(S.LEVEL_RATIO[lv] * len(rows))))
+    assert shrunk > 10
     for k in (3, 10, 50):
-        assert {r.id for r in levels.select_k(df, k).collect()} == levels._pick(rows, k)
-    assert levels.shrink_to_band(rows[:8], "overview") == {r[0] for r in rows[:8]}
+        chosen = {}
+        for r in levels.select_k(df, k).collect():
+            chosen.setdefault(r.session, set()).add(r.id)
+        assert all(chosen[s] == {r[0] for r in brute_order(rows)[: max(k, sum(r[3] for r in rows))]} for s, rows in data.items())
 
 
 def test_analysis_of_levels(spark):
@@ -168,6 +210,23 @@ def test_frozen_communities(spark):
     e = edges(spark, [("1", "a", "b", "wave", 1.0), ("2", "b", "c", "wave", 1.0)])
     frozen = spark.createDataFrame([("s", "a", "k")], "session string, id string, community string")
     assert {r.id: r.community for r in levels.frozen_communities(n, e, frozen).collect()} == {"a": "k", "b": "k", "c": "k", "d": "comm_000"}
+    # Rounds in the order of ids, each seeing what the round has given already.
+    random.seed(9)
+    for _ in range(30):
+        ids = [f"n{i}" for i in range(14)]
+        near = {i: set() for i in ids}
+        for a, b in (random.sample(ids, 2) for _ in range(16)):
+            near[a].add(b)
+            near[b].add(a)
+        known = {i: random.choice("xyz") for i in random.sample(ids, 3)}
+        want, size = dict(known), 0
+        while size != len(want):
+            size = len(want)
+            for i in sorted(ids):
+                seen = [want[j] for j in near[i] if j in want]
+                if i not in want and seen:
+                    want[i] = min(seen, key=lambda c: (-seen.count(c), c))
+        assert levels._spread(dict.fromkeys(ids), dict(known), near) == want
 
 
 def test_gaps(spark):
