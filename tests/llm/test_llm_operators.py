@@ -197,6 +197,26 @@ def test_secrets_of_any_length_and_number():
     assert found(f'C0 = "Zx8!kQ2p"\n{chain}secret = C60') == ["Zx8!kQ2p"]
 
 
+def test_secrets_over_several_lines_and_of_any_id(spark):
+    def found(t):
+        return [t[s:e] for k, s, e in secretscan.scan(t) if k == "literal"]
+
+    pem = ["MIIEpAIBAAKCAQEA7Zx8Q2p", "Lm9vT4rKk3Wq0Pz8Yb1N"]
+    assert found(f"tls:\n  private_key: |\n    -----BEGIN KEY-----\n    {pem[0]}\n\n    {pem[1]}\n  name: Zx8kQ2pLm9vT4rAA\n") == pem
+    assert found(f'secret = """\n{pem[0]}\n  {pem[1]}\n"""\nother = "plain"') == pem
+    assert found(f"- password: >-\n    {pem[0]}\n- note: x") == [pem[0]]
+    import time
+
+    for t in ('secret="""' * 40_000, "a=bc&" * 100_000, "secret: |\n" * 40_000, "k = 'Zx8!kQ2p' + " * 40_000, "password = " + "x" * 400_000):
+        began = time.time()
+        secretscan.scan(t)
+        assert time.time() - began < 20
+    df = spark.createDataFrame([("a", f'password = "{pem[0]}"'), (None, "x"), ("a", f'password = "{pem[0]}"')], "doc_id string, text string").withColumns({"spans": F.lit(1), "doc": F.lit(2)})
+    rows = secretscan.op4(spark, df).collect()
+    assert sorted((r.doc_id or "", r.n_assign) for r in rows) == [("", 0), ("a", 1), ("a", 1)]
+    assert secretscan.redacted(df).columns == df.columns and secretscan.op4(spark, df.limit(0)).count() == 0
+
+
 # 5. PII
 
 

@@ -3,12 +3,14 @@
 Method. Source and configuration syntax (``name = literal``, ``name: literal``, ``"name": "literal"``,
 ``export NAME=literal``, ``name := literal``, ``name => literal``, ``<name>literal</name>``) is lexed into name-literal
 pairs wherever an assignment sign stands. A right-hand side may join quoted literals with ``+`` or ``.`` and may name
-an earlier constant of the same text, whose literals then count for the new name too. A literal is scored by the target
+an earlier constant of the same text, whose literals then count for the new name too; a name means what it was given last.
+Of strings over several lines (triple quotes, indented blocks after ``name: |``) every line is a literal. A literal is scored by the target
 name (sensitive words such as password, secret, token, key) and by its own shape (length, character classes, entropy);
 those of ``SCORE`` or more are secrets. Patterns with a form of their own (assign, access, hex) are always reported.
 
 Defined results: a null or empty text has no spans; offsets count code points, ends are exclusive; of equal spans
-of one kind one is kept; repeated rows give equal rows; extra columns are ignored.
+of one kind one is kept; texts, names and literals may have any length (work is linear in the text); an empty table gives no
+row; repeated rows give equal rows; an id may be of any type or null; extra columns are ignored (kept by :func:`redacted`).
 """
 
 from __future__ import annotations
@@ -44,7 +46,11 @@ _NAME_START = re.compile(r"\b[A-Za-z_]")
 _QUOTED = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
 _JOIN = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`A-Za-z_])")
 _BARE = re.compile(r"[ \t]*([^\s\"'`,;<>(){}\[\]|]+)")
+_INNER = re.compile(r"[ \t]*([^\s\"'`,;<>(){}\[\]|&=:]+={0,2})")
 _NAME = re.compile(r"[ \t]*([A-Za-z_][A-Za-z0-9_]*+)(?!\()")
+_LONG = re.compile(r"""[ \t]*[rbfRBF]{0,2}(\"{3}|'{3})""")
+_BLOCK = re.compile(r"[ \t]*[|>][0-9+-]*[ \t]*(?=\n)")
+_LINE = re.compile(r"[^\n]+")
 _TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\n]{8,}+)</\1>")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x{4,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|change_?me|example|placeholder|none|null|true|false|undefined|your[_-].*)$")
@@ -85,6 +91,38 @@ def _left(text: str, at: int) -> str | None:
     return text[start.start() : end] if start else None
 
 
+def _indent(text: str, at: int) -> int:
+    """Blanks before the first other character of the line that ends at ``at`` or goes on there."""
+    start = text.rfind("\n", 0, at) + 1
+    end = start
+    while end < at and text[end] in " -":  # a list item indents as its dash
+        end += 1
+    return end - start
+
+
+def _lines(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Spans of the lines between, without blanks around them."""
+    out = []
+    for m in _LINE.finditer(text, start, end):
+        line = m[0].strip()
+        if line:
+            s = m.start() + len(m[0]) - len(m[0].lstrip())
+            out.append((s, s + len(line)))
+    return out
+
+
+def _block(text: str, at: int, least: int) -> int:
+    """The end of the lines from ``at`` on that are indented by more than ``least`` blanks, or empty."""
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if line.strip() and len(line) - len(line.lstrip(" ")) <= least:
+            return at
+        at = end + 1
+    return len(text)
+
+
 class _Value:
     """The literals of a right-hand side and the constants in it; ``best`` is the highest score of a name that has them."""
 
@@ -104,38 +142,47 @@ class _Value:
                 todo += v.parts
 
 
+def _term(text: str, at: int, constants: dict[str, _Value], value: _Value) -> int:
+    """Adds the quoted literal or the constant at ``at`` to ``value``; where it ends, or -1."""
+    if q := _QUOTED.match(text, at):
+        value.spans.append((q.start(q.lastindex), q.end(q.lastindex)))
+        return q.end()
+    if (ref := _NAME.match(text, at)) and ref[1] in constants:
+        value.parts.append(constants[ref[1]])
+        return ref.end()
+    return -1
+
+
 def pairs(text: str):
     """(name, start, end) of literals with constants propagated; only for names of a score above 0 and above earlier ones of the literal."""
     constants: dict[str, _Value] = {}
+    unclosed: dict[str, int] = {}  # long quotes that nothing closes from here on
+    covered = 0  # end of the last bare literal; one that begins inside it ends at the next sign
     for sign in _SIGN.finditer(text):
         name, pos, value = _left(text, sign.start()), sign.end(), _Value()
         if not name or text.startswith("//", pos):
             continue
         if text.startswith("=", pos):  # a comparison
             continue
-        while True:
-            q = _QUOTED.match(text, pos)
-            if q:
-                g = q.lastindex
-                value.spans.append((q.start(g), q.end(g)))
-                pos = q.end()
+        long = _LONG.match(text, pos)
+        if long and unclosed.get(long[1], len(text)) > long.end():
+            end = text.find(long[1], long.end())
+            if end < 0:
+                unclosed[long[1]] = long.end()
             else:
-                ref = _NAME.match(text, pos)
-                if ref and ref[1] in constants:
-                    value.parts.append(constants[ref[1]])
-                    pos = ref.end()
-                elif not value.spans and not value.parts and (bare := _BARE.match(text, pos)):
-                    stop = bare.end(1)
-                    while stop > bare.start(1) and text[stop - 1] in ".,;:!?":
-                        stop -= 1
-                    value.spans.append((bare.start(1), stop))
-                    break
-                else:
-                    break
-            more = _JOIN.match(text, pos)
-            if not more:
-                break
-            pos = more.end()
+                value.spans = _lines(text, long.end(), end)
+        elif sign[0] == ":" and (opened := _BLOCK.match(text, pos)):
+            value.spans = _lines(text, opened.end() + 1, _block(text, opened.end() + 1, _indent(text, sign.start())))
+        if not value.spans:
+            at = _term(text, pos, constants, value)
+            if at < 0 and (bare := (_INNER if pos < covered else _BARE).match(text, pos)):
+                stop = bare.end(1)
+                covered = max(covered, stop)
+                while stop > bare.start(1) and text[stop - 1] in ".,;:!?":
+                    stop -= 1
+                value.spans.append((bare.start(1), stop))
+            while at >= 0 and (more := _JOIN.match(text, at)):
+                at = _term(text, more.end(), constants, value)
         if value.spans or value.parts:
             if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
                 constants[name] = value
@@ -216,4 +263,5 @@ def op4(spark, docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
