@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from ..sources.files import cut
 
+#: Two graphs of all line items: g joins 5 segments and 25 nations, sp some thousand parts' kinds and suppliers, so it is sparse.
 #: One session a month; a relation per line item. (order, line) is not unique, so ids are numbered in a total order.
 BASE = """
 e AS (
     SELECT session, 'r' || lpad(CAST(row_number() OVER (PARTITION BY session ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS VARCHAR(10)), 6, '0') AS id,
-           from_label, to_label, glyph, confidence, label, l_quantity AS quantity, l_tax AS tax, brand
+           from_label, to_label, from_wide, to_wide, glyph, confidence, label, l_quantity AS quantity, l_tax AS tax, brand
     FROM (
         SELECT l.*, {month} AS session, c.c_mktsegment AS from_label, n.n_name AS to_label,
                CASE WHEN l.l_returnflag = 'R' THEN 'arrow' WHEN l.l_returnflag = 'A' THEN 'wave' WHEN l.l_linestatus = 'O' THEN 'double' ELSE 'isa' END AS glyph,
-               round(1 - l.l_discount, 2) AS confidence, p.p_name AS label, p.p_brand AS brand
+               round(1 - l.l_discount, 2) AS confidence, p.p_name AS label, p.p_brand AS brand, p.p_brand || '/' || p.p_size AS from_wide, s.s_name AS to_wide
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
         JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey
     ) x
@@ -23,8 +25,15 @@ labels_all AS (
     SELECT DISTINCT c_mktsegment AS label, 'comm_seg' AS community_id FROM customer
     UNION SELECT DISTINCT n_name, 'comm_' || CAST(n_nationkey % 5 AS VARCHAR(2)) FROM nation
 ),
-n AS (SELECT s.session, l.label AS id, l.label, l.community_id FROM (SELECT DISTINCT session FROM e) s CROSS JOIN labels_all l),
-g AS (SELECT session, id, from_label AS "from", to_label AS "to", label, glyph, confidence, quantity, tax, brand FROM e)
+months AS (SELECT DISTINCT {month} AS session FROM orders o),
+n AS (SELECT s.session, l.label AS id, l.label, l.community_id FROM months s CROSS JOIN labels_all l),
+g AS (SELECT session, id, from_label AS "from", to_label AS "to", label, glyph, confidence, quantity, tax, brand FROM e),
+labels_wide AS (
+    SELECT DISTINCT p_brand || '/' || p_size AS label, 'comm_' || CAST(p_size % 25 AS VARCHAR(2)) AS community_id FROM part
+    UNION SELECT DISTINCT s_name, 'comm_' || CAST(s_nationkey AS VARCHAR(2)) FROM supplier
+),
+nw AS (SELECT s.session, l.label AS id, l.label, l.community_id FROM months s CROSS JOIN labels_wide l),
+sp AS (SELECT session, id, from_wide AS "from", to_wide AS "to", label, glyph, confidence, quantity, tax, brand FROM e)
 """
 MONTH = {"spark": "date_format(o.o_orderdate, 'yyyyMM')", "duckdb": "strftime(o.o_orderdate, '%Y%m')"}
 TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "part")
@@ -55,14 +64,13 @@ def relation(spark: SparkSession, sf_dir: str, name: str, base: str = BASE, tabl
     return spark.sql(f"WITH {base.format(month=MONTH['spark'])} SELECT * FROM {name}".replace('"', "`"))
 
 
-def edges(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """Edges with ids as ends; ``sparse``: only those of quantity 1."""
-    g = relation(spark, sf_dir, "g")
-    return g.where("quantity = 1") if sparse else g
+def edges(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """Edges with ids as ends, of the dense or of the wide graph; derived once, as operators read them several times."""
+    return cut(relation(spark, sf_dir, "sp" if wide else "g"))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, "n")
+def nodes(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    return relation(spark, sf_dir, "nw" if wide else "n")
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,15 +41,14 @@ def undirected_projection(spark, sf_dir):
     return graph.undirected(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir)).withColumn("weight", F.round("weight", 4))
 
 
-_SPARSE = demo.BASE + """, sp AS (SELECT * FROM g WHERE quantity = 1),
-ends AS (SELECT session, "from" AS id, "to" AS other FROM sp UNION ALL SELECT session, "to", "from" FROM sp),
-deg AS (SELECT n.session, n.id, n.community_id, count(DISTINCT other) AS degree, count(other) AS incident FROM n LEFT JOIN ends USING (session, id) GROUP BY 1, 2, 3)"""
+_SPARSE = demo.BASE + """, ends AS (SELECT session, "from" AS id, "to" AS other FROM sp UNION ALL SELECT session, "to", "from" FROM sp),
+deg AS (SELECT nw.session, nw.id, nw.community_id, count(DISTINCT other) AS degree, count(other) AS incident FROM nw LEFT JOIN ends USING (session, id) GROUP BY 1, 2, 3)"""
 
 
 @query(demo.duckdb("SELECT session, id, degree, incident FROM deg", _SPARSE))
 def node_degrees(spark, sf_dir):
     """A5: distinct neighbours and incident rows."""
-    return graph.degree(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True))
+    return graph.degree(demo.nodes(spark, sf_dir, True), demo.edges(spark, sf_dir, True))
 
 
 @query(demo.duckdb("""SELECT least(from_label, to_label) AS a, greatest(from_label, to_label) AS b, CAST(count(*) AS DOUBLE) AS weight FROM e GROUP BY 1, 2"""))
@@ -59,22 +58,24 @@ def corpus_undirected_weights(spark, sf_dir):
     return corpus.undirected_weights(e.groupBy("from_norm", "to_norm", "glyph").agg(F.count("*").alias("weight")))
 
 
-@query(demo.duckdb("""SELECT CAST(rank AS BIGINT) AS rank, 'node' AS kind, session, id, label, exact FROM (
-    SELECT *, row_number() OVER (ORDER BY exact DESC, session DESC, label, id) AS rank FROM (SELECT session, id, label, lower(label) = 'nation_1' AS exact FROM n WHERE contains(lower(label), 'nation_1')) x) y WHERE rank <= 50"""))
+@query(demo.duckdb("""SELECT CAST(rank AS BIGINT) AS rank, kind, session, id, label, exact FROM (
+    SELECT 'node' AS kind, session, id, label, exact, row_number() OVER (ORDER BY exact DESC, session DESC, lower(label), id) AS rank FROM (SELECT session, id, label, lower(label) = 'supplier#000000001' AS exact FROM nw WHERE contains(lower(label), 'supplier#000000001')) x
+    UNION ALL SELECT 'edge', session, id, label, false, row_number() OVER (ORDER BY session DESC, lower(f), lower(t), id) + (SELECT count(*) FROM nw WHERE contains(lower(label), 'supplier#000000001')) AS rank
+    FROM (SELECT session, id, label, "from" AS f, "to" AS t FROM sp WHERE contains(lower(label || chr(10) || "to"), 'supplier#000000001')) z) y WHERE rank <= 500"""))
 def label_search(spark, sf_dir):
-    """Substring search, exact labels first, then the newest session."""
-    n = demo.nodes(spark, sf_dir).select("session", F.col("id").alias("node_id"), "label", ascii_norm(F.col("label")).alias("label_norm"), F.lit(0.0).alias("importance"))
-    e = demo.edges(spark, sf_dir, True).select("session", F.col("id").alias("edge_id"), F.col("from").alias("from_norm"), F.col("to").alias("to_norm"), "label", F.lit("").alias("evidence"))
-    return corpus.search(n, e, "nation_1", 50).withColumn("rank", F.col("rank").cast("long"))
+    """Substring search, exact labels first, then the newest session; edges with the text in their evidence fill up."""
+    n = demo.nodes(spark, sf_dir, True).select("session", F.col("id").alias("node_id"), "label", ascii_norm(F.col("label")).alias("label_norm"), F.lit(0.0).alias("importance"))
+    e = demo.edges(spark, sf_dir, True).select("session", F.col("id").alias("edge_id"), ascii_norm(F.col("from")).alias("from_norm"), ascii_norm(F.col("to")).alias("to_norm"), "label", F.col("to").alias("evidence"))
+    return corpus.search(n, e, "Supplier#000000001", 500).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(demo.duckdb("""SELECT session, id, min(hop) AS hop FROM (
-      SELECT session, id, 0 AS hop FROM n WHERE id = 'nation_1' UNION ALL SELECT session, other, 1 FROM ends WHERE id = 'nation_1'
-      UNION ALL SELECT a.session, b.other, 2 FROM ends a JOIN ends b ON a.session = b.session AND a.other = b.id WHERE a.id = 'nation_1') x GROUP BY 1, 2""", _SPARSE))
+      SELECT session, id, 0 AS hop FROM nw WHERE id = 'Supplier#000000001' UNION ALL SELECT session, other, 1 FROM ends WHERE id = 'Supplier#000000001'
+      UNION ALL SELECT a.session, b.other, 2 FROM ends a JOIN ends b ON a.session = b.session AND a.other = b.id WHERE a.id = 'Supplier#000000001') x GROUP BY 1, 2""", _SPARSE))
 def two_hop_neighborhood(spark, sf_dir):
     """GR3: nodes within two hops of a seed in every session."""
-    n = demo.nodes(spark, sf_dir)
-    got, _ = graph.neighborhood(n, demo.edges(spark, sf_dir, True), n.where("id = 'nation_1'"), 2, 1000)
+    n = demo.nodes(spark, sf_dir, True)
+    got, _ = graph.neighborhood(n, demo.edges(spark, sf_dir, True), n.where("id = 'Supplier#000000001'"), 2, 100_000)
     return got.select("session", "id", "hop")
 
 
@@ -82,22 +83,22 @@ def two_hop_neighborhood(spark, sf_dir):
     CASE WHEN degree = 0 THEN 'data' ELSE 'unknown' END AS presumed_type, 'degree=' || degree AS signal FROM deg WHERE degree <= 1""", _SPARSE))
 def gaps_structural(spark, sf_dir):
     """GR7: isolated and weakly linked nodes."""
-    return gaps.structural(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True)).select("session", "gap_id", "confidence", "presumed_type", "signal")
+    return gaps.structural(demo.nodes(spark, sf_dir, True), demo.edges(spark, sf_dir, True)).select("session", "gap_id", "confidence", "presumed_type", "signal")
 
 
 @query(demo.duckdb("""SELECT x.session, 'gap-bridge-' || x.c || '-' || y.c AS gap_id FROM
-    (SELECT DISTINCT session, community_id AS c FROM n) x JOIN (SELECT DISTINCT session, community_id AS c FROM n) y ON x.session = y.session AND x.c < y.c
-    WHERE NOT EXISTS (SELECT 1 FROM sp JOIN n a ON a.session = sp.session AND a.id = sp."from" JOIN n b ON b.session = sp.session AND b.id = sp."to"
-        WHERE sp.session = x.session AND least(a.community_id, b.community_id) = x.c AND greatest(a.community_id, b.community_id) = y.c)""", _SPARSE))
+    (SELECT DISTINCT session, community_id AS c FROM nw) x JOIN (SELECT DISTINCT session, community_id AS c FROM nw) y ON x.session = y.session AND x.c < y.c
+    LEFT JOIN (SELECT DISTINCT sp.session, least(a.community_id, b.community_id) AS lo, greatest(a.community_id, b.community_id) AS hi FROM sp JOIN nw a ON a.session = sp.session AND a.id = sp."from" JOIN nw b ON b.session = sp.session AND b.id = sp."to") l
+        ON l.session = x.session AND l.lo = x.c AND l.hi = y.c WHERE l.session IS NULL""", _SPARSE))
 def gaps_bridges(spark, sf_dir):
     """GR7: pairs of communities without an edge between them."""
-    return gaps.bridges(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True)).select("session", "gap_id")
+    return gaps.bridges(demo.nodes(spark, sf_dir, True), demo.edges(spark, sf_dir, True)).select("session", "gap_id")
 
 
 @query(demo.duckdb("""SELECT session, community_id, arg_min(id, printf('%08d', 10000000 - incident) || id) AS id FROM deg GROUP BY 1, 2""", _SPARSE))
 def community_representatives(spark, sf_dir):
     """GR11: the node with most incident rows."""
-    return graph.representative(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True))
+    return graph.representative(demo.nodes(spark, sf_dir, True), demo.edges(spark, sf_dir, True))
 
 
 _RANKED = _SPARSE + """, r0 AS (SELECT session, id, community_id AS community, incident,
@@ -105,9 +106,9 @@ _RANKED = _SPARSE + """, r0 AS (SELECT session, id, community_id AS community, i
          ELSE (incident - min(incident) OVER (PARTITION BY session)) * 1.0 / (max(incident) OVER (PARTITION BY session) - min(incident) OVER (PARTITION BY session)) END AS total FROM deg)"""
 
 
-def _ranked(spark, sf_dir, sparse=True):
-    n = demo.nodes(spark, sf_dir)
-    d = graph.degree(n, demo.edges(spark, sf_dir, sparse)).join(n, ["session", "id"])
+def _ranked(spark, sf_dir):
+    n = demo.nodes(spark, sf_dir, True)
+    d = graph.degree(n, demo.edges(spark, sf_dir, True)).join(n, ["session", "id"])
     return d.select("session", "id", F.col("community_id").alias("community"), levels.min_max(F.col("incident").cast("double"), ["session"]).alias("total"), F.lit(False).alias("pinned"))
 
 
@@ -118,10 +119,10 @@ def min_max_scaling(spark, sf_dir):
 
 
 @query(demo.duckdb("""SELECT session, id FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY cls, CASE WHEN cls = 1 THEN -size ELSE 0 END, CASE WHEN cls = 1 THEN community ELSE '' END, total DESC, id) AS rank FROM (
-      SELECT *, CASE WHEN row_number() OVER (PARTITION BY session, community ORDER BY total DESC, id) = 1 THEN 1 ELSE 2 END AS cls, count(*) OVER (PARTITION BY session, community) AS size FROM r0) x) y WHERE rank <= 12""", _RANKED))
+      SELECT *, CASE WHEN row_number() OVER (PARTITION BY session, community ORDER BY total DESC, id) = 1 THEN 1 ELSE 2 END AS cls, count(*) OVER (PARTITION BY session, community) AS size FROM r0) x) y WHERE rank <= 40""", _RANKED))
 def quota_top_k(spark, sf_dir):
     """One node per community first, then by rank."""
-    return levels.select_k(_ranked(spark, sf_dir), 12).select("session", "id")
+    return levels.select_k(_ranked(spark, sf_dir), 40).select("session", "id")
 
 
 @query("""SELECT level, total, CASE WHEN total <= lo THEN total ELSE least(hi, total, greatest(lo, CAST(round_even(ratio * total, 0) AS INTEGER))) END AS k
@@ -136,7 +137,7 @@ def level_targets(spark, sf_dir):
     return out
 
 
-_VISIBLE = _RANKED + """, vis AS (SELECT session, id, community FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY total DESC, id) AS rk FROM r0) v WHERE rk <= 12),
+_VISIBLE = _RANKED + """, vis AS (SELECT session, id, community FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY total DESC, id) AS rk FROM r0) v WHERE rk <= 100),
 hid AS (SELECT r0.* FROM r0 LEFT JOIN vis USING (session, id) WHERE vis.id IS NULL),
 agg AS (SELECT session, community, 'agg-' || community AS agg_id, count(*) AS members, arg_min(id, printf('%012.8f', 1 - total) || id) AS representative FROM hid GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
@@ -144,14 +145,14 @@ agg AS (SELECT session, community, 'agg-' || community AS agg_id, count(*) AS me
 def _visible(spark, sf_dir):
     r = cut(_ranked(spark, sf_dir))
     top = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("total"), "id"))
-    return r, r.withColumn("rk", top).where("rk <= 12").select("session", F.lit("overview").alias("level"), "id")
+    return r, r.withColumn("rk", top).where("rk <= 100").select("session", F.lit("overview").alias("level"), "id")
 
 
 @query(demo.duckdb("SELECT session, agg_id AS id, members, representative FROM agg", _VISIBLE))
 def hidden_aggregates(spark, sf_dir):
     """A10: hidden members folded per community."""
     r, v = _visible(spark, sf_dir)
-    a = levels.build_aggregates(_spanless(demo.nodes(spark, sf_dir)), r, v)
+    a = levels.build_aggregates(_spanless(demo.nodes(spark, sf_dir, True)), r, v)
     return a.select("session", "id", F.size("members").cast("long").alias("members"), "representative")
 
 
@@ -163,7 +164,7 @@ def hidden_aggregates(spark, sf_dir):
 def level_edges(spark, sf_dir):
     """Edges moved to aggregates and merged, with the surest glyph."""
     r, v = _visible(spark, sf_dir)
-    a = levels.build_aggregates(_spanless(demo.nodes(spark, sf_dir)), r, v)
+    a = levels.build_aggregates(_spanless(demo.nodes(spark, sf_dir, True)), r, v)
     e = levels.level_edges(demo.edges(spark, sf_dir, True), v, a)
     return e.select("session", "from", "to", "id", F.size("member_edge_ids").cast("long").alias("members"), "glyph")
 
@@ -218,25 +219,26 @@ def relation_policy(spark, sf_dir):
     return policy_stats(apply_relation_policy(e, verdict=F.col("quantity") <= 40)).select("causal_kept", "causal_demoted", "unchanged")
 
 
-@query(demo.duckdb("""SELECT session, community, "from", "to", glyph, CAST(rank AS INTEGER) AS rank FROM (SELECT sp.session, a.community_id AS community, sp."from", sp."to", sp.glyph, sp.id,
-    row_number() OVER (PARTITION BY sp.session, a.community_id ORDER BY sp."from", sp."to", sp.glyph, sp.id) AS rank FROM (SELECT session, id, "to" AS "from", 'nation_' || ((CAST(substr("to", 8) AS INTEGER) + 5) % 25) AS "to", glyph FROM sp) sp
-    JOIN n a ON a.session = sp.session AND a.id = sp."from" JOIN n b ON b.session = sp.session AND b.id = sp."to" AND b.community_id = a.community_id) x WHERE rank <= 3""", _SPARSE))
+@query(demo.duckdb("""SELECT session, community, "from", "to", glyph, CAST(rank AS INTEGER) AS rank FROM (SELECT sp.session, a.community_id AS community, sp."from", sp."to", sp.glyph,
+    row_number() OVER (PARTITION BY sp.session, a.community_id ORDER BY sp."from", sp."to", sp.glyph, sp.id) AS rank FROM sp
+    JOIN nw a ON a.session = sp.session AND a.id = sp."from" JOIN nw b ON b.session = sp.session AND b.id = sp."to" AND b.community_id = a.community_id) x WHERE rank <= 3""", _SPARSE))
 def community_relations(spark, sf_dir):
     """GR12: the first relations inside each community of every session."""
-    n = demo.nodes(spark, sf_dir).select(F.concat_ws("/", "session", "community_id").alias("community"), F.concat_ws("/", "session", "id").alias("id"))
-    e = demo.edges(spark, sf_dir, True).select("session", "id", F.col("to").alias("from"), F.concat(F.lit("nation_"), ((F.substring("to", 8, 3).cast("int") + 5) % 25).cast("string")).alias("to"), "glyph")
-    e = e.withColumns({"from": F.concat_ws("/", "session", "from"), "to": F.concat_ws("/", "session", "to")})
+    n = demo.nodes(spark, sf_dir, True).select(F.concat_ws("|", "session", "community_id").alias("community"), F.concat_ws("|", "session", "id").alias("id"))
+    e = demo.edges(spark, sf_dir, True).select("session", "id", F.concat_ws("|", "session", "from").alias("from"), F.concat_ws("|", "session", "to").alias("to"), "glyph")
     out = graph.community_relations(e, n, 3)
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    last = lambda c: F.element_at(F.split(c, "[|]"), -1)
     return out.select("session", last("community").alias("community"), last("from").alias("from"), last("to").alias("to"), "glyph", "rank")
 
 
-@query(demo.duckdb("""SELECT a AS id, min(b) AS component FROM (WITH RECURSIVE p AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity = 1 AND l_discount = 0.05),
-    u AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT a, a AS b FROM u UNION SELECT w.a, u.b FROM w JOIN u ON w.b = u.a) SELECT a, b FROM w) x GROUP BY 1"""))
+@query("""SELECT a AS id, min(b) AS component FROM (WITH RECURSIVE p AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION SELECT 'c' || c_custkey, 'b' || CAST(floor(c_acctbal) AS INTEGER) FROM customer),
+    u AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT a, a AS b FROM u UNION SELECT w.a, u.b FROM w JOIN u ON w.b = u.a) SELECT a, b FROM w) x GROUP BY 1""")
 def graph_components(spark, sf_dir):
-    """Connected components of suppliers and parts in sparse line items."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity = 1 and l_discount = 0.05")
-    return graph.connected_components(li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")).distinct())
+    """Connected components of all orders, their customers and equal balances."""
+    pair = lambda t, a, b, x, y: t.select(F.concat(F.lit(x), F.col(a).cast("string")).alias("a"), F.concat(F.lit(y), b.cast("string")).alias("b"))
+    o, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    p = pair(o, "o_orderkey", F.col("o_custkey"), "o", "c").unionByName(pair(c, "c_custkey", F.floor("c_acctbal").cast("int"), "c", "b"))
+    return graph.connected_components(p.distinct())
 
 
 @query()
@@ -251,7 +253,22 @@ def session_communities(spark, sf_dir):
     return graph.communities(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir))
 
 
-@query()
+#: Every size is tried: its shown nodes, and the communities that are left with two hidden ones or more.
+_SELECTED = _RANKED + """, lv(level, lo, hi, ratio) AS (VALUES ('overview', 10, 20, 0.35), ('standard', 20, 50, 0.7), ('detailed', 50, 100, 1.0)),
+o AS (SELECT session, id, community, total, row_number() OVER (PARTITION BY session ORDER BY cls, CASE WHEN cls = 1 THEN -size ELSE 0 END, CASE WHEN cls = 1 THEN community ELSE '' END, total DESC, id) AS rk, size FROM (
+    SELECT *, CASE WHEN row_number() OVER (PARTITION BY session, community ORDER BY total DESC, id) = 1 THEN 1 ELSE 2 END AS cls, count(*) OVER (PARTITION BY session, community) AS size FROM r0) x),
+t AS (SELECT session, level, hi, n, groups, CASE WHEN n <= lo THEN n ELSE least(hi, n, greatest(lo, CAST(round_even(ratio * n, 0) AS INTEGER))) END AS k0 FROM (SELECT session, count(*) AS n, count(DISTINCT community) AS groups FROM o GROUP BY 1) y, lv),
+ks AS (SELECT session, level, hi, groups, k0, unnest(range(least(k0, groups), k0 + 1)) AS k FROM t),
+cm AS (SELECT session, community, count(*) AS size, max(total) AS best FROM o GROUP BY 1, 2),
+shown AS (SELECT ks.session, level, k, community, count(*) AS m FROM ks JOIN o ON o.session = ks.session AND o.rk <= k GROUP BY ALL),
+folded AS (SELECT ks.session, ks.level, ks.k, ks.hi, ks.k0, ks.groups, count(*) FILTER (WHERE cm.size - coalesce(m, 0) >= 2) AS f FROM ks JOIN cm ON cm.session = ks.session LEFT JOIN shown s ON s.session = ks.session AND s.level = ks.level AND s.k = ks.k AND s.community = cm.community GROUP BY ALL),
+best AS (SELECT session, level, hi, CASE WHEN k0 <= groups THEN k0 ELSE coalesce(max(k) FILTER (WHERE k + f <= hi), groups) END AS k FROM folded GROUP BY session, level, hi, k0, groups),
+over AS (SELECT b.session, b.level, b.k, b.k + f.f - b.hi AS excess FROM best b JOIN folded f USING (session, level, k)),
+lone AS (SELECT v.session, v.level, v.excess, s.community, CASE WHEN cm.size > 2 THEN 1 ELSE 0 END AS won, cm.best FROM over v JOIN shown s USING (session, level, k) JOIN cm ON cm.session = v.session AND cm.community = s.community WHERE s.m = 1 AND cm.size >= 2),
+gone AS (SELECT session, level, community FROM (SELECT *, coalesce(sum(won) OVER (PARTITION BY session, level ORDER BY best, community ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lone) z WHERE excess > before)"""
+
+
+@query(demo.duckdb("""SELECT v.session, v.level, o.id FROM over v JOIN o ON o.session = v.session AND o.rk <= v.k LEFT JOIN gone ON gone.session = v.session AND gone.level = v.level AND gone.community = o.community WHERE gone.session IS NULL""", _SELECTED))
 def level_selection(spark, sf_dir):
-    """T4: the nodes of every level after shrinking to its band (unit-tested)."""
-    return levels.select_nodes(_ranked(spark, sf_dir, False))
+    """T4: the nodes of every level after shrinking to its band."""
+    return levels.select_nodes(cut(_ranked(spark, sf_dir)))

@@ -102,19 +102,19 @@ def correction_rate(spark, sf_dir):
     return evaluate.correction_rate(_sessions(spark, sf_dir)).withColumn("corrections", F.col("corrections").cast("long")).select("maps", "corrections", "per_map")
 
 
-_GAPS = "SELECT CAST(event_id % 40 AS VARCHAR(5)) AS gap, event_id, CASE WHEN event_type = 'click' THEN 'confirm' WHEN event_type = 'view' THEN 'dismiss' END AS decision FROM events"
+_GAPS = "SELECT CAST(event_id % 400 AS VARCHAR(5)) AS gap, event_id, CASE WHEN event_type = 'click' THEN 'confirm' WHEN event_type = 'view' THEN 'dismiss' END AS decision FROM events"
 
 
 @query(f"""SELECT session, count(*) AS total_candidates, count(d) AS decided, count_if(d = 'confirm') AS confirmed, round(CASE WHEN count(d) > 0 THEN count_if(d = 'confirm') / count(d) END, 3) AS usefulness_rate FROM (
-    SELECT CAST(CAST(gap AS INTEGER) % 5 AS VARCHAR(5)) AS session, gap, arg_min(decision, event_id) FILTER (WHERE decision IS NOT NULL AND event_id % 11 = 0) AS d FROM ({_GAPS}) g GROUP BY 1, 2) x GROUP BY 1""")
+    SELECT CAST(CAST(gap AS INTEGER) % 5 AS VARCHAR(5)) AS session, gap, arg_min(decision, event_id) FILTER (WHERE decision IS NOT NULL) AS d FROM ({_GAPS}) g GROUP BY 1, 2) x GROUP BY 1""")
 def gap_decisions(spark, sf_dir):
     """The first decision on a gap counts; usefulness among the decided."""
     e = table(spark, sf_dir, "events")
-    gap = (F.col("event_id") % 40).cast("string")
-    s = (F.col("event_id") % 40 % 5).cast("string")
+    gap = (F.col("event_id") % 400).cast("string")
+    s = (F.col("event_id") % 400 % 5).cast("string")
     g = e.select(s.alias("session"), gap.alias("gap_id"), F.lit("candidate").alias("status")).distinct()
     d = F.when(F.col("event_type") == "click", "confirm").when(F.col("event_type") == "view", "dismiss")
-    dec = e.where("event_id % 11 = 0").select(s.alias("session"), gap.alias("gap_id"), d.alias("decision"), F.lit("u").alias("user_id"), F.lit("t").alias("ts"), F.col("event_id").alias("seq"))
+    dec = e.select(s.alias("session"), gap.alias("gap_id"), d.alias("decision"), F.lit("u").alias("user_id"), F.lit("t").alias("ts"), F.col("event_id").alias("seq"))
     return gaps.usefulness(gaps.decide(g, dec), ["session"]).select("session", "total_candidates", "decided", "confirmed", "usefulness_rate")
 
 

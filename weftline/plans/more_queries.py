@@ -25,10 +25,10 @@ def member_fingerprints(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(member_fingerprint(F.collect_list("c_mktsegment")).alias("fingerprint"))
 
 
-@query(demo.duckdb("""SELECT session, id FROM g WHERE quantity > 5 AND NOT EXISTS (SELECT 1 FROM g j WHERE j.quantity = 50 AND j."from" = g."from" AND j."to" = g."to")"""))
+@query(demo.duckdb("""SELECT sp.session, sp.id FROM sp LEFT JOIN (SELECT DISTINCT "from", "to" FROM sp WHERE quantity = 50) j ON j."from" = sp."from" AND j."to" = sp."to" WHERE sp.quantity > 5 AND j."from" IS NULL"""))
 def unlabeled_relations(spark, sf_dir):
     """Relations that nobody judged, by id or by labels."""
-    e = demo.edges(spark, sf_dir).select("session", F.col("id").alias("edge_id"), F.col("from").alias("from_norm"), F.col("to").alias("to_norm"), F.lit(None).cast("string").alias("origin"), "quantity")
+    e = demo.edges(spark, sf_dir, True).select("session", F.col("id").alias("edge_id"), F.col("from").alias("from_norm"), F.col("to").alias("to_norm"), F.lit(None).cast("string").alias("origin"), "quantity")
     lab = e.where("quantity = 50").select(F.lit(None).cast("string").alias("session"), F.lit(None).cast("string").alias("edge_id"), "from_norm", "to_norm")
     lab = lab.unionByName(e.where("quantity <= 5").select("session", "edge_id", F.lit("").alias("from_norm"), F.lit("").alias("to_norm")))
     return evaluate.unlabeled(e, lab).select("session", F.col("edge_id").alias("id"))
@@ -43,24 +43,24 @@ def refute_candidates(spark, sf_dir):
     return layers.refute_candidates(c).select("session", "a", "b", "rank")
 
 
-_TERMS = "SELECT DISTINCT lower(regexp_extract(text, '^([A-Za-z]{4,})', 1)) AS term FROM benchmark WHERE regexp_matches(text, '^[A-Za-z]{4,}')"
+_TERMS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark"
 
 
 @query(f"""WITH v AS ({_TERMS}), q AS (SELECT DISTINCT text AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL), h AS (SELECT question, term FROM q JOIN v ON contains(lower(question), term))
     SELECT md5(question) AS question, term FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY length(term) DESC, term) AS rk FROM h WHERE NOT EXISTS (SELECT 1 FROM h l WHERE l.question = h.question AND l.term <> h.term AND contains(l.term, h.term))) x WHERE rk <= 6""")
 def question_terms(spark, sf_dir):
     """Vocabulary terms in a question, without those inside a longer one."""
-    v = table(spark, sf_dir, "benchmark").select(F.lower(F.regexp_extract("text", "^([A-Za-z]{4,})", 1)).alias("term")).where("term <> ''").distinct()
+    v = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term")).distinct()
     q = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").select(F.col("text").alias("question")).distinct()
     return corpus.known_terms(q, v).select(F.md5(F.col("question").cast("binary")).alias("question"), "term")
 
 
-@query("""SELECT community, score, size, CAST(row_number() OVER (ORDER BY score DESC, size DESC, community) AS INTEGER) AS rank FROM (SELECT p_brand AS community, count(DISTINCT p_type) FILTER (WHERE contains(p_type, 'a') OR contains('ab', p_type)) AS score, count(DISTINCT p_type) AS size FROM part GROUP BY 1) x
+@query("""SELECT community, score, size, CAST(row_number() OVER (ORDER BY score DESC, size DESC, community) AS INTEGER) AS rank FROM (SELECT p_brand AS community, count(DISTINCT p_type) FILTER (WHERE contains(p_type, 'AR') OR contains('LARGE ECONOMY', p_type)) AS score, count(DISTINCT p_type) AS size FROM part GROUP BY 1) x
     WHERE score > 0 QUALIFY rank <= 3""")
 def ranked_communities(spark, sf_dir):
     """The communities that overlap the terms most."""
     m = table(spark, sf_dir, "part").select(F.col("p_brand").alias("community"), F.col("p_type").alias("member"))
-    t = spark.createDataFrame([("a",), ("ab",)], "term string")
+    t = spark.createDataFrame([("AR",), ("LARGE ECONOMY",)], "term string")
     return corpus.rank_communities(m, t).select("community", "score", "size", "rank")
 
 
@@ -113,13 +113,12 @@ def edit_numbers(spark, sf_dir):
     return editlog.numbered(e, known).select(F.col("session").cast("long").alias("user_id"), F.col("seq").alias("event_id"), "edit_id")
 
 
-@query("""WITH RECURSIVE s AS (SELECT DISTINCT 'n' || (l_orderkey % 40) AS c, 'n' || (l_partkey % 40) AS p FROM lineitem WHERE l_quantity = 2 AND l_discount = 0.03 AND l_tax < 0.02), r AS (SELECT c, p FROM s UNION SELECT r.c, s.p FROM r JOIN s ON r.p = s.c)
+@query("""WITH RECURSIVE s AS (SELECT 'n' || c_custkey AS c, 'n' || c_nationkey AS p FROM customer UNION SELECT 'n' || s_suppkey, 'n' || s_nationkey FROM supplier), r AS (SELECT c, p FROM s UNION SELECT r.c, s.p FROM r JOIN s ON r.p = s.c)
     SELECT c AS id FROM r WHERE c = p""")
 def ontology_cycles(spark, sf_dir):
-    """GR5: concepts on a cycle."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity = 2 and l_discount = 0.03 and l_tax < 0.02")
-    r = li.select(F.lit("s").alias("session"), F.concat(F.lit("n"), (F.col("l_orderkey") % 40).cast("string")).alias("child"), F.concat(F.lit("n"), (F.col("l_partkey") % 40).cast("string")).alias("parent"))
-    return graph.cycle_members(r).select("id")
+    """GR5: concepts on a cycle of any length."""
+    of = lambda t, c, p: table(spark, sf_dir, t).select(F.lit("s").alias("session"), F.concat(F.lit("n"), F.col(c).cast("string")).alias("child"), F.concat(F.lit("n"), F.col(p).cast("string")).alias("parent"))
+    return graph.cycle_members(of("customer", "c_custkey", "c_nationkey").unionByName(of("supplier", "s_suppkey", "s_nationkey"))).select("id")
 
 
 @query("""SELECT DISTINCT least(x.s_name, y.s_name) AS a, greatest(x.s_name, y.s_name) AS b FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_name < y.s_name""")
@@ -168,11 +167,11 @@ def reconciled_policy(spark, sf_dir):
     return editlog.reconcile_policy(e, plan).select("session", "id", "glyph")
 
 
-@query(demo.duckdb("""SELECT session, id, CASE WHEN degree = 0 THEN 'confirmed' ELSE 'candidate' END AS status FROM deg WHERE degree <= 1""", demo.BASE + """, sp AS (SELECT * FROM g WHERE quantity = 1), ends AS (SELECT session, "from" AS id, "to" AS other FROM sp UNION ALL SELECT session, "to", "from" FROM sp),
-    deg AS (SELECT n.session, n.id, count(DISTINCT other) AS degree FROM n LEFT JOIN ends USING (session, id) GROUP BY 1, 2)"""))
+@query(demo.duckdb("""SELECT session, id, CASE WHEN degree = 0 THEN 'confirmed' ELSE 'candidate' END AS status FROM deg WHERE degree <= 1""", demo.BASE + """, ends AS (SELECT session, "from" AS id, "to" AS other FROM sp UNION ALL SELECT session, "to", "from" FROM sp),
+    deg AS (SELECT nw.session, nw.id, count(DISTINCT other) AS degree FROM nw LEFT JOIN ends USING (session, id) GROUP BY 1, 2)"""))
 def carried_decisions(spark, sf_dir):
     """Decisions carried over to gaps that are detected again."""
-    g = gaps.structural(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir, True))
+    g = gaps.structural(demo.nodes(spark, sf_dir, True), demo.edges(spark, sf_dir, True))
     old = g.where("gap_id like 'gap-isolated-%'").withColumn("status", F.lit("confirmed"))
     return gaps.carry_decisions(g, old).select("session", F.get("related_node_ids", F.lit(0)).alias("id"), "status")
 
@@ -223,10 +222,10 @@ def reconciled_scene(spark, sf_dir):
     return checks.reconcile(c, drawn)
 
 
-@query(demo.duckdb("""SELECT session, e."from", e."to", e.glyph, e.id FROM (SELECT * FROM g WHERE quantity = 1) e WHERE "to" <> 'nation_3'"""))
+@query(demo.duckdb("""SELECT session, "from", "to", glyph, id FROM sp WHERE "to" <> 'Supplier#000000003'"""))
 def resolved_ends(spark, sf_dir):
     """Ends given by id or by label."""
-    n = demo.nodes(spark, sf_dir).where("id <> 'nation_3'")
+    n = demo.nodes(spark, sf_dir, True).where("id <> 'Supplier#000000003'")
     known = n.withColumn("id", F.concat(F.lit("n:"), "id"))
     e = demo.edges(spark, sf_dir, True).withColumn("from", F.when(F.col("confidence") > 0.95, F.concat(F.lit("n:"), "from")).otherwise(F.col("from")))
     out = repair.resolve_ends(e, known, ascii_norm)
