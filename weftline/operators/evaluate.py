@@ -76,9 +76,8 @@ def match_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.select("session", "edge_id", "from_norm", "to_norm", "glyph", is_user_origin(F.col("origin")).alias("user"))
     by_id = e.select("session", "edge_id", F.struct("session", "edge_id", "glyph", "user").alias("by_id"))
     out = labels.join(by_id, ["session", "edge_id"], "left")
-    pick = lambda keys: e.groupBy(*keys).agg(F.min_by(F.struct("session", "edge_id", "glyph", "user"), F.struct(_reversed("session"), "edge_id")).alias("p"))
-    own = pick(["from_norm", "to_norm", "session"]).withColumnRenamed("p", "own")
-    new = pick(["from_norm", "to_norm"]).withColumnRenamed("p", "new")
+    own = e.groupBy("from_norm", "to_norm", "session").agg(F.min_by(F.struct("session", "edge_id", "glyph", "user"), "edge_id").alias("own"))
+    new = own.groupBy("from_norm", "to_norm").agg(F.max_by("own", "session").alias("new"))
     out = out.join(own, ["from_norm", "to_norm", "session"], "left").join(new, ["from_norm", "to_norm"], "left")
     row = F.coalesce("by_id", "own", "new")
     out = out.withColumn("row", row).drop("by_id", "own", "new")
@@ -89,11 +88,6 @@ def match_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("_i", ident).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_i", "_r")
 
 
-def _reversed(col: str) -> Column:
-    """A key that orders strings of digits and underscores the other way round."""
-    return F.translate(F.rpad(F.coalesce(F.col(col), F.lit("")), 64, " "), " 0123456789_", "{zyxwvutsrqp")
-
-
 def offline_metrics(matched: DataFrame, total_relations: int) -> DataFrame:
     """Accuracy, causal precision and coverage over matched judgements; null where nothing was judged."""
     use = F.col("status") == "matched"
