@@ -363,3 +363,37 @@ def test_long_cycles_and_deep_layers(spark):
     line = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}") for i in range(300)] + [("s", "n0", "n300")], "session string, from string, to string")
     assert {x.id: x.layer for x in graph.longest_path_layers(line).collect()} == {f"n{i}": i for i in range(301)}
     assert graph.cycle_members(line.withColumnsRenamed({"from": "child", "to": "parent"})).count() == 0
+
+
+def test_sidecars_keep_what_they_do_not_know(spark, tmp_path):
+    import json
+
+    from weftline.sources import files
+
+    (tmp_path / "layers_a.json").write_text('{"zones": [1], "claims": "no list", "future": {"x": [2]}, "documents": 3, "stats": {"n": 1}}')
+    (tmp_path / "layers_b.json").write_text("{broken")
+    (tmp_path / "layers_no good.json").write_text("{}")
+    docs = files.read_sidecars(spark, str(tmp_path))
+    got = {r.session: json.loads(r.doc) for r in docs.collect()}
+    assert set(got) == {"a", "b"}
+    assert got["a"]["zones"] == [1] and got["a"]["claims"] == [] and got["a"]["future"] == {"x": [2]} and "documents" not in got["a"] and got["a"]["stats"] == {"n": 1}
+    assert got["b"] == {"version": 1, "session": "b", "stats": {}, "zones": [], "claims": [], "arguments": [], "refutes": []}
+    files.write_sidecars(docs, str(tmp_path / "out"))
+    back = {r.session: json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()}
+    assert back == got
+
+
+def test_reports_are_saved_by_session(spark, tmp_path):
+    g = spark.createDataFrame([("s", "g1", "structural", 0.75, "degree=0", 2), ("s", "g2", "causal", 0.5, None, 1), ("t", "g3", "causal", 0.45, "x", 1)], "session string, gap_id string, gap_type string, confidence double, signal string, turn int")
+    gaps.save_report(g, str(tmp_path / "r"), "Gaps")
+    assert spark.read.json(str(tmp_path / "r/json")).count() == 3
+    text = next((tmp_path / "r/markdown/session=s").glob("part-*")).read_text()
+    assert text.startswith("# Gaps\n\n- **g2** (causal, 0.5): \n- **g1** (structural, 0.75): degree=0\n")
+    evaluate.save_evaluation(spark.createDataFrame([(0.5,)], "rate double"), str(tmp_path / "e"), "2024-01-01")
+    evaluate.save_evaluation(spark.createDataFrame([(0.7,)], "rate double"), str(tmp_path / "e"), "2024-01-02")
+    assert sorted(r.rate for r in spark.read.json(str(tmp_path / "e")).collect()) == [0.5, 0.7]
+    before = spark.createDataFrame([("s", "1", ["k", "x"]), ("s", "2", ["x"])], "session string, id string, claim_refs array<string>")
+    results = spark.createDataFrame([("s", "1", ("rejected",))], "session string, id string, validation struct<status:string>")
+    claims = spark.createDataFrame([("s", "x", ("rejected",)), ("s", "k", ("validated",))], "session string, claim_id string, validation struct<status:string>")
+    after = layers.apply_validation(before, results, claims)
+    assert tuple(layers.validation_counts(before, after, results).first()) == ("s", 1, 1, 2)

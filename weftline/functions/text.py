@@ -201,6 +201,10 @@ def split_sentences(text: Column, document_id: Column, terminators: str = TERMIN
     return F.transform(spans(text), full)
 
 
+#: Ems kept free for an ellipsis, and of a line that reads well.
+ELLIPSIS_WIDTH, LINE_WIDTH = 0.6, 12.0
+
+
 def _width(c: str) -> float:
     return 1.0 if unicodedata.east_asian_width(c) in "WFA" else 0.55
 
@@ -222,7 +226,7 @@ def truncate(text: Column, most: float) -> Column:
         def one(t):
             if t is None or sum(map(_width, t)) <= most:
                 return t
-            out, w = [], 1.0
+            out, w = [], ELLIPSIS_WIDTH
             for c in t:
                 if (w := w + _width(c)) > most:
                     break
@@ -248,30 +252,41 @@ def wrap_lines(text: Column, most: float, lines: int) -> Column:
                 line.append(c)
                 w += _width(c)
             out += ["".join(line)] if line else []
-            return out if len(out) <= lines else [*out[: lines - 1], out[lines - 1][:-1] + "…"]
+            return (out or [""]) if len(out) <= lines else [*out[: lines - 1], out[lines - 1][:-1] + "…"]
 
         return s.map(one)
 
     return wrap(text)
 
 
+def balanced_lines(text: Column, most: int = 2) -> Column:
+    """struct(lines, width): the fewest lines of an even width that reads well, ``most`` of them at most."""
+    total = F.coalesce(display_width(text), F.lit(0.0))
+    n = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(total / LINE_WIDTH).cast("int")))
+    return F.struct(n.alias("lines"), (total / n).alias("width"))
+
+
 def extract_json(text: Column) -> Column:
-    """The first balanced JSON object or array in prose, as text; null if there is none."""
-    return F.pandas_udf(_first_json, "string")(text)
+    """The JSON value that the whole text is, else the first object in prose, else the first array, as text; null if there is none."""
+    return F.pandas_udf(_json_of, "string")(text)
 
 
-def _first_json(s: pd.Series) -> pd.Series:
+def _json_of(s: pd.Series) -> pd.Series:
     import json
 
     decoder = json.JSONDecoder()
 
+    def value(t: str, at: int) -> str | None:
+        try:
+            return t[at : decoder.raw_decode(t, at)[1]]
+        except ValueError:
+            return None
+
     def one(t):
-        for m in re.finditer(r"[{\[]", t or ""):
-            try:
-                _, end = decoder.raw_decode(t, m.start())
-            except ValueError:
-                continue
-            return t[m.start() : end]
-        return None
+        t = (t or "").strip()
+        if t and value(t, 0) == t:
+            return t
+        tries = (value(t, m.start()) for opening in (r"\{", r"\[") for m in re.finditer(opening, t))
+        return next((v for v in tries if v is not None), None)
 
     return s.map(one)

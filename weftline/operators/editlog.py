@@ -254,3 +254,10 @@ def prompt_hints(items: DataFrame, most: int = 10, chars: int = 600) -> DataFram
     return one.withColumns({"pos": F.row_number().over(w), "used": F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))}).where((F.col("used") <= chars) & (F.col("pos") <= most)).drop("o")
 
 
+
+
+def learned_summary(renames: DataFrame, stoplist: DataFrame, overrides: DataFrame) -> DataFrame:
+    """One row: how many renames, stopped labels and causal decisions were learned, and how many of them apply by themselves."""
+    count = lambda df, name: df.agg(F.count("*").alias(name), F.count_if("auto").alias(f"{name}_auto"))
+    kinds = overrides.agg(*(F.count_if(F.col("decision") == k).alias(f"overrides_{k}") for k in ("allow", "deny", "reverse")))
+    return count(renames, "renames").join(count(stoplist, "stopped")).join(kinds)

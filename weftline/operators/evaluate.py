@@ -125,7 +125,8 @@ def stratified(pool: DataFrame, k: int, stratum: str = "glyph") -> DataFrame:
     rank = F.row_number().over(one.orderBy(F.desc("rest"), F.desc("n"), stratum))
     q = q.withColumn("quota", F.when(F.col("total") <= k, F.col("n")).otherwise(F.least(F.col("n"), F.col("base") + F.when(rank <= F.col("left"), 1).otherwise(0)))).select(stratum, "quota")
     order = Window.partitionBy(stratum).orderBy(F.desc("session"), F.desc("edge_id"))
-    return pool.withColumn("_r", F.row_number().over(order)).join(q, stratum).where("_r <= quota").drop("_r", "quota")
+    # A stratum has k rows at most, so that the sort is cut to them before the join.
+    return pool.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).join(q, stratum).where("_r <= quota").drop("_r", "quota")
 
 
 def daily_usage(rows: DataFrame, price_in: float | None = None, price_out: float | None = None) -> DataFrame:
@@ -148,3 +149,8 @@ def offline_eval(labels: DataFrame, edges: DataFrame, queue: int = 10) -> dict[s
     latest = latest_wins(labels, ["session", "edge_id", "from_norm", "to_norm"])
     matched = match_labels(latest, edges)
     return {"matched": matched, "metrics": offline_metrics(matched, edges.count()), "queue": stratified(unlabeled(edges, latest), queue)}
+
+
+def save_evaluation(metrics: DataFrame, path: str, today: str) -> None:
+    """The indicators of a day below ``path``, beside those of other days."""
+    metrics.write.mode("overwrite").json(f"{path}/day={today}")

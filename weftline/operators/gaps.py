@@ -149,3 +149,21 @@ def report(gaps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     seen = mentions(ids.select("label"), nodes, edges).groupBy("label_norm").agg(F.count_distinct("session").alias("sessions"), F.count("document_id").alias("spans"))
     per = ids.withColumn("label_norm", normalize_label(F.col("label"))).join(seen, "label_norm", "left").groupBy("session", "gap_id").agg(F.max("sessions").alias("sessions"), F.sum("spans").alias("spans"))
     return round_robin(gaps).join(per, ["session", "gap_id"], "left")
+
+
+def counts_by_type(gaps: DataFrame) -> DataFrame:
+    """(session, structural, discourse, causal, total) of the candidates."""
+    return gaps.groupBy("session").agg(*(F.count_if(F.col("gap_type") == k).alias(k) for k in ("structural", "discourse", "causal")), F.count("*").alias("total"))
+
+
+def report_markdown(report: DataFrame, title: str) -> DataFrame:
+    """(session, text): the report of a session as Markdown, its gaps in turn."""
+    line = F.concat(F.lit("- **"), "gap_id", F.lit("** ("), "gap_type", F.lit(", "), F.round("confidence", 2).cast("string"), F.lit("): "), F.coalesce("signal", F.lit("")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
+    return report.groupBy("session").agg(F.concat(F.lit(f"# {title}\n\n"), F.array_join(rows, "\n"), F.lit("\n")).alias("text"))
+
+
+def save_report(report: DataFrame, path: str, title: str) -> None:
+    """The report below ``path``, a folder for each session: ``json`` with a row a gap and ``markdown``."""
+    report.write.mode("overwrite").partitionBy("session").json(f"{path}/json")
+    report_markdown(report, title).write.mode("overwrite").partitionBy("session").option("lineSep", "\n").text(f"{path}/markdown")

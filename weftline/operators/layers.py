@@ -103,9 +103,10 @@ def stamp_refutes(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def drop_rejected_refs(elements: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Elements without references to rejected claims."""
-    r = rejected.groupBy("session").agg(F.collect_set("claim_id").alias("_r"))
-    return elements.join(r, "session", "left").withColumn("claim_refs", F.array_except("claim_refs", F.coalesce("_r", F.array().cast("array<string>")))).drop("_r")
+    """Elements (session, id, claim_refs, ...) without references to rejected claims; joined by claim, so no row carries a session's claims."""
+    refs = elements.select("session", "id", F.explode("claim_refs").alias("claim_id"))
+    hit = refs.join(rejected.select("session", "claim_id").distinct(), ["session", "claim_id"]).groupBy("session", "id").agg(F.collect_set("claim_id").alias("_r"))
+    return elements.join(hit, ["session", "id"], "left").withColumn("claim_refs", F.array_except("claim_refs", F.coalesce("_r", F.array().cast("array<string>")))).drop("_r")
 
 
 def neighbour_sentences(zones: DataFrame, hits: DataFrame, window: int = 1) -> DataFrame:
@@ -141,3 +142,30 @@ def validate(rows: DataFrame, nli: Column | None = None, llm: Column | None = No
     paid = F.col("rank") <= calls
     scores = {k: F.when(paid, c) if k != "ontology" else c for k, c in (("nli", nli), ("llm", llm), ("ontology", ontology)) if c is not None}
     return rows.withColumn("validation", judge(scores or {"nli": F.lit(None).cast("double")}))
+
+
+def apply_validation(edges: DataFrame, results: DataFrame, claims: DataFrame) -> DataFrame:
+    """Edges with the validation of ``results`` (session, id, validation), where there is one, and without references to rejected claims.
+
+    No edge is removed: an unproven cause stays as a correlation.
+    """
+    new = results.select("session", "id", F.col("validation").alias("_v"))
+    kept = F.coalesce("_v", "validation") if "validation" in edges.columns else F.col("_v")
+    out = edges.join(new, ["session", "id"], "left").withColumn("validation", kept).drop("_v")
+    return drop_rejected_refs(out, claims.where("validation.status = 'rejected'").select("session", "claim_id"))
+
+
+def validation_counts(before: DataFrame, after: DataFrame, results: DataFrame) -> DataFrame:
+    """(session, edges_validated, edges_rejected, refs_dropped) of :func:`apply_validation`."""
+    hit = after.join(results.select("session", "id", F.col("validation.status").alias("_s")), ["session", "id"]).groupBy("session").agg(F.count("*").alias("edges_validated"), F.count_if(F.col("_s") == "rejected").alias("edges_rejected"))
+    refs = lambda df: F.sum(F.coalesce(F.size("claim_refs"), F.lit(0)))
+    lost = before.groupBy("session").agg(refs(before).alias("_b")).join(after.groupBy("session").agg(refs(after).alias("_a")), "session").select("session", (F.col("_b") - F.col("_a")).alias("refs_dropped"))
+    return lost.join(hit, "session", "left").fillna(0).select("session", "edges_validated", "edges_rejected", "refs_dropped")
+
+
+def dry_streaks(rounds: DataFrame, least: int = 2) -> DataFrame:
+    """(session, stop): the first round that ends ``least`` rounds in a row without a find, of (session, round, found)."""
+    w = Window.partitionBy("session").orderBy("round")
+    r = rounds.withColumn("_island", F.sum(F.when(F.col("found") > 0, 1).otherwise(0)).over(w))
+    dry = F.count_if(F.col("found") <= 0).over(Window.partitionBy("session", "_island").orderBy("round"))
+    return r.withColumn("_dry", dry).where(F.col("_dry") >= least).groupBy("session").agg(F.min("round").alias("stop"))

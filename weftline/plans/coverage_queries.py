@@ -434,3 +434,75 @@ def validated_claims(spark, sf_dir):
     """F8: claims that the verifiers confirmed."""
     e = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), F.struct(F.when(F.col("value") > 50, "validated").otherwise("uncertain").alias("status")).alias("validation"))
     return layers.validated_claims(e).select("session", "id")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN w <= 12 THEN 1 ELSE 2 END AS lines, round(CASE WHEN w <= 12 THEN w ELSE w / 2 END, 6) AS width, CASE WHEN w <= 10 THEN t ELSE left(t, CAST(floor((10 - 0.6) / 0.55 + 0.000001) AS INTEGER)) || '…' END AS cut FROM (SELECT c_custkey, t, length(t) * 0.55 AS w FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || c_mktsegment END AS t FROM customer) x) y""")
+def display_lines(spark, sf_dir):
+    """Balanced lines and texts cut to a width."""
+    c = table(spark, sf_dir, "customer")
+    t = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat("c_name", "c_mktsegment"))
+    b = text.balanced_lines(t)
+    return c.select(F.col("c_custkey").alias("id"), b["lines"].alias("lines"), F.round(b["width"], 6).alias("width"), text.truncate(t, 10.0).alias("cut"))
+
+
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN '[1, {"a": 2}]' WHEN 1 THEN '{"n": "' || s_name || '"}' WHEN 2 THEN '[' || s_suppkey || ']' END AS json FROM supplier""")
+def json_in_prose(spark, sf_dir):
+    """The whole text if it is JSON, else the first object, else the first array."""
+    k = F.col("s_suppkey") % 4
+    t = F.when(k == 0, ' [1, {"a": 2}] ').when(k == 1, F.concat(F.lit('done [1] {x {"n": "'), "s_name", F.lit('"} ok'))).when(k == 2, F.concat(F.lit("see {no} ["), "s_suppkey", F.lit("] end"))).otherwise("none [here}")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.extract_json(t).alias("json"))
+
+
+@query("""WITH x AS (SELECT p_brand AS session, p_partkey AS id, p_size % 6 AS k FROM part), said AS (
+    SELECT session, id, 0 AS o, 'd' || (id % 4) AS c FROM x WHERE k = 0 UNION ALL SELECT session, id, 2, 'o' || (id % 4) FROM x WHERE k IN (0, 1) UNION ALL SELECT session, id, 3, 'p' FROM x WHERE k IN (1, 2) UNION ALL SELECT session, id, 4, 'agg' FROM x WHERE k IN (2, 3) UNION ALL SELECT session, id, 5, 'own' FROM x WHERE k = 4)
+    SELECT session, id, arg_min(c, o) AS community FROM said WHERE id % 10 <> 0 GROUP BY 1, 2""")
+def frozen_map(spark, sf_dir):
+    """E5: the communities that a drawn map has fixed, by its levels, itself, its aggregates, and users' own nodes."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("session"), F.col("p_partkey").alias("id"), (F.col("p_size") % 6).alias("k"))
+    at = lambda ks, level, c: p.where(F.col("k").isin(*ks)).select("session", F.lit(level).cast("string").alias("level"), "id", c.alias("community"))
+    shown = at([0], "detailed", F.concat(F.lit("d"), F.col("id") % 4)).unionByName(at([0, 1], "overview", F.concat(F.lit("o"), F.col("id") % 4))).unionByName(at([1, 2], None, F.lit("p")))
+    folded = p.where("k in (2, 3)").groupBy("session").agg(F.collect_list("id").alias("members")).withColumns({"community": F.lit("agg"), "pos": F.lit(0)})
+    nodes = p.where("id % 10 <> 0").withColumns({"origin": F.when(F.col("k") == 4, "user_added"), "community_id": F.lit("own")})
+    return levels.frozen_map(shown, folded, nodes)
+
+
+@query("""SELECT user_id AS session, min(event_id) AS stop FROM (SELECT user_id, event_id, event_type <> 'click' AS dry, lag(event_type <> 'click') OVER w AS dry1, lag(event_type <> 'click', 2) OVER w AS dry2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) x WHERE dry AND dry1 AND dry2 GROUP BY 1""")
+def dry_streaks(spark, sf_dir):
+    """Where a search ends that found nothing three times in a row."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("round"), (F.col("event_type") == "click").cast("int").alias("found"))
+    return layers.dry_streaks(e, 3)
+
+
+@query("""SELECT user_id AS session, count_if(event_id % 4 = 0) AS structural, count_if(event_id % 4 = 1) AS discourse, count_if(event_id % 4 > 1) AS causal, count(*) AS total FROM events GROUP BY 1""")
+def gap_counts(spark, sf_dir):
+    """Gaps by type."""
+    k = F.col("event_id") % 4
+    return gaps.counts_by_type(table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.when(k == 0, "structural").when(k == 1, "discourse").otherwise("causal").alias("gap_type")))
+
+
+@query("""SELECT user_id AS session, '# Gaps' || chr(10) || chr(10) || string_agg('- **g' || event_id || '** (' || event_type || ', 0.5): s', chr(10) ORDER BY event_id) || chr(10) AS text FROM events GROUP BY 1""")
+def gap_report_text(spark, sf_dir):
+    """The gap report as Markdown."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.concat(F.lit("g"), "event_id").alias("gap_id"), F.col("event_type").alias("gap_type"), F.lit(0.5).alias("confidence"), F.lit("s").alias("signal"), F.col("event_id").alias("turn"))
+    return gaps.report_markdown(e, "Gaps")
+
+
+@query("""SELECT (SELECT count(DISTINCT p_name) FROM part) AS renames, (SELECT count(*) FROM (SELECT p_name FROM part GROUP BY 1 HAVING min(p_size) < 5) x) AS renames_auto, (SELECT count(*) FROM supplier) AS stopped, (SELECT count_if(s_acctbal > 0) FROM supplier) AS stopped_auto,
+    count_if(event_type = 'click') AS overrides_allow, count_if(event_type = 'view') AS overrides_deny, count_if(event_type = 'error') AS overrides_reverse FROM events""")
+def learned_summary(spark, sf_dir):
+    """What was learned, in figures."""
+    r = table(spark, sf_dir, "part").groupBy("p_name").agg((F.min("p_size") < 5).alias("auto"))
+    s = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") > 0).alias("auto"))
+    d = F.when(F.col("event_type") == "click", "allow").when(F.col("event_type") == "view", "deny").when(F.col("event_type") == "error", "reverse")
+    return editlog.learned_summary(r, s, table(spark, sf_dir, "events").select(d.alias("decision")))
+
+
+@query(demo.duckdb("""SELECT session, id, CASE quantity % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'validated' END AS status, CASE WHEN quantity % 5 = 0 THEN 1 ELSE 2 END AS refs FROM sp"""))
+def applied_validation(spark, sf_dir):
+    """Validations on the edges, references to rejected claims removed, no edge lost."""
+    q = F.col("quantity")
+    e = demo.edges(spark, sf_dir, True).withColumn("claim_refs", F.array(F.lit("good"), F.concat(F.lit("k"), "id")))
+    status = lambda c: F.struct(c.alias("status"))
+    results = e.where(q % 3 < 2).select("session", "id", status(F.when(q % 3 == 0, "rejected").otherwise("validated")).alias("validation"))
+    claims = e.select("session", F.concat(F.lit("k"), "id").alias("claim_id"), status(F.when(q % 5 == 0, "rejected")).alias("validation"))
+    return layers.apply_validation(e, results, claims).select("session", "id", F.col("validation.status").alias("status"), F.size("claim_refs").alias("refs"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,11 @@ SESSION_NAME = r"^[0-9A-Za-z_\-]{1,64}$"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one where that is unset and the session is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_weftline_dir", None) or tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext._weftline_dir = base
         spark.sparkContext.setCheckpointDir(base)
@@ -244,3 +248,40 @@ def prune(cache: DataFrame, now, ttl_minutes: int = 360) -> DataFrame:
 def interrupted(jobs: DataFrame) -> DataFrame:
     """Jobs at a restart: what was running or queued counts as interrupted."""
     return jobs.withColumn("status", F.when(F.col("status").isin("running", "queued"), "interrupted").otherwise(F.col("status")))
+
+
+#: Lists that a side-car always has.
+SIDECAR_LISTS = ("zones", "claims", "arguments", "refutes")
+
+
+def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """(session, doc): side-cars below ``path`` as JSON text with all their lists; unknown keys stay, unreadable files are empty ones."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "layers_*.json").load(path)
+    session = F.regexp_extract("path", r"layers_(.*)\.json$", 1)
+    return raw.select(session.alias("session"), sidecar(session, F.col("content").cast("string")).alias("doc")).where(F.col("session").rlike(SESSION_NAME))
+
+
+def sidecar(session, raw):
+    """The JSON text of a side-car with its lists filled in, all other keys as they are."""
+
+    @F.pandas_udf("string")
+    def filled(sessions: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_filled(s, t) for s, t in zip(sessions, texts, strict=True)])
+
+    return filled(session, raw)
+
+
+def _filled(session: str, text: str | None) -> str:
+    try:
+        doc = json.loads(text or "")
+    except ValueError:
+        doc = None
+    doc = doc if isinstance(doc, dict) else {}
+    lists = {k: doc[k] if isinstance(doc.get(k), list) else [] for k in SIDECAR_LISTS}
+    rest = {k: v for k, v in doc.items() if k not in lists and not (k == "documents" and not isinstance(v, dict))}
+    return json.dumps({"version": 1, "session": session, "stats": {}} | rest | lists, ensure_ascii=False)
+
+
+def write_sidecars(docs: DataFrame, path: str) -> None:
+    """(session, doc) as one JSON document a session below ``path``, a folder for each."""
+    docs.select("session", sidecar(F.col("session"), F.col("doc")).alias("doc")).write.mode("overwrite").partitionBy("session").text(path)
