@@ -5,11 +5,11 @@ order of those hashes, which stands for a random global order. Two sets with Jac
 share t = ceil(num * n / den) members at least, so for every l the first l common members lie within the first
 n - t + l members of both (the l-prefix), and the coldest common member of an l-prefix survives in both when each
 side drops the l - 1 most frequent members of its own. All documents start with a short prefix. The cost of one that
-keeps nothing which another document keeps is 0: it is done. One whose lists are all short (``CHEAP`` documents) meets
-the documents in them. The others lengthen their prefixes to the next level, where correspondingly more of it must be
-shared (so that more of the frequent members are dropped): the whole set, in whose order of frequency the places of a
-common member must leave room for enough others. Before the exact test every pair must also share the l members of its
-first prefixes.
+keeps nothing which another document keeps is 0: it is done. One whose lists hold ``CHEAP`` candidates at most in all meets
+the documents in them. The others, among themselves, lengthen their prefixes to the next of ``LEVELS``, where
+correspondingly more of it must be shared (so that more of the frequent members are dropped), and are estimated anew. The
+last level is the whole set, in whose order of frequency the places of a common member must leave room for enough others.
+Before the exact test every pair must also share the l members of its first prefixes.
 
 Equal sets are joined first, by digest. Links are then verified in rounds: in every posting list one hub is
 compared with all others; lists that are not settled by that (their members have several labels) get further
@@ -38,8 +38,8 @@ from .common import Scratch, keep, slices
 #: Ids of candidates are broadcast up to this number (16 bytes each in Spark's hashed form: some 100 MB); beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Matches l that a level asks for with prefix length p: 1 + x * p + y; None: as many as the whole set must share.
-LEVELS = ((0.25, 4), None)
-#: Documents in a list that are met without a longer prefix.
+LEVELS = ((0.25, 4), (1.0, 16), None)
+#: Candidates that a document's lists may hold in all; with more its prefix is lengthened.
 CHEAP = 16
 #: Words whose hashes a Python worker remembers.
 WORD_CACHE = 500_000
@@ -163,6 +163,11 @@ def _lists(post: DataFrame) -> DataFrame:
     return post.join(post.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram")
 
 
+def _estimated(lists: DataFrame) -> DataFrame:
+    """(doc, long): whether the candidates in a document's lists are more than it may meet at this level."""
+    return lists.groupBy("doc").agg((F.sum(F.col("m") - 1) > CHEAP).alias("long"))
+
+
 def _of(ids: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of ``table`` whose doc is in ``ids`` (doc), sent to all executors if they are few."""
     few = ids.count() <= BROADCAST_IDS
@@ -223,7 +228,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     kept = tmp.write(_kept(reps, num, den, 0).select("doc", "n", "cost", "gram"), "kept0")
     base = tmp.write(_lists(kept), "base")
     tmp.drop("kept0")
-    wanted = tmp.write(base.groupBy("doc").agg((F.max("m") > CHEAP).alias("long")), "wanted")
+    wanted = tmp.write(_estimated(base), "wanted0")
     texts = docs.select(F.col(id_col).cast(all_sets.schema["doc"].dataType).alias("doc"), F.col(text_col).alias("text"))
     sets = shingle_sets(_of(wanted.select("doc"), texts), "doc", "text", n, num, den)
     if not wanted.where(_nameless(F.col("doc"), all_sets)).isEmpty():
@@ -231,11 +236,20 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     if not all_sets.groupBy("doc").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["doc"])
     sets = tmp.write(sets.select("doc", "n", "grams"), "sets")
-    short = base.where(f"m <= {CHEAP}").join(wanted, "doc")
-    whole = _lists(_kept(_of(wanted.where("long").select("doc"), sets), num, den, 1)).withColumn("long", F.lit(True))
+    last = len(LEVELS) - 1
     cols = ["gram", "doc", "n", "cost", "pos", "long"]
-    post = short.withColumn("pos", F.lit(1)).selectExpr("0 as lvl", *cols).unionByName(whole.selectExpr("1 as lvl", *cols))
-    post = tmp.write(post, "lists")
+    lists, post = base, None
+    for level in range(last):
+        if level:
+            need, before = _sql(num, den, level)
+            some = _of(wanted.where("long").select("doc"), sets).selectExpr("doc", "n", f"slice(grams, 1, {before} + {need}) as grams")
+            lists = tmp.write(_lists(tmp.write(_kept(some, num, den, level).select("doc", "n", "cost", "gram"), f"kept{level}")), f"base{level}")
+            wanted = tmp.write(_estimated(lists), f"wanted{level}")
+        # The lists of a document that is done here are no longer than its candidates.
+        short = lists.where(f"m - 1 <= {CHEAP}").join(wanted, "doc").withColumn("pos", F.lit(1)).selectExpr(f"{level} as lvl", *cols)
+        post = short if post is None else post.unionByName(short)
+    whole = _lists(_kept(_of(wanted.where("long").select("doc"), sets), num, den, last)).withColumn("long", F.lit(True))
+    post = tmp.write(post.unionByName(whole.selectExpr(f"{last} as lvl", *cols)), "lists")
     tmp.drop("base")
 
     links = label = None
@@ -245,14 +259,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
         hub = F.struct(F.col("cost") if r == 0 else F.xxhash64("doc", F.lit(r)), "doc", "n", "pos", "label", "long")
         mixed = named.groupBy("lvl", "gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(hub).alias("hub")).where("lo <> hi")
         if r < hub_rounds:
-            met = named.join(mixed.select("lvl", "gram", "hub"), ["lvl", "gram"]).where(f"label <> hub.label and (lvl = 1 or not (long and hub.long)) and {_close('', 'hub.', num, den)}")
+            met = named.join(mixed.select("lvl", "gram", "hub"), ["lvl", "gram"]).where(f"label <> hub.label and (lvl = {last} or not (long and hub.long)) and {_close('', 'hub.', num, den)}")
             met = met.selectExpr("least(doc, hub.doc) as a", "greatest(doc, hub.doc) as b")
         else:
             live = tmp.write(named.join(mixed.select("lvl", "gram"), ["lvl", "gram"]), "live")
             per = live.groupBy("lvl", "gram", "label").agg(F.count("*").alias("k"))
             major = per.groupBy("lvl", "gram").agg(F.max(F.struct("k", "label")).alias("m")).selectExpr("lvl", "gram", "m.label as major")
             minor = live.join(major, ["lvl", "gram"]).where("label <> major").selectExpr("lvl", "gram", "major", "doc as x", "n as xn", "pos as xpos", "label as lx", "long as longx")
-            met = minor.join(live, ["lvl", "gram"]).where(f"label <> lx and (label = major or doc < x) and (lvl = 1 or not (long and longx)) and {_close('', 'x', num, den)}")
+            met = minor.join(live, ["lvl", "gram"]).where(f"label <> lx and (label = major or doc < x) and (lvl = {last} or not (long and longx)) and {_close('', 'x', num, den)}")
             met = met.selectExpr("least(doc, x) as a", "greatest(doc, x) as b")
         found = _verified(met.distinct(), sets, num, den, tmp, str(r))
         links = found if links is None else links.unionByName(found)
