@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -106,9 +108,9 @@ _RANKED = _SPARSE + """, r0 AS (SELECT session, id, community_id AS community, i
          ELSE (incident - min(incident) OVER (PARTITION BY session)) * 1.0 / (max(incident) OVER (PARTITION BY session) - min(incident) OVER (PARTITION BY session)) END AS total FROM deg)"""
 
 
-def _ranked(spark, sf_dir):
-    n = demo.nodes(spark, sf_dir, True)
-    d = graph.degree(n, demo.edges(spark, sf_dir, True)).join(n, ["session", "id"])
+def _ranked(spark, sf_dir, wide=True):
+    n = demo.nodes(spark, sf_dir, wide)
+    d = graph.degree(n, demo.edges(spark, sf_dir, wide)).join(n, ["session", "id"])
     return d.select("session", "id", F.col("community_id").alias("community"), levels.min_max(F.col("incident").cast("double"), ["session"]).alias("total"), F.lit(False).alias("pinned"))
 
 
@@ -268,7 +270,17 @@ lone AS (SELECT v.session, v.level, v.excess, s.community, CASE WHEN cm.size > 2
 gone AS (SELECT session, level, community FROM (SELECT *, coalesce(sum(won) OVER (PARTITION BY session, level ORDER BY best, community ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lone) z WHERE excess > before)"""
 
 
-@query(demo.duckdb("""SELECT v.session, v.level, o.id FROM over v JOIN o ON o.session = v.session AND o.rk <= v.k LEFT JOIN gone ON gone.session = v.session AND gone.level = v.level AND gone.community = o.community WHERE gone.session IS NULL""", _SELECTED))
+_SHOWN = """SELECT v.session, v.level, o.id FROM over v JOIN o ON o.session = v.session AND o.rk <= v.k LEFT JOIN gone ON gone.session = v.session AND gone.level = v.level AND gone.community = o.community WHERE gone.session IS NULL"""
+_SELECTED_DENSE = demo.BASE + re.sub(r"\bnw\b", "n", _SELECTED.removeprefix(demo.BASE).replace("FROM sp", "FROM g"))
+
+
+@query(demo.duckdb(_SHOWN, _SELECTED_DENSE))
 def level_selection(spark, sf_dir):
     """T4: the nodes of every level after shrinking to its band."""
+    return levels.select_nodes(cut(_ranked(spark, sf_dir, False)))
+
+
+@query(demo.duckdb(_SHOWN, _SELECTED))
+def level_selection_wide(spark, sf_dir):
+    """T4: the same over the wide graph, whose many communities leave more aggregates than a level holds."""
     return levels.select_nodes(cut(_ranked(spark, sf_dir)))
