@@ -244,15 +244,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
             need, before = _sql(num, den, level)
             some = _of(wanted.where("long").select("doc"), sets).selectExpr("doc", "n", f"slice(grams, 1, {before} + {need}) as grams")
             lists = tmp.write(_lists(tmp.write(_kept(some, num, den, level).select("doc", "n", "cost", "gram"), f"kept{level}")), f"base{level}")
-            tmp.drop(f"kept{level}")
             wanted = tmp.write(_estimated(lists), f"wanted{level}")
         # The lists of a document that is done here are no longer than its candidates.
         short = lists.where(f"m - 1 <= {CHEAP}").join(wanted, "doc").withColumn("pos", F.lit(1)).selectExpr(f"{level} as lvl", *cols)
         post = short if post is None else post.unionByName(short)
     whole = _lists(_kept(_of(wanted.where("long").select("doc"), sets), num, den, last)).withColumn("long", F.lit(True))
     post = tmp.write(post.unionByName(whole.selectExpr(f"{last} as lvl", *cols)), "lists")
-    for name in ("base", *(f"base{level}" for level in range(1, last))):
-        tmp.drop(name)
+    tmp.drop("base")
 
     links = label = None
     for r in range(hub_rounds + 1):
