@@ -1,4 +1,10 @@
-"""A corpus pipeline of four filters and a packer, each of them an operator of ``weftline.llm``."""
+"""A corpus pipeline of four filters and a packer, each of them an operator of ``weftline.llm``.
+
+Defined results of all stages: an empty table gives none; a null, empty or blank text fails the base rules of the first;
+rows that share an id go or stay together, and a row without an id is judged by its own text in the first stage, stays in
+the next two and is packed as any other; equal rows stay or go alike; columns beside those named stay as they are; texts may
+have any length.
+"""
 
 from __future__ import annotations
 
