@@ -1,8 +1,8 @@
-"""The ten operators as queries over the driver's tables, and their DuckDB SQL where SQL can express them."""
+"""The operators as queries over the driver's tables, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import decon, html_sst, jaccard, langid, packing, pii, quality, secretscan, urltree, warc
+from . import decon, html_sst, jaccard, langid, packing, pii, quality, secretscan, spelling, urltree, warc
 from .common import documents, pages
 from .oracles import ORACLES
 
@@ -61,8 +61,13 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.op10(spark, documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    """Spelling variants of the vocabulary of all documents."""
+    return spelling.op11(spark, documents(spark, sf_dir))
+
+
 def queries():
-    """All ten by name."""
+    """All by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
