@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decon, html_sst, jaccard, langid, packing, pii, quality, secretscan, spelling, urltree, warc
+from . import decon, fingerprint, html_sst, jaccard, langid, packing, pii, quality, secretscan, spelling, urltree, warc
 from .common import documents, pages
 from .oracles import ORACLES
 
@@ -66,6 +66,11 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling.op11(spark, documents(spark, sf_dir))
 
 
+def op12_canonical_digest(spark, sf_dir):
+    """Fingerprints of every document, of its edited text and of the next document."""
+    return fingerprint.op12(spark, documents(spark, sf_dir))
+
+
 def queries():
     """All by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
