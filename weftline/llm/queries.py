@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decon, fingerprint, html_sst, jaccard, langid, packing, pii, quality, secretscan, spelling, urltree, warc
+from . import convrepair, decon, fingerprint, html_sst, jaccard, langid, packing, pii, quality, secretscan, spelling, urltree, warc
 from .common import documents, pages
 from .oracles import ORACLES
 
@@ -71,6 +71,11 @@ def op12_canonical_digest(spark, sf_dir):
     return fingerprint.op12(spark, documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    """Damaged conversations with their cheapest repairs."""
+    return convrepair.op13(spark, _table(spark, sf_dir, "conversations"))
+
+
 def queries():
     """All by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
