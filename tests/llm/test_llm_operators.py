@@ -666,6 +666,39 @@ def test_html_style_tree_against_brute_force(spark):
     assert all("Read on" in x.text for x in few)
 
 
+@pytest.mark.parametrize("body", [1, 8, 9, 40, 400])
+def test_html_verdict_on_a_branch_does_not_depend_on_its_page(spark, body):
+    """1 to 200 pages a host: the heading goes from all pages of a host or from none, whatever the length of the text beside it."""
+    hosts = (1, 2, 5, 20, 60, 200)
+    page = lambda h, i: f"<main><h2>Read on</h2><p>{(f'{h}x{i}.' * body)[: max(body, 6)]}</p></main>"
+    df = spark.createDataFrame([(f"http://h{h}/{i}", page(h, i)) for h in hosts for i in range(h)], "url string, html string")
+    with_it = {h: {x.text.startswith("Read on") for x in html_sst.extract(df).where(f"url like 'http://h{h}/%'").collect()} for h in hosts}
+    assert all(len(v) == 1 for v in with_it.values())
+    assert with_it[1] == with_it[2] == with_it[5] == {True} and with_it[60] == with_it[200] == {False}
+
+
+def test_html_copies_of_a_page_teach_nothing(spark):
+    page = "<main><h2>A heading</h2><p>The text of the one page that this host has.</p></main>"
+    df = spark.createDataFrame([(f"http://h/{i}", page) for i in range(300)] + [("http://h/x", "<main><p>Another</p></main>")], "url string, html string")
+    assert {x.text for x in html_sst.extract(df).where("url <> 'http://h/x'").collect()} == {"A heading\n\nThe text of the one page that this host has."}
+
+
+def test_html_inline_drops_titles_and_names():
+    text = lambda page: html_sst.main_text(page, frozenset(), html_sst.Site())
+    assert text("<p>Click <button>here</button> now</p>") == "Click now"
+    assert text("<p>Click <button><div>h</div>ere</button> now</p><p>b</p>") == "Click now\n\nb"
+    assert text("<p>a<nav>x</nav>b</p>") == "a\n\nb"
+    assert text("<h1>Title</h1><p>Lead</p><article><p>Body of it</p></article><p>after</p>") == "Title\n\nLead\n\nBody of it"
+    assert text("<h1>Site</h1><p>Lead</p><article><h1>Title</h1><p>Body</p></article>") == "Title\n\nBody"
+    body = "<p>" + "Words of the page. " * 9 + "</p>"
+    for name, stays in (
+        ("share-price", True), ("social-history", True), ("comment-on-law", True), ("share", False), ("share-bar", False), ("siteFooter", False), ("cookie-banner", False),
+        ("mw-navigation", False), ("no-sidebar", True), ("ad-300x250", False), ("related-posts", False), ("newsletter-of-may", True),
+    ):
+        assert ("Shown" in text(f'<div class="{name}"><p>Shown</p></div>{body}')) == stays, name
+    assert "Shown" not in text(f'<div class="share-spring"><a href="#">Shown</a> | <a>and</a></div>{body}')
+
+
 # 3. Language
 
 

@@ -7,17 +7,20 @@ base-m logarithms, presentation importance is the entropy of the presentations;
 mean entropy of the contents, which is 0 for a text that all pages repeat and 1 for texts of one page each. The
 composite importance of a node weighs its presentations by 1 - 0.9^s (s of them) and the composite importance of
 its children by the rest; nodes in fewer than ``LEAST_PAGES`` pages count as important. Branches below ``THRESHOLD`` are
-removed from each page. What markup declares is prior knowledge, because on a host with few pages the tree cannot
-tell: menus, headers, footers, sidebars, notices, adverts, forms and comments go; inside an article or main element
-a branch has the prior importance 1, worth ``PRIOR_PAGES`` pages, and what is outside such an element goes. If the tree
-would take most of a declared article (a host of copies of one page), it is not heard on that page.
+removed from each page; a page of which nothing would be left keeps what markup does not declare. Equal pages of a host
+count as one, so copies of a page say nothing about it. What markup declares is prior knowledge, because on a host with few
+pages the tree cannot tell: menus, headers, footers, sidebars, notices, adverts, forms and comments go; inside an article or main
+element a branch has the prior importance 1, worth ``PRIOR_PAGES`` pages, and what is outside such an element goes, but for
+a title (h1) before it and what stands between, if the element has no title.
 
-Markup that declares a form, or names a branch by a word of ``NOISE_WORDS``, is not believed of a branch with more than
-half of the page's text. Words after ``no``, ``has``, ``with`` and the like say nothing.
+A branch is declared by its name if an id or class consists of words of ``NOISE_WORDS`` and of words that only tell place or form
+(``site-footer``, ``cookie-bar``). Where other words stand beside it (``share-price``, ``social-history``) the tree
+decides, and the branch goes without it only if more than half of its text is links. Markup that declares a form or names a branch is not
+believed of a branch with more than half of the page's text. Words after ``no``, ``has``, ``with`` and the like say nothing.
 
 Defined results: a null or empty page has the empty text; a page without a usable url belongs to the host ''; broken
 markup is read as far as it goes (unclosed elements end with their parent; a ``<`` that begins no tag is text); pages may
-have any length and depth; copies of a page count as pages; an empty table gives no row; extra columns are kept, but for
+have any length and depth; an empty table gives no row; extra columns are kept, but for
 ``text``, which is replaced.
 """
 
@@ -40,6 +43,8 @@ THRESHOLD = 0.2
 LEAST_PAGES = 3
 #: Pages for which the declaration of an article or main element counts against the tree.
 PRIOR_PAGES = 8
+#: Hashes of pages that a host has more than once are broadcast up to this number.
+BROADCAST_COPIES = 1_000_000
 #: The low branches of all hosts are broadcast up to this number of branches (8 bytes each), and joined by host beyond it.
 BROADCAST_BRANCHES = 4_000_000
 GAMMA = 0.9
@@ -60,7 +65,7 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body head html option optgroup caption legend summary tbody td tfoot th thead title tr".split())
 ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tbody thead tr td th", "tfoot": "tbody thead tr td th"}
 #: An element does not end beyond these when another of its kind starts.
-SCOPE = frozenset("ul ol dl table select article section div main body html nav aside".split())
+SCOPE = frozenset("ul ol dl table select article section div main body html nav aside button".split())
 # Elements, roles and words in id or class that declare a branch not to be main text.
 NOISE_TAGS = frozenset("nav footer aside form button select input dialog menu head object canvas audio video".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -70,6 +75,13 @@ NOISE_WORDS = frozenset(
     "search searchbox comment comments commentlist disqus respond reply replies social share sharing sharebar related recommended recommendations "
     "breadcrumb breadcrumbs pagination pager toolbar widget widgets alert topbar".split()
 )
+# Words of an id or class that tell place, form or kind of an element only; so do a first word of up to three letters, a vendor's mark, and single letters.
+PLACE_WORDS = frozenset(
+    "site page global local main primary secondary tertiary upper lower left right center middle inner outer sticky fixed floating mobile desktop "
+    "area bar block body box button buttons card cell col column container content desc drawer element field fields foot footer frame grid group head header heading "
+    "holder icon icons inline item items label layer layout left link links list lists module panel part placeholder region row section slot strip tab tabs text title "
+    "unit view wrap wrapper zone post posts article articles story stories entry user users social google facebook twitter email".split()
+)
 #: Elements that may hold a whole page, whatever they declare.
 _WRAPPERS = frozenset("form div section body td table main article center dialog object span".split())
 # Words that turn the next one round, and names of a single comment.
@@ -79,6 +91,20 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _MASK = (1 << 63) - 1
 
 
+def _named_noise(named: str) -> tuple[bool, bool]:
+    """Does an id or class declare noise, and does one have a word of noise beside others?"""
+    declared = hinted = False
+    for name in named.split():
+        said = [w.lower() for w in _WORDS.findall(name)]
+        said = [w for i, w in enumerate(said) if not i or said[i - 1] not in _NOT]
+        if any(w in NOISE_WORDS for w in said):
+            if all(w in NOISE_WORDS or w in PLACE_WORDS or len(w) <= (1 if i else 3) for i, w in enumerate(said)):
+                declared = True
+            else:
+                hinted = True
+    return declared, hinted
+
+
 class Site:
     """Meaning of a start tag, remembered: (parent node, tag, attributes) -> (node, noise, main)."""
 
@@ -95,7 +121,7 @@ class Site:
         return got
 
     def _node(self, parent: int, in_main: bool, tag: str, attrs: str) -> tuple[int, int, int]:
-        """Node, noise (1: unless it holds most of the page, 2: always) and main (1: an article, 2: the main part)."""
+        """Node, noise (1: unless it holds most of the page, 2: always, 3: if it is mostly links) and main (1: an article, 2: the main part)."""
         import xxhash
 
         a = {}
@@ -105,7 +131,8 @@ class Site:
         role = a.get("role", "").strip().lower()
         style = re.sub(r"\s", "", a.get("style", "").lower())
         said = [w.lower() for w in _WORDS.findall(named)]
-        words = {w for i, w in enumerate(said) if not i or said[i - 1] not in _NOT}
+        header = any(w == "header" and (not i or said[i - 1] not in _NOT) for i, w in enumerate(said))
+        declared, hinted = _named_noise(named)
         comment = any(_COMMENT.fullmatch(t) for t in named.lower().split())
         main = 2 if tag == "main" or role == "main" or a.get("itemprop", "").lower() == "articlebody" else int(tag == "article" or role == "article")
         if main and comment:
@@ -113,8 +140,10 @@ class Site:
         if in_main:
             main = min(main, 1)
         noise = 0
-        if tag not in ("html", "body") and (comment or ((not main or in_main) and words & NOISE_WORDS)) or tag == "form":
+        if tag not in ("html", "body") and (comment or ((not main or in_main) and declared)) or tag == "form":
             noise = 1 if tag in _WRAPPERS else 2
+        elif tag not in ("html", "body") and hinted and not main:
+            noise = 3
         if (
             tag in NOISE_TAGS - {"form", "dialog", "object"}
             or role in NOISE_ROLES
@@ -122,17 +151,17 @@ class Site:
             or a.get("aria-hidden", "").lower() == "true"
             or "display:none" in style
             or "visibility:hidden" in style
-            or (not in_main and not main and (tag == "header" or "header" in words))
+            or (not in_main and not main and (tag == "header" or header))
         ):
             noise = 2
         elif tag in ("dialog", "object"):
-            noise = max(noise, 1)
+            noise = noise if noise == 2 else 1
         shape = " ".join(sorted(re.sub(r"\d+", "0", named).split()))
         return xxhash.xxh3_64_intdigest(f"{tag}|{shape}|{role}".encode(), seed=parent) & _MASK, noise, main
 
 
 def walk(page: str, site: Site):
-    """Events of a page: ("in", node, parent, noise, main), ("out",), ("text", raw) and ("block",)."""
+    """Events of a page: ("in", node, parent, noise, main, tag), ("out",), ("text", raw) and ("block",)."""
     stack: list[tuple[str, int, bool]] = []  # tag, node, inside main
     at = 0
     while True:
@@ -190,7 +219,7 @@ def walk(page: str, site: Site):
         node, noise, main = site.node(parent, in_main, tag, m["attrs"] or m["attrs2"] or "")
         if tag in BLOCK:
             yield ("block",)
-        yield ("in", node, parent, noise, main)
+        yield ("in", node, parent, noise, main, tag)
         stack.append((tag, node, in_main or bool(main)))
     for name, *_ in reversed(stack):
         if name in BLOCK:
@@ -240,58 +269,71 @@ def features(page: str, site: Site):
     return parents, shapes, contents
 
 
-def _kept(events: list, wide: set[int], low: Callable[[int, bool], bool]) -> str:
-    """The text of a page's events without noise (but for the branches in ``wide``) and low branches; of its main part if it declares one."""
-    blocks: list[tuple[int, str]] = []
+def _kept(events: list, spared: set[int], low: Callable[[int, bool], bool]) -> str:
+    """The text of a page's events without noise (but for the branches in ``spared``) and low branches; of its main part if it declares one."""
+    blocks: list[tuple[int, bool, str]] = []  # inside main, inside a title, text
     parts: list[str] = []
-    stack: list[tuple[bool, int]] = []  # dropped, inside main
-    dropped, in_main = False, 0
+    stack: list[tuple[bool, int, bool]] = []
+    dropped, in_main, in_title = False, 0, False
 
     def flush():
         if parts:
             text = _clean(parts)
             parts.clear()
             if text:
-                blocks.append((in_main, text))
+                blocks.append((in_main, in_title, text))
 
     for i, e in enumerate(events):
         if e[0] == "text":
             if not dropped:
                 parts.append(e[1])
         elif e[0] == "block":
-            flush()
+            if not dropped:  # blocks inside an inline element that goes do not part the text around it
+                flush()
         elif e[0] == "in":
-            _, node, _, noise, main = e
+            _, node, _, noise, main, tag = e
+            stack.append((dropped, in_main, in_title))
             now_main = in_main if dropped else max(in_main, main)
-            now_dropped = dropped or noise == 2 or (noise == 1 and i not in wide) or low(node, now_main > 0)
-            if now_dropped != dropped or now_main != in_main:
+            if now_main != in_main:
                 flush()
-            stack.append((dropped, in_main))
-            dropped, in_main = now_dropped, now_main
+            in_main, in_title = now_main, in_title or tag == "h1"
+            dropped = dropped or (noise > 0 and i not in spared) or low(node, now_main > 0)
         else:
             was = stack.pop()
-            if was != (dropped, in_main):
+            if was[1] != in_main:
                 flush()
-            dropped, in_main = was
+            dropped, in_main, in_title = was
     flush()
     # An article beside the main part is a teaser; without either all is main.
-    most = max((m for m, _ in blocks), default=0)
-    return "\n\n".join(t for m, t in blocks if m == most)
-
-
-def _wide(events: list) -> set[int]:
-    """The branches that have more than half of the page's text, as indexes of their events."""
-    opened, sizes, total = [], [], 0
+    most = max((m for m, _, _ in blocks), default=0)
+    main = [i for i, (m, _, _) in enumerate(blocks) if m == most]
+    titles = [i for i in range(main[0]) if blocks[i][1] and not blocks[i][0]] if main else []
+    if titles and not any(blocks[i][1] for i in main):
+        # The last title before the main part, and its other blocks if it has several.
+        start = titles[-1]
+        while start - 1 in titles:
+            start -= 1
+        main = [*(i for i in range(start, main[0]) if not blocks[i][0]), *main]
+    return "\n\n".join(blocks[i][2] for i in main)
+
+
+def _spared(events: list) -> set[int]:
+    """The declared branches that stay, as indexes of their events: named ones with more than half of the page's text, hinted ones that are not mostly links."""
+    opened, declared, total, links, in_link = [], [], 0, 0, 0
     for i, e in enumerate(events):
         if e[0] == "text":
-            total += len(e[1]) if not e[1].isspace() else 0
+            n = len(e[1]) if not e[1].isspace() else 0
+            total += n
+            links += n if in_link else 0
         elif e[0] == "in":
-            opened.append((i, total))
+            opened.append((i, total, links))
+            in_link += e[5] == "a"
         elif e[0] == "out":
-            at, before = opened.pop()
-            if events[at][3] == 1:
-                sizes.append((at, total - before))
-    return {at for at, size in sizes if 2 * size > total}
+            at, before, linked = opened.pop()
+            in_link -= events[at][5] == "a"
+            if events[at][3] in (1, 3):
+                declared.append((at, total - before, links - linked))
+    return {at for at, size, linked in declared if 2 * size > total or (events[at][3] == 3 and 2 * linked <= size)}
 
 
 def main_text(page: str | None, low: Callable[[int, bool], bool] | frozenset, site: Site) -> str:
@@ -305,19 +347,8 @@ def main_text(page: str | None, low: Callable[[int, bool], bool] | frozenset, si
         nodes = low
         low = lambda node, in_main: node in nodes
     events = list(walk(page, site))
-    hit = any(e[0] == "in" and low(e[1], False) for e in events)
-    wide = _wide(events) if any(e[0] == "in" and e[3] == 1 for e in events) else set()
-    if not hit:
-        return _kept(events, wide, lambda node, in_main: False)
-    text = _kept(events, wide, low)
-    # The tree may not take most of a declared main part, nor a whole page.
-    if any(e[0] == "in" and e[4] for e in events) or not text:
-        whole = _kept(events, wide, lambda node, in_main: not in_main and low(node, False))
-        if 2 * len(text) < len(whole):
-            text = whole
-        if not text:
-            text = _kept(events, wide, lambda node, in_main: False)
-    return text
+    spared = _spared(events) if any(e[0] == "in" and e[3] in (1, 3) for e in events) else set()
+    return _kept(events, spared, low) or _kept(events, spared, lambda node, in_main: False)
 
 
 def _importance(pdf):
@@ -355,28 +386,33 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     One task has these nodes of a host (some 100 bytes each), never its pages; rarer nodes are added up under their parents before.
     """
-    src = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html is not null")
+    src = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html is not null").withColumn("page", F.xxhash64("html"))
+    copies = keep(src.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1"))
+    many = copies.count()
+    src = src.join(F.broadcast(copies) if many <= BROADCAST_COPIES else copies, ["host", "page"], "left") if many else src.withColumn("copies", F.lit(1))
 
     def run(batches):
         site = Site()
         for batch in slices(batches, "html"):
             counts: dict = {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for host, page, same in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                one = 1 / (same or 1)
                 parents, shapes, contents = features(page, site)
                 for n, p in parents.items():
                     k = (host, n, p, 0, 0)
-                    counts[k] = counts.get(k, 0) + 1
+                    counts[k] = counts.get(k, 0) + one
                 for kind, found in ((1, shapes), (2, contents)):
                     for n, h in found:
                         k = (host, n, parents.get(n, 0), kind, h)
-                        counts[k] = counts.get(k, 0) + 1
+                        counts[k] = counts.get(k, 0) + one
             if counts:
                 cols = list(zip(*counts, strict=True))
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array(list(counts.values()), pa.int64())], names=["host", "node", "parent", "kind", "h", "k"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array(list(counts.values()), pa.float64())], names=["host", "node", "parent", "kind", "h", "k"])
 
-    seen = src.mapInArrow(run, "host string, node long, parent long, kind int, h long, k long")
-    seen = seen.groupBy("host", "node", "parent", "kind", "h").agg(F.sum("k").alias("k"))
+    seen = src.select("host", "html", F.col("copies").cast("long")).mapInArrow(run, "host string, node long, parent long, kind int, h long, k double")
+    # The shares of the copies of a page add up to one page.
+    seen = seen.groupBy("host", "node", "parent", "kind", "h").agg(F.round(F.sum("k")).cast("long").alias("k"))
     nodes = seen.groupBy("host", "node", "parent").agg(
         F.expr("coalesce(sum(k) filter (where kind = 0), 1)").alias("m"),
         F.expr("count_if(kind = 1)").alias("shapes"),
