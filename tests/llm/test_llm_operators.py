@@ -7,6 +7,8 @@ import hashlib
 import itertools
 import random
 import re
+import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -404,7 +406,8 @@ def brute_tree(rows):
     return out
 
 
-def test_url_tree_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 3, 40, 2000])
+def test_url_tree_against_brute_force(spark, monkeypatch, hot):
     r = random.Random(5)
     urls = []
     for h in ("a.com", "b.net", "c.org"):  # three levels
@@ -414,7 +417,7 @@ def test_url_tree_against_brute_force(spark, monkeypatch):
     rules = (("block", "a.com", "/spam/"), ("block", "net", "/p1/1"), ("allow", "net", "/p1/2"), ("block", "net", "/news/"), ("allow", "c.org", "/x/i-"), ("block", "c.org", "/x/1"), ("block", "c.org", "/p"))
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'z' as purity", "'q' as seg", "'q' as up")
     df = df.unionByName(df.where("page_id < 50"))
-    monkeypatch.setattr(urltree, "HOT", 3)
+    monkeypatch.setattr(urltree, "HOT", hot)
     rows = urltree.judge(df, rules=rules).collect()
     split = lambda x: (x.host, tuple(filter(None, x.path.split("/"))))
     want = brute_tree([(*split(x), x.verdict if x.rule else None) for x in rows])
@@ -425,6 +428,24 @@ def test_url_tree_against_brute_force(spark, monkeypatch):
     assert sum(x.rule is None and x.verdict == "block" for x in rows) > 20
 
 
+@pytest.mark.parametrize("hot", [150, 2000])
+def test_url_tree_ends_on_deep_urls(spark, monkeypatch, hot):
+    """A url of 1,000 segments among 200, alone and below a stem of 300 segments that all have."""
+    monkeypatch.setattr(urltree, "HOT", hot)
+    for stem in ("", "/s" * 300):
+        urls = [f"http://h.com{stem}/{'spam' if i % 3 else 'ok'}/{i % 50}/{i}" for i in range(200)] + [f"http://h.com{stem}" + "".join(f"/{k}" for k in range(1000))]
+        rules = (("block", "h.com", f"{stem}/spam/1"), ("allow", "h.com", f"{stem}/ok/2"))
+        began = time.time()
+        rows = urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+        assert time.time() - began < 60
+        split = lambda x: (x.host, tuple(filter(None, x.path.split("/"))))
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(5000)
+        want = brute_tree([(*split(x), x.verdict if x.rule else None) for x in rows])
+        sys.setrecursionlimit(limit)
+        assert len(rows) == 201 and all(abs(x.purity - want[split(x)]) < 1e-9 for x in rows)
+
+
 # 2. WARC
 
 
