@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline import schema as S
 from weftline.functions import relations, routing, text
-from weftline.operators import corpus, editlog, evaluate, gaps, graph, layers, levels, repair
+from weftline.operators import community, corpus, editlog, evaluate, gaps, graph, layers, levels, repair
 from weftline.sources import files
 from weftline.streaming import logs
 
@@ -105,16 +105,16 @@ def test_graph_degrees_betweenness_communities(spark):
     assert d == {"a": (1, 2), "b": (2, 3), "c": (2, 2), "d": (1, 1), "e": (0, 0), "f": (0, 0)}
     b = {r.id: r.betweenness for r in graph.betweenness(n, e).collect()}
     assert b == {"a": 0, "b": 0.2, "c": 0.2, "d": 0, "e": 0, "f": 0}
-    got = graph.louvain(list("abcdefgh"), [("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("d", "e", 1), ("e", "f", 1), ("d", "f", 1), ("c", "d", 1)])
+    got = community.leiden(list("abcdefgh"), [("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("d", "e", 1), ("e", "f", 1), ("d", "f", 1), ("c", "d", 1)])
     assert got == {**dict.fromkeys("abc", "comm_000"), **dict.fromkeys("def", "comm_001"), "g": "comm_002", "h": "comm_003"}
-    assert graph.communities(n, e).count() == 6
+    assert community.communities(n, e).count() == 6
 
 
 def test_corpus_propagation_and_components(spark):
     p = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0), ("c", "x", 0.1)], "a string, b string, weight double")
     assert {r.id: r.component for r in graph.connected_components(p).collect()} == dict.fromkeys("abcxy", "a")
-    lab = {r.id: r.community for r in graph.label_propagation(p, 8).collect()}
-    assert len(lab) == 5 and lab["a"] == lab["b"] == lab["c"] != lab["x"] == lab["y"]
+    lab = {r.id: r.community for r in community.corpus_levels(p).where("step = 0").collect()}
+    assert lab == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
 
 
 def test_neighborhood_truncation(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from oracle import differences
 
-from weftline.operators import graph, levels
+from weftline.operators import community, graph, levels
 from weftline.plans import demo, registry
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +37,7 @@ def test_queries_without_sql_take_all_rows(spark):
     q = {k: registry.queries()[k](spark, SF) for k in ("session_betweenness", "session_communities", "node_importance", "level_selection", "corpus_communities")}
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(q["session_betweenness"]) == rows(graph.betweenness(n, e))
-    assert rows(q["session_communities"]) == rows(graph.communities(n, e))
+    assert rows(q["session_communities"]) == rows(community.communities(n, e))
     bare = n.selectExpr("*", "CAST(null AS double) AS mentions", "CAST(null AS double) AS novelty")
     assert rows(q["node_importance"]) == rows(levels.importance(bare, e))
     d = graph.degree(n, e).join(n, ["session", "id"])

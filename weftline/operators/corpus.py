@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import evidence_text, member_fingerprint, normalize_label
-from . import graph
+from ..sources.files import cut
+from . import community, graph
 
 
 def merge_nodes(nodes: DataFrame, norm=normalize_label) -> DataFrame:
@@ -50,14 +53,23 @@ def undirected_weights(corpus_edges: DataFrame) -> DataFrame:
     return corpus_edges.where("from_norm <> to_norm").groupBy(F.least("from_norm", "to_norm").alias("a"), F.greatest("from_norm", "to_norm").alias("b")).agg(F.sum("weight").cast("double").alias("weight"))
 
 
-def two_level_communities(pairs: DataFrame, ids: DataFrame, rounds: int = 6) -> DataFrame:
-    """(level, community, label_norm): coarse and fine communities of the corpus graph; nodes without an edge are alone."""
-    out = None
-    for level, gamma in S.CORPUS_RESOLUTIONS.items():
-        lab = ids.join(graph.label_propagation(pairs, rounds, gamma).withColumnRenamed("id", "label_norm"), "label_norm", "left")
-        lab = lab.select(F.lit(level).alias("level"), F.concat(F.lit(f"{level}:"), F.coalesce("community", "label_norm")).alias("community"), "label_norm")
-        out = lab if out is None else out.unionByName(lab)
-    return out
+def community_steps(pairs: DataFrame) -> DataFrame:
+    """(level, step, id, community, modularity): the steps of both resolutions, see :func:`community.corpus_levels`."""
+    parts = [community.corpus_levels(pairs, gamma).select(F.lit(level).alias("level"), "*") for level, gamma in S.CORPUS_RESOLUTIONS.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def two_level_communities(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(level, community, label_norm, modularity): coarse and fine communities of the corpus graph; nodes without an edge are alone.
+
+    ``modularity`` is that of the level.
+    """
+    steps = cut(community_steps(pairs))
+    last = steps.groupBy("level").agg(F.max("step").alias("step"), F.max_by("modularity", "step").alias("modularity"))
+    found = steps.drop("modularity").join(F.broadcast(last), ["level", "step"], "left_semi").select("level", F.col("id").alias("label_norm"), "community")
+    levels = pairs.sparkSession.createDataFrame([(x,) for x in S.CORPUS_RESOLUTIONS], "level string").join(F.broadcast(last.drop("step")), "level", "left")
+    out = F.broadcast(levels).crossJoin(ids.select("label_norm").distinct()).join(found, ["level", "label_norm"], "left")  # two levels
+    return out.select("level", F.concat("level", F.lit(":"), F.coalesce("community", "label_norm")).alias("community"), "label_norm", F.coalesce("modularity", F.lit(0.0)).alias("modularity"))
 
 
 def summaries_to_make(communities: DataFrame, cached: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.relations import falsy_default
-from ..sources.files import cut
+from ..sources.files import Steps, cut
 
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -89,109 +89,21 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _session_graph(nodes, edges).groupBy("session").applyInPandas(run, "session string, id string, betweenness double")
 
 
-def louvain(ids: list[str], weighted: list[tuple[str, str, float]], resolution: float = 1.0) -> dict[str, str]:
-    """Deterministic communities by local moving and contraction: nodes in id order, equal gains to the smaller community.
-
-    Named ``comm_000`` on by falling size, then by first member; without edges every node is alone.
-    """
-    ids = sorted(ids)
-    at = {x: i for i, x in enumerate(ids)}
-    part = list(range(len(ids)))
-    links: list[dict[int, float]] = [{} for _ in ids]
-    self_w = [0.0] * len(ids)
-    for a, b, w in sorted(weighted):
-        i, j = at[a], at[b]
-        links[i][j] = links[i].get(j, 0.0) + w
-        links[j][i] = links[j].get(i, 0.0) + w
-    two_m = sum(sum(x.values()) for x in links)
-    while two_m:
-        k = [sum(x.values()) + s for x, s in zip(links, self_w, strict=True)]
-        comm = list(range(len(links)))
-        total = k[:]
-        moved_any = False
-        for _ in range(100):
-            moved = False
-            for i in range(len(links)):
-                old = comm[i]
-                total[old] -= k[i]
-                gain: dict[int, float] = {old: 0.0}
-                for j, w in links[i].items():
-                    gain[comm[j]] = gain.get(comm[j], 0.0) + w
-                score = {c: g - resolution * k[i] * total[c] / two_m for c, g in gain.items()}
-                best = min(score, key=lambda c: (-round(score[c], 12), c != old, c))
-                comm[i] = best
-                total[best] += k[i]
-                if best != old:
-                    moved = moved_any = True
-            if not moved:
-                break
-        if not moved_any:
-            break
-        name = {c: n for n, c in enumerate(sorted(set(comm)))}
-        part = [name[comm[p]] for p in part]
-        new_links: list[dict[int, float]] = [{} for _ in name]
-        new_self = [0.0] * len(name)
-        for i, x in enumerate(links):
-            ci = name[comm[i]]
-            new_self[ci] += self_w[i]
-            for j, w in x.items():
-                cj = name[comm[j]]
-                if ci == cj:
-                    new_self[ci] += w
-                else:
-                    new_links[ci][cj] = new_links[ci].get(cj, 0.0) + w
-        links, self_w = new_links, new_self
-    groups: dict[int, list[str]] = {}
-    for x, p in zip(ids, part, strict=True):
-        groups.setdefault(p, []).append(x)
-    ranked = sorted(groups.values(), key=lambda g: (-len(g), g[0]))
-    return {x: f"comm_{i:03d}" for i, g in enumerate(ranked) for x in g}
-
-
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(session, id, community), one session at a time; deterministic local moving, not Leiden."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(pdf.loc[pdf.b.isna(), "a"])
-        e = pdf[pdf.b.notna()]
-        got = louvain(ids, list(zip(e.a, e.b, e.weight, strict=True)), resolution)
-        return pd.DataFrame({"session": pdf.session.iloc[0], "id": ids, "community": [got[i] for i in ids]})
-
-    return _session_graph(nodes, edges).groupBy("session").applyInPandas(run, "session string, id string, community string")
-
-
-def label_propagation(pairs: DataFrame, rounds: int = 5, resolution: float = 1.0) -> DataFrame:
-    """(id, community) of the corpus graph (a, b, weight): synchronous weighted moves, ties to the smaller label.
-
-    A label's pull is its weight towards the node less ``resolution`` times its expected weight; every round lets
-    only half of the nodes move (by hash), which stops oscillation.
-    """
-    both = cut(pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    strength = cut(both.groupBy("a").agg(F.sum("weight").alias("k")))
-    two_m = strength.agg(F.sum("k")).first()[0] or 0.0
-    label = strength.select(F.col("a").alias("id"), F.col("a").alias("community"))
-    for r in range(rounds if two_m else 0):
-        mass = label.join(strength, label.id == strength.a).groupBy("community").agg(F.sum("k").alias("mass"))
-        pull = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        score = pull.join(mass, "community").join(strength, "a").withColumn("score", F.round(F.col("w") - resolution * F.col("k") * F.col("mass") / F.lit(two_m), 9))
-        best = score.groupBy("a").agg(F.min_by("community", F.struct((-F.col("score")).alias("s"), "community")).alias("new"))
-        may_move = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
-        label = cut(label.join(best.withColumnRenamed("a", "id"), "id", "left").select("id", F.when(may_move, F.coalesce("new", "community")).otherwise(F.col("community")).alias("community")))
-    return label
-
-
 def connected_components(pairs: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable over (a, b)."""
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"))
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        step = label.join(near, label.id == near.a).select("id", F.col("component").alias("was"), F.least("component", "c").alias("c"))
-        up = step.select(F.col("id").alias("c"), F.col("c").alias("up"))
-        new = cut(step.join(up, "c", "left").select("id", "was", F.least("c", F.coalesce("up", "c")).alias("component")))
-        label = new.select("id", "component")
-        if new.where("was <> component").isEmpty():
-            return label
+    """(id, component): the least id reachable over (a, b); least labels of neighbours and pointer jumping, on tables of true sizes."""
+    with Steps(pairs.sparkSession) as steps:
+        both = steps.write(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        label = steps.write(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+        while True:
+            # The least label around a node goes to the node and to the label that it had; then labels jump to their own label.
+            near = both.join(label.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
+            step = steps.write(label.join(near, "id").select("id", "component", F.least("component", "c").alias("c")))
+            hook = step.groupBy(F.col("component").alias("id")).agg(F.min("c").alias("h"))
+            up = steps.write(step.join(hook, "id", "left").select("id", F.col("component").alias("was"), F.least("c", F.coalesce("h", "c")).alias("c")))
+            new = steps.write(up.join(up.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c", "left").select("id", "was", F.least("c", F.coalesce("cc", "c")).alias("component")))
+            label = new.select("id", "component")
+            if new.where("was <> component").isEmpty():
+                return cut(label)
 
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2, max_nodes: int = 40) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.relations import combine_scores, judge, normalize_tags, policy_stats, project_glyph
 from ..functions.text import ascii_norm
-from ..operators import corpus, evaluate, gaps, graph, levels, repair
+from ..operators import community, corpus, evaluate, gaps, graph, levels, repair
 from ..sources.files import cut
 from . import demo
 from .registry import query
@@ -251,8 +251,8 @@ def session_betweenness(spark, sf_dir):
 
 @query()
 def session_communities(spark, sf_dir):
-    """GR1: communities per session (unit-tested)."""
-    return graph.communities(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir))
+    """GR1: Leiden communities per session (unit-tested)."""
+    return community.communities(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir))
 
 
 #: Every size is tried: its shown nodes, and the communities that are left with two hidden ones or more.

@@ -233,13 +233,23 @@ def resolved_ends(spark, sf_dir):
     return out.select("session", bare("from").alias("from"), bare("to").alias("to"), "glyph", "id")
 
 
+def _supply(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")).agg(F.count("*").cast("double").alias("weight"))
+
+
 @query()
 def corpus_communities(spark, sf_dir):
-    """GR4: two levels of communities of suppliers and parts (unit-tested)."""
-    li = table(spark, sf_dir, "lineitem")
-    p = li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")).agg(F.count("*").cast("double").alias("weight"))
-    ids = p.select(F.explode(F.array("a", "b")).alias("label_norm")).distinct()
-    return corpus.two_level_communities(p, ids, 4)
+    """GR4: two levels of communities of suppliers and parts, with their modularity (tested against SQL over the result)."""
+    p = _supply(spark, sf_dir)
+    return corpus.two_level_communities(p, p.select(F.explode(F.array("a", "b")).alias("label_norm")).distinct())
+
+
+@query()
+def corpus_community_steps(spark, sf_dir):
+    """GR4: communities and modularity after every step of moves and contractions (tested against SQL over the result)."""
+    steps = corpus.community_steps(_supply(spark, sf_dir))
+    return steps.groupBy("level", "step").agg(F.count("*").alias("nodes"), F.count_distinct("community").alias("communities"), F.max("modularity").alias("modularity"))
 
 
 @query()

@@ -36,6 +36,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Steps:
+    """Tables of a loop, written as Parquet to the shared folder: lineage ends, and each step knows the true sizes of what it reads.
+
+    The end of a ``with`` block removes them all, so what leaves the block must be cut first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_dir(spark).rstrip('/')}/weftline-steps/{uuid.uuid4().hex}"
+        self.count = 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def scan_folder(spark: SparkSession, path: str, since: str | None = None, most: int = DOC_CHARS) -> DataFrame:
     """(name, source, modified, text) of the documents below ``path``; extension and time are tested before a file is opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}")
