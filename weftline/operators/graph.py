@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.relations import falsy_default
 from ..sources.files import Steps, cut
+from .reach import strong_components
 
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -135,52 +136,9 @@ def _window(part: str, *order: str):
     return w.orderBy(*order) if order else w
 
 
-def on_cycles(pairs: list[tuple]) -> list:
-    """Nodes on a directed cycle of any length: those in a strong component of several nodes, or with a loop."""
-    down: dict = {}
-    for a, b in pairs:
-        down.setdefault(a, []).append(b)
-        down.setdefault(b, [])
-    order, low, done, path, out = {}, {}, set(), [], []
-    for root in down:
-        if root in order:
-            continue
-        order[root] = low[root] = len(order)
-        path.append(root)
-        todo = [(root, iter(down[root]))]
-        while todo:
-            v, rest = todo[-1]
-            w = next((x for x in rest if x not in done), None)
-            if w is None:
-                todo.pop()
-                if todo:
-                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
-                if low[v] == order[v]:
-                    part = [path.pop()]
-                    while part[-1] != v:
-                        part.append(path.pop())
-                    done.update(part)
-                    if len(part) > 1 or v in down[v]:
-                        out += part
-            elif w in order:
-                low[v] = min(low[v], order[w])
-            else:
-                order[w] = low[w] = len(order)
-                path.append(w)
-                todo.append((w, iter(down[w])))
-    return out
-
-
 def cycle_members(relations: DataFrame) -> DataFrame:
-    """(session, id) of concepts on a cycle of ``is_a`` (child, parent), however long; one session at a time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = on_cycles(list(zip(pdf.child.tolist(), pdf.parent.tolist(), strict=True)))
-        return pd.DataFrame({"session": [pdf.session.iloc[0]] * len(ids), "id": ids}, dtype=object)
-
-    step = relations.select("session", "child", "parent").where("child is not null and parent is not null").distinct()
-    kind = {f.name: f.dataType.simpleString() for f in step.schema}
-    return step.groupBy("session").applyInPandas(run, f"session {kind['session']}, id {kind['child']}")
+    """(session, id) of concepts on a cycle of ``is_a`` (child, parent), however long, of sessions of any size."""
+    return strong_components(relations.select("session", F.col("child").alias("a"), F.col("parent").alias("b"))).select("session", "id")
 
 
 def siblings(relations: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.relations import combine_scores, judge, normalize_tags, policy_stats, project_glyph
 from ..functions.text import ascii_norm
-from ..operators import community, corpus, evaluate, gaps, graph, levels, repair
+from ..operators import community, corpus, evaluate, gaps, graph, levels, reach, repair
 from ..sources.files import cut
 from . import demo
 from .registry import query
@@ -249,6 +249,55 @@ def session_betweenness(spark, sf_dir):
     return graph.betweenness(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir))
 
 
+_HOPS = 6
+
+
+def _shortest_paths() -> str:
+    """SQL of the levels l0, l1, ... of shortest paths from the pivots over edges u, and of the dependencies s0, s1, ... back."""
+    out = ["l0 AS (SELECT origin, origin AS id, CAST(1 AS DOUBLE) AS paths FROM pv)"]
+    for i in range(1, _HOPS + 1):
+        seen = " UNION ALL ".join(f"SELECT origin, id FROM l{j}" for j in range(i))
+        out.append(f"l{i} AS (SELECT origin, b AS id, sum(paths) AS paths FROM l{i - 1} JOIN u ON a = id WHERE (origin, b) NOT IN ({seen}) GROUP BY 1, 2)")
+    out.append(f"s{_HOPS} AS (SELECT *, CAST(0 AS DOUBLE) AS share FROM l{_HOPS})")
+    for i in range(_HOPS - 1, 0, -1):
+        flow = f"SELECT origin, b AS id, sum((1 + share) / paths) AS x FROM s{i + 1} JOIN u ON a = id GROUP BY 1, 2"
+        out.append(f"s{i} AS (SELECT l.origin, l.id, l.paths, l.paths * coalesce(x, 0) AS share FROM l{i} l LEFT JOIN ({flow}) f ON f.origin = l.origin AND f.id = l.id)")
+    return ",\n".join(out)
+
+
+_PIVOTS = demo.BASE + """, pairs AS (SELECT DISTINCT "from" AS a, "to" AS b FROM sp), u AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), ids AS (SELECT DISTINCT a AS id FROM u),
+pv AS (SELECT id AS origin FROM ids ORDER BY md5(id), id LIMIT 16), """ + _shortest_paths()
+
+
+@query(demo.duckdb(f"""SELECT ids.id, round(coalesce(share, 0) * n / 16 / ((n - 1) * (n - 2)), 8) AS betweenness FROM ids, (SELECT count(*) AS n FROM ids) c
+    LEFT JOIN (SELECT id, sum(share) AS share FROM ({' UNION ALL '.join(f'SELECT id, share FROM s{i}' for i in range(1, _HOPS + 1))}) z GROUP BY 1) t ON t.id = ids.id""", _PIVOTS))
+def corpus_betweenness(spark, sf_dir):
+    """GR2: betweenness of the corpus graph from 16 pivots."""
+    e = demo.relation(spark, sf_dir, "sp").select(F.lit("corpus").alias("session"), F.col("from").alias("a"), F.col("to").alias("b")).distinct()
+    ids = e.select("session", F.explode(F.array("a", "b")).alias("id")).distinct()
+    return reach.pivot_betweenness(ids, e, 16).select("id", F.round("betweenness", 8).alias("betweenness"))
+
+
+_BETWEEN = _SPARSE.replace(demo.BASE, demo.BASE) + """, uu AS (SELECT DISTINCT session, "from" AS a, "to" AS b FROM g UNION SELECT session, "to", "from" FROM g),
+q0 AS (SELECT session, id AS s, id AS t, CAST(1 AS DOUBLE) AS k FROM n),
+q1 AS (SELECT session, a AS s, b AS t, CAST(1 AS DOUBLE) AS k FROM uu),
+q2 AS (SELECT q1.session, s, b AS t, sum(k) AS k FROM q1 JOIN uu ON uu.session = q1.session AND a = t GROUP BY 1, 2, 3),
+p2 AS (SELECT q2.* FROM q2 LEFT JOIN q1 x ON x.session = q2.session AND x.s = q2.s AND x.t = q2.t WHERE x.s IS NULL AND q2.s <> q2.t),
+q3 AS (SELECT p2.session, s, b AS t, sum(k) AS k FROM p2 JOIN uu ON uu.session = p2.session AND a = t GROUP BY 1, 2, 3),
+p3 AS (SELECT q3.* FROM q3 LEFT JOIN (SELECT session, s, t FROM q0 UNION SELECT session, s, t FROM q1 UNION SELECT session, s, t FROM p2) x ON x.session = q3.session AND x.s = q3.s AND x.t = q3.t WHERE x.s IS NULL),
+q4 AS (SELECT p3.session, s, b AS t, sum(k) AS k FROM p3 JOIN uu ON uu.session = p3.session AND a = t GROUP BY 1, 2, 3),
+p4 AS (SELECT q4.* FROM q4 LEFT JOIN (SELECT session, s, t FROM q0 UNION SELECT session, s, t FROM q1 UNION SELECT session, s, t FROM p2 UNION SELECT session, s, t FROM p3) x ON x.session = q4.session AND x.s = q4.s AND x.t = q4.t WHERE x.s IS NULL),
+w AS (SELECT session, s, t, k, 1 AS d FROM q1 UNION ALL SELECT session, s, t, k, 2 FROM p2 UNION ALL SELECT session, s, t, k, 3 FROM p3 UNION ALL SELECT session, s, t, k, 4 FROM p4),
+bt AS (SELECT x.session, x.t AS id, sum(x.k * y.k / z.k) AS total FROM w x JOIN w y ON y.session = x.session AND y.s = x.t JOIN w z ON z.session = x.session AND z.s = x.s AND z.t = y.t AND z.d = x.d + y.d GROUP BY 1, 2)"""
+
+
+@query(demo.duckdb("""SELECT n.session, n.id, round(coalesce(total, 0) / ((c - 1) * (c - 2)), 8) AS betweenness FROM n JOIN (SELECT session, count(*) AS c FROM n GROUP BY 1) m ON m.session = n.session LEFT JOIN bt ON bt.session = n.session AND bt.id = n.id""", _BETWEEN))
+def pivot_betweenness_of_all(spark, sf_dir):
+    """GR2: exact betweenness of every session, all pivots at once."""
+    n, e = demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir)
+    return reach.pivot_betweenness(n, graph.valid_edges(n, e).select("session", F.col("from").alias("a"), F.col("to").alias("b"))).select("session", "id", F.round("betweenness", 8).alias("betweenness"))
+
+
 @query()
 def session_communities(spark, sf_dir):
     """GR1: Leiden communities per session (unit-tested)."""
