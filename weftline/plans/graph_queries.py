@@ -278,16 +278,16 @@ def corpus_betweenness(spark, sf_dir):
     return reach.pivot_betweenness(ids, e, 16).select("id", F.round("betweenness", 8).alias("betweenness"))
 
 
-_BETWEEN = _SPARSE.replace(demo.BASE, demo.BASE) + """, uu AS (SELECT DISTINCT session, "from" AS a, "to" AS b FROM g UNION SELECT session, "to", "from" FROM g),
-q0 AS (SELECT session, id AS s, id AS t, CAST(1 AS DOUBLE) AS k FROM n),
-q1 AS (SELECT session, a AS s, b AS t, CAST(1 AS DOUBLE) AS k FROM uu),
-q2 AS (SELECT q1.session, s, b AS t, sum(k) AS k FROM q1 JOIN uu ON uu.session = q1.session AND a = t GROUP BY 1, 2, 3),
-p2 AS (SELECT q2.* FROM q2 LEFT JOIN q1 x ON x.session = q2.session AND x.s = q2.s AND x.t = q2.t WHERE x.s IS NULL AND q2.s <> q2.t),
-q3 AS (SELECT p2.session, s, b AS t, sum(k) AS k FROM p2 JOIN uu ON uu.session = p2.session AND a = t GROUP BY 1, 2, 3),
-p3 AS (SELECT q3.* FROM q3 LEFT JOIN (SELECT session, s, t FROM q0 UNION SELECT session, s, t FROM q1 UNION SELECT session, s, t FROM p2) x ON x.session = q3.session AND x.s = q3.s AND x.t = q3.t WHERE x.s IS NULL),
-q4 AS (SELECT p3.session, s, b AS t, sum(k) AS k FROM p3 JOIN uu ON uu.session = p3.session AND a = t GROUP BY 1, 2, 3),
-p4 AS (SELECT q4.* FROM q4 LEFT JOIN (SELECT session, s, t FROM q0 UNION SELECT session, s, t FROM q1 UNION SELECT session, s, t FROM p2 UNION SELECT session, s, t FROM p3) x ON x.session = q4.session AND x.s = q4.s AND x.t = q4.t WHERE x.s IS NULL),
-w AS (SELECT session, s, t, k, 1 AS d FROM q1 UNION ALL SELECT session, s, t, k, 2 FROM p2 UNION ALL SELECT session, s, t, k, 3 FROM p3 UNION ALL SELECT session, s, t, k, 4 FROM p4),
+def _distances(most: int = 16) -> str:
+    """SQL of p1, p2, ...: numbers k of shortest paths of that length from s to t, and of w, all of them."""
+    out = ["p0 AS (SELECT session, id AS s, id AS t, CAST(1 AS DOUBLE) AS k FROM n)"]
+    for d in range(1, most + 1):
+        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM p{i} x WHERE x.session = q.session AND x.s = q.s AND x.t = q.t)" for i in range(max(0, d - 2), d))
+        out.append(f"p{d} AS (SELECT * FROM (SELECT p.session, s, b AS t, sum(k) AS k FROM p{d - 1} p JOIN uu ON uu.session = p.session AND a = t GROUP BY 1, 2, 3) q WHERE {seen})")
+    return ",\n".join([*out, "w AS (" + " UNION ALL ".join(f"SELECT session, s, t, k, {d} AS d FROM p{d}" for d in range(1, most + 1)) + ")"])
+
+
+_BETWEEN = demo.BASE + f""", uu AS (SELECT DISTINCT session, "from" AS a, "to" AS b FROM g UNION SELECT session, "to", "from" FROM g), {_distances()},
 bt AS (SELECT x.session, x.t AS id, sum(x.k * y.k / z.k) AS total FROM w x JOIN w y ON y.session = x.session AND y.s = x.t JOIN w z ON z.session = x.session AND z.s = x.s AND z.t = y.t AND z.d = x.d + y.d GROUP BY 1, 2)"""
 
 
