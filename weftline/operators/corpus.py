@@ -108,9 +108,9 @@ def known_terms(questions: DataFrame, vocabulary: DataFrame, most: int = 6) -> D
 
 
 def seeds(hits: DataFrame, most: int = 8) -> DataFrame:
-    """Node hits (question, term_pos, rank, session, id) in order of terms, once each, ``most`` per question."""
+    """Node hits (question, term_pos, rank, session, id) in order of terms, once each, ``most`` per question, with their ``place``."""
     one = hits.where("kind = 'node'").groupBy("question", "session", "id").agg(F.min(F.struct("term_pos", "rank")).alias("o"))
-    return one.withColumn("_r", F.row_number().over(Window.partitionBy("question").orderBy("o", "session", "id"))).where(F.col("_r") <= most).drop("_r", "o")
+    return one.withColumn("place", F.row_number().over(Window.partitionBy("question").orderBy("o", "session", "id"))).where(F.col("place") <= most).drop("o")
 
 
 def rank_communities(members: DataFrame, terms: DataFrame, top: int = 3) -> DataFrame:
@@ -132,10 +132,32 @@ def node_documents(edges: DataFrame) -> DataFrame:
     return d.groupBy("session", "id").agg(F.count_distinct("document_id").alias("k"), F.min("document_id").alias("document_id")).where("k = 1").drop("k")
 
 
+def local_materials(nodes: DataFrame, edges: DataFrame, seed_nodes: DataFrame, hops: int = 2, max_nodes: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Concepts and relations for many questions at once, from seeds (question, place, session, id).
+
+    Concepts: (question, place, session, id, hop, seed, truncated). The sessions of a question come in the order of their first seeds. The
+    first has the budget of ``max_nodes``, what it leaves goes to the next, and so on; in a session seeds come first, then by hop and id. As every
+    session takes all that is left, that is the first ``max_nodes`` of one order, and one search keyed by (question, session) is enough.
+    ``truncated`` says that nodes of the question were left out. Relations: (question, session, id, from, to) of edges between concepts.
+    """
+    found = graph.spread(nodes, edges, seed_nodes, hops, ("question", "session"))
+    first = seed_nodes.groupBy("question", "session").agg(F.min("place").alias("turn"))
+    w = Window.partitionBy("question").orderBy("turn", "session", "hop", "id")
+    picked = found.join(first, ["question", "session"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_nodes + 1)
+    over = picked.where(F.col("place") > max_nodes).select("question", F.lit(True).alias("truncated"))
+    concepts = picked.where(F.col("place") <= max_nodes).join(over, "question", "left")
+    concepts = cut(concepts.select("question", "place", "session", "id", "hop", (F.col("hop") == 0).alias("seed"), F.coalesce("truncated", F.lit(False)).alias("truncated")))
+    ends = [concepts.select("question", "session", F.col("id").alias(end)) for end in ("from", "to")]
+    relations = edges.where("`from` <> `to`").select("session", "id", "from", "to").join(ends[0], ["session", "from"]).join(ends[1], ["question", "session", "to"], "left_semi")
+    return concepts, relations.select("question", "session", "id", "from", "to")
+
+
 def local_material(nodes: DataFrame, edges: DataFrame, seed_nodes: DataFrame, hops: int = 2, max_nodes: int = 40) -> tuple[DataFrame, DataFrame]:
-    """Concepts and relations around the seeds; the node budget is split evenly over the sessions, at least 4 each."""
-    k = seed_nodes.select("session").distinct().count() or 1
-    return graph.neighborhood(nodes, edges, seed_nodes, hops, max(4, max_nodes // k))
+    """Concepts and relations of one question, see :func:`local_materials`; seeds (session, id) without a place count by session and id."""
+    place = F.col("place") if "place" in seed_nodes.columns else F.row_number().over(Window.orderBy("session", "id"))  # of one question: eight seeds
+    one = seed_nodes.select(F.lit("").alias("question"), "session", "id", place.alias("place"))
+    concepts, relations = local_materials(nodes, edges, one, hops, max_nodes)
+    return concepts.drop("question"), relations.drop("question")
 
 
 def merge_material(*parts: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ from ..functions.relations import falsy_default
 from ..sources.files import Steps, cut
 from .reach import strong_components
 
+#: Fronts of a search are broadcast up to this number of rows.
+BROADCAST_ROWS = 1_000_000
+
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges without loops whose ends both exist."""
@@ -31,15 +34,12 @@ def undirected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.groupBy("session", F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.sum(w).alias("weight"), F.count("*").alias("n"))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select("session", F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(pairs.select("session", F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
-
-
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(session, id, degree, incident): distinct neighbours, and rows of the multigraph, which differ."""
-    simple = _ends(undirected(nodes, edges)).groupBy("session", "id").agg(F.count("*").alias("degree"))
-    rows = valid_edges(nodes, edges).select("session", F.explode(F.array("from", "to")).alias("id")).groupBy("session", "id").agg(F.count("*").alias("incident"))
-    out = nodes.select("session", "id").distinct().join(simple, ["session", "id"], "left").join(rows, ["session", "id"], "left")
+    """(session, id, degree, incident): distinct neighbours, and rows of the multigraph, which differ; one aggregation of the ends."""
+    e = valid_edges(nodes, edges)
+    ends = e.select("session", F.explode(F.array(F.struct(F.col("from").alias("id"), F.col("to").alias("other")), F.struct(F.col("to").alias("id"), F.col("from").alias("other")))).alias("x"))
+    per = ends.groupBy("session", "x.id", "x.other").agg(F.count("*").alias("n")).groupBy("session", "id").agg(F.count("*").alias("degree"), F.sum("n").alias("incident"))
+    out = nodes.select("session", "id").distinct().join(per, ["session", "id"], "left")
     return out.select("session", "id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("incident", F.lit(0)).alias("incident"))
 
 
@@ -107,22 +107,35 @@ def connected_components(pairs: DataFrame) -> DataFrame:
                 return cut(label)
 
 
+def spread(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, keys: tuple[str, ...] = ("session",)) -> DataFrame:
+    """(keys, id, hop): nodes within ``hops`` of the seeds (keys, id), for all keys at once; ``session`` is one of the keys.
+
+    Edges meet the front only: it is sent to them while it is small, so no more than the edges around it are moved.
+    """
+    keys = list(keys)
+    with Steps(edges.sparkSession) as steps:
+        ids = nodes.select("session", "id").distinct()
+        ends = edges.where("`from` <> `to`").select("session", F.explode(F.array(F.struct(F.col("from").alias("id"), F.col("to").alias("other")), F.struct(F.col("to").alias("id"), F.col("from").alias("other")))).alias("x")).select("session", "x.*")
+        small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        front = steps.write(seeds.select(*keys, "id").distinct().join(ids, ["session", "id"], "left_semi").withColumn("hop", F.lit(0)))
+        seen = front
+        for h in range(1, hops + 1):
+            near = ends.join(small(front.drop("hop")), ["session", "id"]).select(*keys, F.col("other").alias("id")).distinct()
+            near = near.join(seen, [*keys, "id"], "left_anti").join(ids, ["session", "id"], "left_semi")
+            front = steps.write(near.select(*keys, "id").withColumn("hop", F.lit(h)))
+            seen = seen.unionByName(front.select(seen.columns))
+        return cut(seen)
+
+
 def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2, max_nodes: int = 40) -> tuple[DataFrame, DataFrame]:
     """Nodes (session, id, hop, truncated) within ``hops`` of the seeds, seeds first and by id in a hop, and their edges.
 
     ``truncated`` is true only if the limit was hit and nodes remain.
     """
-    ids = nodes.select("session", "id").distinct()
-    seen = seeds.select("session", "id").distinct().join(ids, ["session", "id"], "left_semi").withColumn("hop", F.lit(0))
-    ends = _ends(undirected(nodes, edges)).select("session", "id", "other")
-    front = seen
-    for h in range(1, hops + 1):
-        front = front.join(ends, ["session", "id"]).select("session", F.col("other").alias("id")).distinct()
-        front = front.join(seen, ["session", "id"], "left_anti").withColumn("hop", F.lit(h))
-        seen = seen.unionByName(front)
+    seen = spread(nodes, edges, seeds, hops)
     rank = F.row_number().over(_window("session", "hop", "id"))
     total = F.count("*").over(_window("session"))
-    picked = seen.withColumns({"_r": rank, "truncated": total > max_nodes}).where(F.col("_r") <= max_nodes).drop("_r")
+    picked = seen.select("session", "id", "hop").withColumns({"_r": rank, "truncated": total > max_nodes}).where(F.col("_r") <= max_nodes).drop("_r")
     inner = edges
     for end in ("from", "to"):
         inner = inner.join(picked.select("session", F.col("id").alias(end)), ["session", end], "left_semi")

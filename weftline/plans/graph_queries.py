@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.relations import combine_scores, judge, normalize_tags, policy_stats, project_glyph
 from ..functions.text import ascii_norm
 from ..operators import community, corpus, evaluate, gaps, graph, levels, reach, repair
+from ..session import table
 from ..sources.files import cut
 from . import demo
 from .registry import query
@@ -249,6 +250,42 @@ def session_betweenness(spark, sf_dir):
     return graph.betweenness(demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir))
 
 
+#: Three terms of every question that a user asks; the newest three sessions with a term's node are its hits.
+_ASKED = """, q AS (SELECT conv_id * 1000 + turn AS question, length(text) % 25 AS t1, conv_id % 25 AS t2, (conv_id + turn) % 25 AS t3 FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+asked AS (SELECT question, 1 AS term_pos, 'NATION_' || CAST(t1 AS VARCHAR(3)) AS term FROM q UNION ALL SELECT question, 2, 'NATION_' || CAST(t2 AS VARCHAR(3)) FROM q UNION ALL SELECT question, 3, 'NATION_' || CAST(t3 AS VARCHAR(3)) FROM q)"""
+_LOCAL = demo.BASE + _ASKED + """, act AS (SELECT DISTINCT session, "to" AS id FROM g), hit AS (SELECT * FROM (SELECT session, id, row_number() OVER (PARTITION BY id ORDER BY session DESC) AS rank FROM act) z WHERE rank <= 3),
+sd AS (SELECT * FROM (SELECT question, session, id, row_number() OVER (PARTITION BY question ORDER BY o, session, id) AS place FROM (SELECT question, session, hit.id, min(term_pos * 100 + rank) AS o FROM asked JOIN hit ON hit.id = term GROUP BY 1, 2, 3) a) b WHERE place <= 8),
+uu AS (SELECT DISTINCT session, "from" AS a, "to" AS b FROM g UNION SELECT session, "to", "from" FROM g),
+h1 AS (SELECT DISTINCT question, sd.session, b AS id FROM sd JOIN uu ON uu.session = sd.session AND a = id),
+h2 AS (SELECT DISTINCT question, h1.session, b AS id FROM h1 JOIN uu ON uu.session = h1.session AND a = id),
+near AS (SELECT question, session, id, min(hop) AS hop FROM (SELECT question, session, id, 0 AS hop FROM sd UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) c GROUP BY 1, 2, 3),
+ranked AS (SELECT near.*, row_number() OVER (PARTITION BY near.question ORDER BY turn, near.session, hop, id) AS place, count(*) OVER (PARTITION BY near.question) AS total FROM near
+    JOIN (SELECT question, session, min(place) AS turn FROM sd GROUP BY 1, 2) f ON f.question = near.question AND f.session = near.session)"""
+
+
+def _materials(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
+    q = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question"), F.array((F.length("text") % 25).cast("string"), (F.col("conv_id") % 25).cast("string"), ((F.col("conv_id") + F.col("turn")) % 25).cast("string")).alias("t"))
+    asked = q.select("question", F.posexplode("t").alias("term_pos", "k")).select("question", "term_pos", F.concat(F.lit("NATION_"), "k").alias("term"))
+    n, e = demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir)
+    hit = e.select("session", F.col("to").alias("id")).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("session")))).where("rank <= 3")
+    hits = asked.join(hit, F.col("term") == F.col("id")).select("question", "term_pos", "rank", "session", "id", F.lit("node").alias("kind"))
+    return corpus.local_materials(n, e, corpus.seeds(hits, 8))
+
+
+@query(demo.duckdb("SELECT question, CAST(place AS INTEGER) AS place, session, id, hop, hop = 0 AS seed, total > 40 AS truncated FROM ranked WHERE place <= 40", _LOCAL))
+def local_concepts(spark, sf_dir):
+    """The concepts for every question of all conversations, forty at most, over the sessions in the order of their seeds."""
+    return _materials(spark, sf_dir)[0]
+
+
+@query(demo.duckdb("""SELECT x.question, count(*) AS relations, count(DISTINCT g.session) AS sessions, min(g.id) AS first FROM ranked x JOIN g ON g.session = x.session AND g."from" = x.id AND g."from" <> g."to"
+    JOIN ranked y ON y.question = x.question AND y.session = x.session AND y.id = g."to" WHERE x.place <= 40 AND y.place <= 40 GROUP BY 1""", _LOCAL))
+def local_relations(spark, sf_dir):
+    """The relations between the concepts of every question."""
+    return _materials(spark, sf_dir)[1].groupBy("question").agg(F.count("*").alias("relations"), F.count_distinct("session").alias("sessions"), F.min("id").alias("first"))
+
+
 _HOPS = 6
 
 
