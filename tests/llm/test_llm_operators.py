@@ -128,7 +128,7 @@ def test_quality_thresholds_keep_their_promise(spark):
     df = frame(spark, clean + junk)
     labels = spark.createDataFrame([(i, int(i < 3000), 0) for i in range(3040)], "doc_id long, quality int, toxic int")
     rows = quality.judged(df, labels).collect()
-    assert sum(not r.kept for r in rows if r.doc_id < 3000) <= 0.02 * 3000
+    assert sum(not r.kept for r in rows if r.doc_id < 3000) <= 0.02 * 3000 and {x for r in rows if r.doc_id >= 3000 for x in r.failed} >= {"symbols"}
     assert not any(r.kept for r in rows if r.doc_id >= 3000)
     # Too few labels prove nothing: no rule may reject.
     few = quality.judged(df, labels.where("doc_id < 50")).where("not kept").count()
@@ -136,6 +136,35 @@ def test_quality_thresholds_keep_their_promise(spark):
     assert quality.judged(frame(spark, []), labels).count() == 0
 
 
+def test_quality_levels_are_nested():
+    assert all(len(c) == quality.LEVELS and list(c) == sorted(c, reverse=True) for c in quality.METRICS.values())
+
+
+def test_quality_promise_by_simulation(spark):
+    """Over 400 holdouts drawn from one population, the chosen level rejects more than alpha of the good ones in at most delta of them."""
+    r = random.Random(17)
+    ln = [quality.ALPHA * x for x in (0.2, 0.5, 0.8, 0.95, 1.02, 1.1, 1.3, 1.6, 2.0, 3.0, 5.0)]  # true share that each level rejects
+    rows = []
+    for s in range(400):
+        for _ in range(600):
+            u = r.random()
+            rows.append((f"h{s:03d}", next((i + 1 for i, q in enumerate(ln) if u < q), None), True, False))
+        rows += [(f"h{s:03d}", level, False, False) for level in range(1, 12)]  # every level rejects one more of the bad
+    df = spark.createDataFrame(rows, "stratum string, reached int, good boolean, base_failed boolean")
+    # Every holdout alone: as delta is shared by numbers of labels, 400 of equal size have 400 times their share.
+    got = {x.stratum: (x.level, x.n, x.k) for x in quality.choose(df, "stratum", delta=quality.DELTA * 400).collect()}
+    wrong = sum(ln[level - 1] > quality.ALPHA for level, _, _ in got.values())
+    assert len(got) > 200 and wrong / 400 <= quality.DELTA + 0.02 and any(level > 1 for level, _, _ in got.values())
+    assert all(n == 600 for _, n, _ in got.values())
+
+
+def test_quality_passes_in_every_stratum(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    _, cuts = quality._fitted(docs, labels, "doc_id", "text", "lang", quality.ALPHA, quality.DELTA)
+    assert {x.stratum for x in cuts.collect()} == {"de", "en", "es", "fr"}
+
+
 def test_quality_rows_without_id_and_clashing_columns(spark):
     texts = [words(60), "a b", None, words(60), "x y", words(300_000)]
     df = frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id").isin(0, 1, 2, 5), F.col("doc_id"))).withColumns({"n_words": F.lit(-1), "kept": F.lit("k"), "row": F.lit(2), "stratum": F.lit("s")})

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from .quality import ALPHA, DELTA, METRICS
+from .quality import ALPHA, DELTA, ENOUGH, LEVELS, METRICS
 
 
 def _quality() -> str:
-    """The metrics by joins over words, the thresholds by the binomial tail with lgamma."""
-    rate, grid = ALPHA / len(METRICS), sum(map(len, METRICS.values()))
-    cuts = ", ".join(f"('{m}', {c})" for m, cs in METRICS.items() for c in cs)
-    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate}))))"
-    value = "CASE metric " + " ".join(f"WHEN '{m}' THEN {m}" for m in METRICS) + " END"
+    """The metrics by joins over words, the levels by the binomial tail with lgamma."""
+    reached = "CASE " + " ".join(f"WHEN {' OR '.join(f'{m} > {c[i]}' for m, c in METRICS.items())} THEN {i + 1}" for i in range(LEVELS)) + " END"
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))))"
     window = " || ' ' || ".join(f"lead(word, {i}) OVER o" for i in range(8))
     return rf"""
     WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -24,11 +22,13 @@ def _quality() -> str:
         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM t LEFT JOIN wc USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
     s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols * 1000 // greatest(n_words, 1) AS symbols, n_repeat_words * 1000 // greatest(n_words, 1) AS repeats,
         n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines, word_chars * 1000 // greatest(n_words, 1) AS long_words, CASE WHEN n_words > 0 THEN -(word_chars * 1000 // n_words) ELSE -1000000 END AS short_words FROM m),
-    c AS (SELECT lang, metric, cutoff, count(*) AS n, CAST(count_if({value} > cutoff) AS BIGINT) AS k FROM s, (VALUES {cuts}) v(metric, cutoff)
-        WHERE lang IS NOT NULL AND NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1, 2, 3),
-    p AS (SELECT lang, metric, min(cutoff) AS cutoff FROM (SELECT *, CASE WHEN k >= n * {rate} THEN 1 ELSE {tail} END AS p FROM c) x WHERE p <= {DELTA} / ((SELECT count(DISTINCT lang) FROM c) * {grid}) GROUP BY 1, 2),
-    bad AS (SELECT DISTINCT doc_id FROM s JOIN p ON s.lang = p.lang WHERE {value} > cutoff)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM s
+    f AS (SELECT *, {reached} AS reached FROM s),
+    t1 AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+    g AS (SELECT lang, reached, good FROM f JOIN t1 USING (doc_id) WHERE lang IS NOT NULL AND NOT base_failed),
+    z AS (SELECT lang, CAST(count_if(good) AS BIGINT) AS n FROM g GROUP BY 1 HAVING count_if(good) > 0),
+    c AS (SELECT g.lang, z.n, level, CAST(count_if(good AND reached <= level) AS BIGINT) AS k, count_if(NOT good AND reached <= level) AS bad FROM g JOIN z ON z.lang = g.lang, range(1, {LEVELS + 1}) r(level) GROUP BY 1, 2, 3),
+    p AS (SELECT lang, min(level) AS level FROM (SELECT *, max(bad) OVER (PARTITION BY lang) AS most FROM (SELECT *, CASE WHEN k >= n * {ALPHA} THEN 1 ELSE {tail} END AS p FROM c) x WHERE p <= {DELTA} * n / (SELECT sum(n) FROM z)) y WHERE bad >= {ENOUGH} * most GROUP BY 1)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(reached <= level, false) AS kept FROM f LEFT JOIN p ON p.lang = f.lang
     """
 
 

@@ -1,40 +1,44 @@
 """Quality rules with risk-controlled thresholds; DataFrame and SQL functions only.
 
-Method. Every text gets metrics (``METRICS``), each of which tells against it as it grows. For each stratum (language)
-and metric a grid of cutoffs is tested on the labelled holdout: of the n good documents of the stratum, k lie above
-the cutoff. The hypothesis "more than ``alpha`` of the good documents are rejected" is refused if the exact binomial
-tail P(X <= k | n, alpha) is at most delta / tests (Bonferroni over strata, metrics and cutoffs), so that with
-probability 1 - delta every chosen cutoff keeps its promise at once. Of the cutoffs that pass, the lowest is used; a
-rule without one rejects nothing. Since the rules of a stratum add up, each gets alpha / metrics.
+Method. Every text gets metrics (``METRICS``), each of which tells against it as it grows. The joint rule of a stratum (language)
+has levels, from loose to strict, fixed beforehand: a level has a cutoff for every metric, and rejects what is above one of them, so
+what a level rejects all stricter ones reject. Levels are tested in this order on the labelled holdout: of the n good documents of the
+stratum that pass the base rules, the level rejects k. The hypothesis "more than ``alpha`` of the good documents are rejected" is
+refused if the exact binomial tail P(X <= k | n, alpha) is at most the stratum's share of delta; the first that is not refused ends the
+sequence. Such a sequence needs no correction for its length; over the strata delta is shared by their numbers of good
+labels (a weighted Bonferroni correction), so that with probability 1 - delta every chosen level keeps its promise at once. Of the levels that
+pass, the loosest is used that rejects a share of ``ENOUGH`` of the most documents labelled bad that any of them rejects; a stratum without one rejects nothing by its metrics.
 
 The bound supposes that the labelled documents of a stratum are drawn independently; copies among them count as often as
 they occur, so where a holdout has many copies, label one of each class.
 
 Defined results: a null, empty or blank text has no words and fails the base rules; a text may have any length; a
 document without a stratum, or of one without labels, is judged by the base rules only; a document labelled twice counts
-once; rows repeat as they are; a row without an id is judged by its own text and teaches nothing; an empty table gives no
+once, as good if it is good once; rows repeat as they are; a row without an id is judged by its own text and teaches nothing; an empty table gives no
 row; extra columns are ignored (kept by :func:`kept_documents`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
 
 ALPHA, DELTA = 0.02, 0.05
-#: Metric -> cutoffs in whole thousandths: what a document has above the cutoff rejects it.
+ENOUGH = 0.98
+#: Metric -> cutoffs of the levels in whole thousandths: what a document has above the cutoff rejects it.
 METRICS = {
-    "symbols": (10, 20, 50, 100, 150, 200, 300, 400, 600, 1000, 2000),  # symbols a word
-    "repeats": (10, 20, 50, 100, 150, 200, 250),  # words in repeated windows
-    "dup_lines": (100, 200, 300, 400, 500, 600, 800),  # lines equal to an earlier one
-    "long_words": (5500, 6000, 6500, 7000, 8000, 10000, 12000),  # characters a word
-    "short_words": (-4700, -4500, -4300, -4000, -3500, -3000, -2500),  # characters a word, negated
+    "symbols": (2000, 1000, 600, 400, 300, 200, 150, 100, 50, 20, 10),  # symbols a word
+    "repeats": (300, 290, 280, 270, 260, 250, 225, 200, 150, 100, 50),  # words in repeated windows
+    "dup_lines": (900, 800, 700, 600, 550, 500, 450, 400, 300, 200, 100),  # lines equal to an earlier one
+    "long_words": (12000, 10000, 9000, 8000, 7500, 7000, 6800, 6500, 6250, 6000, 5500),  # characters a word
+    "short_words": (-2500, -2750, -3000, -3200, -3400, -3500, -3750, -4000, -4250, -4350, -4500),  # characters a word, negated
 }
-#: Ids of good documents are broadcast up to this number; beyond it the metrics are joined with them by id.
+LEVELS = 11
+#: Ids of labelled documents are broadcast up to this number; beyond it the metrics are joined with them by id.
 BROADCAST_LABELS = 1_000_000
-#: Rows of the table of cutoffs (a row for a language) are broadcast up to this number.
+#: Rows of the table of levels (a row for a language) are broadcast up to this number.
 BROADCAST_STRATA = 100_000
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -100,44 +104,55 @@ def _scores() -> dict[str, str]:
 BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 
+def _reached() -> str:
+    """SQL of the first level that rejects a row, null if none does."""
+    return "case " + " ".join(f"when {' or '.join(f'{m} > {c[i]}' for m, c in METRICS.items())} then {i + 1}" for i in range(LEVELS)) + " end"
+
+
 def _scored(docs: DataFrame) -> DataFrame:
-    rows = measured(docs)
-    return rows.selectExpr("*", f"{BASE_FAILED} as base_failed", *(f"{v} as {k}" for k, v in _scores().items()))
+    rows = measured(docs).selectExpr("*", f"{BASE_FAILED} as base_failed", *(f"{v} as {k}" for k, v in _scores().items()))
+    return rows.selectExpr("*", f"{_reached()} as reached")
+
+
+def _tail(rate: float) -> str:
+    """SQL of P(X <= k | n, rate) by the ratio of successive terms, in logarithms; 1 where k is above the mean."""
+    term = f"ln((n - i + 1d) / i) + ln({rate}d / (1 - {rate}d))"
+    sum_ = f"aggregate(sequence(1, cast(k as int)), struct(n * ln(1 - {rate}d) as t, exp(n * ln(1 - {rate}d)) as p), (a, i) -> struct(a.t + {term} as t, a.p + exp(a.t + {term}) as p), a -> a.p)"
+    return f"case when k >= n * {rate}d then 1d when k = 0 then exp(n * ln(1 - {rate}d)) else {sum_} end"
 
 
 def choose(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, metric, cutoff) from measured good documents with the scores as columns."""
-    tests = f"inline(array({', '.join(f"struct('{m}' as metric, {c} as cutoff, {m} > {c} as hit)" for m, cs in METRICS.items() for c in cs)}))"
-    grid = sum(map(len, METRICS.values()))
-    counts = labelled.selectExpr(f"{stratum} as stratum", "base_failed", tests).where("stratum is not null").groupBy("stratum", "metric", "cutoff")
-    counts = keep(counts.agg(F.count_if(~F.col("base_failed")).alias("n"), F.count_if(F.col("hit") & ~F.col("base_failed")).alias("k")).where("n > 0"))
-    strata = counts.select(F.count_distinct("stratum")).first()[0]
-    rate = alpha / len(METRICS)
-    # P(X <= k) by the ratio of successive terms, in logarithms; nothing is computed where k is above the mean.
-    tail = (
-        f"aggregate(sequence(1, cast(k as int)), struct(n * ln(1 - {rate}d) as t, exp(n * ln(1 - {rate}d)) as p), (a, i) -> struct("
-        f"a.t + ln((n - i + 1d) / i) + ln({rate}d / (1 - {rate}d)) as t, a.p + exp(a.t + ln((n - i + 1d) / i) + ln({rate}d / (1 - {rate}d))) as p), a -> a.p)"
-    )
-    p = f"case when k >= n * {rate}d then 1d when k = 0 then exp(n * ln(1 - {rate}d)) else {tail} end"
-    passed = counts.where(f"{p} <= {delta}d / {max(strata, 1) * grid}")
-    return passed.groupBy("stratum", "metric").agg(F.min("cutoff").alias("cutoff"))
+    """(stratum, level, n, k) from scored labelled rows with a column ``good``; strata that no level passes are not there."""
+    counts = labelled.where(f"{stratum} is not null and not base_failed").groupBy(F.col(stratum).alias("stratum")).pivot("reached", list(range(1, LEVELS + 1)))
+    counts = counts.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    size = labelled.where(f"{stratum} is not null and not base_failed").groupBy(F.col(stratum).alias("stratum")).agg(F.count_if("good").alias("n"))
+    counts = keep(size.where("n > 0").join(counts, "stratum"))  # a row for a stratum
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    up_to = lambda kind, i: " + ".join(f"coalesce(`{j}_{kind}`, 0)" for j in range(1, i + 1))
+    levels = f"inline(array({', '.join(f'struct({i} as level, {up_to("good", i)} as k, {up_to("bad", i)} as bad)' for i in range(1, LEVELS + 1))}))"
+    tested = counts.selectExpr("stratum", "n", levels).selectExpr("*", f"{_tail(alpha)} as p")
+    # What a level rejects grows from level to level, and so does p: no level after the first failure passes.
+    passed = tested.where(f"p <= {delta}d * n / {total}")
+    most = F.max("bad").over(Window.partitionBy("stratum"))  # of a row for a level
+    enough = passed.withColumn("most", most).where(f"bad >= {ENOUGH}d * most")
+    return enough.groupBy("stratum").agg(F.min_by(F.struct("level", "n", "k"), "level").alias("c")).select("stratum", "c.*")
 
 
 def _verdicts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """Scored ``rows`` with the failed rules and ``kept``, without the scores."""
-    table = cuts.groupBy("stratum").pivot("metric", list(METRICS)).agg(F.min("cutoff")).select("stratum", *(F.col(m).alias(f"cut_{m}") for m in METRICS))
-    few = cuts.select("stratum").distinct().count() <= BROADCAST_STRATA
-    out = rows.join(F.broadcast(table) if few else table, "stratum", "left")
-    failed = F.array_compact(F.array(*(F.when(F.col(m) > F.col(f"cut_{m}"), F.lit(m)) for m in METRICS)))
-    out = out.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
-    return out.drop(*METRICS, *(f"cut_{m}" for m in METRICS))
+    table = cuts.select("stratum", "level")
+    out = rows.join(F.broadcast(table) if table.count() <= BROADCAST_STRATA else table, "stratum", "left")
+    above = lambda m: F.col(m) > F.element_at(F.array(*map(F.lit, METRICS[m])), F.col("level"))
+    failed = F.array_compact(F.array(*(F.when(above(m), F.lit(m)) for m in METRICS)))
+    out = out.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("reached") <= F.col("level"), F.lit(False)))
+    return out.drop(*METRICS, "reached", "level")
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum: str, alpha: float, delta: float) -> tuple[DataFrame, DataFrame]:
     """The scored rows of ``docs``, each text read once, and the cutoffs."""
     rows = keep(_scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum).alias("stratum"))))
-    good = keep(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct())
-    labelled = rows.join(F.broadcast(good) if good.count() <= BROADCAST_LABELS else good, "doc_id", "left_semi")
+    told = keep(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("quality") == 1).alias("good")))
+    labelled = rows.join(F.broadcast(told) if told.count() <= BROADCAST_LABELS else told, "doc_id")
     return rows, keep(choose(labelled, "stratum", alpha, delta))
 
 
