@@ -68,6 +68,16 @@ def test_jaccard_components(spark, n, num, den):
     assert got == brute_components(texts, n, num, den)
 
 
+def test_jaccard_texts_of_one_id_do_not_depend_on_partitions(spark):
+    base = [words(40) for _ in range(6)]
+    rows = [(i % 9, base[i % 6] + (" x" if i % 4 else "")) for i in range(36)] + [(3, None), (3, "")]
+    got = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got.append(sorted(map(tuple, jaccard.op7(spark, df).collect())))
+    assert got[0] == got[1] and len(got[0]) == 38
+
+
 def test_jaccard_long_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHEAP", 2)
     texts = near_copies()
@@ -228,6 +238,33 @@ def test_secrets_of_any_length_and_number():
     assert found(f'C0 = "Zx8!kQ2p"\n{chain}secret = C60') == ["Zx8!kQ2p"]
 
 
+def test_secrets_in_subscripts_calls_and_phrases():
+    def found(t):
+        return [t[s:e] for k, s, e in secretscan.scan(t) if k == "literal"]
+
+    assert found('cfg["token"] = "abcDEF123456"') == found("cfg['db']['password'] = 'abcDEF123456'") == ["abcDEF123456"]
+    assert found('rows[0] = "abcDEF123456"') == [] and found('"] = "abcDEF123456"') == []
+    assert found('db_password = os.getenv("ABCDEFGHIJKL")') == [] and found("db_password = os.environ.Xy12Zw98") == ["os.environ.Xy12Zw98"]
+    assert found('passphrase = "correct horse battery"') == ["correct horse battery"] and found('db_password: "correct horse battery staple"') == ["correct horse battery staple"]
+    assert found('password: "Please enter your password here"') == found('password = "enter the password you use"') == found('note = "correct horse battery staple"') == []
+
+
+def test_secrets_of_nested_blocks_take_linear_time():
+    import time
+
+    def deep(n):
+        return "".join(f"{' ' * (i % 200)}{'secret' if i % 200 else 'a'}: |\n" for i in range(n))
+
+    times = []
+    for n in (2_000, 16_000):
+        t = deep(n) + " " * 200 + "Zx8kQ2pLm9vT4rAA\n"
+        began = time.time()
+        spans = secretscan.scan(t)
+        times.append(time.time() - began)
+        assert any(t[s:e] == "Zx8kQ2pLm9vT4rAA" for _, s, e in spans)
+    assert times[1] < 40 * times[0] + 1
+
+
 def test_secrets_over_several_lines_and_of_any_id(spark):
     def found(t):
         return [t[s:e] for k, s, e in secretscan.scan(t) if k == "literal"]
@@ -771,6 +808,9 @@ def test_language_edges(spark):
     got = langid.classify(spark.createDataFrame([("abc abc",), ("abc " * 300_000,)], "text string"), tied).collect()
     assert [r.lang_pred for r in got] == ["a", "a"]
     assert langid.op3(spark, df.limit(0)).count() == 0
+    # A row without an id is in no fold: it teaches, and is not held out.
+    bare = spark.createDataFrame([(None, "abc abd", "z"), (5, "abc abd", None)], "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.held_out, r.lang_pred) for r in langid.op3(spark, bare).collect()} == {(None, False, "z"), (5, True, "z")}
 
 
 # 9. Decontamination

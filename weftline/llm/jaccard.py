@@ -18,8 +18,8 @@ similarity is missed, unless its ends are connected already, and a posting list
 instead of its square.
 
 Defined results: a null, empty or blank text has the empty set and links with nothing; with fewer words than n the
-whole sequence is one member; a text may have any length; rows that repeat an id give a row each and count as one document
-(of the text of one of them, if they differ); a row without an id is linked as any other and has a null class if nothing that it reaches has an id; an
+whole sequence is one member; a text may have any length; rows that repeat an id give a row each and count as one document,
+if their texts differ that of the set with the least digest; a row without an id is linked as any other and has a null class if nothing that it reaches has an id; an
 empty table gives no row; extra columns are ignored.
 """
 
@@ -158,6 +158,12 @@ def _kept(reps: DataFrame, num: int, den: int, level: int) -> DataFrame:
     return kept.selectExpr("doc", "n", "cost", "posexplode(kept.gram) as (k, gram)").selectExpr("doc", "n", "cost", f"n - {need} + 1 - k as pos", "gram")
 
 
+def _one_text(sets: DataFrame) -> DataFrame:
+    """One set for each doc: that of the least digest, empty ones last."""
+    others = [c for c in sets.columns if c != "doc"]
+    return sets.groupBy("doc").agg(F.min_by(F.struct(*others), F.struct(F.col("digest").isNull(), "digest")).alias("s")).select("doc", "s.*")
+
+
 def _lists(post: DataFrame) -> DataFrame:
     """The postings in lists of two or more, with the length m of the list."""
     return post.join(post.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram")
@@ -188,21 +194,22 @@ def _close(a: str, b: str, num: int, den: int) -> str:
     return f"{den} * least({na}, {nb}) >= {num} * greatest({na}, {nb}) and {most} >= ({num} * ({na} + {nb}) + {num + den - 1}) div {num + den}"
 
 
-def components(links: DataFrame, steps: int = 0) -> DataFrame:
+def components(links: DataFrame, tmp: Scratch, name: str, steps: int = 0) -> DataFrame:
     """(doc, component): the least doc reachable over links (a, b); by least labels of neighbours and pointer jumping.
 
     With ``steps``, the labels after so many steps: connected still, but perhaps not yet the least.
     """
-    both = keep(links.select("a", "b").unionByName(links.selectExpr("b as a", "a as b")))
-    label = keep(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a as doc", "least(a, m) as component"))
+    both = tmp.write(links.select("a", "b").unionByName(links.selectExpr("b as a", "a as b")), f"{name}-both")
+    label = tmp.write(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a as doc", "least(a, m) as component"), f"{name}-0")
     done = 0
     while True:
         near = both.join(label.selectExpr("doc as b", "component as c"), "b").groupBy("a").agg(F.min("c").alias("c"))
         step = label.join(near, label.doc == near.a).selectExpr("doc", "component as was", "least(component, c) as c")
         jump = step.selectExpr("doc as c", "c as up")
-        new = keep(step.join(jump, "c", "left").selectExpr("doc", "was", "least(c, coalesce(up, c)) as component"))
-        label = new.select("doc", "component")
         done += 1
+        new = tmp.write(step.join(jump, "c", "left").selectExpr("doc", "was", "least(c, coalesce(up, c)) as component"), f"{name}-{done}")
+        tmp.drop(f"{name}-{done - 2}")
+        label = new.select("doc", "component")
         if done == steps or new.where("was <> component").isEmpty():
             return label
 
@@ -219,7 +226,10 @@ def similarity_components(
 def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, hub_rounds: int, tmp: Scratch) -> DataFrame:
     all_sets = tmp.write(_named(shingle_sets(docs, id_col, text_col, n, num, den, 0)), "prefixes")
     member = tmp.write(all_sets.where("digest is not null").groupBy("digest").agg(F.min("doc").alias("rep")), "members")
-    reps = all_sets.join(member.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
+    reps = all_sets.join(member.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    repeated = not all_sets.groupBy("doc").count().where("count > 1").isEmpty()
+    if repeated:
+        reps = _one_text(reps)
     kept = tmp.write(_kept(reps, num, den, 0).select("doc", "n", "cost", "gram"), "kept0")
     base = tmp.write(_lists(kept), "base")
     tmp.drop("kept0")
@@ -228,8 +238,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     sets = shingle_sets(_of(wanted.select("doc"), texts), "doc", "text", n, num, den)
     if not wanted.where(_nameless(F.col("doc"), all_sets)).isEmpty():
         sets = sets.unionByName(_of(wanted.select("doc"), _named(shingle_sets(texts.where("doc is null"), "doc", "text", n, num, den))))
-    if not all_sets.groupBy("doc").count().where("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["doc"])
+    if repeated:
+        sets = _one_text(sets)
     sets = tmp.write(sets.select("doc", "n", "grams"), "sets")
     short = base.where(f"m <= {CHEAP}").join(wanted, "doc")
     whole = _lists(_kept(_of(wanted.where("long").select("doc"), sets), num, den, 1)).withColumn("long", F.lit(True))
@@ -257,8 +267,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
         found = _verified(met.distinct(), sets, num, den, tmp, str(r))
         links = found if links is None else links.unionByName(found)
         if r < hub_rounds:
-            label = tmp.write(components(links, 2).select("doc", F.col("component").alias("label")), f"labels{r}")
-    comp = components(links)
+            label = tmp.write(components(links, tmp, f"comp{r}", 2).select("doc", F.col("component").alias("label")), f"labels{r}")
+    comp = components(links, tmp, "comp")
     by_digest = member.join(comp.withColumnRenamed("doc", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = all_sets.select("doc", "n", "digest").join(by_digest, "digest", "left")
     out = out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))

@@ -177,8 +177,8 @@ def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
 
 def op3(spark, docs: DataFrame) -> DataFrame:
-    """The contract's columns over ``documents``: learns from three folds, predicts all."""
+    """The contract's columns over ``documents``: learns from three folds and from rows without an id, predicts all."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    taught = docs.where((fold != 2) & F.col("lang").isNotNull()).select("text", "lang")
+    taught = docs.where(F.coalesce(fold != 2, F.lit(True)) & F.col("lang").isNotNull()).select("text", "lang")
     out = classify(docs.select("doc_id", "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out")), learn(taught))
     return out.select("doc_id", "held_out", "lang_pred", "score")

@@ -2,19 +2,21 @@
 
 Method. Source and configuration syntax (``name = literal``, ``name: literal``, ``"name": "literal"``,
 ``export NAME=literal``, ``name := literal``, ``name => literal``, ``<name>literal</name>``) is lexed into name-literal
-pairs wherever an assignment sign stands. A right-hand side may join quoted literals with ``+`` or ``.`` and may name
+pairs wherever an assignment sign stands; the name of ``config["token"] = literal`` is the quoted subscript. A call is no literal. A right-hand side may join quoted literals with ``+`` or ``.`` and may name
 an earlier constant of the same text, whose literals then count for the new name too; a name means what it was given last.
 Of strings over several lines (triple quotes, indented blocks after ``name: |``) every line is a literal. A literal is scored by the target
 name (sensitive words such as password, secret, token, key) and by its own shape (length, character classes, entropy);
-those of ``SCORE`` or more are secrets. Patterns with a form of their own (assign, access, hex) are always reported.
+those of ``SCORE`` or more are secrets. A literal with spaces is one if it looks like a passphrase and is given to a password. Patterns with a form of their own (assign, access, hex) are always reported.
 
 Defined results: a null or empty text has no spans; offsets count code points, ends are exclusive; of equal spans
-of one kind one is kept; texts, names and literals may have any length (work is linear in the text); an empty table gives no
+of one kind one is kept; texts, names and literals may have any length (work is linear in the text, but for constants of several
+lines that are nested in each other and all used again); an empty table gives no
 row; repeated rows give equal rows; an id may be of any type or null; extra columns are ignored (kept by :func:`redacted`).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -39,6 +41,9 @@ NAMES = {
     "auth": 0.5, "authorization": 0.6, "bearer": 0.7, "private": 0.4, "key": 0.5, "api": 0.3, "access": 0.3, "session": 0.3, "signature": 0.4, "salt": 0.4, "cookie": 0.4, "pass": 0.6,
     "id": -0.2, "hash": -0.3, "public": -0.5, "version": -0.6, "url": -0.4, "path": -0.4, "name": -0.3, "file": -0.3,
 }
+# Words that tell of a sentence about a password.
+_SPOKEN = frozenset("a an the your you my our is are was be to of or and for in on at with enter type use please must should not no this that it password passwords passphrase reset new old".split())
+_PHRASE_WORD = re.compile("[a-z0-9][a-z0-9'-]*")
 LEAST = 8
 _SIGN = re.compile(r":=|=>|[:=]")
 _NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
@@ -72,13 +77,28 @@ def literal_score(value: str) -> float:
     return min(0.6, 0.1 * (classes - 1) + 0.1 * max(0.0, entropy - 2.0) + (0.1 if n >= 16 else 0.0))
 
 
+def phrase_score(name: str, value: str) -> float:
+    """0.3 for a passphrase: several plain words given to a password; else -1."""
+    words = value.split(" ")
+    named = {w.lower() for w in _PARTS.findall(name)}
+    if not 3 <= len(words) <= 24 or not all(_PHRASE_WORD.fullmatch(w) for w in words) or named & _SPOKEN.intersection(words):
+        return -1.0
+    if "passphrase" in named or (named & {"password", "passwd", "pwd"} and len(words) > 3 and not _SPOKEN.intersection(words)):
+        return 0.3
+    return -1.0
+
+
 def _left(text: str, at: int) -> str | None:
-    """The quoted or bare name that ends before the sign at ``at``; no character is read for two signs."""
+    """The quoted or bare name, or the quoted subscript, that ends before the sign at ``at``; no character is read for two signs."""
     end = at
     while end and text[end - 1] in " \t":
         end -= 1
     if not end:
         return None
+    if text[end - 1] == "]":
+        if end < 3 or text[end - 2] not in "\"'":
+            return None
+        end -= 1
     k = end - 1
     if text[k] in "\"'":
         k -= 1
@@ -111,25 +131,38 @@ def _lines(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def _block(text: str, at: int, least: int) -> int:
-    """The end of the lines from ``at`` on that are indented by more than ``least`` blanks, or empty."""
-    while at < len(text):
-        end = text.find("\n", at)
-        end = len(text) if end < 0 else end
-        line = text[at:end]
-        if line.strip() and len(line) - len(line.lstrip(" ")) <= least:
-            return at
-        at = end + 1
-    return len(text)
+class _Indents:
+    """Ends of indented blocks; every line is read once, and knows the next one that is indented less."""
+
+    def __init__(self, text: str):
+        self.starts, self.indents = [], []
+        at = 0
+        for line in text.split("\n"):
+            if line.strip():
+                self.starts.append(at)
+                self.indents.append(len(line) - len(line.lstrip(" ")))
+            at += len(line) + 1
+        self.length, self.less, open_ = len(text), [len(self.starts)] * len(self.starts), []
+        for i, n in enumerate(self.indents):
+            while open_ and self.indents[open_[-1]] > n:
+                self.less[open_.pop()] = i
+            open_.append(i)
+
+    def end(self, at: int, least: int) -> int:
+        """The end of the lines from ``at`` on that are indented by more than ``least`` blanks, or empty."""
+        i = bisect.bisect_left(self.starts, at)
+        while i < len(self.starts) and self.indents[i] > least:
+            i = self.less[i]
+        return self.starts[i] if i < len(self.starts) else self.length
 
 
 class _Value:
-    """The literals of a right-hand side and the constants in it; ``best`` is the highest score of a name that has them."""
+    """The literals of a right-hand side, the lines of a block of text and the constants in it; ``best`` is the highest score of a name that has them."""
 
-    __slots__ = ("best", "parts", "spans")
+    __slots__ = ("best", "block", "parts", "spans", "text")
 
-    def __init__(self):
-        self.best, self.spans, self.parts = 0.0, [], []
+    def __init__(self, text: str):
+        self.best, self.block, self.spans, self.parts, self.text = 0.0, None, [], [], text
 
     def rise(self, score: float):
         """The literals for which ``score`` is the highest so far."""
@@ -139,6 +172,8 @@ class _Value:
             if score > v.best:
                 v.best = score
                 yield from v.spans
+                if v.block:
+                    yield from _lines(self.text, *v.block)
                 todo += v.parts
 
 
@@ -158,8 +193,9 @@ def pairs(text: str):
     constants: dict[str, _Value] = {}
     unclosed: dict[str, int] = {}  # long quotes that nothing closes from here on
     covered = 0  # end of the last bare literal; one that begins inside it ends at the next sign
+    indents, outer = None, []  # of the blocks around a sign: their ends, and the scores of their names
     for sign in _SIGN.finditer(text):
-        name, pos, value = _left(text, sign.start()), sign.end(), _Value()
+        name, pos, value = _left(text, sign.start()), sign.end(), _Value(text)
         if not name or text.startswith("//", pos):
             continue
         if text.startswith("=", pos):  # a comparison
@@ -172,10 +208,21 @@ def pairs(text: str):
             else:
                 value.spans = _lines(text, long.end(), end)
         elif sign[0] == ":" and (opened := _BLOCK.match(text, pos)):
-            value.spans = _lines(text, opened.end() + 1, _block(text, opened.end() + 1, _indent(text, sign.start())))
-        if not value.spans:
+            indents = indents or _Indents(text)
+            begin = opened.end() + 1
+            end, score = indents.end(begin, _indent(text, sign.start())), name_score(name)
+            while outer and outer[-1][0] <= sign.start():
+                outer.pop()
+            if end > begin:
+                value.block = (begin, end)
+                if outer and outer[-1][0] >= end and outer[-1][1] >= score:  # a block around this one gave its lines already
+                    value.best = score
+                outer.append((end, max(score, outer[-1][1] if outer else 0.0)))
+        if not value.spans and not value.block:
             at = _term(text, pos, constants, value)
             if at < 0 and (bare := (_INNER if pos < covered else _BARE).match(text, pos)):
+                if text.startswith("(", bare.end(1)):  # a call
+                    continue
                 stop = bare.end(1)
                 covered = max(covered, stop)
                 while stop > bare.start(1) and text[stop - 1] in ".,;:!?":
@@ -183,7 +230,7 @@ def pairs(text: str):
                 value.spans.append((bare.start(1), stop))
             while at >= 0 and (more := _JOIN.match(text, at)):
                 at = _term(text, more.end(), constants, value)
-        if value.spans or value.parts:
+        if value.spans or value.parts or value.block:
             if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
                 constants[name] = value
             for s, e in value.rise(name_score(name)):
@@ -202,7 +249,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     found |= {("hex", m.start(), m.end()) for m in HEX.finditer(text)}
     for name, s, e in pairs(text) if ":" in text or "=" in text or "</" in text else ():
         n = name_score(name)
-        if n > 0 and n + literal_score(text[s:e]) >= SCORE:
+        if n > 0 and n + max(literal_score(text[s:e]), phrase_score(name, text[s:e])) >= SCORE:
             found.add(("literal", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
