@@ -52,9 +52,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``; each is written as Parquet to the shared folder and read again, and goes once the next is written."""
     tmp = Scratch(spark, "pipeline")
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = tmp.write(stage(spark, docs, sf_dir), name)
+        if before:
+            tmp.drop(before)
+        before = name
     return docs
