@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import routing
@@ -9,7 +11,7 @@ from ..functions.text import claim_polarity, epistemic_strength, find_causal_cue
 from ..operators import editlog, evaluate, gaps, layers, repair
 from ..session import table
 from ..sources import files
-from ..streaming import logs
+from ..streaming import logs, state
 from . import demo
 from .registry import query
 
@@ -249,21 +251,32 @@ def few_shot_examples(spark, sf_dir):
     return editlog.few_shot(e).select("text", F.lit(5).alias("half"))
 
 
+def _streamed(spark, sf_dir, name):
+    """A table of the driver as a stream over its files."""
+    flat = sf_dir.rsplit("/", 1)[-1].startswith("sf")
+    stream = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet" if flat else "*.parquet")
+    return stream.parquet(sf_dir if flat else f"{sf_dir}/{name}.parquet")
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 100000 MINUTE""")
+def streamed_cache(spark, sf_dir):
+    """Entries that a cache of 100,000 minutes to live still has, as a stream with timers."""
+    rows = _streamed(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("created"))
+    name = f"cache_{uuid.uuid4().hex}"
+    changes = state.run_all(spark, state.expiring(rows, 100_000), name, "append", f"{files.shared_dir(spark).rstrip('/')}/streams/{name}")
+    return state.live(changes).select(F.col("id").cast("long").alias("id"))
+
+
 @query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def streamed_event_counts(spark, sf_dir):
     """Events per day and type, computed as a stream over the files."""
-    import uuid
-
-    src = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet" if sf_dir.rsplit("/", 1)[-1].startswith("sf") else "*.parquet").parquet(sf_dir if sf_dir.rsplit("/", 1)[-1].startswith("sf") else f"{sf_dir}/events.parquet")
+    stream = _streamed(spark, sf_dir, "events")
     name = f"events_{uuid.uuid4().hex}"
     got = logs.run_all(spark, logs.event_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))), name, "complete", f"{files.shared_dir(spark).rstrip('/')}/streams/{name}")
     return got.select(F.to_date("start").alias("day"), "event_type", "n")
 
 
-@query()
-def folded_graph(spark, sf_dir):
-    """Every session's graph with its edit log folded in (unit-tested)."""
+def _session_logs(spark, sf_dir):
     e = demo.edits(spark, sf_dir)
     payload = F.when(F.col("op") == "add_node", F.create_map(F.lit("label"), F.col("from_label"))).when(F.col("op") == "rename_node", F.create_map(F.lit("label"), F.col("to_label"))).otherwise(F.create_map(F.lit("glyph"), F.col("new_glyph")))
     e = e.withColumn("payload", payload)
@@ -271,4 +284,20 @@ def folded_graph(spark, sf_dir):
     k = F.explode(F.sequence(F.lit(0), F.lit(16))).alias("k")
     n = s.select("session", k).select("session", F.concat(F.lit("x"), F.col("k").cast("string")).alias("id"), F.concat(F.lit("x"), F.col("k").cast("string")).alias("label"), F.lit("comm_000").alias("community_id"), F.lit(None).cast("string").alias("origin"))
     g = s.select("session", k).select("session", F.concat(F.lit("x"), F.col("k").cast("string")).alias("id"), F.concat(F.lit("x"), F.col("k").cast("string")).alias("from"), F.concat(F.lit("x"), ((F.col("k") + 1) % 17).cast("string")).alias("to"), F.lit("").alias("label"), F.lit("wave").alias("glyph"), F.lit(None).cast("string").alias("origin"))
-    return editlog.fold(n, g, e)
+    return n, g, e
+
+
+@query()
+def folded_graph(spark, sf_dir):
+    """Every session's graph with its edit log folded in (unit-tested)."""
+    return editlog.fold(*_session_logs(spark, sf_dir))
+
+
+@query()
+def streamed_fold(spark, sf_dir):
+    """The same as a stream of base elements and edits (tested to equal the batch fold)."""
+    name = f"fold_{uuid.uuid4().hex}"
+    root = f"{files.shared_dir(spark).rstrip('/')}/streams/{name}"
+    rows = state.fold_input(*_session_logs(spark, sf_dir))
+    rows.write.parquet(f"{root}/in")
+    return state.current(state.run_all(spark, state.folded(spark.readStream.schema(rows.schema).parquet(f"{root}/in")), name, "update", f"{root}/state"))
