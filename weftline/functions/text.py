@@ -131,7 +131,11 @@ def edge_text(spans: Column, label: Column) -> Column:
     return F.concat_ws(" ", texts, F.when(label != "", label))
 
 
-def contained(a: Column, b: Column, least: int = 8) -> Column:
+#: Characters that both texts have, if one is to count as within the other.
+LEAST_CONTAINED = 8
+
+
+def contained(a: Column, b: Column, least: int = LEAST_CONTAINED) -> Column:
     """Equal, or one contains the other and both have ``least`` characters."""
     both = F.least(F.length(a), F.length(b)) >= least
     return (a == b) | (both & (a.contains(b) | b.contains(a)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.containment import containing
 from ..functions.text import evidence_text, member_fingerprint, normalize_label
 from ..sources.files import cut
 from . import community, graph
@@ -100,7 +101,8 @@ def search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 8) -> Da
 
 def known_terms(questions: DataFrame, vocabulary: DataFrame, most: int = 6) -> DataFrame:
     """(question, term): vocabulary terms in the question, without those inside a longer hit, longest first, ``most`` of them."""
-    hits = questions.join(vocabulary.select("term").distinct(), F.lower("question").contains(F.col("term")) & (F.col("term") != "")).select("question", "term").distinct()
+    asked = questions.select("question", F.lower("question").alias("text")).distinct()
+    hits = containing(asked, vocabulary).join(asked, "text").select("question", "term").distinct()
     longer = hits.withColumnRenamed("term", "long")
     inside = hits.join(longer, "question").where("term <> long and contains(long, term)").select("question", "term").distinct()
     left = hits.join(inside, ["question", "term"], "left_anti")
@@ -119,7 +121,9 @@ def rank_communities(members: DataFrame, terms: DataFrame, top: int = 3) -> Data
     ``terms`` are those of one question, six at most.
     """
     m = members.select("community", "member").distinct()
-    hit = m.join(F.broadcast(terms.select("term").distinct()), F.col("member").contains(F.col("term")) | F.col("term").contains(F.col("member")), "left_semi")
+    names, words = m.select(F.col("member").alias("text")), terms.select("term")
+    hit = containing(names, words).select(F.col("text").alias("member")).unionByName(containing(words.withColumnRenamed("term", "text"), m.select(F.col("member").alias("term"))).select(F.col("term").alias("member")))
+    hit = m.join(hit.distinct(), "member")
     size = m.groupBy("community").agg(F.count("*").alias("size"))
     s = hit.groupBy("community").agg(F.count("*").alias("score")).join(size, "community")
     order = [F.desc("score"), F.desc("size"), F.col("community")]

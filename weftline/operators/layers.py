@@ -7,22 +7,20 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.relations import causal_candidates, judge
-from ..functions.text import claim_polarity, contained, evidence_text, normalize_label, opposite_split
+from ..functions.containment import containing
+from ..functions.text import LEAST_CONTAINED, claim_polarity, evidence_text, normalize_label, opposite_split
 
 
 def zone_of_text(texts: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
     """Texts (keys, text) with the label of their sentence: the same text first, else the first that contains it or is contained."""
     z = zones.select(*keys, F.col("text").alias("zt"), "zone_label", "pos")
-    exact = texts.join(z, (texts["text"] == z["zt"]) & _same(texts, z, keys)).select(*(texts[k] for k in keys), texts["text"], "zone_label", "pos", F.lit(0).alias("how"))
-    near = texts.join(z, contained(texts["text"], z["zt"]) & _same(texts, z, keys)).select(*(texts[k] for k in keys), texts["text"], "zone_label", "pos", F.lit(1).alias("how"))
-    return exact.unionByName(near).groupBy(*keys, "text").agg(F.min_by("zone_label", F.struct("how", "pos")).alias("zone_label"))
-
-
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & (a[k] == b[k])
-    return out
+    t = texts.select(*keys, "text").distinct()
+    # One within the other: both have eight characters then.
+    long_t, long_z = t.where(F.length("text") >= LEAST_CONTAINED), z.select(*keys, "zt").where(F.length("zt") >= LEAST_CONTAINED)
+    pairs = containing(long_z, long_t, tuple(keys), "zt", "text").select(*keys, "text", "zt").unionByName(containing(long_t, long_z, tuple(keys), "text", "zt").select(*keys, "text", "zt"))
+    same = t.select(*keys, "text", F.col("text").alias("zt"))
+    found = pairs.unionByName(same).distinct().join(z, [*keys, "zt"])
+    return found.groupBy(*keys, "text").agg(F.min_by("zone_label", F.struct(F.col("text") != F.col("zt"), "pos")).alias("zone_label"))
 
 
 def first_tags(glyph: Column, zone: Column | None = None) -> Column:

@@ -121,7 +121,7 @@ def band_violations(spark, sf_dir):
     return levels.check_bands(p).select("session", "level", "violation")
 
 
-@query(demo.duckdb("""SELECT sp.session, sp.id, a.label AS from_label, lower(b.label) AS to_norm FROM sp JOIN nw a ON a.session = sp.session AND a.id = sp."from" JOIN nw b ON b.session = sp.session AND b.id = sp."to" WHERE b.community_id <> 'comm_7'"""))
+@query(demo.duckdb("""SELECT sp.session, sp.id, sp."from" AS from_label, lower(b.label) AS to_norm FROM sp JOIN labels_wide b ON b.label = sp."to" WHERE sp."from" IN (SELECT label FROM labels_wide) AND b.community_id <> 'comm_7'"""))
 def labelled_edges(spark, sf_dir):
     """Edges with the labels of both ends; those without an existing end are dropped."""
     n = demo.nodes(spark, sf_dir, True).where("label not like 'Supplier%' or community_id <> 'comm_7'")

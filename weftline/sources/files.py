@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.containment import containing
 from ..functions.text import extract_text, normalize_label
 
 EXTENSIONS = ("pdf", "txt", "md", "docx")
@@ -226,7 +227,9 @@ def resolve_documents(ids: DataFrame, names: DataFrame) -> DataFrame:
         found.append(i.withColumn("k", F.lower(f(F.col("document_id")))).join(k, "k").select("document_id", "name", F.lit(rank).alias("rank")))
     exact = found[0].unionByName(found[1]).unionByName(found[2])
     # Only what is left is compared by containment.
-    part = i.join(exact, "document_id", "left_anti").join(n, F.lower("name").contains(F.lower("document_id")) & (F.col("document_id") != ""))
+    rest = i.join(exact, "document_id", "left_anti").withColumn("term", F.lower("document_id"))
+    low = n.withColumn("text", F.lower("name"))
+    part = rest.join(containing(low, rest), "term").join(low, "text")
     part = part.groupBy("document_id").agg(F.count("*").alias("k"), F.min("name").alias("name")).where("k = 1").select("document_id", "name", F.lit(3).alias("rank"))
     best = exact.drop("k").unionByName(part).groupBy("document_id").agg(F.min_by("name", "rank").alias("name"))
     return i.join(best, "document_id", "left")
