@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from ..functions.relations import combine_scores, judge, normalize_tags, policy_
 from ..functions.text import ascii_norm
 from ..operators import community, corpus, evaluate, gaps, graph, levels, reach, repair
 from ..session import table
-from ..sources.files import cut
+from ..sources import trigram
+from ..sources.files import cut, shared_dir
 from . import demo
 from .registry import query
 
@@ -61,15 +63,30 @@ def corpus_undirected_weights(spark, sf_dir):
     return corpus.undirected_weights(e.groupBy("from_norm", "to_norm", "glyph").agg(F.count("*").alias("weight")))
 
 
-@query(demo.duckdb("""SELECT CAST(rank AS BIGINT) AS rank, kind, session, id, label, exact FROM (
+_SEARCH = demo.duckdb("""SELECT CAST(rank AS BIGINT) AS rank, kind, session, id, label, exact FROM (
     SELECT 'node' AS kind, session, id, label, exact, row_number() OVER (ORDER BY exact DESC, session DESC, lower(label), id) AS rank FROM (SELECT session, id, label, lower(label) = 'supplier#000000001' AS exact FROM nw WHERE contains(lower(label), 'supplier#000000001')) x
     UNION ALL SELECT 'edge', session, id, label, false, row_number() OVER (ORDER BY session DESC, lower(f), lower(t), id) + (SELECT count(*) FROM nw WHERE contains(lower(label), 'supplier#000000001')) AS rank
-    FROM (SELECT session, id, label, "from" AS f, "to" AS t FROM sp WHERE contains(lower(label || chr(10) || "to"), 'supplier#000000001')) z) y WHERE rank <= 500"""))
+    FROM (SELECT session, id, label, "from" AS f, "to" AS t FROM sp WHERE contains(lower(label || chr(10) || "to"), 'supplier#000000001')) z) y WHERE rank <= 500""")
+
+
+@query(_SEARCH)
 def label_search(spark, sf_dir):
     """Substring search, exact labels first, then the newest session; edges with the text in their evidence fill up."""
+    return corpus.search(*_searched(spark, sf_dir), "Supplier#000000001", 500).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _searched(spark, sf_dir):
     n = demo.nodes(spark, sf_dir, True).select("session", F.col("id").alias("node_id"), "label", ascii_norm(F.col("label")).alias("label_norm"), F.lit(0.0).alias("importance"))
     e = demo.edges(spark, sf_dir, True).select("session", F.col("id").alias("edge_id"), ascii_norm(F.col("from")).alias("from_norm"), ascii_norm(F.col("to")).alias("to_norm"), "label", F.col("to").alias("evidence"))
-    return corpus.search(n, e, "Supplier#000000001", 500).withColumn("rank", F.col("rank").cast("long"))
+    return n, e
+
+
+@query(_SEARCH)
+def indexed_search(spark, sf_dir):
+    """The same by a stored trigram index, written for the query."""
+    path = f"{shared_dir(spark).rstrip('/')}/indexes/{uuid.uuid4().hex}"
+    trigram.build_search(*_searched(spark, sf_dir), path)
+    return trigram.search(spark, path, "Supplier#000000001", 500).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(demo.duckdb("""SELECT session, id, min(hop) AS hop FROM (
