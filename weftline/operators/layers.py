@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.relations import causal_candidates, judge
 from ..functions.containment import containing
-from ..functions.text import LEAST_CONTAINED, claim_polarity, evidence_text, normalize_label, opposite_split
+from ..functions.text import LEAST_CONTAINED, claim_polarity, contained, evidence_text, normalize_label, opposite_split
 
 
 def zone_of_text(texts: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
