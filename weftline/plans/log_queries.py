@@ -267,6 +267,14 @@ def streamed_cache(spark, sf_dir):
     return state.live(changes).select(F.col("id").cast("long").alias("id"))
 
 
+@query("""SELECT CAST(event_id AS VARCHAR) AS name, event_type AS text, 'cloud' AS source FROM events WHERE ts >= (SELECT min(ts) FROM events) + INTERVAL 10 DAY""")
+def changed_documents(spark, sf_dir):
+    """Documents of a drive (here, the events) that changed since a time, read by executors page by page."""
+    since = table(spark, sf_dir, "events").agg(F.date_format(F.min("ts") + F.expr("interval 10 days"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+    docs = files.scan_cloud(spark, "weftline.plans.providers:TableDrive", since, path=f"{sf_dir}/events.parquet", name="event_id", modified="ts", text="event_type")
+    return docs.select("name", "text", "source")
+
+
 @query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def streamed_event_counts(spark, sf_dir):
     """Events per day and type, computed as a stream over the files."""

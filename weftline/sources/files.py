@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from . import drive
 from ..functions.containment import containing
 from ..functions.text import extract_text, normalize_label
 
@@ -72,10 +73,11 @@ def scan_folder(spark: SparkSession, path: str, since: str | None = None, most:
     return out.where(F.trim("text") != "")
 
 
-def scan_cloud(spark: SparkSession, provider=None, since: str | None = None) -> DataFrame:
-    """Documents of a cloud drive: ``provider(since)`` yields (name, modified, text); none without a provider."""
-    rows = [(n, "cloud", m, t) for n, m, t in (provider(since) if provider else ())]
-    return spark.createDataFrame(rows, "name string, source string, modified timestamp, text string")
+def scan_cloud(spark: SparkSession, provider: str | None = None, since: str | None = None, most: int = DOC_CHARS, **options: str) -> DataFrame:
+    """Documents of a cloud drive, read by executors; ``provider`` is ``module:Class`` (see :mod:`.drive`); none without a provider."""
+    if not provider:
+        return spark.createDataFrame([], drive.SCHEMA)
+    return drive.read_drive(spark, provider, since, **options).withColumn("text", F.left("text", F.lit(most))).where(F.trim("text") != "")
 
 
 def within_budget(docs: DataFrame, budget: int = BUDGET_CHARS, partition: list[str] | None = None) -> DataFrame:
