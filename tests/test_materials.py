@@ -49,3 +49,25 @@ def test_materials_against_one_question_after_another(spark):
     one, _ = corpus.local_material(n, e, n.where("id = 'n01'"), 1, 5)
     assert one.count() == 5 and one.columns == ["place", "session", "id", "hop", "seed", "truncated"]
     assert not corpus.local_materials(n, e, sd.where("false"))[0].collect()
+
+
+def test_global_materials(spark):
+    members = [("c1", "ai"), ("c1", "machine learning"), ("c1", "deep learning"), ("c2", "satellite"), ("c2", "ai policy"), ("c3", "a"), ("c4", "x"), ("c4", "y"), ("c4", "z"), ("c4", "w")]
+    m = spark.createDataFrame([*members, ("c3", None)], "community string, member string")
+    questions = spark.createDataFrame([(1,), (2,), (3,)], "question int")
+    terms = spark.createDataFrame([(1, "learning"), (1, "ai"), (2, "satellites"), (2, ""), (2, None)], "question int, term string")
+    asked = {1: ["learning", "ai"], 2: ["satellites"], 3: []}
+    sets = {c: sorted(x for d, x in members if d == c) for c, _ in members}
+    got = corpus.communities_of_questions(m, questions, terms, 3).orderBy("question", "rank").collect()
+    for q, words in asked.items():
+        score = {c: sum(t in x or x in t for x in s for t in words) for c, s in sets.items()}
+        want = sorted(sets, key=lambda c: (-score[c], -len(sets[c]), c))[:3]
+        assert [(r.rank, r.community, r.score, r.size) for r in got if r.question == q] == [(i + 1, c, score[c], len(sets[c])) for i, c in enumerate(want)]
+    import hashlib
+
+    mark = lambda s: hashlib.sha256("\n".join(sorted(s)).encode()).hexdigest()[:16]
+    cached = spark.createDataFrame([(mark(sets["c1"]), "about learning"), (mark(sets["c2"][:1]), "old"), (mark(sets["c4"]), "")], "fingerprint string, summary string")
+    rows = {(r.question, r.community): r for r in corpus.global_materials(m, questions, terms, cached, spark.createDataFrame([("ai", "AI")], "member string, label string")).collect()}
+    assert rows[1, "c1"].summary == "about learning" and rows[1, "c1"].cached and rows[1, "c1"].title == "AI・deep learning ほか 1 概念"
+    assert rows[2, "c2"].summary is None and not rows[3, "c4"].cached and len(rows) == 9
+    assert not corpus.global_materials(m.where("false"), questions, terms, cached).collect()

@@ -115,19 +115,55 @@ def seeds(hits: DataFrame, most: int = 8) -> DataFrame:
     return one.withColumn("place", F.row_number().over(Window.partitionBy("question").orderBy("o", "session", "id"))).where(F.col("place") <= most).drop("o")
 
 
+def communities_of_questions(members: DataFrame, questions: DataFrame, terms: DataFrame, top: int = 3) -> DataFrame:
+    """(question, rank, community, score, size): the ``top`` communities (community, member) for every question.
+
+    The score counts pairs of a member and a term (question, term) of which one contains the other; then the larger community counts, then the
+    least id. Communities without a hit come last, so a question without terms gets the largest ones. Overlaps are found once for all
+    distinct terms and members, not for each question.
+    """
+    m = members.select("community", "member").where("member is not null").distinct()
+    size = cut(m.groupBy("community").agg(F.count("*").alias("size")))
+    names, words = m.select("member").distinct(), terms.select("term").distinct()
+    both = containing(names, words, text="member").unionByName(containing(words, names, text="term", term="member").select("member", "term")).distinct()
+    asked = terms.select("question", "term").distinct()
+    score = asked.join(both, "term").join(m, "member").groupBy("question", "community").agg(F.count("*").alias("score"))
+    # Of those without a hit, only the largest can be among the first: at most as many as are asked for stand before them.
+    most = size.orderBy(F.desc("size"), "community").limit(2 * top).collect()  # 2 * top rows
+    if not most:
+        return questions.select("question", F.lit(0).alias("rank"), F.lit(None).cast(m.schema["community"].dataType).alias("community"), F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("size")).where("false")
+    large = F.explode(F.array(*(F.lit(r.community) for r in most))).alias("community")
+    rows = score.unionByName(questions.select("question").distinct().select("question", large, F.lit(0).cast("long").alias("score")))
+    rows = rows.groupBy("question", "community").agg(F.max("score").alias("score")).join(size, "community")
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), F.desc("size"), "community"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("question", "rank", "community", "score", "size")
+
+
 def rank_communities(members: DataFrame, terms: DataFrame, top: int = 3) -> DataFrame:
-    """Communities (community, member) by members that overlap a term in either direction, then size, then id.
+    """The communities for the terms (term) of one question, see :func:`communities_of_questions`."""
+    one = terms.select(F.lit("").alias("question"), "term")
+    asked = members.sparkSession.createDataFrame([("",)], "question string")
+    return communities_of_questions(members, asked, one, top).select("community", "score", "size", "rank")
+
+
+def global_materials(members: DataFrame, questions: DataFrame, terms: DataFrame, cached: DataFrame, labels: DataFrame | None = None, top: int = 3) -> DataFrame:
+    """(question, rank, community, title, summary, cached): summaries of the best communities for every question.
 
-    ``terms`` are those of one question, six at most.
+    A summary belongs to a set of members, by its fingerprint: it is found again for the same set under another id, and no more once a member
+    changes. ``summary`` is null where one is to be made. The title has the labels of the first two members and how many more there are. ``cached``:
+    (fingerprint, summary); ``labels``: (member, label).
     """
-    m = members.select("community", "member").distinct()
-    names, words = m.select(F.col("member").alias("text")), terms.select("term")
-    hit = containing(names, words).select(F.col("text").alias("member")).unionByName(containing(words.withColumnRenamed("term", "text"), m.select(F.col("member").alias("term"))).select(F.col("term").alias("member")))
-    hit = m.join(hit.distinct(), "member")
-    size = m.groupBy("community").agg(F.count("*").alias("size"))
-    s = hit.groupBy("community").agg(F.count("*").alias("score")).join(size, "community")
-    order = [F.desc("score"), F.desc("size"), F.col("community")]
-    return s.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    ranked = cut(communities_of_questions(members, questions, terms, top))
+    used = ranked.select("community").distinct()
+    m = members.select("community", "member").where("member is not null").distinct().join(used, "community")
+    named = m.join(labels.select("member", "label"), "member", "left") if labels is not None else m.withColumn("label", F.col("member"))
+    per = named.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("member", F.coalesce("label", "member").alias("label")))).alias("l"))
+    rest = F.size("l") - 2
+    title = F.concat(F.array_join(F.slice("l.label", 1, 2), "・"), F.when(rest > 0, F.format_string(" ほか %d 概念", rest)).otherwise(""))
+    per = per.select("community", title.alias("title"), member_fingerprint(F.col("l.member")).alias("fingerprint"))
+    one = cached.where("coalesce(summary, '') <> ''").groupBy("fingerprint").agg(F.min("summary").alias("summary"))
+    told = per.join(one, "fingerprint", "left")
+    return ranked.join(told, "community").select("question", "rank", "community", "title", "summary", F.col("summary").isNotNull().alias("cached"))
 
 
 def node_documents(edges: DataFrame) -> DataFrame:

@@ -55,8 +55,32 @@ def question_terms(spark, sf_dir):
     return corpus.known_terms(q, v).select(F.md5(F.col("question").cast("binary")).alias("question"), "term")
 
 
-@query("""SELECT community, score, size, CAST(row_number() OVER (ORDER BY score DESC, size DESC, community) AS INTEGER) AS rank FROM (SELECT p_brand AS community, count(DISTINCT p_type) FILTER (WHERE contains(p_type, 'AR') OR contains('LARGE ECONOMY', p_type)) AS score, count(DISTINCT p_type) AS size FROM part GROUP BY 1) x
-    WHERE score > 0 QUALIFY rank <= 3""")
+_GLOBAL = """WITH m AS (SELECT DISTINCT 'n' || s_nationkey AS community, lower(s_name) AS member FROM supplier), q AS (SELECT conv_id * 1000 + turn AS question, length(text) AS k, conv_id FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+    t AS (SELECT question, lpad(CAST(k % 100 AS VARCHAR(3)), 2, '0') AS term FROM q WHERE k % 5 > 0 UNION SELECT question, 'supplier#00000000' || CAST(conv_id % 10 AS VARCHAR(2)) || ' and others' FROM q WHERE k % 5 > 0),
+    b AS (SELECT DISTINCT m.member, t.term FROM (SELECT DISTINCT term FROM t) t JOIN (SELECT DISTINCT member FROM m) m ON contains(member, term) OR contains(term, member)),
+    z AS (SELECT community, count(*) AS size FROM m GROUP BY 1), sc AS (SELECT question, community, count(*) AS score FROM t JOIN b USING (term) JOIN m USING (member) GROUP BY 1, 2),
+    r AS (SELECT * FROM (SELECT q.question, z.community, z.size, coalesce(score, 0) AS score, CAST(row_number() OVER (PARTITION BY q.question ORDER BY coalesce(score, 0) DESC, z.size DESC, z.community) AS INTEGER) AS rank FROM q CROSS JOIN z LEFT JOIN sc ON sc.question = q.question AND sc.community = z.community) x WHERE rank <= 3),
+    f AS (SELECT community, list(member ORDER BY member) AS l FROM m GROUP BY 1)
+    SELECT question, rank, r.community, array_to_string(l[1:2], '・') || CASE WHEN len(l) > 2 THEN ' ほか ' || (len(l) - 2) || ' 概念' ELSE '' END AS title, CAST(substr(r.community, 2) AS INTEGER) % 2 = 0 AS cached FROM r JOIN f ON f.community = r.community"""
+
+
+@query(_GLOBAL)
+def global_summaries(spark, sf_dir):
+    """The best communities for every question of all conversations, with the summaries that a cache has for their sets of members."""
+    m = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("community"), F.lower("s_name").alias("member"))
+    q = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question"), F.length("text").alias("k"), "conv_id")
+    words = F.array(F.lpad((F.col("k") % 100).cast("string"), 2, "0"), F.concat(F.lit("supplier#00000000"), (F.col("conv_id") % 10).cast("string"), F.lit(" and others")))
+    terms = q.where("k % 5 > 0").select("question", F.explode(words).alias("term"))
+    # The cache has the even nations, and sets of the odd ones as they were before their first member came.
+    first = m.groupBy("community").agg(F.min("member").alias("member"))
+    even = F.substring("community", 2, 9).cast("int") % 2 == 0
+    old = m.where(even).unionByName(m.where(~even).join(first, ["community", "member"], "left_anti"))
+    cached = old.groupBy("community").agg(member_fingerprint(F.collect_list("member")).alias("fingerprint")).select("fingerprint", F.concat(F.lit("about "), "community").alias("summary"))
+    return corpus.global_materials(m, q, terms, cached).drop("summary")
+
+
+@query("""SELECT community, score, size, CAST(row_number() OVER (ORDER BY score DESC, size DESC, community) AS INTEGER) AS rank FROM (
+    SELECT p_brand AS community, count(DISTINCT p_type) FILTER (WHERE contains(p_type, 'AR')) + count(DISTINCT p_type) FILTER (WHERE contains('LARGE ECONOMY', p_type)) AS score, count(DISTINCT p_type) AS size FROM part GROUP BY 1) x QUALIFY rank <= 3""")
 def ranked_communities(spark, sf_dir):
     """The communities that overlap the terms most."""
     m = table(spark, sf_dir, "part").select(F.col("p_brand").alias("community"), F.col("p_type").alias("member"))
