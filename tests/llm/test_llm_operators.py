@@ -844,6 +844,44 @@ def test_decontamination_judges_every_occurrence(spark):
 # 10. Packing
 
 
+@pytest.mark.parametrize("many", [0, 3, 32])
+def test_decontamination_of_common_stems(spark, monkeypatch, many):
+    """Items that share a stem, against an exhaustive comparison; windows shared by many items lose nothing."""
+    monkeypatch.setattr(decon, "MANY", many)
+    r = random.Random(23)
+    say = lambda n: " ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(n))
+    stem, items = say(14), []
+    for i in range(12):
+        items.append(f"{stem} {r.randrange(100)} {say(20)}" if i < 8 else f"{stem} {r.randrange(100)} or {r.randrange(100)} {stem[:29]}")
+    items += [say(30) for _ in range(3)]
+    docs = [f"{say(20)} {x} {say(20)}" for x in items] + [f"{say(5)} {stem} {say(40)}", say(60), None, "", f"{say(9)} {items[2]} {say(3000)} {items[13]}"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(docs)], "doc_id long, text string, item string, h int")
+    got = {(x.doc_id, x.item_id): (x.matched, x.item_windows, x.exact) for x in decon.op9(spark, df.unionByName(df), bench).collect()}
+    words_ = decon.Words()
+    want = {}
+    for d, t in enumerate(docs):
+        ids, h = decon.template((t or "").encode().split(), words_)
+        dw = {}
+        for p, x in enumerate(decon.windows(h, 8)):
+            dw.setdefault(int(x), []).append(p)
+        for i, t2 in enumerate(items):
+            iids, ih = decon.template(t2.encode().split(), words_)
+            iw = [int(x) for x in decon.windows(ih, 8)]
+            alt = [int(x) for x in decon.windows(decon.template(t2.encode().split(), words_, False)[1], 8)]
+            hits = [(p, q) for p, x in enumerate(iw) for q in {*dw.get(x, []), *(dw.get(alt[p], []) if p == 0 else [])}]
+            best = []
+            for a in {q - p for p, q in hits}:
+                for group in ([x for x in hits if x[1] - x[0] == a], [x for x in hits if a <= x[1] - x[0] <= a + decon.DRIFT], hits):
+                    pairs = {(words_.text[iids[p + k]], words_.text[ids[q + k]]) for p, q in group for k in range(8) if ih[p + k] <= decon.UNIT}
+                    n = len({p for p, _ in group})
+                    if 2 * n >= len(iw) and len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+                        best.append((n, all(x == y for x, y in pairs)))
+            if best:
+                want[d, i] = (max(n for n, _ in best), len(iw), any(e for _, e in best))
+    assert got == want and len(want) >= 16
+
+
 def test_packing(spark):
     texts = [None, "", "x", "é" * 700, "y" * 40_000, "y" * 40_000] + ["z" * random.randint(1, 3000) for _ in range(400)]
     df = frame(spark, texts)

@@ -9,11 +9,13 @@ all together. In a group one value of the item must stand for one value of the d
 changed parameter changes everywhere. A document holds an item if some group has ``SHARE`` of the item's windows and
 consistent values; ``matched`` is the largest such group, and ``exact`` says that one has the item's own values.
 
-Only windows that the benchmark has leave the document pass; a fixed bitmap and a sorted array of the benchmark's hashes
+A window that many items share (a common stem) is matched for an item only in documents that have another of its windows, unless such
+windows alone can reach ``SHARE``; nothing is lost by that. Only windows that the benchmark has leave the document pass; a fixed bitmap and a sorted array of the benchmark's hashes
 decide that in the workers. The array is sent to them up to ``BROADCAST_WINDOWS``; beyond it only the bitmap is.
 
 Defined results: null and empty texts and items match nothing; an item shorter than the window is one window of its
-whole length, if it has at least ``SHORTEST`` tokens; repeated rows give one pair of ids; rows and items without an
+whole length, if it has at least ``SHORTEST`` tokens; texts may have any length; repeated rows give one pair of ids; of rows that share an id
+the windows count together; of equal matches nothing is chosen, all items are told; rows and items without an
 id match nothing; extra columns are ignored.
 """
 
@@ -31,6 +33,8 @@ from .common import slices
 WINDOW, SHORTEST, SHARE = 8, 5, 0.5
 #: Tokens put in or left out within one occurrence of an item.
 DRIFT = 8
+#: Items that share a window of template tokens from which it is matched last.
+MANY = 32
 #: 8 bytes each.
 BROADCAST_WINDOWS = 4_000_000
 BITMAP_BITS = 24
@@ -174,6 +178,27 @@ def document_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[in
     return src.mapInArrow(run, f"h long, doc {kind}, dpos int, dslots array<string>")
 
 
+def _matched(met: DataFrame, bench: DataFrame, share: float) -> DataFrame:
+    """(doc, dpos, dslots, item, ipos, islots) of all windows that a document and an item share, of pairs that can reach ``share``.
+
+    A window of more than ``MANY`` items meets an item that needs others beside such windows only in documents that have one of those.
+    """
+    items = bench.drop("size")
+    many = items.groupBy("h").agg(F.count_distinct("item").alias("items")).where(f"items > {MANY}").select("h", F.lit(True).alias("hot"))
+    if many.isEmpty():
+        return met.join(items, "h")
+    items = items.join(many, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    size = items.groupBy("item").agg((F.max("ipos") + 1).alias("n"), F.count_distinct(F.when(F.col("hot"), F.col("ipos"))).alias("k"))
+    items = items.join(size.select("item", (F.col("k") < share * F.col("n")).alias("needs")), "item")
+    first = met.join(items.where("not (hot and needs)").drop("hot"), "h")
+    pairs = first.where("needs").select("doc", "item").distinct()
+    second = met.join(many.drop("hot"), "h", "left_semi").join(pairs, "doc").join(items.where("hot and needs").drop("hot"), ["h", "item"])
+    return first.select(*_MET).unionByName(second.select(*_MET))
+
+
+_MET = ("doc", "dpos", "dslots", "item", "ipos", "islots")
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: float = SHARE
 ) -> DataFrame:
@@ -194,10 +219,10 @@ def contaminated(
     if not sizes:
         sizes = [window]
         wanted = None
-    met = document_windows(docs, id_col, text_col, sizes, bitmap, wanted)
+    met = keep(document_windows(docs, id_col, text_col, sizes, bitmap, wanted))
     # One row an alignment, no longer than the item; words have no spaces, so a pair of values is one string.
     groups = keep(
-        met.join(bench.drop("size"), "h")
+        _matched(met, bench, share)
         .groupBy("doc", "item", (F.col("dpos") - F.col("ipos")).alias("at"))
         .agg(F.collect_set("ipos").alias("ipos"), F.array_distinct(F.flatten(F.collect_list(F.zip_with("islots", "dslots", lambda i, d: F.concat(i, F.lit(" "), d))))).alias("pairs"))
     )
