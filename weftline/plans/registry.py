@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("graph_queries", "log_queries", "more_queries", "coverage_queries")
+_MODULES = ("graph_queries", "log_queries", "more_queries", "coverage_queries", "rest_queries")
 
 
 def query(oracle: str | None = None):
