@@ -252,10 +252,8 @@ def few_shot_examples(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, name):
-    """A table of the driver as a stream over its files."""
-    flat = sf_dir.rsplit("/", 1)[-1].startswith("sf")
-    stream = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet" if flat else "*.parquet")
-    return stream.parquet(sf_dir if flat else f"{sf_dir}/{name}.parquet")
+    """A table of the driver as a stream over its files; as a pattern the path may be a file or a folder, a plain one only a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
 @query("""SELECT o_orderkey AS id FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 100000 MINUTE""")
