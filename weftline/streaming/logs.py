@@ -56,7 +56,17 @@ def live_cache(rows: DataFrame, minutes: int = 360) -> DataFrame:
 
 
 def run_all(spark: SparkSession, stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Everything that is available now, into a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Everything that is available now, as Parquet beside the checkpoint, a folder for each batch; the driver holds none of it.
+
+    A batch that is run again replaces its folder; in mode ``complete`` each replaces the one before.
+    """
+    paths: list[str] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        path = f"{checkpoint.rstrip('/')}-rows/{0 if mode == 'complete' else batch}"
+        rows.write.mode("overwrite").parquet(path)
+        paths.append(path)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(*sorted(set(paths))) if paths else spark.createDataFrame([], stream.schema)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.editlog import Graph, _norm
+from . import logs
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A row of the input of the fold: a node or edge of the base graph, or an edit (then ``id`` is the edit's).
@@ -119,47 +120,48 @@ def current(changes: DataFrame) -> DataFrame:
 
 
 class Expiring(StatefulProcessor):
-    """The entries of one owner, and one timer for the first that expires; the watermark lags by the time to live."""
+    """The live entries of one owner as a list, and one timer for the first that expires; the watermark lags by the time to live.
+
+    The list is read and written as a whole, once for each batch in which the owner has rows or expiring entries: every call of the state goes to
+    the JVM and back, so a call for each entry would cost more than the entries.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getMapState("entries", "id string", "created long")
-        self.next = handle.getValueState("next", "at long")
-
-    def _wake(self, at: int) -> None:
-        """The timer at ``at`` if that is before the one that is set."""
-        if self.next.exists():
-            (was,) = self.next.get()
-            if was <= at:
-                return
-            self.handle.deleteTimer(was)
-        self.handle.registerTimer(at)
-        self.next.update((at,))
+        self.entries = handle.getListState("entries", "id string, created long")
+
+    def _put(self, known: dict[str, int], timer: int | None) -> None:
+        """Stores the entries; ``timer`` is the one that is set. It moves to the first entry that expires."""
+        at = min(known.values(), default=None)
+        if at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if known:
+            self.entries.put(list(known.items()))
+        else:
+            self.entries.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark, out = timerValues.getCurrentWatermarkInMs(), []
+        known = dict(self.entries.get())
+        timer = min(known.values(), default=None)
         for pdf in rows:
             for i, t in zip(pdf["id"], pdf["created"], strict=True):
                 ms = int(t.value // 1_000_000)
-                was = self.entries.getValue((i,)) if self.entries.containsKey((i,)) else None
-                if ms <= mark or (was and was[0] >= ms):  # expired when it came, or known as newer
+                if ms <= mark or known.get(i, ms - 1) >= ms:  # expired when it came, or known as newer
                     continue
-                self.entries.updateValue((i,), (ms,))
-                self._wake(ms)
+                known[i] = ms
                 out.append((key[0], i, t, True))
+        if out:
+            self._put(known, timer)
         yield pd.DataFrame(out, columns=["owner", "id", "created", "live"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark, out, left = timerValues.getCurrentWatermarkInMs(), [], None
-        for (i,), (ms,) in list(self.entries.iterator()):
-            if ms <= mark:
-                self.entries.removeKey((i,))
-                out.append((key[0], i, pd.Timestamp(ms, unit="ms"), False))
-            else:
-                left = ms if left is None else min(left, ms)
-        self.next.clear()
-        if left is not None:
-            self._wake(left)
+        mark, known = timerValues.getCurrentWatermarkInMs(), dict(self.entries.get())
+        out = [(key[0], i, pd.Timestamp(ms, unit="ms"), False) for i, ms in known.items() if ms <= mark]
+        self._put({i: ms for i, ms in known.items() if ms > mark}, None)  # the timer that fired is gone
         yield pd.DataFrame(out, columns=["owner", "id", "created", "live"])
 
     def close(self) -> None:
@@ -181,13 +183,11 @@ def live(changes: DataFrame) -> DataFrame:
 
 
 def run_all(spark: SparkSession, stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Everything that is available now, with RocksDB state, into a table in memory."""
+    """:func:`.logs.run_all` with RocksDB state."""
     key = "spark.sql.streaming.stateStore.providerClass"
     old = spark.conf.get(key)
     spark.conf.set(key, STORE)
     try:
-        q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        q.awaitTermination()
+        return logs.run_all(spark, stream, name, mode, checkpoint)
     finally:
         spark.conf.set(key, old)
-    return spark.table(name)
