@@ -125,6 +125,12 @@ def evidence_text(spans: Column) -> Column:
     return F.coalesce(F.array_join(texts, " "), F.lit(""))
 
 
+def opposite_words(text: Column, pairs: Sequence[tuple[str, str]] = S.OPPOSITES) -> tuple[Column, Column]:
+    """Numbers of the pairs of opposites whose first, and whose second, word is in the text: :func:`opposite_split` holds where those of one text meet the others of the other."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return tuple(F.filter(F.array(*(F.when(low.contains(p[k]), F.lit(i)) for i, p in enumerate(pairs))), lambda x: x.isNotNull()) for k in (0, 1))
+
+
 def edge_text(spans: Column, label: Column) -> Column:
     """What the cue rules read: the surfaces and the label."""
     texts = F.filter(F.transform(spans, lambda s: s["surface"]), lambda t: t.isNotNull() & (t != ""))

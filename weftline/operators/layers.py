@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.relations import causal_candidates, judge
 from ..functions.containment import containing
-from ..functions.text import LEAST_CONTAINED, claim_polarity, contained, evidence_text, normalize_label, opposite_split
+from ..functions.text import LEAST_CONTAINED, claim_polarity, evidence_text, normalize_label, opposite_words
+from ..sources.files import cut
+
+
+def _near_texts(texts: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text, zt): distinct pairs of a text and another (zt) that are equal, or of which one contains the other and both have eight characters."""
+    t, z = texts.select(*keys, "text").distinct(), others.select(*keys, "zt").distinct()
+    long_t, long_z = t.where(F.length("text") >= LEAST_CONTAINED), z.where(F.length("zt") >= LEAST_CONTAINED)
+    inside = containing(long_z, long_t, tuple(keys), "zt", "text").select(*keys, "text", "zt").unionByName(containing(long_t, long_z, tuple(keys), "text", "zt").select(*keys, "text", "zt"))
+    same = t.select(*keys, "text", F.col("text").alias("zt")).join(z, [*keys, "zt"], "left_semi")
+    return inside.unionByName(same.select(*keys, "text", "zt")).distinct()
 
 
 def zone_of_text(texts: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,8 +63,14 @@ def claims_of_edges(claims: DataFrame, edges: DataFrame) -> DataFrame:
     """(session, id, claim_refs) of edges whose evidence is a claim's sentence, or contains it or is contained."""
     e = edges.select("session", "id", evidence_text(F.col("evidence_span")).alias("text")).where("text <> ''")
     c = claims.select("session", "claim_id", F.col("sentence").alias("s"))
-    met = e.join(c, (e["session"] == c["session"]) & contained(e["text"], c["s"])).select(e["session"], "id", "claim_id")
-    return met.groupBy("session", "id").agg(F.array_sort(F.collect_set("claim_id")).alias("claim_refs"))
+    # Texts meet once, however many edges and claims have them.
+    pairs = _near_texts(e.select("session", "text"), c.select("session", F.col("s").alias("zt")), ["session"]).withColumnRenamed("zt", "s")
+    refs = pairs.join(c, ["session", "s"]).groupBy("session", "text").agg(F.array_sort(F.collect_set("claim_id")).alias("claim_refs"))
+    one = F.count("*").over(Window.partitionBy("session", "id")) == 1
+    e = e.distinct().withColumn("_one", one).join(refs, ["session", "text"])
+    # An id that several edges have gets the claims of all of them.
+    more = e.where("not _one").select("session", "id", F.explode_outer("claim_refs").alias("claim_id")).groupBy("session", "id").agg(F.array_sort(F.collect_set("claim_id")).alias("claim_refs"))
+    return e.where("_one").select("session", "id", "claim_refs").unionByName(more)
 
 
 def assign_layer_tags(edges: DataFrame, zones: DataFrame, ontology: DataFrame) -> DataFrame:
