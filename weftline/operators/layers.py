@@ -84,16 +84,34 @@ def assign_layer_tags(edges: DataFrame, zones: DataFrame, ontology: DataFrame) -
 def refute_candidates(claims: DataFrame, limit: int = 30) -> DataFrame:
     """Pairs of claims (session, pos, claim_id, text, concepts, status) that share a concept and differ in polarity or hold opposites.
 
-    By an equi-join on concepts, in order of the claims; ``truncated`` says how many were left out.
+    In order of the claims, then of their ids; ``truncated`` says how many were left out. Whether two claims are a pair depends on their kinds
+    alone: their concepts, polarity and opposite words. So kinds meet by an equi-join on concepts. Of a kind, only the first ``limit`` claims can begin
+    one of the first ``limit`` pairs, as every partner of a claim is one of those before it; all pairs are counted by the sizes of kinds.
     """
-    c = claims.where("coalesce(status, '') <> 'rejected'").withColumn("polarity", claim_polarity(F.col("text")))
-    k = c.select("session", "pos", "claim_id", "text", "polarity", F.explode("concepts").alias("concept")).withColumn("_n", normalize_label(F.col("concept"))).drop("concept")
-    a, b = (k.selectExpr("session", "_n", f"pos as pos_{s}", f"claim_id as {s}", f"text as text_{s}", f"polarity as polarity_{s}") for s in "ab")
-    p = a.join(b, ["session", "_n"]).where("pos_a < pos_b").where((F.col("polarity_a") != F.col("polarity_b")) | opposite_split(F.col("text_a"), F.col("text_b")))
-    p = p.select("session", "pos_a", "pos_b", "a", "b").distinct()
-    w = Window.partitionBy("session")
-    p = p.withColumns({"rank": F.row_number().over(w.orderBy("pos_a", "pos_b")), "truncated": F.greatest(F.count("*").over(w) - limit, F.lit(0))})
-    return p.where(F.col("rank") <= limit)
+    c = claims.where("coalesce(status, '') <> 'rejected' and session is not null and pos is not null")
+    left, right = opposite_words(F.col("text"))
+    k = c.select("session", "pos", "claim_id", claim_polarity(F.col("text")).alias("polarity"), left.alias("left"), right.alias("right"), F.explode("concepts").alias("concept"))
+    k = k.withColumn("_n", normalize_label(F.col("concept"))).where("_n is not null")
+    kind = F.array_sort(F.collect_set(F.struct("_n", "polarity", "left", "right")))  # of all rows of a claim
+    c = k.groupBy("session", "pos", "claim_id").agg(kind.alias("_kind")).withColumn("kind", F.sha2(F.to_json("_kind"), 256))
+    c = cut(c)
+    kinds = c.groupBy("session", "kind").agg(F.any_value("_kind").alias("_kind")).select("session", "kind", F.inline("_kind"))
+    c = c.drop("_kind")
+    a, b = (kinds.selectExpr("session", "_n", f"kind as kind_{s}", f"polarity as polarity_{s}", f"left as left_{s}", f"right as right_{s}") for s in "ab")
+    split = F.arrays_overlap("left_a", "right_b") | F.arrays_overlap("right_a", "left_b")
+    met = cut(a.join(b, ["session", "_n"]).where((F.col("polarity_a") != F.col("polarity_b")) | split).select("session", "kind_a", "kind_b").distinct())
+    at = lambda df, s: df.selectExpr("session", f"kind as kind_{s}", f"pos as pos_{s}", f"claim_id as {s}")
+    first = c.withColumn("_r", F.row_number().over(Window.partitionBy("session", "kind").orderBy("pos", "claim_id"))).where(F.col("_r") <= limit)
+    p = at(first, "a").join(met, ["session", "kind_a"]).join(at(c, "b"), ["session", "kind_b"]).where("pos_a < pos_b").select("session", "pos_a", "pos_b", "a", "b")
+    w = Window.partitionBy("session").orderBy("pos_a", "pos_b", "a", "b")
+    p = p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    # Pairs either way by the sizes of kinds, less those of one place, each counted twice.
+    size = c.groupBy("session", "kind").agg(F.count("*").alias("n"))
+    whole = met.join(size.withColumnsRenamed({"kind": "kind_a", "n": "n_a"}), ["session", "kind_a"]).join(size.withColumnsRenamed({"kind": "kind_b", "n": "n_b"}), ["session", "kind_b"]).select("session", (F.col("n_a") * F.col("n_b")).alias("n"))
+    level = at(c, "a").withColumnRenamed("pos_a", "pos").join(at(c, "b").withColumnRenamed("pos_b", "pos"), ["session", "pos"]).join(met, ["session", "kind_a", "kind_b"], "left_semi").select("session", F.lit(-1).cast("long").alias("n"))
+    total = whole.unionByName(level).groupBy("session").agg(F.sum("n").alias("n"))
+    p = p.join(total, "session", "left").withColumn("truncated", F.greatest(F.expr("n div 2") - limit, F.lit(0)))
+    return p.select("session", "pos_a", "pos_b", "a", "b", "rank", "truncated")
 
 
 def refute_targets(edges: DataFrame, pairs: DataFrame) -> DataFrame:
