@@ -16,10 +16,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def build(rows: DataFrame, text: Column, path: str, buckets: int = BUCKETS) -> None:
-    """Writes ``rows`` by hash of the row, and (gram, row) by hash of the gram, sorted by gram so that row groups can be skipped."""
-    keyed = rows.withColumn("_text", text).withColumn("_id", F.xxhash64(*rows.columns)).withColumn("_part", F.pmod("_id", F.lit(buckets)).cast("int"))
+    """Writes ``rows`` by hash of the text, and (gram, text) by hash of the gram, sorted by gram so that row groups can be skipped.
+
+    A text is posted once, however many rows have it.
+    """
+    keyed = rows.withColumn("_text", text).withColumn("_id", F.xxhash64("_text")).withColumn("_part", F.pmod("_id", F.lit(buckets)).cast("int"))
     keyed.write.mode("overwrite").partitionBy("_part").parquet(f"{path}/rows")
-    posts = keyed.select(F.explode(_pieces(F.col("_text"), SIZE)).alias("gram"), "_id", "_part").distinct()
+    texts = keyed.sparkSession.read.schema(keyed.schema).parquet(f"{path}/rows").select("_text", "_id", "_part").distinct()
+    posts = texts.select(F.explode(_pieces(F.col("_text"), SIZE)).alias("gram"), "_id", "_part")
     posts = posts.withColumn("_bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
     posts = posts.repartition(F.col("_bucket"), F.pmod("_id", F.lit(SALT))).sortWithinPartitions("_bucket", "gram")
     posts.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/posts")
@@ -27,7 +31,7 @@ def build(rows: DataFrame, text: Column, path: str, buckets: int = BUCKETS) -> N
 
 
 def postings(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """(_part, _id) of the rows that have all trigrams of ``query``; only the folders of these trigrams are read."""
+    """(_part, _id) of the texts that have all trigrams of ``query``; only the folders of these trigrams are read."""
     grams = sorted({query[i : i + SIZE] for i in range(len(query) - SIZE + 1)})
     buckets = spark.read.parquet(f"{path}/meta").first().buckets
     at = spark.createDataFrame([(g,) for g in grams], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("b")).distinct()
