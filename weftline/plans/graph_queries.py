@@ -284,7 +284,8 @@ def _materials(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
     q = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question"), F.array((F.length("text") % 25).cast("string"), (F.col("conv_id") % 25).cast("string"), ((F.col("conv_id") + F.col("turn")) % 25).cast("string")).alias("t"))
     asked = q.select("question", F.posexplode("t").alias("term_pos", "k")).select("question", "term_pos", F.concat(F.lit("NATION_"), "k").alias("term"))
-    n, e = demo.nodes(spark, sf_dir), demo.edges(spark, sf_dir)
+    # Edges with the same ends count as one with their number and their first id.
+    n, e = demo.nodes(spark, sf_dir), cut(demo.relation(spark, sf_dir, "g").groupBy("session", "from", "to").agg(F.count("*").alias("edges"), F.min("id").alias("id")))
     hit = e.select("session", F.col("to").alias("id")).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("session")))).where("rank <= 3")
     hits = asked.join(hit, F.col("term") == F.col("id")).select("question", "term_pos", "rank", "session", "id", F.lit("node").alias("kind"))
     return corpus.local_materials(n, e, corpus.seeds(hits, 8))
@@ -300,7 +301,7 @@ def local_concepts(spark, sf_dir):
     JOIN ranked y ON y.question = x.question AND y.session = x.session AND y.id = g."to" WHERE x.place <= 40 AND y.place <= 40 GROUP BY 1""", _LOCAL))
 def local_relations(spark, sf_dir):
     """The relations between the concepts of every question."""
-    return _materials(spark, sf_dir)[1].groupBy("question").agg(F.count("*").alias("relations"), F.count_distinct("session").alias("sessions"), F.min("id").alias("first"))
+    return _materials(spark, sf_dir)[1].groupBy("question").agg(F.sum("edges").alias("relations"), F.count_distinct("session").alias("sessions"), F.min("id").alias("first"))
 
 
 _HOPS = 6
