@@ -8,9 +8,11 @@ import random
 import duckdb
 import pytest
 from oracle import TABLES
+from pyspark.sql import functions as F
 
 from weftline.operators import community, graph
 from weftline.plans import demo, registry
+from weftline.sources.files import Steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -181,3 +183,16 @@ def test_components_of_a_long_chain(spark):
     df = spark.range(n).selectExpr("concat('n', lpad(cast((id * 7919) % 100003 as string), 6, '0')) as a", "concat('n', lpad(cast(((id + 1) * 7919) % 100003 as string), 6, '0')) as b")
     got = graph.connected_components(df)
     assert got.count() == n + 1 and {r.component for r in got.select("component").distinct().collect()} == {min(r.id for r in got.select("id").collect())}
+
+
+def test_many_nodes_move_in_one_round(spark):
+    """60 leaves of two hubs, all with one hub: half of them gain by moving, and a round moves many, as far as each gains after those before it."""
+    links = [(h, f"x{i:02d}", 1.0) for i in range(60) for h in ("hub_a", "hub_b")]
+    both = spark.createDataFrame(links + [(b, a, w) for a, b, w in links], "a string, b string, w double")
+    strength = both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
+    label = strength.select("id", F.when(F.col("id") == "hub_b", "hub_b").otherwise("hub_a").alias("community"))
+    with Steps(spark) as steps:
+        moved = {r.id: r.to for r in community._move_round(both, strength, label, 120.0, 1.0, 0, steps).collect()}
+    before = {r.id: r.community for r in label.collect()}
+    assert len(moved) >= 20 and set(moved.values()) == {"hub_b"}
+    assert quality(links, before | moved, 1.0) > quality(links, before, 1.0)
