@@ -206,7 +206,7 @@ m AS (SELECT * FROM m1 QUALIFY row_number() OVER (PARTITION BY ident ORDER BY ts
 
 
 def _judged(spark, sf_dir):
-    e = demo.edges(spark, sf_dir, True)
+    e = demo.edges(spark, sf_dir, True, ("glyph", "confidence", "quantity"))
     q = F.col("quantity")
     lab = e.where("quantity >= 35").select(
         F.when(q % 3 == 1, "elsewhere").otherwise(F.col("session")).alias("session"), F.when(q % 5 == 0, F.col("id")).otherwise(F.concat(F.lit("old-"), "id")).alias("edge_id"),

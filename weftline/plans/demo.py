@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import table
 from ..sources.files import cut
@@ -36,6 +39,12 @@ nw AS (SELECT s.session, l.label AS id, l.label, l.community_id FROM months s CR
 sp AS (SELECT session, id, from_wide AS "from", to_wide AS "to", label, glyph, confidence, quantity, tax, brand FROM e)
 """
 MONTH = {"spark": "date_format(o.o_orderdate, 'yyyyMM')", "duckdb": "strftime(o.o_orderdate, '%Y%m')"}
+#: Ranges of orders are broadcast up to this number.
+BROADCAST_ROWS = 1_000_000
+#: Orders whose rows are numbered together.
+ORDERS = 1 << 20
+#: What edges have besides their ends.
+ATTRIBUTES = ("label", "glyph", "confidence", "quantity", "tax", "brand")
 TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "part")
 
 #: The activity log read as an edit log: the user is the session.
@@ -64,9 +73,34 @@ def relation(spark: SparkSession, sf_dir: str, name: str, base: str = BASE, tabl
     return spark.sql(f"WITH {base.format(month=MONTH['spark'])} SELECT * FROM {name}".replace('"', "`"))
 
 
-def edges(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
-    """Edges with ids as ends, of the dense or of the wide graph; derived once, as operators read them several times."""
-    return cut(relation(spark, sf_dir, "sp" if wide else "g"))
+def numbered(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """The relation ``e`` or columns ``only`` of it, derived once: rows are numbered within ranges of orders, and the sizes of the ranges before are added, so no task sorts a session."""
+    order = f"l_orderkey DIV {ORDERS}"
+    base = BASE.partition(",\nlabels_all AS")[0].replace("PARTITION BY session ORDER", f"PARTITION BY session, {order} ORDER").replace("SELECT session, 'r'", f"SELECT session, {order} AS part, 'r'", 1)
+    e = relation(spark, sf_dir, "e", re.sub(r"'r' \|\| lpad\(CAST\((.*?\)) AS VARCHAR\(10\)\), 6, '0'\) AS id", r"\1 AS nr", base, count=1))
+    return _whole_ids(cut(e.select("session", "part", "nr", *only) if only else e))
+
+
+def _whole_ids(e: DataFrame) -> DataFrame:
+    """Rows numbered ``nr`` within (session, part) with their ``id`` within the session, as the SQL numbers them."""
+    before = F.sum("n").over(Window.partitionBy("session").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = e.groupBy("session", "part").agg(F.count("*").alias("n")).select(F.col("session").alias("_s"), F.col("part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_b"))
+    parts = cut(parts)  # a few a session: the rows are not moved for them
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
+    out = e.join(parts, F.col("session").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
+    number = F.lpad((F.col("nr") + F.col("_b")).cast("string"), 6, "0")
+    return out.select("session", F.concat(F.lit("r"), number).alias("id"), *(c for c in e.columns if c not in ("session", "part", "nr")))
+
+
+def edges(spark: SparkSession, sf_dir: str, wide: bool = False, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+    """Edges with ids as ends and ``attributes``, of the dense or of the wide graph; derived once, as operators read them several times."""
+    a, b = ("from_wide", "to_wide") if wide else ("from_label", "to_label")
+    return numbered(spark, sf_dir, a, b, *attributes).select("session", "id", F.col(a).alias("from"), F.col(b).alias("to"), *attributes)
+
+
+def ends(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """The ends (session, from, to) of the edges, for operators that ask for no more: nothing is numbered."""
+    return cut(relation(spark, sf_dir, "sp" if wide else "g").select("session", "from", "to"))
 
 
 def nodes(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ def _spanless(df):
     FROM e GROUP BY 1, 2, 3"""))
 def corpus_edge_merge(spark, sf_dir):
     """A3: edges of all sessions merged on (from, to, glyph), with the newest session's first label."""
-    e = demo.relation(spark, sf_dir, "e").withColumns({"from_norm": ascii_norm(F.col("from_label")), "to_norm": ascii_norm(F.col("to_label"))})
+    e = demo.numbered(spark, sf_dir).withColumns({"from_norm": ascii_norm(F.col("from_label")), "to_norm": ascii_norm(F.col("to_label"))})
     newest = F.struct(F.col("session"), -F.substring("id", 2, 10).cast("int"))
     return e.groupBy("from_norm", "to_norm", "glyph").agg(F.count("*").alias("weight"), F.max_by("label", newest).alias("label"))
 
@@ -53,7 +53,7 @@ deg AS (SELECT nw.session, nw.id, nw.community_id, count(DISTINCT other) AS degr
 @query(demo.duckdb("SELECT session, id, degree, incident FROM deg", _SPARSE))
 def node_degrees(spark, sf_dir):
     """A5: distinct neighbours and incident rows."""
-    return graph.degree(demo.nodes(spark, sf_dir, True), demo.edges(spark, sf_dir, True))
+    return graph.degree(demo.nodes(spark, sf_dir, True), demo.ends(spark, sf_dir, True))
 
 
 @query(demo.duckdb("""SELECT least(from_label, to_label) AS a, greatest(from_label, to_label) AS b, CAST(count(*) AS DOUBLE) AS weight FROM e GROUP BY 1, 2"""))
@@ -95,7 +95,7 @@ def indexed_search(spark, sf_dir):
 def two_hop_neighborhood(spark, sf_dir):
     """GR3: nodes within two hops of a seed in every session."""
     n = demo.nodes(spark, sf_dir, True)
-    got, _ = graph.neighborhood(n, demo.edges(spark, sf_dir, True), n.where("id = 'Supplier#000000001'"), 2, 100_000)
+    got, _ = graph.neighborhood(n, demo.ends(spark, sf_dir, True), n.where("id = 'Supplier#000000001'"), 2, 100_000)
     return got.select("session", "id", "hop")
 
 
@@ -103,7 +103,7 @@ def two_hop_neighborhood(spark, sf_dir):
     CASE WHEN degree = 0 THEN 'data' ELSE 'unknown' END AS presumed_type, 'degree=' || degree AS signal FROM deg WHERE degree <= 1""", _SPARSE))
 def gaps_structural(spark, sf_dir):
     """GR7: isolated and weakly linked nodes."""
-    return gaps.structural(demo.nodes(spark, sf_dir, True), demo.edges(spark, sf_dir, True)).select("session", "gap_id", "confidence", "presumed_type", "signal")
+    return gaps.structural(demo.nodes(spark, sf_dir, True), demo.ends(spark, sf_dir, True)).select("session", "gap_id", "confidence", "presumed_type", "signal")
 
 
 @query(demo.duckdb("""SELECT x.session, 'gap-bridge-' || x.c || '-' || y.c AS gap_id FROM
@@ -118,7 +118,7 @@ def gaps_bridges(spark, sf_dir):
 @query(demo.duckdb("""SELECT session, community_id, arg_min(id, printf('%08d', 10000000 - incident) || id) AS id FROM deg GROUP BY 1, 2""", _SPARSE))
 def community_representatives(spark, sf_dir):
     """GR11: the node with most incident rows."""
-    return graph.representative(demo.nodes(spark, sf_dir, True), demo.edges(spark, sf_dir, True))
+    return graph.representative(demo.nodes(spark, sf_dir, True), demo.ends(spark, sf_dir, True))
 
 
 _RANKED = _SPARSE + """, r0 AS (SELECT session, id, community_id AS community, incident,
@@ -128,7 +128,7 @@ _RANKED = _SPARSE + """, r0 AS (SELECT session, id, community_id AS community, i
 
 def _ranked(spark, sf_dir, wide=True):
     n = demo.nodes(spark, sf_dir, wide)
-    d = graph.degree(n, demo.edges(spark, sf_dir, wide)).join(n, ["session", "id"])
+    d = graph.degree(n, demo.ends(spark, sf_dir, wide)).join(n, ["session", "id"])
     return d.select("session", "id", F.col("community_id").alias("community"), levels.min_max(F.col("incident").cast("double"), ["session"]).alias("total"), F.lit(False).alias("pinned"))
 
 
@@ -185,7 +185,7 @@ def level_edges(spark, sf_dir):
     """Edges moved to aggregates and merged, with the surest glyph."""
     r, v = _visible(spark, sf_dir)
     a = levels.build_aggregates(_spanless(demo.nodes(spark, sf_dir, True)), r, v)
-    e = levels.level_edges(demo.edges(spark, sf_dir, True), v, a)
+    e = levels.level_edges(demo.edges(spark, sf_dir, True, ("label", "glyph", "confidence")), v, a)
     return e.select("session", "from", "to", "id", F.size("member_edge_ids").cast("long").alias("members"), "glyph")
 
 
@@ -285,7 +285,7 @@ def _materials(spark, sf_dir):
     q = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question"), F.array((F.length("text") % 25).cast("string"), (F.col("conv_id") % 25).cast("string"), ((F.col("conv_id") + F.col("turn")) % 25).cast("string")).alias("t"))
     asked = q.select("question", F.posexplode("t").alias("term_pos", "k")).select("question", "term_pos", F.concat(F.lit("NATION_"), "k").alias("term"))
     # Edges with the same ends count as one with their number and their first id.
-    n, e = demo.nodes(spark, sf_dir), cut(demo.relation(spark, sf_dir, "g").groupBy("session", "from", "to").agg(F.count("*").alias("edges"), F.min("id").alias("id")))
+    n, e = demo.nodes(spark, sf_dir), cut(demo.edges(spark, sf_dir).groupBy("session", "from", "to").agg(F.count("*").alias("edges"), F.min("id").alias("id")))
     hit = e.select("session", F.col("to").alias("id")).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("session")))).where("rank <= 3")
     hits = asked.join(hit, F.col("term") == F.col("id")).select("question", "term_pos", "rank", "session", "id", F.lit("node").alias("kind"))
     return corpus.local_materials(n, e, corpus.seeds(hits, 8))

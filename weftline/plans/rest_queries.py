@@ -17,7 +17,7 @@ from .registry import query
 @query(demo.duckdb("""SELECT nw.session, nw.id FROM nw LEFT JOIN (SELECT DISTINCT session, "to" AS id FROM sp) t ON t.session = nw.session AND t.id = nw.id WHERE t.id IS NULL"""))
 def tree_roots(spark, sf_dir):
     """GR14: nodes without an incoming edge."""
-    return graph.tree_roots(demo.nodes(spark, sf_dir, True), demo.edges(spark, sf_dir, True))
+    return graph.tree_roots(demo.nodes(spark, sf_dir, True), demo.ends(spark, sf_dir, True))
 
 
 @query(demo.duckdb("SELECT hid.session, agg_id AS aggregate, hid.id FROM hid JOIN agg ON agg.session = hid.session AND agg.community = hid.community", graph_queries._VISIBLE))
