@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import Steps, cut
+from ..sources.files import Steps, cut, tasks
 
 #: Tables of a step are broadcast up to this number of rows.
 BROADCAST_ROWS = 1_000_000
+#: Pivots whose searches share rows.
+LANES = 16
 
 
 def sampled_pivots(ids: DataFrame, most: int | None) -> DataFrame:
@@ -24,35 +26,44 @@ def pivot_betweenness(ids: DataFrame, pairs: DataFrame, most: int | None = None)
     """(session, id, betweenness) from ``most`` pivots a session, or from all ids, which is exact.
 
     ``pairs`` (session, a, b) are undirected edges, in any number and direction. All pivots are searched at once: level by
-    level a table (session, pivot, id) of shortest paths grows outwards, then dependencies are summed back from the last
-    level to the first, each level a join with the edges and an aggregation. Sums are scaled by the share of pivots and normalised by (n-1)(n-2). The number
-    of steps is twice the largest distance; rows are pivots times nodes.
+    level a table of shortest paths grows outwards, then dependencies are summed back from the last
+    level to the first, each level a join with the edges and an aggregation. A row (session, block, id) has a column for each of the ``LANES`` pivots of
+    its block, so an edge is followed once for all of them; edges lie by the end that they lead to, so their
+    sums are made where they are read. Sums are scaled by the share of pivots and normalised by (n-1)(n-2). The number
+    of steps is twice the largest distance; rows are blocks times nodes.
     """
-    with Steps(ids.sparkSession) as steps:
+    spark, key, lanes = ids.sparkSession, ["session", "block", "id"], range(LANES)
+    p, s, x = ([f"{c}{i}" for i in lanes] for c in "psx")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS / LANES * 8 else df
+    with Steps(spark) as steps:
         ids = steps.write(ids.select("session", "id").distinct())
-        both = pairs.where("a <> b").select("session", "a", "b")
-        both = steps.write(both.unionByName(both.select("session", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        both = steps.write(pairs.where("a <> b").select("session", "a", "b"))
+        both = both.unionByName(both.select("session", F.col("b").alias("a"), F.col("a").alias("b"))).repartition(tasks(spark, 2 * both.count()), "session", "b").distinct()
+        both = steps.write(both)
         pivots = steps.write(sampled_pivots(ids, most))
-        front = steps.write(pivots.select("session", "pivot", F.col("pivot").alias("id"), F.lit(1.0).alias("paths")))
-        levels, seen = [front], front.select("session", "pivot", "id")
+        lane = F.row_number().over(Window.partitionBy("session").orderBy("pivot")) - 1
+        front = pivots.select("session", F.col("pivot").alias("id"), F.floor(lane / LANES).alias("block"), (lane % LANES).alias("lane"))
+        front = steps.write(front.select(*key, *(F.when(F.col("lane") == i, 1.0).otherwise(0.0).alias(p[i]) for i in lanes)))
+        levels = [front]
         while True:
-            out = front.join(both.withColumnRenamed("a", "id"), ["session", "id"]).groupBy("session", "pivot", F.col("b").alias("id")).agg(F.sum("paths").alias("paths"))
+            out = both.withColumnRenamed("a", "id").join(small(front), ["session", "id"]).groupBy("session", "block", F.col("b").alias("id")).agg(*(F.sum(c).alias(c) for c in p))
             # A neighbour of a level is in it, in the one before, or new.
-            known = levels[-1].select("session", "pivot", "id")
-            known = known.unionByName(levels[-2].select("session", "pivot", "id")) if len(levels) > 1 else known
-            front = steps.write(out.join(known, ["session", "pivot", "id"], "left_anti"))
+            for k, known in enumerate(levels[-2:]):
+                out = out.join(known.select(*key, *(F.col(c).alias(f"_{k}{c}") for c in p)), key, "left")
+            fresh = [F.when(F.greatest(F.lit(0.0), *(f"_{k}{c}" for k in range(len(levels[-2:])))) > 0, 0.0).otherwise(F.col(c)).alias(c) for c in p]
+            front = steps.write(out.select(*key, *fresh).where(F.greatest(*p) > 0))
             if front.isEmpty():
                 break
             levels.append(front)
         done = None
-        below = steps.write(levels[-1].withColumn("share", F.lit(0.0)))
+        below = steps.write(levels[-1].select("*", *(F.lit(0.0).alias(c) for c in s)))
         for i in range(len(levels) - 1, 0, -1):
-            part = below.select("session", "id", "share")
+            part = below.select("session", "id", sum((F.col(c) for c in s[1:]), F.col(s[0])).alias("share"))
             done = part if done is None else done.unionByName(part)
-            each = below.join(both.withColumnsRenamed({"a": "id", "b": "up"}), ["session", "id"]).select("session", "pivot", F.col("up").alias("id"), ((1 + F.col("share")) / F.col("paths")).alias("x"))
-            flow = each.groupBy("session", "pivot", "id").agg(F.sum("x").alias("x"))
-            above = levels[i - 1].join(flow, ["session", "pivot", "id"], "left")
-            below = steps.write(above.select("session", "pivot", "id", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("share")))
+            each = below.select(*key, *(F.when(F.col(p[k]) > 0, (1 + F.col(s[k])) / F.col(p[k])).otherwise(0.0).alias(x[k]) for k in lanes))
+            flow = both.withColumnRenamed("a", "id").join(small(each), ["session", "id"]).groupBy("session", "block", F.col("b").alias("id")).agg(*(F.sum(c).alias(c) for c in x))
+            above = levels[i - 1].join(flow, key, "left")
+            below = steps.write(above.select(*key, *p, *((F.col(p[k]) * F.coalesce(x[k], F.lit(0.0))).alias(s[k]) for k in lanes)))
         size = ids.groupBy("session").agg(F.count("*").alias("n")).join(pivots.groupBy("session").agg(F.count("*").alias("p")), "session")
         total = ids.withColumn("share", F.lit(0.0)).unionByName(done) if done is not None else ids.withColumn("share", F.lit(0.0))
         total = total.groupBy("session", "id").agg(F.sum("share").alias("share")).join(F.broadcast(size) if size.count() <= BROADCAST_ROWS else size, "session")

@@ -328,7 +328,7 @@ pv AS (SELECT id AS origin FROM ids ORDER BY md5(id), id LIMIT 16), """ + _short
     LEFT JOIN (SELECT id, sum(share) AS share FROM ({' UNION ALL '.join(f'SELECT id, share FROM s{i}' for i in range(1, _HOPS + 1))}) z GROUP BY 1) t ON t.id = ids.id""", _PIVOTS))
 def corpus_betweenness(spark, sf_dir):
     """GR2: betweenness of the corpus graph from 16 pivots."""
-    e = demo.relation(spark, sf_dir, "sp").select(F.lit("corpus").alias("session"), F.col("from").alias("a"), F.col("to").alias("b")).distinct()
+    e = cut(demo.relation(spark, sf_dir, "sp").select(F.lit("corpus").alias("session"), F.col("from").alias("a"), F.col("to").alias("b")).distinct())
     ids = e.select("session", F.explode(F.array("a", "b")).alias("id")).distinct()
     return reach.pivot_betweenness(ids, e, 16).select("id", F.round("betweenness", 8).alias("betweenness"))
 
