@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..sources.files import cut
+from ..sources.files import cut, tasks
 
 #: Two graphs of all line items: g joins 5 segments and 25 nations, sp some thousand parts' kinds and suppliers, so it is sparse.
 #: One session a month; a relation per line item. (order, line) is not unique, so ids are numbered in a total order.
@@ -66,30 +66,50 @@ def duckdb(sql: str, base: str = BASE) -> str:
     return f"WITH {base.format(month=MONTH['duckdb'])} {sql}"
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str, base: str = BASE, tables: tuple[str, ...] = TABLES) -> DataFrame:
-    """A derived relation as a DataFrame."""
+#: Orders have met their customers when they meet the line items, last of all: these are moved as few times as possible.
+_FROM = re.compile(r"FROM lineitem l JOIN orders o (ON .*?) JOIN customer c (ON .*?)\n\s+(JOIN supplier .*)\n")
+_ORDERS = "SELECT o.o_orderkey, {month} AS session, c.c_mktsegment FROM orders o JOIN customer c"
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str, base: str = BASE, tables: tuple[str, ...] = TABLES, placed: bool = False) -> DataFrame:
+    """A derived relation as a DataFrame, its joins in the order that suits Spark; with ``placed`` orders come from the view of that name."""
     for t in tables:
         table(spark, sf_dir, t).createOrReplaceTempView(t)
+    orders = "placed" if placed else rf"({_ORDERS} \2)"
+    base, n = _FROM.subn(rf"FROM lineitem l \3 JOIN {orders} o \1\n", base)
+    base = base.replace("{month} AS session, c.c_mktsegment", "o.session, o.c_mktsegment", 1) if n else base
     return spark.sql(f"WITH {base.format(month=MONTH['spark'])} SELECT * FROM {name}".replace('"', "`"))
 
 
 def numbered(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
-    """The relation ``e`` or columns ``only`` of it, derived once: rows are numbered within ranges of orders, and the sizes of the ranges before are added, so no task sorts a session."""
-    order = f"l_orderkey DIV {ORDERS}"
-    base = BASE.partition(",\nlabels_all AS")[0].replace("PARTITION BY session ORDER", f"PARTITION BY session, {order} ORDER").replace("SELECT session, 'r'", f"SELECT session, {order} AS part, 'r'", 1)
-    e = relation(spark, sf_dir, "e", re.sub(r"'r' \|\| lpad\(CAST\((.*?\)) AS VARCHAR\(10\)\), 6, '0'\) AS id", r"\1 AS nr", base, count=1))
-    return _whole_ids(cut(e.select("session", "part", "nr", *only) if only else e))
-
-
-def _whole_ids(e: DataFrame) -> DataFrame:
-    """Rows numbered ``nr`` within (session, part) with their ``id`` within the session, as the SQL numbers them."""
-    before = F.sum("n").over(Window.partitionBy("session").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = e.groupBy("session", "part").agg(F.count("*").alias("n")).select(F.col("session").alias("_s"), F.col("part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_b"))
-    parts = cut(parts)  # a few a session: the rows are not moved for them
+    """The relation ``e`` or columns ``only`` of it, derived once, its rows numbered where the join with the orders has put them.
+
+    Orders have their place in the session (rows of the orders before); only the rows of an order are numbered among each other. So line items are not moved or sorted by session.
+    """
+    _placed(spark, sf_dir).createOrReplaceTempView("placed")
+    base = BASE.partition(",\nlabels_all AS")[0].replace("PARTITION BY session ORDER", "PARTITION BY session, l_orderkey ORDER")
+    base = re.sub(r"CAST\((row_number\(\) OVER \(.*?\)) AS VARCHAR\(10\)\)", r"CAST(\1 + before AS VARCHAR(10))", base, count=1)
+    e = relation(spark, sf_dir, "e", base.replace("{month} AS session", "o.before, {month} AS session", 1), placed=True)
+    return cut(e.select("session", "id", *only) if only else e)
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders (o_orderkey, session, c_mktsegment) with ``before``: the rows that orders of smaller keys have in the session, within ranges of orders and then by the sizes of the ranges."""
+    t = {name: table(spark, sf_dir, name) for name in TABLES}
+    lines = t["lineitem"].select("l_orderkey", "l_suppkey", "l_partkey")
+    s = t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey")).groupBy("s_suppkey").agg(F.count("*").alias("_s"))
+    p = t["part"].groupBy("p_partkey").agg(F.count("*").alias("_p"))
+    s = F.broadcast(s) if s.count() <= BROADCAST_ROWS else s
+    p = F.broadcast(p) if p.count() <= BROADCAST_ROWS else p
+    n = lines.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.sum(F.col("_s") * F.col("_p")).alias("n"))
+    o = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.expr(MONTH["spark"].replace("o.", "")).alias("session"), "c_mktsegment")
+    o = o.join(n, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("part", F.expr(f"o_orderkey DIV {ORDERS}"))
+    within = F.sum("n").over(Window.partitionBy("session", "part").orderBy("o_orderkey").rangeBetween(Window.unboundedPreceding, -1))
+    o = cut(o.select("o_orderkey", "session", "c_mktsegment", "part", "n", F.coalesce(within, F.lit(0)).alias("within")))
+    earlier = F.sum("n").over(Window.partitionBy("session").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = cut(o.groupBy("session", "part").agg(F.sum("n").alias("n")).select("session", "part", F.coalesce(earlier, F.lit(0)).alias("earlier")))
     parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
-    out = e.join(parts, F.col("session").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
-    number = F.lpad((F.col("nr") + F.col("_b")).cast("string"), 6, "0")
-    return out.select("session", F.concat(F.lit("r"), number).alias("id"), *(c for c in e.columns if c not in ("session", "part", "nr")))
+    return o.join(parts.select(F.col("session").alias("_s"), F.col("part").alias("_p"), "earlier"), F.col("session").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p"))).select("o_orderkey", "session", "c_mktsegment", (F.col("within") + F.col("earlier")).alias("before"))
 
 
 def edges(spark: SparkSession, sf_dir: str, wide: bool = False, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
@@ -104,7 +124,10 @@ def ends(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
-    return relation(spark, sf_dir, "nw" if wide else "n")
+    """Every label in every month; the labels lie in many partitions and the few months come to them, so no task has all nodes."""
+    labels, months = cut(relation(spark, sf_dir, "labels_wide" if wide else "labels_all")), cut(relation(spark, sf_dir, "months"))
+    labels = labels.repartition(tasks(spark, labels.count() * months.count()), "label")
+    return labels.join(F.broadcast(months)).select("session", F.col("label").alias("id"), "label", "community_id")
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:

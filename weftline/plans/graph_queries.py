@@ -129,7 +129,8 @@ _RANKED = _SPARSE + """, r0 AS (SELECT session, id, community_id AS community, i
 def _ranked(spark, sf_dir, wide=True):
     n = demo.nodes(spark, sf_dir, wide)
     d = graph.degree(n, demo.ends(spark, sf_dir, wide)).join(n, ["session", "id"])
-    return d.select("session", "id", F.col("community_id").alias("community"), levels.min_max(F.col("incident").cast("double"), ["session"]).alias("total"), F.lit(False).alias("pinned"))
+    d = cut(d.select("session", "id", F.col("community_id").alias("community"), F.col("incident").cast("double").alias("incident"), F.lit(False).alias("pinned")))
+    return levels.scaled(d, "incident", ["session"], "total").select("session", "id", "community", "total", "pinned")
 
 
 @query(demo.duckdb("SELECT session, id, round(total, 6) AS total FROM r0", _RANKED))
@@ -163,7 +164,7 @@ agg AS (SELECT session, community, 'agg-' || community AS agg_id, count(*) AS me
 
 
 def _visible(spark, sf_dir):
-    r = cut(_ranked(spark, sf_dir))
+    r = _ranked(spark, sf_dir)
     top = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("total"), "id"))
     return r, r.withColumn("rk", top).where("rk <= 100").select("session", F.lit("overview").alias("level"), "id")
 
@@ -381,10 +382,10 @@ _SELECTED_DENSE = demo.BASE + re.sub(r"\bnw\b", "n", _SELECTED.removeprefix(demo
 @query(demo.duckdb(_SHOWN, _SELECTED_DENSE))
 def level_selection(spark, sf_dir):
     """T4: the nodes of every level after shrinking to its band."""
-    return levels.select_nodes(cut(_ranked(spark, sf_dir, False)))
+    return levels.select_nodes(_ranked(spark, sf_dir, False))
 
 
 @query(demo.duckdb(_SHOWN, _SELECTED))
 def level_selection_wide(spark, sf_dir):
     """T4: the same over the wide graph, whose many communities leave more aggregates than a level holds."""
-    return levels.select_nodes(cut(_ranked(spark, sf_dir)))
+    return levels.select_nodes(_ranked(spark, sf_dir))
