@@ -236,7 +236,7 @@ def relation_policy(spark, sf_dir):
     """Causal edges need a cue; here every label has one and the verifier refuses large quantities."""
     from ..functions.relations import apply_relation_policy
 
-    e = _spanless(demo.edges(spark, sf_dir)).withColumn("causal_override", F.lit(None).cast("string")).withColumn("label", F.concat(F.lit("leads to "), "label"))
+    e = _spanless(demo.relation(spark, sf_dir, "g").select("session", "from", "to", "label", "glyph", "confidence", "quantity")).withColumn("causal_override", F.lit(None).cast("string")).withColumn("label", F.concat(F.lit("leads to "), "label"))
     return policy_stats(apply_relation_policy(e, verdict=F.col("quantity") <= 40)).select("causal_kept", "causal_demoted", "unchanged")
 
 
