@@ -74,13 +74,15 @@ def match_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     keys resolve to the same edge is judged by the later one again. ``edges``: session, edge_id, from_norm, to_norm, glyph, origin.
     """
     e = edges.select("session", "edge_id", "from_norm", "to_norm", "glyph", is_user_origin(F.col("origin")).alias("user"))
-    by_id = e.select("session", "edge_id", F.struct("session", "edge_id", "glyph", "user").alias("by_id"))
-    out = labels.join(by_id, ["session", "edge_id"], "left")
-    own = e.groupBy("from_norm", "to_norm", "session").agg(F.min_by(F.struct("session", "edge_id", "glyph", "user"), "edge_id").alias("own"))
-    new = own.groupBy("from_norm", "to_norm").agg(F.max_by("own", "session").alias("new"))
+    out = labels.join(e.select("session", "edge_id", F.struct("glyph", "user").alias("by_id")), ["session", "edge_id"], "left")
+    # Null keys meet nothing; said once here, so that both joins below read the same aggregate and edges are moved once for them.
+    known = e.where("session is not null and edge_id is not null and from_norm is not null and to_norm is not null")
+    own = known.groupBy("from_norm", "to_norm", "session").agg(F.min(F.struct("edge_id", "glyph", "user")).alias("own"))
+    new = own.groupBy("from_norm", "to_norm").agg(F.max(F.struct("session", "own")).alias("new"))
     out = out.join(own, ["from_norm", "to_norm", "session"], "left").join(new, ["from_norm", "to_norm"], "left")
-    row = F.coalesce("by_id", "own", "new")
-    out = out.withColumn("row", row).drop("by_id", "own", "new")
+    row = lambda session, edge_id, x: F.when(F.col(x).isNotNull(), F.struct(session.alias("session"), edge_id.alias("edge_id"), F.col(f"{x}.glyph").alias("glyph"), F.col(f"{x}.user").alias("user")))
+    found = F.coalesce(row(F.col("session"), F.col("edge_id"), "by_id"), row(F.col("session"), F.col("own.edge_id"), "own"), row(F.col("new.session"), F.col("new.own.edge_id"), "new.own"))
+    out = out.withColumn("row", found).drop("by_id", "own", "new")
     status = F.when(F.col("row").isNull(), "missing").when(F.col("row.user"), "user_origin").otherwise("matched")
     out = out.withColumns({"status": status, "m_session": F.coalesce("row.session", "session"), "m_edge_id": F.coalesce("row.edge_id", "edge_id"), "glyph": F.col("row.glyph")}).drop("row")
     ident = F.when(F.col("status") == "missing", F.concat_ws("|", F.lit("?"), "session", "edge_id", "from_norm", "to_norm")).otherwise(F.concat_ws("|", F.lit("!"), "m_session", "m_edge_id"))
