@@ -95,8 +95,7 @@ def indexed_search(spark, sf_dir):
 def two_hop_neighborhood(spark, sf_dir):
     """GR3: nodes within two hops of a seed in every session."""
     n = demo.nodes(spark, sf_dir, True)
-    got, _ = graph.neighborhood(n, demo.ends(spark, sf_dir, True), n.where("id = 'Supplier#000000001'"), 2, 100_000)
-    return got.select("session", "id", "hop")
+    return graph.spread(n, demo.ends(spark, sf_dir, True), n.where("id = 'Supplier#000000001'"), 2).select("session", "id", "hop")
 
 
 @query(demo.duckdb("""SELECT session, CASE WHEN degree = 0 THEN 'gap-isolated-' ELSE 'gap-weak-' END || id AS gap_id, CAST(CASE WHEN degree = 0 THEN 0.75 ELSE 0.45 END AS DOUBLE) AS confidence,
