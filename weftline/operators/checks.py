@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import Steps, cut, tasks
+from ..sources.files import cut, tasks
 
-#: Ids of the same rectangle in a block, and rectangles of a cell that meet in a task.
+#: Ids of the same rectangle in a block.
 BLOCK = 1_000
-#: Pairs that come from a task.
-PAIRS = 5_000_000
+#: Pairs of ids that are tried in a task.
+PAIRS = 20_000_000
+#: Sizes of cells are broadcast up to this number.
+BROADCAST_ROWS = 1_000_000
 
 
 def violations(nodes: DataFrame, edges: DataFrame, islands: DataFrame | None = None) -> DataFrame:
@@ -39,30 +41,25 @@ def reconcile(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def overlaps(boxes: DataFrame, cell: int = 128) -> DataFrame:
     """(session, a, b): pairs of rectangles (x, y, w, h) that intersect, by an equi-join on grid cells and the exact test.
 
-    Rectangles that are the same meet once, as one with its number of ids, and each pair of them is reported in one cell only, that of the
-    upper left corner of its intersection. Cells with many are split. Then blocks of ids meet, in so many partitions that about ``PAIRS``
-    pairs come from each: time grows with the pairs, memory does not, and nothing of their number is written here.
+    Rectangles that are the same meet once, in blocks of ids, and each pair of blocks is reported in one cell only, that of the upper left corner of
+    its intersection. A crowded cell is split into a grid of slots, so that some ``PAIRS`` pairs of ids at most meet in each. Pairs
+    are made where blocks meet: neither they nor pairs of blocks are moved, so disk grows with the rectangles, only the result with the pairs.
     """
-    spark, box = boxes.sparkSession, ["session", "x", "y", "w", "h"]
-    at = lambda v: F.floor(v / cell)
-    with Steps(spark) as steps:
-        rows = steps.write(boxes.select(*box, "id").where(" and ".join(f"{k} is not null" for k in (*box, "id"))))
-        one = steps.write(rows.groupBy(*box).agg(F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id()))
-        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))
-        blocks = cut(rows.join(one, box).groupBy("session", "no", part.alias("part")).agg(F.collect_list("id").alias("ids")))
-        c = one.withColumn("cx", F.explode(F.sequence(at(F.col("x")), at(F.col("x") + F.col("w"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y")), at(F.col("y") + F.col("h")))))
-        slots = F.ceil(F.count("*").over(Window.partitionBy("session", "cx", "cy")) / BLOCK)
-        c = cut(c.withColumn("slots", slots).withColumn("slot", F.pmod(F.xxhash64("no"), "slots")))
-    # A rectangle of one side is in its slot of the cell, one of the other side in all of them.
-    keys, parts = ["session", "cx", "cy", "slot"], tasks(spark, c.count(), 10_000)
-    a, b = (c.select("session", "cx", "cy", "slot", "slots", *(F.col(k).alias(f"{k}_{s}") for k in ("no", "n", "x", "y", "w", "h"))) for s in "ab")
-    b = b.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
-    met = a.drop("slots").repartition(parts, *keys).join(b.drop("slots").repartition(parts, *keys), keys)
-    met = met.where("no_a <= no_b and x_a < x_b + w_b and x_b < x_a + w_a and y_a < y_b + h_b and y_b < y_a + h_a")
-    met = met.where((F.col("cx") == at(F.greatest("x_a", "x_b"))) & (F.col("cy") == at(F.greatest("y_a", "y_b"))))
-    pairs = met.agg(F.sum(F.col("n_a").cast("double") * F.col("n_b")).alias("k")).first()["k"] or 0
-    left, right = (blocks.select("session", *(F.col(k).alias(f"{k}_{s}") for k in ("no", "part", "ids"))) for s in "ab")
-    some = met.select("session", "no_a", "no_b").join(left, ["session", "no_a"]).join(right, ["session", "no_b"]).where("no_a < no_b or part_a <= part_b")
-    some = some.repartition(tasks(spark, pairs, PAIRS), "no_a", "no_b", "part_a", "part_b").withColumn("same", F.expr("no_a = no_b and part_a = part_b"))
-    out = some.select("session", "same", F.explode("ids_a").alias("i"), "ids_b").select("session", "same", "i", F.explode("ids_b").alias("j"))
+    spark, box, at = boxes.sparkSession, ["session", "x", "y", "w", "h"], lambda v: F.floor(v / cell)
+    rows = boxes.select(*box, "id").where(" and ".join(f"{k} is not null" for k in (*box, "id")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.count("*").over(Window.partitionBy(*box)) / BLOCK)))
+    blocks = cut(rows.groupBy(*box, "part").agg(F.collect_list("id").alias("ids")).drop("part")).withColumn("no", F.monotonically_increasing_id())
+    cells = blocks.withColumn("cx", F.explode(F.sequence(at(F.col("x")), at(F.col("x") + F.col("w"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y")), at(F.col("y") + F.col("h")))))
+    sizes = cut(cells.groupBy("session", "cx", "cy").agg(F.sum(F.size("ids")).alias("n")).withColumn("grid", F.ceil(F.col("n") / PAIRS**0.5)))
+    tried = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0] or 0
+    sizes = sizes.drop("n")
+    parts, keys = tasks(spark, tried, PAIRS), ["session", "cx", "cy", "slot_a", "slot_b"]
+    cells = cells.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, ["session", "cx", "cy"]).withColumn("slot", F.pmod(F.xxhash64("no"), "grid"))
+    # A block of one side is in all slots from its own on, one of the other side in all up to its own: of two slots, one pair meets.
+    side = lambda s, *slots: cells.select("session", "cx", "cy", *slots, *(F.col(k).alias(f"{k}_{s}") for k in ("no", "x", "y", "w", "h", "ids"))).repartition(parts, *keys)
+    a = side("a", F.col("slot").alias("slot_a"), F.explode(F.sequence("slot", F.col("grid") - 1)).alias("slot_b"))
+    b = side("b", F.explode(F.sequence(F.lit(0).cast("long"), "slot")).alias("slot_a"), F.col("slot").alias("slot_b"))
+    met = a.join(b, keys).where("(slot_a < slot_b or no_a <= no_b) and x_a < x_b + w_b and x_b < x_a + w_a and y_a < y_b + h_b and y_b < y_a + h_a")
+    met = met.where((F.col("cx") == at(F.greatest("x_a", "x_b"))) & (F.col("cy") == at(F.greatest("y_a", "y_b")))).withColumn("same", F.expr("no_a = no_b"))
+    out = met.select("session", "same", F.explode("ids_a").alias("i"), "ids_b").select("session", "same", "i", F.explode("ids_b").alias("j"))
     return out.where("i < j or (i > j and not same)").select("session", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
