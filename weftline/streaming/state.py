@@ -9,6 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -23,7 +24,11 @@ _ELEMENT = "label string, community_id string, src string, dst string, glyph str
 #: A change: the row as it is now, or gone; the last change by ``version`` counts.
 FOLD_OUTPUT = f"session string, kind string, id string, {_ELEMENT}, gone boolean, version long"
 _FOLD_COLUMNS = [c.split()[0] for c in FOLD_OUTPUT.split(", ")]
-CACHE_OUTPUT = "owner string, id string, created timestamp, live boolean"
+#: ``created`` in microseconds.
+CACHE_OUTPUT = "owner string, id string, created long, live boolean"
+_ENTRIES = pa.schema([("owner", pa.string()), ("id", pa.string()), ("created", pa.int64())])
+#: Shards of the owners of a cache; a task holds the entries of one at a time.
+SHARDS = 512
 
 
 def fold_input(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> DataFrame:
@@ -120,61 +125,72 @@ def current(changes: DataFrame) -> DataFrame:
 
 
 class Expiring(StatefulProcessor):
-    """The live entries of one owner as a list, and one timer for the first that expires; the watermark lags by the time to live.
+    """The live entries of the owners of a shard as one Arrow table, and one timer for the first that expires; the watermark lags by the time to live.
 
-    The list is read and written as a whole, once for each batch in which the owner has rows or expiring entries: every call of the state goes to
-    the JVM and back, so a call for each entry would cost more than the entries.
+    Every call of the state goes to the JVM and back, and so does every group of rows. So owners share a shard, whose table is read and written
+    as a whole, once for each batch in which it has rows or expiring entries.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getListState("entries", "id string, created long")
+        self.entries = handle.getValueState("entries", "data binary")
 
-    def _put(self, known: dict[str, int], timer: int | None) -> None:
+    def _known(self) -> pd.DataFrame:
+        if not self.entries.exists():
+            return pd.DataFrame({"owner": pd.Series(dtype=object), "id": pd.Series(dtype=object), "created": pd.Series(dtype="int64")})
+        return pa.ipc.open_stream(bytes(self.entries.get()[0])).read_pandas()
+
+    def _put(self, known: pd.DataFrame, timer: int | None) -> None:
         """Stores the entries; ``timer`` is the one that is set. It moves to the first entry that expires."""
-        at = min(known.values(), default=None)
+        at = _first(known)
         if at != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             if at is not None:
                 self.handle.registerTimer(at)
-        if known:
-            self.entries.put(list(known.items()))
-        else:
+        if at is None:
             self.entries.clear()
+            return
+        table, sink = pa.Table.from_pandas(known, _ENTRIES, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.entries.update((sink.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark, out = timerValues.getCurrentWatermarkInMs(), []
-        known = dict(self.entries.get())
-        timer = min(known.values(), default=None)
-        for pdf in rows:
-            for i, t in zip(pdf["id"], pdf["created"], strict=True):
-                ms = int(t.value // 1_000_000)
-                if ms <= mark or known.get(i, ms - 1) >= ms:  # expired when it came, or known as newer
-                    continue
-                known[i] = ms
-                out.append((key[0], i, t, True))
-        if out:
-            self._put(known, timer)
-        yield pd.DataFrame(out, columns=["owner", "id", "created", "live"])
+        new, known = pd.concat(list(rows))[["owner", "id", "created"]], self._known()
+        new = new[new["created"] // 1000 > timerValues.getCurrentWatermarkInMs()]  # else expired when it came
+        both = pd.concat([known.assign(_new=False), new.assign(_new=True)], ignore_index=True)
+        both = both.sort_values(["created", "_new"], ascending=[True, False], kind="stable")  # of the same time, what is known counts
+        last = ~both.duplicated(["owner", "id"], keep="last")
+        came, gone = both[last & both["_new"]], both[~last & ~both["_new"]]
+        if len(came):
+            self._put(both.loc[last, ["owner", "id", "created"]], _first(known))
+        yield pd.concat([came.assign(live=True), gone.assign(live=False)])[["owner", "id", "created", "live"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark, known = timerValues.getCurrentWatermarkInMs(), dict(self.entries.get())
-        out = [(key[0], i, pd.Timestamp(ms, unit="ms"), False) for i, ms in known.items() if ms <= mark]
-        self._put({i: ms for i, ms in known.items() if ms > mark}, None)  # the timer that fired is gone
-        yield pd.DataFrame(out, columns=["owner", "id", "created", "live"])
+        known = self._known()
+        over = known["created"] // 1000 <= timerValues.getCurrentWatermarkInMs()
+        self._put(known[~over], None)  # the timer that fired is gone
+        yield known[over].assign(live=False)
 
     def close(self) -> None:
         pass
 
 
-def expiring(rows: DataFrame, minutes: int = 360) -> DataFrame:
-    """(owner, id, created, live): entries (owner, id, created timestamp) as they come, and again as not live when they expire.
+def _first(known: pd.DataFrame) -> int | None:
+    """The millisecond in which the first entry expires."""
+    return int(known["created"].min() // 1000) if len(known) else None
+
+
+def expiring(rows: DataFrame, minutes: int = 360, shards: int = SHARDS) -> DataFrame:
+    """(owner, id, created, live): entries (owner, id, created timestamp) as they come, and again as not live when they expire or a newer one of the same id comes.
 
     Time is that of the entries: one expires when another is newer by ``minutes`` or more. State holds live entries only.
     """
-    src = rows.select(F.col("owner").cast("string").alias("owner"), F.col("id").cast("string").alias("id"), "created").withWatermark("created", f"{minutes} minutes")
-    return src.groupBy("owner").transformWithStateInPandas(Expiring(), CACHE_OUTPUT, "Append", "EventTime")
+    src = rows.where("created is not null").select(F.col("owner").cast("string").alias("owner"), F.col("id").cast("string").alias("id"), "created").withWatermark("created", f"{minutes} minutes")
+    src = src.select(F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard"), "owner", "id", F.unix_micros("created").alias("created"))
+    out = src.groupBy("shard").transformWithStateInPandas(Expiring(), CACHE_OUTPUT, "Append", "EventTime")
+    return out.withColumn("created", F.timestamp_micros("created"))
 
 
 def live(changes: DataFrame) -> DataFrame:
