@@ -81,8 +81,8 @@ def relation(spark: SparkSession, sf_dir: str, name: str, base: str = BASE, tabl
     return spark.sql(f"WITH {base.format(month=MONTH['spark'])} SELECT * FROM {name}".replace('"', "`"))
 
 
-def numbered(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
-    """The relation ``e`` or columns ``only`` of it, derived once, its rows numbered where the join with the orders has put them.
+def numbered(spark: SparkSession, sf_dir: str, *only: str, once: bool = False) -> DataFrame:
+    """The relation ``e`` or columns ``only`` of it, derived once (with ``once`` it is read once and not stored), its rows numbered where the join with the orders has put them.
 
     Orders have their place in the session (rows of the orders before); only the rows of an order are numbered among each other. So line items are not moved or sorted by session.
     """
@@ -90,7 +90,8 @@ def numbered(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
     base = BASE.partition(",\nlabels_all AS")[0].replace("PARTITION BY session ORDER", "PARTITION BY session, l_orderkey ORDER")
     base = re.sub(r"CAST\((row_number\(\) OVER \(.*?\)) AS VARCHAR\(10\)\)", r"CAST(\1 + before AS VARCHAR(10))", base, count=1)
     e = relation(spark, sf_dir, "e", base.replace("{month} AS session", "o.before, {month} AS session", 1), placed=True)
-    return cut(e.select("session", "id", *only) if only else e)
+    e = e.select("session", "id", *only) if only else e
+    return e if once else cut(e)
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +113,10 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(parts.select(F.col("session").alias("_s"), F.col("part").alias("_p"), "earlier"), F.col("session").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p"))).select("o_orderkey", "session", "c_mktsegment", (F.col("within") + F.col("earlier")).alias("before"))
 
 
-def edges(spark: SparkSession, sf_dir: str, wide: bool = False, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
-    """Edges with ids as ends and ``attributes``, of the dense or of the wide graph; derived once, as operators read them several times."""
+def edges(spark: SparkSession, sf_dir: str, wide: bool = False, attributes: tuple[str, ...] = ATTRIBUTES, once: bool = False) -> DataFrame:
+    """Edges with ids as ends and ``attributes``, of the dense or of the wide graph; derived once, as operators read them several times, but for ``once``."""
     a, b = ("from_wide", "to_wide") if wide else ("from_label", "to_label")
-    return numbered(spark, sf_dir, a, b, *attributes).select("session", "id", F.col(a).alias("from"), F.col(b).alias("to"), *attributes)
+    return numbered(spark, sf_dir, a, b, *attributes, once=once).select("session", "id", F.col(a).alias("from"), F.col(b).alias("to"), *attributes)
 
 
 def ends(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
